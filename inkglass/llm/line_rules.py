@@ -6,9 +6,9 @@ than 30 % of its words in repeated windows.
 
 The method then counts, for each host and normalised line (letters and digits only, digits as
 0, lower case, hashed), the distinct documents that have it. Copies of a document are one
-document there: documents are told apart by the smallest hash of their eight-word windows,
-which near copies mostly share, so a group of copies does not turn its own lines into
-boilerplate. A line is above the limit if it is in at least LEAST_DOCS documents of the host
+document there: for a line, documents are told apart by the smallest hash of the eight-word
+windows in their other lines, which near copies mostly share, so a group of copies does not turn
+its own lines into boilerplate. A line is above the limit if it is in at least LEAST_DOCS documents of the host
 and in at least SHARE of them. Such lines are removed, and a document is rejected if it is
 depleted: fewer than LEFT of its words remain.
 
@@ -65,6 +65,11 @@ def covered(windows: Column, n: int = WINDOW) -> Column:
     return bind(lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(total(h)), windows)
 
 
+def line_mark(line: Column) -> Column:
+    """The smallest hash of a line's windows (of the line, if it is shorter); null without words."""
+    return bind(lambda w: F.when(F.size(w) >= WINDOW, F.array_min(windows_of(w))).when(F.size(w) > 0, F.xxhash64(w)), words_of(line))
+
+
 def normal(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", ""), r"\p{N}", "0")
 
@@ -77,10 +82,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     own = own.withColumn("key", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
 
     # which lines are above the limit, by host
-    lines = own.select("doc_id", "key", "host", F.coalesce(F.array_min(windows_of(F.col("words"))), F.col("key")).alias("document"), F.split("text", "\n").alias("lines"))
-    lines = lines.select("doc_id", "key", "host", "document", F.posexplode("lines").alias("at", "line"))
-    lines = lines.withColumn("normal", normal(F.col("line"))).where("normal != ''").select("doc_id", "key", "host", "document", "at", F.xxhash64("normal").alias("line"))
-    hosts = own.select("host", F.coalesce(F.array_min(windows_of(F.col("words"))), F.col("key")).alias("document")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
+    own = own.withColumn("marks", F.transform(F.split("text", "\n"), line_mark)).withColumn("least", F.array_min("marks"))
+    lines = own.select("doc_id", "key", "host", "least", F.array_min(F.filter("marks", lambda m: m != F.col("least"))).alias("next"), F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("marks").alias("mark"))).alias("at", "x"))
+    lines = lines.withColumn("document", F.coalesce(F.when(F.col("x.mark") == F.col("least"), F.col("next")).otherwise(F.col("least")), "key"))
+    lines = lines.withColumn("normal", normal(F.col("x.line"))).where("normal != ''").select("doc_id", "key", "host", "document", "at", F.xxhash64("normal").alias("line"))
+    hosts = own.select("host", F.coalesce("least", "key").alias("document")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
     often = lines.select("host", "line", "document").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
     above = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", "line")
     removed = lines.alias("l").join(above.alias("a"), F.expr("l.host <=> a.host AND l.line = a.line"), "left_semi").groupBy("doc_id", "key", "host").agg(F.collect_set("at").alias("gone"))

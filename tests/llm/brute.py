@@ -121,13 +121,20 @@ def quality(docs, least_docs=10, share=0.01, left=0.3):
         return regex.sub(r"\p{N}", "0", regex.sub(r"[^\p{L}\p{N}]+", "", line.lower()))
 
     seen, hosts = defaultdict(set), defaultdict(set)
+    space = r"[^\x20\x09-\x0D]+"
     for _, t, h in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        document = min((chain(w[i : i + 8]) for i in range(len(w) - 7)), default=chain([t or ""]))
-        hosts[h].add(document)
-        for line in (t or "").split("\n"):
+        lines = (t or "").split("\n")
+        marks = []
+        for line in lines:
+            w = re.findall(space, line)
+            marks.append(min(chain(w[i : i + 8]) for i in range(max(1, len(w) - 7))) if w else None)
+        values = sorted({m for m in marks if m is not None})
+        key = chain([t or ""])
+        hosts[h].add(values[0] if values else key)
+        for line, m in zip(lines, marks, strict=True):
+            others = [v for v in values if v != m or m != values[0]]
             if n := normal(line):
-                seen[h, n].add(document)
+                seen[h, n].add(others[0] if others else key)
     out = []
     for d, t, h in docs:
         n, chars, symbols, dups, repeated = base_rules(t)

@@ -217,8 +217,9 @@ def test_quality(spark):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in documents()]
     boiler = "All of this page is subject to the terms of the site 2024."
     rows += [(3000 + i, f"{boiler}\n" + " ".join(f"v{i}x{j}" for j in range(30)), "site") for i in range(15)]
-    rows += [(4000, f"{boiler}\n{boiler.upper()}\n{boiler}\na few more words", "site"), (4001, None, None), (4002, "", "site"), (4003, "a b c d e f g h i " * 4000, None)] + [(3000, rows[-1][1], "x")][:0]
+    rows += [(4000, f"{boiler}\n{boiler[:40].upper()}{boiler[40:]}\nand words of its own", "site"), (4001, None, None), (4002, "", "site"), (4003, "a b c d e f g h i " * 4000, None)] + [(3000, rows[-1][1], "x")][:0]
     rows += [rows[0], rows[0]]
+    rows += [(4000 + 100 * i, f"{boiler}\na few more words", "x") for i in range(5, 6)]
     rows += [(5000 + i, "\n".join([" ".join(f"c{k}" for k in range(40)), " ".join(f"d{k}" for k in range(40)) + f" e{i}"]), "site") for i in range(40)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, line int")
     found = line_rules.judge(df).collect()
