@@ -81,8 +81,8 @@ ORACLES = {
         m AS (SELECT s.doc_id, min(c.id) AS class FROM s JOIN c ON md5(array_to_string(list_sort(s.s), chr(10))) = c.c GROUP BY 1),
         e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM c),
         f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
-        o AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN f USING (x) JOIN e b USING (x) WHERE a.id < b.id GROUP BY ALL),
-        l AS (SELECT a, b FROM o WHERE 100 * both >= 80 * (na + nb - both)),
+        o AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN f USING (x) JOIN e b USING (x) WHERE a.id < b.id GROUP BY ALL),
+        l AS (SELECT a, b FROM o WHERE 100 * shared >= 80 * (na + nb - shared)),
         g AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
         r(x, y) AS (SELECT id, id FROM c UNION SELECT r.x, g.y FROM r JOIN g ON r.y = g.x),
         k AS (SELECT x, min(y) AS y FROM r GROUP BY x)
