@@ -92,7 +92,7 @@ ORACLES = {
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
         bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right(bin(CAST(('0x' || h[i]) AS INTEGER) + 16), 4)), '') AS bits FROM d)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(1, 6), lambda j: CAST(bits[5 * k + j] AS INTEGER) * CAST(pow(2, 5 - j) AS INTEGER)))]), '') AS payload_digest,
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(1, 6), lambda j: CAST(bits[5 * k + j] AS INTEGER) * CAST(pow(2, 5 - j) AS INTEGER))) AS BIGINT)]), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM bits""",
     "op9_url_rules": r"""
