@@ -34,7 +34,7 @@ HEAD = "<4sIIIQQQ"
 #: Nonterminals are numbered from here; token ids are below it.
 BASE = 1 << 18
 #: A shard is closed after so many chunks.
-SHARD_CHUNKS = 4_000_000
+SHARD_CHUNKS = 2_000_000
 #: A pair is replaced if a shard has it so often.
 LEAST = 4
 #: Rounds inside chunks and across chunks.
@@ -67,24 +67,23 @@ class Grammar:
 
     def replace(self, symbols: np.ndarray, joined: np.ndarray, weights: np.ndarray | None, least: float):
         """One round over symbols; joined[i] says if i and i + 1 may become one. None when done."""
-        if len(symbols) < 2:
-            return None
-        codes = (symbols[:-1] << 32) | symbols[1:]
-        codes[~joined[:-1]] = -1
-        there = np.flatnonzero(codes >= 0)
+        there = np.flatnonzero(joined[:-1])
+        codes = (symbols[there] << 32) | symbols[there + 1]
         if weights is None:  # a cheap bound on the counts first
-            slots = (codes[there] * 0x9E3779B97F4A7C1 >> 20) & 0x3FFFFF
-            there = there[np.bincount(slots, minlength=1)[slots] >= least]
-        found, where = np.unique(codes[there], return_inverse=True)
+            slots = (codes * 0x9E3779B97F4A7C1 >> 20) & 0x3FFFFF
+            some = np.bincount(slots, minlength=1)[slots] >= least
+            there, codes = there[some], codes[some]
+        found, where = np.unique(codes, return_inverse=True)
         counts = np.bincount(where, None if weights is None else weights[there], minlength=len(found)) if len(found) else np.zeros(0)
         chosen = choose(found, counts, least)
         if not len(chosen):
             return None
-        at = np.searchsorted(chosen, codes)
-        at[at == len(chosen)] = 0
-        hit = np.flatnonzero((codes >= 0) & (chosen[at] == codes))
+        slot = np.full(len(found), -1, np.int64)
+        slot[np.searchsorted(found, chosen)] = np.arange(len(chosen))
+        at = slot[where]
+        hit, at = there[at >= 0], at[at >= 0]
         symbols = symbols.copy()
-        symbols[hit] = BASE + self.ends[-1] + at[hit]
+        symbols[hit] = BASE + self.ends[-1] + at
         joined = joined.copy()
         joined[hit] = joined[hit + 1]
         keep = np.ones(len(symbols), bool)
@@ -236,9 +235,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
             got, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
             while at < len(got):
-                # about 8 MB of text at a time, one document at least
+                # about 4 MB of text at a time, one document at least
                 stop, room = at + 1, len(texts[at].as_buffer() or b"")
-                while stop < len(got) and room < 8_000_000:
+                while stop < len(got) and room < 4_000_000:
                     room += len(texts[stop].as_buffer() or b"")
                     stop += 1
                 chunks, seen = table.split(texts.slice(at, stop - at).to_pylist())
