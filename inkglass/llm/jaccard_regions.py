@@ -21,7 +21,7 @@ Inside a region documents are joined as follows.
 3. Pairs of different components whose histograms don't prove them apart are verified exactly.
 
 Links between classes so found connect what all links connect. Set elements are 64-bit hashes
-of the words' hashes.
+of the words' 64-bit hashes.
 
 Hot groups: copies are combined before any shuffle of sets; regions of shingles that the count
 table shows to be frequent are combined before the shuffle and joined in splittable form;
@@ -53,11 +53,17 @@ FREQUENT = 4096
 CELL, PIVOTS = 256, 8
 #: Rows of a block: those outside the largest component, and those against which they go.
 BLOCK_Q, BLOCK_M = 128, 1024
-MOST_WORDS = 1_000_000
-FACTORS = (np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+ROOT = 0xD1342543DE82EF95
+LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Members of one pivot that are verified in one place.
+TOGETHER = 512
+#: Pairs, at 32 bytes each, that are broadcast to the documents; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 BASE_BITS = 6
 
-_hashes: dict[bytes, int] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,27 +72,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes, k: int = WORDS) -> np.ndarray:
-    """The sorted hashes of a text's different shingles."""
-    import xxhash
-
-    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_hashes) > MOST_WORDS:
-        _hashes.clear()
-    get = _hashes.get
-    found = [get(w) for w in words]
-    if None in found:
-        for i, h in enumerate(found):
-            if h is None:
-                found[i] = _hashes[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    w = np.array(found, np.uint64)
-    n = min(k, len(w))
-    out = np.full(len(w) - n + 1, n, np.uint64)
-    for j in range(n):
-        out += w[j : j + len(out)] * FACTORS[j]
-    return np.unique(mix(out))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ROOT**i and ROOT**-i modulo 2**64 for i < n, kept by the worker."""
+    if len(_powers.get(1, ())) < n:
+        whole = max(n, 1 << 21)
+        for sign, root in ((1, ROOT), (-1, pow(ROOT, -1, 1 << 64))):
+            out = np.full(whole, root, np.uint64)
+            out[0] = 1
+            _powers[sign] = np.cumprod(out)
+    return _powers[1][:n], _powers[-1][:n]
+
+
+def shingle_rows(texts: list[bytes], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts in a row, and how many each text has.
+
+    Words are hashed together: with running sums of LETTERS[byte] * ROOT**place, a word's sum is a
+    difference, brought to place 0. A short text's one shingle also counts its words."""
+    joined = b"\n".join(texts).lower()  # of bytes: A-Z only
+    letters = np.frombuffer(joined, np.uint8)
+    up, down = powers(len(letters) + 1)
+    space = SPACE[letters]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(LETTERS[letters] * up[:-1], out=sums[1:])
+    words = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    word_ends = np.searchsorted(starts, ends)
+    n_words = np.diff(np.concatenate([[0], word_ends]))
+    total = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        total += words[j : j + len(total)] * FACTORS[j]
+    total = mix(total + np.uint64(k))
+    counts = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
+    # a text's shingles begin at its first k - full ones; short texts are put in by themselves
+    first = word_ends - n_words
+    out = np.zeros(int(counts.sum()), np.uint64)
+    begin = np.cumsum(counts) - counts
+    full = n_words >= k
+    at = np.repeat(first[full] - begin[full], counts[full]) if full.any() else np.zeros(0, np.int64)
+    place = np.flatnonzero(np.repeat(full, counts))
+    out[place] = total[place + at]
+    for i in np.flatnonzero((n_words > 0) & ~full).tolist():
+        w = words[first[i] : word_ends[i]]
+        out[begin[i]] = mix((w * FACTORS[: len(w)]).sum(keepdims=True).astype(np.uint64) + np.uint64(len(w)))[0]
+    return out, counts
+
+
+def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
+    """The sorted hashes of each text's different shingles."""
+    rows, counts = shingle_rows(texts, k)
+    return [np.unique(x) for x in np.split(rows, np.cumsum(counts)[:-1])] if len(texts) else []
 
 
 def lacking(n: int, percent: int) -> int:
@@ -107,13 +143,14 @@ def summed(rows: DataFrame, pieces, bits: int = TABLE_BITS) -> list[np.ndarray]:
 
     def local(batches):
         for k, counts in pieces(batches):
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": [zlib.compress(counts.astype("<u8").tobytes(), 1)]})
+            kind = "<u1" if counts.max() < 256 else "<u8"
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": [kind[1:2].encode() + kind[2:].encode() + zlib.compress(counts.astype(kind).tobytes(), 1)]})
 
     def add(batches):
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(data), "<u8")
+                counts = np.frombuffer(zlib.decompress(data[2:]), f"<{data[:2].decode()}").astype("<u8")
                 own[k] = own[k] + counts if k in own else counts
         for k, counts in own.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": [zlib.compress(counts.tobytes(), 1)]})
@@ -146,7 +183,7 @@ def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
 
 
-def text_slices(batch, column: int, most: int = 4_000_000):
+def text_slices(batch, column: int, most: int = 2_000_000):
     """(from, texts) of runs of about so many bytes."""
     texts, at = batch.column(column), 0
     while at < len(texts):
@@ -159,11 +196,10 @@ def text_slices(batch, column: int, most: int = 4_000_000):
 
 
 def levels(own: DataFrame, k: int) -> np.ndarray:
-    """A byte a counter: twice the binary logarithm of how many documents have shingles there."""
+    """A byte a counter: twice the binary logarithm of how many shingles of the documents are there."""
     def places(batch):
         for _, texts in text_slices(batch, 1):
-            sets = [shingle_set(t, k) for t in texts]
-            yield (np.concatenate(sets) >> np.uint64(64 - TABLE_BITS)).astype(np.int64) if sets else np.zeros(0, np.int64)
+            yield (shingle_rows(texts, k)[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     counts = np.concatenate(summed(own, table_pieces(places, TABLE_BITS))).astype(float)
     return np.minimum(2 * np.log2(counts + 1), 255).astype(np.uint8)
@@ -183,8 +219,7 @@ def features(own: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for at, texts in text_slices(batch, 1):
                 out: list[list] = [[], [], [], [], []]
-                for t in texts:
-                    s = shingle_set(t, k)
+                for s in shingle_sets(texts, k):
                     ranks = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                     first = np.lexsort((s, ranks))[: lacking(len(s), percent)] if len(s) else np.zeros(0, np.int64)
                     hot = ranks[first] >= often
@@ -200,8 +235,8 @@ def features(own: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def sets_of(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, items (the set's hashes as bytes) of the documents with these ids, once each. A table of
-    hashed ids, of a fixed size, lets most other documents go before the join."""
+    """id, items (the set's hashes as bytes) of the documents with these ids (and of some others: a
+    table of hashed ids, of a fixed size, tells which documents to take)."""
     import pyarrow as pa
 
     def place(x: np.ndarray) -> np.ndarray:
@@ -219,30 +254,56 @@ def sets_of(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             wanted = pa.array(bits[place(batch.column(0).to_numpy(zero_copy_only=False))])
             batch = batch.filter(wanted)
             for at, texts in text_slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([shingle_set(t, k).tobytes() for t in texts], pa.binary())], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["id", "items"])
 
-    found = own.where("doc_id IS NOT NULL").mapInArrow(run, "id long, items binary")
-    return found.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return own.where("doc_id IS NOT NULL").mapInArrow(run, "id long, items binary")
 
 
 def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, by their whole sets."""
+    """The pairs (a, b) that are links, by their whole sets. Each set goes once to where its pairs'
+    first documents are; a first document with many pairs is in several places."""
     import pyarrow as pa
 
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
-    sets = cut(sets_of(own, ids, k), "jaccard-sets")
+    pairs = cut(pairs, "jaccard-pairs")
+    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    both = pairs.join(n, "a")
+    to = both.select(F.col("b").alias("id"), "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    to = to.unionByName(n.select(F.col("a").alias("id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    to = cut(to, "jaccard-ways")
+    sets = sets_of(own, to.select("id").distinct(), k)
+    met = sets.join(F.broadcast(to) if to.count() <= BROADCAST_ROWS else to, "id")
 
     def run(batches):
+        now, s = None, None
         for batch in batches:
-            fine = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                fine.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+            a, b, fine = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            parts = batch.column(2).to_pylist()
+            for i, x in enumerate(batch.column(3)):
+                t = np.frombuffer(x.as_buffer(), np.uint64)
+                if b[i] is None:
+                    now, s = (a[i], parts[i]), t.copy()
+                elif now == (a[i], parts[i]):
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        fine.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(fine, pa.int64()))
+
+    rows = met.select("a", "b", "part", "items").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return cut(rows.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+
+
+def not_apart(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and histograms (facts: id, n, counts) don't prove apart."""
+    import pyarrow as pa
 
-    one, two = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    return cut(pairs.join(one, "b").join(two, "a").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long"), "jaccard-links")
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([may_link((m, x), (n, y), percent) for m, x, n, y in rows], pa.bool_()))
+
+    one = facts.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
+    two = facts.select(F.col("id").alias("b"), "n", F.col("counts").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
 def folded(counts: bytes, bits: int) -> np.ndarray:
@@ -319,27 +380,46 @@ def blocks(members: DataFrame) -> DataFrame:
 
 
 def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of a block's two sides that have different components and may be links."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf.asks], pdf[~pdf.asks]
-        out = []
-        if len(q) and len(m):
-            sizes, comp, ids = m.n.to_numpy(), m.component.to_numpy(), m.id.to_numpy()
-            bits = np.array([len(c).bit_length() - 1 for c in m.counts])
-            base = np.stack([folded(c, BASE_BITS) for c in m.counts])
-            counts = m.counts.to_list()
-            for i, n, c, x in zip(q.id.tolist(), q.n.tolist(), q.component.tolist(), q.counts, strict=True):
-                near = (comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                near &= (100 + percent) * np.abs(base - folded(x, BASE_BITS)).sum(1) <= (100 - percent) * (sizes + n)
-                own = len(x).bit_length() - 1
-                for j in np.flatnonzero(near).tolist():
-                    if min(own, bits[j]) == BASE_BITS or may_link((n, x), (int(sizes[j]), counts[j]), percent):
-                        out.append((min(i, int(ids[j])), max(i, int(ids[j]))))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("region", "q", "m").applyInPandas(run, "a long, b long").distinct()
+    """Pairs (a < b) of a block's two sides that have different components and may be links. Blocks
+    come sorted, one after another; a block has a bounded number of rows."""
+    import pyarrow as pa
+
+    def pairs_of(block: list[tuple]):
+        q, m = [r for r in block if r[3]], [r for r in block if not r[3]]
+        if not q or not m:
+            return
+        if len(m) <= 24:
+            for _, _, _, _, i, n, c, x in q:
+                for _, _, _, _, j, k, d, y in m:
+                    if c != d and may_link((n, x), (k, y), percent):
+                        yield min(i, j), max(i, j)
+            return
+        sizes, comp = np.array([r[5] for r in m]), np.array([r[6] for r in m])
+        base = np.stack([folded(r[7], BASE_BITS) for r in m])
+        for _, _, _, _, i, n, c, x in q:
+            near = (comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+            at = np.flatnonzero(near)
+            at = at[(100 + percent) * np.abs(base[at] - folded(x, BASE_BITS)).sum(1) <= (100 - percent) * (sizes[at] + n)]
+            for j in at.tolist():
+                if may_link((n, x), (m[j][5], m[j][7]), percent):
+                    yield min(i, m[j][4]), max(i, m[j][4])
+
+    def run(batches):
+        block: list[tuple] = []
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block and block[0][:3] != r[:3]:
+                    out += pairs_of(block)
+                    block = []
+                block.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if out := list(pairs_of(block)) if block else []:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    placed = rows.select("region", "q", "m", "asks", "id", "n", "component", "counts").repartition("region", "q", "m").sortWithinPartitions("region", "q", "m")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
@@ -353,7 +433,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     stars = cut(star(one_each), "jaccard-stars")
     met = cut(stars.groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("times")), "jaccard-met")
     best = met.groupBy("id").agg(F.max(F.struct("times", F.col("pivot"))).alias("best")).select(F.col("best.pivot").alias("a"), F.col("id").alias("b"))
-    links = verified(best, own, k, percent)
+    facts = one_each.select("id", "n", "counts")
+    links = verified(not_apart(best, facts, percent), own, k, percent)
     labels = components(links)
 
     # regions in which a class and the pivot aren't connected yet
@@ -363,9 +444,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     apart = label(label(met.select("pivot", "id"), "pivot", "x"), "id", "y").where("x != y").select("pivot", "id")
     left = stars.join(apart, ["pivot", "id"], "left_semi").select("region").distinct()
     rows = stars.join(left, "region", "left_semi")
-    rows = rows.select("region", F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    facts = one_each.select(F.col("id").alias("__id"), "n", "counts")
-    members = label(rows.join(facts, F.col("id") == F.col("__id")).drop("__id"), "id", "component").select("region", "id", "n", "component", "counts")
+    rows = cut(rows.select("region", F.explode(F.array("pivot", "id")).alias("id")).distinct(), "jaccard-left")
+    # regions with the same members need one look
+    print_of = rows.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y"))
+    once = print_of.groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
+    rows = rows.join(once, "region", "left_semi")
+    members = label(rows.join(facts, "id"), "id", "component").select("region", "id", "n", "component", "counts")
     now = cut(open_cells(members), "jaccard-cells")
     done = []
     while True:
@@ -380,7 +464,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    pairs = cut(compared(rows, percent), "jaccard-pairs")
+    pairs = cut(compared(rows, percent), "jaccard-rest")
     if not pairs.isEmpty():
         labels = components(links.unionByName(verified(pairs, own, k, percent)))
 
