@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from inkglass.llm.common import bind, cut
 
 EDITS, LEAST_CHARS = 2, 20
+#: Rows of some 40 bytes that are broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Characters whose counts (6 bits each, modulo 64) a signature holds.
 COUNTED = " entoirhsa"
 
@@ -63,18 +65,29 @@ def own_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*[key(i) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """Keys of the lines of this length, or up to `edits` shorter, that could be within `edits`."""
+def partial_of(f):
+    """f as a function of one argument, which is all that a lambda may have."""
+    return lambda x: f(x)
+
+
+def probe_keys(line: Column, length: Column, edits: int, least: int, less: int) -> Column:
+    """Keys of the lines `less` characters shorter that could be within `edits`. Substrings of one
+    segment lie close together, so they are cut from a part of the line that is cut out once."""
     out = []
-    for less in range(edits + 1):
-        shorter = length - less
-        for i in range(edits + 1):
-            start, size = segment(shorter, i, edits + 1)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = start + shift
-                fine = (shorter >= least) & (at >= 0) & (at + size <= length)
-                out.append(F.when(fine, F.xxhash64(shorter, F.lit(i), F.substring(line, at + 1, size))))
-    return F.array_compact(F.array(*out))
+    shorter = length - less
+    for i in range(edits + 1):
+        start, size = segment(shorter, i, edits + 1)
+        shifts = range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+        # `first` is inside the line unless a shift is not
+        first = F.greatest(start + shifts[0], F.lit(0))
+        part = F.substring(line, first + 1, size + (len(shifts) - 1))
+
+        def cuts(piece: Column, start=start, size=size, shifts=shifts, first=first, i=i) -> Column:
+            one = lambda shift: F.when((shorter >= least) & (start + shift >= 0) & (start + shift + size <= length), F.xxhash64(shorter, F.lit(i), F.substring(piece, start + shift - first + 1, size)))
+            return F.array(*map(one, shifts))
+
+        out.append(bind(partial_of(cuts), part) if len(shifts) > 1 else cuts(part))
+    return F.array_compact(F.concat(*out))
 
 
 def verified(longer: Column, shorter: Column, edits: int) -> Column:
@@ -125,11 +138,18 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     return (m - n <= edits) & (F.aggregate(F.sequence(F.lit(0), n - 1), start, merge, lambda s: s["d"]) <= edits)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows (written before), to be broadcast if they are few, else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (of the text), at, line, h1, h2 (two hashes of the line), for lines that are not empty."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line != ''").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+    # the length is worked out before the explode: as a plain column, not again at every mention
+    parts = F.transform(F.split("text", "\n"), lambda x: bind(lambda t: F.struct(t.alias("line"), F.length(t).alias("length")), F.trim(x)))
+    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(parts).alias("at", "x")).select("doc_id", "key", "at", "x.line", "x.length")
+    return rows.where("length > 0").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -139,21 +159,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     again = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"), "lines-again")
 
-    length = F.length("line")
+    length = F.col("length")
     filed = (
         lines.where(length >= least_chars)
-        .select("h1", "h2", signature(F.col("line")).alias("counts"), own_keys(F.col("line"), length, edits).alias("own"), probe_keys(F.col("line"), length, edits, least_chars).alias("probes"))
-        .dropDuplicates(["h1", "h2"])
+        .select(
+            "h1", "h2", signature(F.col("line")).alias("counts"), own_keys(F.col("line"), length, edits).alias("own"), probe_keys(F.col("line"), length, edits, least_chars, 0).alias("equal"),
+            F.concat(*[probe_keys(F.col("line"), length, edits, least_chars, n) for n in range(1, edits + 1)]).alias("longer"),
+        ).dropDuplicates(["h1", "h2"])
     )
-    # one explode of both kinds, so that the lines are combined once
-    both = filed.select("h1", "counts", F.explode(F.concat(F.transform("own", lambda k: F.struct(F.lit(0).alias("probe"), k.alias("k"))), F.transform("probes", lambda k: F.struct(F.lit(1).alias("probe"), k.alias("k"))))).alias("x"))
-    both = both.select("h1", "counts", F.col("x.probe").alias("probe"), F.col("x.k").alias("k"))
-    index, probe = both.where("probe = 0").alias("i"), both.where("probe = 1").alias("p")
-    pairs = index.join(probe, F.expr(f"i.k = p.k AND i.h1 != p.h1 AND {apart('i.counts', 'p.counts')} <= {2 * edits}"))
+    # one explode of all kinds, so that the lines are combined once
+    def of_kind(n: int):
+        return lambda k: F.struct(F.lit(n).alias("kind"), k.alias("k"))
+
+    kinds = [F.transform(c, of_kind(n)) for n, c in enumerate(("own", "equal", "longer"))]
+    both = filed.select("h1", "counts", F.explode(F.concat(*kinds)).alias("x")).select("h1", "counts", F.col("x.kind").alias("kind"), F.col("x.k").alias("k"))
+    index, probe = both.where("kind = 0").alias("i"), both.where("kind > 0").alias("p")
+    # of two lines of equal length each probes for the other; once is enough
+    once = "(p.kind = 2 AND i.h1 != p.h1 OR i.h1 < p.h1)"
+    pairs = index.join(probe, F.expr(f"i.k = p.k AND {once} AND {apart('i.counts', 'p.counts')} <= {2 * edits}"))
     pairs = cut(pairs.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "line-pairs")
 
-    members = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    texts = lines.where(length >= least_chars).join(members, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"))
+    members = cut(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-members")
+    texts = lines.where(length >= least_chars).join(small(members), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"))
     texts = cut(texts, "line-texts")
     one, two = texts.select(*(F.col(c).alias(f"{c}_a") for c in texts.columns)), texts.select(*(F.col(c).alias(f"{c}_b") for c in texts.columns))
     found = pairs.join(one, F.col("a") == F.col("h1_a")).join(two, F.col("b") == F.col("h1_b"))
@@ -167,7 +194,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # equal lines: all but the first go; near lines: all go
     drop = again.join(near, ["h1", "h2"], "left_anti").unionByName(near.withColumn("first", F.lit(None).cast(again.schema["first"].dataType)))
-    hits = lines.select("doc_id", "key", "at", "h1", "h2").join(drop, ["h1", "h2"])
+    drop = cut(drop, "lines-drop")
+    hits = lines.select("doc_id", "key", "at", "h1", "h2").join(small(drop), ["h1", "h2"])
     gone = hits.where(F.col("first").isNull() | ~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
