@@ -10,15 +10,16 @@ table of counts over all documents (of a fixed size, so counts are upper bounds)
 Inside a region documents are joined as follows.
 
 1. Equal sets are one class and enter once. The smallest class is the region's pivot; each class
-   is verified against the pivot that it meets most often. Classes of one connected component
-   need no more links, so regions with one component are done.
+   is verified against the pivot that it meets most often, then components that meet by one
+   pair each. Classes of one connected component need no more links, so regions with one component are done.
 2. What is left is joined by document pivots: sets are mapped to histograms of their hashes,
    whose weighted Jaccard distance is a metric and never more than the sets' own. Pivots of a
    large region create Voronoi cells of it, each class goes to its nearest pivot's cell and to
    every cell within twice the threshold more (triangle inequality), and cells that are still
    large are divided again. A cell that pivots can't divide is dealt out in blocks of bounded
    size, those that aren't in its largest component against all.
-3. Pairs of different components whose histograms don't prove them apart are verified exactly.
+3. Of each two components in a cell the nearest pair is verified first; then all pairs of
+   different components whose histograms don't prove them apart are verified exactly.
 
 Links between classes so found connect what all links connect. Set elements are 64-bit hashes
 of the words' 64-bit hashes.
@@ -57,6 +58,8 @@ FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) |
 ROOT = 0xD1342543DE82EF95
 LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Rounds in which components that meet are tried by one pair each.
+CONTRACTIONS = 2
 #: Members of one pivot that are verified in one place.
 TOGETHER = 512
 #: Pairs, at 32 bytes each, that are broadcast to the documents; more are joined by shuffle.
@@ -311,14 +314,20 @@ def folded(counts: bytes, bits: int) -> np.ndarray:
     return x.reshape(1 << bits, -1).sum(1)
 
 
-def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
-    """False if sizes or histograms prove two sets apart. Linked sets differ in at most
+def gap(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> float | None:
+    """How far apart two sets' histograms are, in parts of the most that linked sets can be (0 to 1);
+    None if sizes or histograms prove that the sets aren't linked. Linked sets differ in at most
     (100 - p) / (100 + p) of their sizes' sum, and histograms differ no more than sets."""
     (m, x), (n, y) = a, b
     if 100 * min(m, n) < percent * max(m, n):
-        return False
+        return None
     bits = min(len(x), len(y)).bit_length() - 1
-    return (100 + percent) * int(np.abs(folded(x, bits) - folded(y, bits)).sum()) <= (100 - percent) * (m + n)
+    found, most = (100 + percent) * int(np.abs(folded(x, bits) - folded(y, bits)).sum()), (100 - percent) * (m + n)
+    return found / most if found <= most else None
+
+
+def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
+    return gap(a, b, percent) is not None
 
 
 def star(classes: DataFrame) -> DataFrame:
@@ -379,47 +388,79 @@ def blocks(members: DataFrame) -> DataFrame:
     return q.select("region", "q", "m", "asks", "id", "n", "component", "counts").unionByName(m.select("region", F.col("q").cast("long").alias("q"), F.col("m").alias("m"), "asks", "id", "n", "component", "counts").select("region", "q", "m", "asks", "id", "n", "component", "counts"))
 
 
-def compared(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of a block's two sides that have different components and may be links. Blocks
-    come sorted, one after another; a block has a bounded number of rows."""
+def compared(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a < b) of a block's two sides that have different components and may be links, with
+    their components (c < d) and gap; whole=False: of each two components the nearest pair only.
+    Blocks come sorted, one after another; a block has a bounded number of rows."""
     import pyarrow as pa
 
-    def pairs_of(block: list[tuple]):
+    def near(q: list[tuple], m: list[tuple]):
+        sizes, comp = np.array([r[5] for r in m]), np.array([r[6] for r in m])
+        base = np.stack([folded(r[7], BASE_BITS) for r in m]) if len(m) > 24 else None
+        for r in q:
+            i, n, c, x = r[4:8]
+            at = np.flatnonzero((comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+            if base is not None:
+                at = at[(100 + percent) * np.abs(base[at] - folded(x, BASE_BITS)).sum(1) <= (100 - percent) * (sizes[at] + n)]
+            for k in at.tolist():
+                j, size, d, y = m[k][4:8]
+                if (far := gap((n, x), (size, y), percent)) is not None:
+                    yield (min(i, j), max(i, j), min(c, d), max(c, d), far)
+
+    def pairs_of(block: list[tuple]) -> list[tuple]:
         q, m = [r for r in block if r[3]], [r for r in block if not r[3]]
         if not q or not m:
-            return
-        if len(m) <= 24:
-            for _, _, _, _, i, n, c, x in q:
-                for _, _, _, _, j, k, d, y in m:
-                    if c != d and may_link((n, x), (k, y), percent):
-                        yield min(i, j), max(i, j)
-            return
-        sizes, comp = np.array([r[5] for r in m]), np.array([r[6] for r in m])
-        base = np.stack([folded(r[7], BASE_BITS) for r in m])
-        for _, _, _, _, i, n, c, x in q:
-            near = (comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            at = np.flatnonzero(near)
-            at = at[(100 + percent) * np.abs(base[at] - folded(x, BASE_BITS)).sum(1) <= (100 - percent) * (sizes[at] + n)]
-            for j in at.tolist():
-                if may_link((n, x), (m[j][5], m[j][7]), percent):
-                    yield min(i, m[j][4]), max(i, m[j][4])
+            return []
+        if whole:
+            return list(near(q, m))
+        best: dict[tuple, tuple] = {}
+        for p in near(q, m):
+            if (p[2:4]) not in best or (p[4], p) < (best[p[2:4]][4], best[p[2:4]]):
+                best[p[2:4]] = p
+        return list(best.values())
+
+    def made(out: list[tuple]):
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], kinds[i]) for i in range(5)], names=["a", "b", "c", "d", "gap"])
 
     def run(batches):
         block: list[tuple] = []
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block and block[0][:3] != r[:3]:
                     out += pairs_of(block)
                     block = []
                 block.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        if out := list(pairs_of(block)) if block else []:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                yield made(out)
+        if out := pairs_of(block) if block else []:
+            yield made(out)
 
     placed = rows.select("region", "q", "m", "asks", "id", "n", "component", "counts").repartition("region", "q", "m").sortWithinPartitions("region", "q", "m")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    found = placed.mapInArrow(run, "a long, b long, c long, d long, gap double")
+    if whole:
+        return found.select("a", "b").distinct()
+    return found.groupBy("c", "d").agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b")
+
+
+def cells(members: DataFrame, percent: int, cell: int, pivots: int) -> DataFrame:
+    """Blocks in which all pairs of different components that may be links meet."""
+    now = cut(open_cells(members), "jaccard-cells")
+    done = []
+    while True:
+        done.append(blocks(now.where(F.col("size") <= cell)))
+        large = now.where(F.col("size") > cell)
+        if large.isEmpty():
+            break
+        parts = cut(open_cells(divided(large, percent, pivots, cell)), "jaccard-cells")
+        stuck = F.col("size") > 0.7 * F.col("before")
+        done.append(blocks(parts.where(stuck)))
+        now = parts.where(~stuck).drop("before")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return rows
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
@@ -437,10 +478,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     links = verified(not_apart(best, facts, percent), own, k, percent)
     labels = components(links)
 
-    # regions in which a class and the pivot aren't connected yet
     def label(rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.join(labels.select(F.col("id").alias("__l"), F.col("component").alias("__c")), F.col(column) == F.col("__l"), "left").withColumn(name, F.coalesce("__c", column)).drop("__l", "__c")
 
+    # of each two components that still meet, the pair that meets most often: what they link needs no more looks
+    for _ in range(CONTRACTIONS):
+        meeting = label(label(met, "pivot", "x"), "id", "y").where("x != y")
+        nearest = meeting.groupBy(F.least("x", "y").alias("c"), F.greatest("x", "y").alias("d")).agg(F.max(F.struct("times", "pivot", "id")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("m.id").alias("b"))
+        links = links.unionByName(verified(not_apart(nearest, facts, percent), own, k, percent))
+        labels = components(links)
+
+    # regions in which a class and the pivot aren't connected yet
     apart = label(label(met.select("pivot", "id"), "pivot", "x"), "id", "y").where("x != y").select("pivot", "id")
     left = stars.join(apart, ["pivot", "id"], "left_semi").select("region").distinct()
     rows = stars.join(left, "region", "left_semi")
@@ -448,25 +496,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     # regions with the same members need one look
     print_of = rows.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y"))
     once = print_of.groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
-    rows = rows.join(once, "region", "left_semi")
-    members = label(rows.join(facts, "id"), "id", "component").select("region", "id", "n", "component", "counts")
-    now = cut(open_cells(members), "jaccard-cells")
-    done = []
-    while True:
-        done.append(blocks(now.where(F.col("size") <= cell)))
-        large = now.where(F.col("size") > cell)
-        if large.isEmpty():
+    rows = cut(rows.join(once, "region", "left_semi").join(facts, "id"), "jaccard-left")
+    for whole in (False, True):
+        members = label(rows, "id", "component").select("region", "id", "n", "component", "counts")
+        pairs = cut(compared(cells(members, percent, cell, pivots), percent, whole), "jaccard-rest")
+        if pairs.isEmpty():
             break
-        cells = cut(open_cells(divided(large, percent, pivots, cell)), "jaccard-cells")
-        stuck = F.col("size") > 0.7 * F.col("before")
-        done.append(blocks(cells.where(stuck)))
-        now = cells.where(~stuck).drop("before")
-    rows = done[0]
-    for more in done[1:]:
-        rows = rows.unionByName(more)
-    pairs = cut(compared(rows, percent), "jaccard-rest")
-    if not pairs.isEmpty():
-        labels = components(links.unionByName(verified(pairs, own, k, percent)))
+        links = links.unionByName(verified(pairs, own, k, percent))
+        labels = components(links)
 
     mine = found.select("doc_id", "n", "same").join(classes.select(F.col("same").alias("of"), F.col("id").alias("class_id")), F.col("same") == F.col("of"), "left")
     mine = mine.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))))
