@@ -41,7 +41,8 @@ def as_files(df: DataFrame) -> DataFrame:
 
 
 def refused(spark: SparkSession, path: str) -> DataFrame:
-    """Files that read_files() leaves out, with the reason; contents are not read."""
+    """Files that read_files() leaves out, with the reason; contents are not read. The source itself
+    doesn't list empty files; where contents come from elsewhere, fingerprint() refuses them."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     return rows.where((F.col("size") < 1) | (F.col("size") > limits.FILE_BYTES)).withColumn("refusal", F.when(F.col("size") < 1, "empty-file").otherwise("file-too-large"))
 
