@@ -4,8 +4,7 @@ Base rules look at one text: its words, symbols, repeated lines, and the words i
 eight words that the text has twice or more. A text fails with fewer than 20 words or more
 than 30 % of its words in repeated windows.
 
-The method then counts, for each host and normalised line (letters and digits only, digits as
-0, lower case, hashed), the distinct documents that have it. Copies of a document are one
+The method then counts, for each host and normalised line (letters only, in lower case, hashed), the distinct documents that have it. Copies of a document are one
 document there: for a line, documents are told apart by the smallest hash of the eight-word
 windows in their other lines, which near copies mostly share, so a group of copies does not turn
 its own lines into boilerplate. A line is above the limit if it is in at least LEAST_DOCS documents of the host
@@ -16,8 +15,8 @@ Hot hosts and hot lines: counts are combined before every shuffle, first by (hos
 document), then by (host, line). Only lines above the limit are joined back.
 
 Cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated
-rows get equal results and count once. An empty table gives none. Lines without a letter or
-digit are never counted or removed.
+rows get equal results and count once. An empty table gives none. Lines without a letter
+are never counted or removed.
 """
 
 from __future__ import annotations
@@ -25,12 +24,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import bind
+from inkglass.llm.common import bind, cut
 
 SPACE = "[ \\t-\\r]"
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 LEAST_DOCS, SHARE, LEFT = 10, 0.01, 0.3
+#: Lines above the limit, some 30 bytes each, that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def line_hash(line: Column) -> Column:
+    """The hash of a normalised line; null without letters."""
+    return bind(lambda n: F.when(n != "", F.xxhash64(n)), normal(line))
 
 
 def words_of(text: Column) -> Column:
@@ -71,7 +77,7 @@ def line_mark(line: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", ""), r"\p{N}", "0")
+    return F.regexp_replace(F.lower(line), r"\P{L}+", "")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
@@ -81,25 +87,32 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *([F.struct(*docs.columns).alias("row")] if keep_text else []))
     own = own.withColumn("key", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
 
-    # which lines are above the limit, by host
-    own = own.withColumn("marks", F.transform(F.split("text", "\n"), line_mark)).withColumn("least", F.array_min("marks"))
-    lines = own.select("doc_id", "key", "host", "least", F.array_min(F.filter("marks", lambda m: m != F.col("least"))).alias("next"), F.posexplode(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("marks").alias("mark"))).alias("at", "x"))
-    lines = lines.withColumn("document", F.coalesce(F.when(F.col("x.mark") == F.col("least"), F.col("next")).otherwise(F.col("least")), "key"))
-    lines = lines.withColumn("normal", normal(F.col("x.line"))).where("normal != ''").select("doc_id", "key", "host", "document", "at", F.xxhash64("normal").alias("line"))
-    hosts = own.select("host", F.coalesce("least", "key").alias("document")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    often = lines.select("host", "line", "document").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    above = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", "line")
-    removed = lines.alias("l").join(above.alias("a"), F.expr("l.host <=> a.host AND l.line = a.line"), "left_semi").groupBy("doc_id", "key", "host").agg(F.collect_set("at").alias("gone"))
+    # documents of each host with each line, and (line null) of each host, in one pass
+    marked = own.withColumn("parts", F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("line"), line_mark(x).alias("mark"))))
+    marked = marked.withColumn("marks", F.transform("parts", lambda x: x["mark"])).withColumn("least", F.array_min("marks"))
+    host_row = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("mark")))
+    lines = marked.select("key", "host", "least", F.array_min(F.filter("marks", lambda m: m != F.col("least"))).alias("next"), F.explode(F.concat(F.filter("parts", lambda x: x["line"].isNotNull()), host_row)).alias("x"))
+    lines = lines.select("host", F.coalesce(F.when(F.col("x.mark") == F.col("least"), F.col("next")).otherwise(F.col("least")), "key").alias("document"), F.col("x.line").alias("line"))
+    counts = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_docs) | F.col("line").isNull())
+    counts = cut(counts, "line-counts")
+    often, hosts = counts.where("line IS NOT NULL"), counts.where("line IS NULL").select("host", F.col("n").alias("n_docs"))
+    above = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", F.col("line").alias("hash"))
+    above = cut(above, "lines-above")
+    few = F.broadcast(above) if above.count() <= BROADCAST_ROWS else above
+
+    plain = own.select("doc_id", "key", "host", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), line_hash(x).alias("hash")))).alias("at", "x")).select("doc_id", "key", "host", "at", "x.line", "x.hash")
+    hits = plain.alias("l").join(few.alias("a"), F.expr("l.host <=> a.host AND l.hash = a.hash"), "left_semi")
+    removed = hits.groupBy("doc_id", "key", "host").agg(F.collect_set(F.struct("at", F.size(words_of(F.col("line"))).alias("words"))).alias("gone"))
 
     symbols = F.regexp_count("text", F.lit("[#*$%&|<>]"))
-    full = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+    repeated = bind(lambda x: F.size(x) - F.size(F.array_distinct(x)), F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
     base = own.select(
         "doc_id", "key", "host", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"), covered(windows_of(F.col("words"))).alias("n_repeat_words"),
-        F.transform(F.split("text", "\n"), lambda x: F.size(words_of(x))).alias("line_words"), *(["row", F.split("text", "\n").alias("lines")] if keep_text else []),
+        repeated.cast("long").alias("n_dup_lines"), covered(windows_of(F.col("words"))).alias("n_repeat_words"),
+        *(["row", F.split("text", "\n").alias("lines")] if keep_text else []),
     )
     both = base.alias("b").join(removed.alias("r"), F.expr("b.doc_id <=> r.doc_id AND b.key = r.key AND b.host <=> r.host"), "left").select("b.*", "r.gone")
-    both = both.withColumn("n_removed_words", F.aggregate(F.coalesce("gone", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, i: s + F.get("line_words", i)))
+    both = both.withColumn("n_removed_words", F.aggregate(F.coalesce("gone", F.array().cast("array<struct<at:int,words:int>>")), F.lit(0).cast("long"), lambda s, x: s + x["words"])).withColumn("gone", F.transform("gone", lambda x: x["at"]))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     both = both.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= left * F.col("n_words")))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]

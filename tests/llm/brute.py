@@ -118,7 +118,7 @@ def quality(docs, least_docs=10, share=0.01, left=0.3):
     def normal(line):
         import regex
 
-        return regex.sub(r"\p{N}", "0", regex.sub(r"[^\p{L}\p{N}]+", "", line.lower()))
+        return regex.sub(r"\P{L}+", "", line.lower())
 
     seen, hosts = defaultdict(set), defaultdict(set)
     space = r"[^\x20\x09-\x0D]+"
