@@ -65,29 +65,28 @@ def own_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*[key(i) for i in range(edits + 1)])
 
 
-def partial_of(f):
-    """f as a function of one argument, which is all that a lambda may have."""
-    return lambda x: f(x)
-
-
 def probe_keys(line: Column, length: Column, edits: int, least: int, less: int) -> Column:
-    """Keys of the lines `less` characters shorter that could be within `edits`. Substrings of one
-    segment lie close together, so they are cut from a part of the line that is cut out once."""
-    out = []
+    """Keys of the lines `less` characters shorter that could be within `edits`: one for each segment
+    and each place where it could stand. A loop over (segment, shift) keeps the generated code small
+    enough to be compiled."""
+    ways = [(i, shift) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
+    n = edits + 1
+
+    def key(v: Column):
+        def one(way: Column) -> Column:
+            i = way["i"]
+            start = i * v["base"] + F.greatest(F.lit(0), i - v["short"]) + way["shift"]
+            size = v["base"] + F.when(i >= v["short"], 1).otherwise(0)
+            fine = (start >= 0) & (start + size <= v["length"])
+            return F.when(fine, F.xxhash64(v["shorter"], i, F.substring(v["line"], start + 1, size)))
+        return one
+
     shorter = length - less
-    for i in range(edits + 1):
-        start, size = segment(shorter, i, edits + 1)
-        shifts = range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
-        # `first` is inside the line unless a shift is not
-        first = F.greatest(start + shifts[0], F.lit(0))
-        part = F.substring(line, first + 1, size + (len(shifts) - 1))
-
-        def cuts(piece: Column, start=start, size=size, shifts=shifts, first=first, i=i) -> Column:
-            one = lambda shift: F.when((shorter >= least) & (start + shift >= 0) & (start + shift + size <= length), F.xxhash64(shorter, F.lit(i), F.substring(piece, start + shift - first + 1, size)))
-            return F.array(*map(one, shifts))
-
-        out.append(bind(partial_of(cuts), part) if len(shifts) > 1 else cuts(part))
-    return F.array_compact(F.concat(*out))
+    base = F.floor(shorter / n).cast("int")
+    facts = F.struct(line.alias("line"), length.alias("length"), shorter.alias("shorter"), base.alias("base"), (F.lit(n) - (shorter % n)).alias("short"))
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways])
+    found = bind(lambda v: F.transform(listed, key(v)), facts)
+    return F.when(shorter >= least, F.array_compact(found)).otherwise(F.array().cast("array<bigint>"))
 
 
 def verified(longer: Column, shorter: Column, edits: int) -> Column:

@@ -109,7 +109,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     base = own.select(
         "doc_id", "key", "host", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         repeated.cast("long").alias("n_dup_lines"), covered(windows_of(F.col("words"))).alias("n_repeat_words"),
-        *(["row", F.split("text", "\n").alias("lines")] if keep_text else []),
+        *(["row"] if keep_text else []),
     )
     both = base.alias("b").join(removed.alias("r"), F.expr("b.doc_id <=> r.doc_id AND b.key = r.key AND b.host <=> r.host"), "left").select("b.*", "r.gone")
     both = both.withColumn("n_removed_words", F.aggregate(F.coalesce("gone", F.array().cast("array<struct<at:int,words:int>>")), F.lit(0).cast("long"), lambda s, x: s + x["words"])).withColumn("gone", F.transform("gone", lambda x: x["at"]))
@@ -118,7 +118,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     if not keep_text:
         return both.select(*out)
-    clean = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    clean = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(F.filter(F.split(F.col(f"row.{text_col}"), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     return both.select(*out, "row", clean.alias("clean_text"))
 
 
