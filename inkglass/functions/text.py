@@ -126,7 +126,7 @@ def download_name(name: Column, fmt: Column) -> Column:
     """A name for a copy that differs from the original's and suits any file system."""
     stem = F.when(F.instr(name, ".") > 1, F.regexp_replace(name, r"(?<!^)\.[^.]*$", "")).otherwise(name)
     stem = F.regexp_extract(stem, r"([^\\/]*)$", 1)
-    clean = F.regexp_replace(stem, CONTROLS[:-1].replace(r"\x{8}\x{b}\x{c}\x{e}", "") + INVISIBLE[1:], "")
+    clean = F.regexp_replace(stem, r"[\x{0}-\x{1f}\x{7f}-\x{9f}" + INVISIBLE[1:], "")
     clean = F.substring(F.regexp_replace(F.regexp_replace(clean, r'[<>:"/\\|?*]+', "_"), r"^[.\s]+|[.\s]+$", ""), 1, 80)
     clean = F.when(clean.rlike("(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])$"), F.concat(F.lit("_"), clean)).otherwise(clean)
     return F.concat(F.when(clean == "", F.lit("file")).otherwise(clean), F.lit(".experimental-copy."), F.when(fmt == "jpeg", F.lit("jpg")).otherwise(F.lit("png")))

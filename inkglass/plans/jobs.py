@@ -1,0 +1,34 @@
+"""Job control: one inspection at a time under a tag, superseded or cancelled by that tag."""
+
+from __future__ import annotations
+
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
+
+class Inspections:
+    """A new job cancels the one before it; cancel() ends the running one. Results need no guard
+    against being stale: DataFrames don't change."""
+
+    def __init__(self, spark: SparkSession):
+        self.context, self.tag = spark.sparkContext, None
+
+    def cancel(self) -> None:
+        if self.tag:
+            self.context.cancelJobsWithTag(self.tag)
+            self.tag = None
+
+    @contextmanager
+    def job(self):
+        """What runs inside belongs to a new job."""
+        self.cancel()
+        mine = self.tag = f"inspection-{uuid.uuid4().hex}"
+        self.context.addJobTag(mine)
+        try:
+            yield mine
+        finally:
+            self.context.removeJobTag(mine)
+            if self.tag == mine:
+                self.tag = None

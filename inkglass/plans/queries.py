@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkglass.functions import text
 from inkglass.functions.catalog import CATEGORIES, entries
-from inkglass.operators import package_health, pdf_tokens, png_rules
+from inkglass.operators import package_health, pdf_tokens, png_rules, segments
 from inkglass.plans import findings as model
 from inkglass.plans import removal
 from inkglass.sources import files
@@ -384,13 +384,95 @@ def hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUPLICATES_SQL = "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1"
 
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for copies of files named as the pages' URLs end."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.download_name(F.regexp_replace("url", "^https?://", ""), pick(("jpeg", "png"), F.col("page_id"))).alias("name"))
+
+
+DOWNLOAD_SQL = r"""WITH u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), s AS (SELECT page_id, regexp_extract(CASE WHEN strpos(u, '.') > 1 THEN left(u, length(u) - strpos(reverse(u), '.')) ELSE u END, '([^/\\]*)$', 1) AS s FROM u),
+    c AS (SELECT page_id, left(regexp_replace(regexp_replace(s, '[<>:"/\\|?*]+', '_', 'g'), '^[.\s]+|[.\s]+$', '', 'g'), 80) AS c FROM s)
+    SELECT page_id, CASE WHEN c = '' THEN 'file' ELSE c END || '.experimental-copy.' || CASE WHEN page_id % 2 = 0 THEN 'jpg' ELSE 'png' END AS name FROM c"""
+
+
+def trailing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands after each document's bytes."""
+    docs = table(spark, sf_dir, "documents").withColumn("b", F.encode("text", "UTF-8"))
+    whole = F.concat("b", F.unhex(pick(("ffd8ffe0", "89504e47", "504b0304", "25504446", "00010203", "0001"), F.col("doc_id"))))
+    return docs.select("doc_id", files.describe_trailing(whole, F.octet_length("b")).alias("kind"))
+
+
+TRAILING_SQL = "SELECT doc_id, ['begins like a JPEG image', 'begins like a PNG image', 'begins like a ZIP archive', 'begins like a PDF document', 'of an unknown kind', ''][1 + doc_id % 6] AS kind FROM documents"
+MARKERS = (0xE0, 0xE1, 0xFE, 0xE2, 0xDB, 0xED, 0xE1, 0xE5)
+PAYLOADS = ("4a46494600", "457869660000", "", "4943435f50524f46494c4500", "00", "50686f746f73686f7020332e3000", "58", "59")
+
+
+def segment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as segments, looked up and numbered by kind."""
+    rows = table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") + F.col("turn") * 3
+    made = rows.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.element_at(F.array(*map(F.lit, MARKERS)), (at % 8 + 1).cast("int")).alias("marker"), F.unhex(pick(PAYLOADS, at)).alias("payload"))
+    found = segments.first_of_kind(segments.classified(made), "file_id", "kind", "seq")
+    return found.select("file_id", "seq", "kind", "grp", "nth", "duplicate", segments.is_frame(F.col("marker")).alias("frame"))
+
+
+SEGMENT_SQL = """WITH s AS (SELECT conv_id AS file_id, turn AS seq, 1 + (conv_id + turn * 3) % 8 AS k FROM conversations),
+    c AS (SELECT file_id, seq, ['jfif','exif','comment','icc','structure','photoshop','app-other','app-other'][k] AS kind, [NULL,'exif','comments',NULL,NULL,'iptc','other-segments','other-segments'][k] AS grp FROM s)
+    SELECT *, CAST(row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) AS INTEGER) AS nth, row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) > 1 AS duplicate, false AS frame FROM c"""
+
+
+def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as numbered parts with a byte limit."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("turn") + F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") > 1), 2).otherwise(1)).alias("number"), F.when(F.col("conv_id") % 3 == 0, 3).otherwise(4).alias("total"), F.octet_length("text").cast("long").alias("size"))
+    return segments.numbered_parts(rows, "file_id", "number", "total", "size", 3000)
+
+
+PARTS_SQL = """WITH p AS (SELECT conv_id AS file_id, turn + CASE WHEN conv_id % 5 = 0 AND turn > 1 THEN 2 ELSE 1 END AS number, CASE WHEN conv_id % 3 = 0 THEN 3 ELSE 4 END AS total, octet_length(encode(text)) AS size FROM conversations),
+    t AS (SELECT a.*, (SELECT sum(b.size) FROM p b WHERE b.file_id = a.file_id AND b.number <= a.number) AS s FROM p a)
+    SELECT file_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, count(*) = any_value(total) AND min(number) = 1 AND max(number) = count(*) AS whole FROM t WHERE s <= 3000 GROUP BY file_id"""
+
+
+def compared_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a folder of documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    new = docs.where("doc_id % 10 != 3").withColumn("content", F.when(F.col("doc_id") % 10 == 4, F.concat("content", F.unhex(F.lit("00")))).otherwise(F.col("content")))
+    return segments.compared_folders(docs.where("doc_id % 10 != 5"), new)
+
+
+FOLDERS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS name, CASE doc_id % 10 WHEN 3 THEN 'missing' WHEN 4 THEN 'changed' WHEN 5 THEN 'unexpected' ELSE 'same' END AS state FROM documents"
+
+
+def support_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10 and the support of each made report."""
+    reports = made_reports(spark, sf_dir)
+    return reports.select("file_id", model.support_label(F.when(F.col("file_id").cast("int") % 7 == 0, "pdf").otherwise(F.col("format")), F.col("copy_refusal")).alias("label"))
+
+
+SUPPORT_SQL = f"SELECT file_id, CASE WHEN CAST(file_id AS INTEGER) % 7 = 0 THEN 'inspection only' WHEN copy_refusal IS NOT NULL THEN 'inspection only for this file' ELSE 'inspection and copy' END AS label FROM ({REPORTS_SQL})"
+
+
+def pdf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw facts of bytes made of documents with end marks and ids."""
+    docs = table(spark, sf_dir, "documents")
+    head = F.concat(F.lit("%PDF-1."), (F.col("doc_id") % 8).cast("string"), F.lit("\n"))
+    marks = F.repeat(F.lit("%%EOF\n"), (F.col("doc_id") % 4).cast("int"))
+    ids = F.concat(F.lit("/ID [<AA"), (F.col("doc_id") % 10).cast("string"), F.lit("0> <BB>]\n"))
+    found = pdf_tokens.raw_facts(F.encode(F.concat(head, F.regexp_replace("text", "%", ""), F.lit("\n"), ids, ids, marks), "UTF-8"))
+    return docs.select("doc_id", found.alias("f")).select("doc_id", "f.version", F.col("f.eof_count").cast("long").alias("eof_count"), "f.eof_at_end", "f.id_first", "f.id_second", F.col("f.revisions").cast("long").alias("revisions"))
+
+
+PDF_SQL = "SELECT doc_id, '1.' || (doc_id % 8) AS version, doc_id % 4 AS eof_count, doc_id % 4 > 0 AS eof_at_end, 'AA' || (doc_id % 10) || '0' AS id_first, 'BB' AS id_second, greatest(0, doc_id % 4 - 1) AS revisions FROM documents"
+
+
 QUERIES = {
     "fingerprint": fingerprint, "mismatch_findings": mismatch_findings, "display_text": display_text, "start_tag_attrs": start_tag_attrs, "extension_check": extension_check, "strip_noise": strip_noise, "element_text": element_text, "token_counts": token_counts,
     "catalog_findings": catalog_findings, "category_rollup": category_rollup, "capped_findings": capped_findings, "name_list": name_list, "share_notes": share_notes, "presented": presented, "bounded_list": bounded_list, "removal_offers": removal_offers,
     "removal_plan": removal_plan, "verify_diff": verify_diff, "byte_accounting": byte_accounting, "chunk_order": chunk_order, "file_map": file_map, "package_health": package_health_query, "shown_sizes": shown_sizes, "dates": dates, "hash_duplicates": hash_duplicates,
+    "download_names": download_names, "trailing_kinds": trailing_kinds, "segment_kinds": segment_kinds, "profile_parts": profile_parts, "compared_folders": compared_folders, "support_labels": support_labels, "pdf_facts": pdf_facts,
 }
 ORACLES = {
     "fingerprint": FINGERPRINT_SQL, "mismatch_findings": MISMATCH_SQL, "display_text": DISPLAY_SQL, "start_tag_attrs": TAGS_SQL, "extension_check": EXTENSION_SQL, "strip_noise": NOISE_SQL, "element_text": ELEMENT_SQL, "token_counts": TOKENS_SQL,
     "catalog_findings": CATALOG_FINDINGS_SQL, "category_rollup": ROLLUP_SQL, "capped_findings": CAPPED_SQL, "name_list": NAMES_SQL, "share_notes": NOTES_SQL, "presented": PRESENTED_SQL, "bounded_list": BOUNDED_SQL, "removal_offers": OFFERS_SQL,
     "removal_plan": PLAN_SQL, "verify_diff": DIFF_SQL, "byte_accounting": ACCOUNTING_SQL, "chunk_order": CHUNK_SQL, "file_map": MAP_SQL, "package_health": HEALTH_SQL, "shown_sizes": SHOWN_SQL, "dates": DATES_SQL, "hash_duplicates": DUPLICATES_SQL,
+    "download_names": DOWNLOAD_SQL, "trailing_kinds": TRAILING_SQL, "segment_kinds": SEGMENT_SQL, "profile_parts": PARTS_SQL, "compared_folders": FOLDERS_SQL, "support_labels": SUPPORT_SQL, "pdf_facts": PDF_SQL,
 }
