@@ -37,6 +37,8 @@ BASE = 1 << 18
 SHARD_CHUNKS = 2_000_000
 #: A pair is replaced if a shard has it so often.
 LEAST = 4
+#: A round inside chunks that made fewer rules was the last one.
+LEAST_RULES = 32
 #: Rounds inside chunks and across chunks.
 INNER_ROUNDS, OUTER_ROUNDS = 24, 4
 
@@ -107,6 +109,8 @@ def compress(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts:
             break
         symbols, joined, keep = made
         chunk = chunk[keep]
+        if grammar.ends[-1] - grammar.ends[-2] < LEAST_RULES:
+            break
     n = np.bincount(chunk, minlength=len(used)).astype(np.int64)
     begin = np.cumsum(n) - n
     # each document's chunks and then the end id, which is one more chunk
@@ -240,13 +244,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
                 while stop < len(got) and room < 4_000_000:
                     room += len(texts[stop].as_buffer() or b"")
                     stop += 1
-                chunks, seen = table.split(texts.slice(at, stop - at).to_pylist())
-                if table.full(seen):  # numbers so far belong to the table as it is
+                if table.full:  # numbers so far belong to the table as it is
                     if size:
                         yield close()
                         ids, numbers, lengths, size = [], [], [], 0
                     table.clear()
-                flat, per = table.numbers(chunks, seen)
+                flat, per = table.numbers(texts.slice(at, stop - at).to_pylist())
                 ids += got[at:stop]
                 numbers.append(flat)
                 lengths.append(per)

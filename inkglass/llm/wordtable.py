@@ -8,7 +8,7 @@ chunks in a row. Each different chunk is encoded once by the library and looked
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -59,8 +59,7 @@ class ChunkTable:
         out[: len(array)] = array
         return out
 
-    def add(self, chunks: set[bytes]) -> None:
-        new = list(chunks.difference(self.number))
+    def add(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
@@ -77,24 +76,25 @@ class ChunkTable:
             self.starts[first : first + len(part)] = self.n_ids + np.cumsum(counts) - counts
             self.n_ids += len(flat)
 
-    @staticmethod
-    def split(texts: list[bytes]) -> tuple[list[list[bytes]], set[bytes]]:
-        """Each text's chunks, and the different ones of all."""
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunk numbers of all texts in a row, and how many each text has. Chunks that are not in
+        the table yet are encoded and come in."""
         chunks = [plainer(t).split() for t in texts]
-        return chunks, set().union(*chunks) if chunks else set()
-
-    def full(self, seen: set[bytes]) -> bool:
-        """If the table must be begun anew before these come in."""
-        return bool(self.number) and len(self.number) + len(seen) > self.most
-
-    def numbers(self, chunks: list[list[bytes]], seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunk numbers of all texts in a row, and how many each text has."""
-        self.add(seen)
-        get = self.number.__getitem__
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        flat = np.fromiter(map(get, chain.from_iterable(chunks)), np.int64, int(lengths.sum()))
+        listed = list(chain.from_iterable(chunks))
+        flat = np.fromiter(map(self.number.get, listed, repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(flat < 0)
+        if len(missing):
+            absent = [listed[i] for i in missing.tolist()]
+            self.add(list(dict.fromkeys(absent)))
+            flat[missing] = np.fromiter(map(self.number.__getitem__, absent), np.int64, len(absent))
         return flat, lengths
 
+    @property
+    def full(self) -> bool:
+        """If the table should be begun anew before more texts."""
+        return len(self.number) > self.most
+
 
 def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[s:s+c] of all (s, c) in a row."""
