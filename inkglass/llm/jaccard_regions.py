@@ -12,14 +12,13 @@ Inside a region documents are joined as follows.
 1. Equal sets are one class and enter once. The smallest class is the region's pivot; each class
    is verified against the pivot that it meets most often, then components that meet by one
    pair each. Classes of one connected component need no more links, so regions with one component are done.
-2. What is left is joined by document pivots: sets are mapped to histograms of their hashes,
-   whose weighted Jaccard distance is a metric and never more than the sets' own. Pivots of a
+2. What is left is joined by document pivots: sets are mapped to parities of their hashes' last
+   bits, whose Hamming distance is a metric and never more than the sets' difference. Pivots of a
    large region create Voronoi cells of it, each class goes to its nearest pivot's cell and to
    every cell within twice the threshold more (triangle inequality), and cells that are still
    large are divided again. A cell that pivots can't divide is dealt out in blocks of bounded
    size, those that aren't in its largest component against all.
-3. Of each two components in a cell the nearest pair is verified first; then all pairs of
-   different components whose histograms don't prove them apart are verified exactly.
+3. Pairs of different components that these maps don't prove apart are verified exactly.
 
 Links between classes so found connect what all links connect. Set elements are 64-bit hashes
 of the words' 64-bit hashes.
@@ -51,20 +50,21 @@ TABLE_BITS, PIECE_BITS = 22, 16
 #: Shingles that the table counts so often are joined in splittable form.
 FREQUENT = 4096
 #: Members of a cell that is compared at once; pivots of a larger region.
-CELL, PIVOTS = 256, 8
+CELL, PIVOTS = 1024, 8
 #: Rows of a block: those outside the largest component, and those against which they go.
-BLOCK_Q, BLOCK_M = 128, 1024
+BLOCK_Q, BLOCK_M = 1024, 2048
 FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 ROOT = 0xD1342543DE82EF95
 LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Rounds in which components that meet are tried by one pair each.
-CONTRACTIONS = 2
+CONTRACTIONS = 1
 #: Members of one pivot that are verified in one place.
 TOGETHER = 512
 #: Pairs, at 32 bytes each, that are broadcast to the documents; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-BASE_BITS = 6
+#: Bits of the smallest parity map.
+BASE_BITS = 10
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -133,10 +133,24 @@ def lacking(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """Counts (255 at most) of the set's hashes by their leading bits: about four a bucket."""
-    bits = max(BASE_BITS, int(len(s) // 4).bit_length()) if len(s) else BASE_BITS
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+def parity_map(s: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last bits: 1 if an odd number of elements has it. There are
+    at least four bits an element. Two maps differ in no more bits than the sets do in elements."""
+    bits = max(BASE_BITS, (4 * len(s)).bit_length())
+    odd = np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (rows of 64-bit words) over fewer last bits: halves laid over one another."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def as_words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
 def summed(rows: DataFrame, pieces, bits: int = TABLE_BITS) -> list[np.ndarray]:
@@ -209,7 +223,7 @@ def levels(own: DataFrame, k: int) -> np.ndarray:
 
 
 def features(own: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, same (a hash of the set), window (rarest shingles; the frequent ones apart), counts."""
+    """doc_id, n, same (a hash of the set), window (rarest shingles; the frequent ones apart), map (of parities)."""
     import pyarrow as pa
 
     level = own.sparkSession.sparkContext.broadcast(zlib.compress(levels(own, k).tobytes(), 1))
@@ -227,14 +241,14 @@ def features(own: DataFrame, k: int, percent: int) -> DataFrame:
                     first = np.lexsort((s, ranks))[: lacking(len(s), percent)] if len(s) else np.zeros(0, np.int64)
                     hot = ranks[first] >= often
                     window = s.view(np.int64)[first]
-                    for column, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), window[~hot], window[hot], histogram(s)), strict=True):
+                    for column, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), window[~hot], window[hot], parity_map(s)), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                    names=["doc_id", "n", "same", "window", "frequent", "counts"],
+                    names=["doc_id", "n", "same", "window", "frequent", "map"],
                 )
 
-    return own.mapInArrow(run, "doc_id long, n long, same binary, window array<long>, frequent array<long>, counts binary")
+    return own.mapInArrow(run, "doc_id long, n long, same binary, window array<long>, frequent array<long>, map binary")
 
 
 def sets_of(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -296,7 +310,7 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
 
 
 def not_apart(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and histograms (facts: id, n, counts) don't prove apart."""
+    """Pairs (a, b) that sizes and maps (facts: id, n, map) don't prove apart."""
     import pyarrow as pa
 
     def run(batches):
@@ -304,30 +318,20 @@ def not_apart(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([may_link((m, x), (n, y), percent) for m, x, n, y in rows], pa.bool_()))
 
-    one = facts.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
-    two = facts.select(F.col("id").alias("b"), "n", F.col("counts").alias("y"))
+    one = facts.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("map").alias("x"))
+    two = facts.select(F.col("id").alias("b"), "n", F.col("map").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
-def folded(counts: bytes, bits: int) -> np.ndarray:
-    x = np.frombuffer(counts, np.uint8).astype(np.int32)
-    return x.reshape(1 << bits, -1).sum(1)
-
-
-def gap(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> float | None:
-    """How far apart two sets' histograms are, in parts of the most that linked sets can be (0 to 1);
-    None if sizes or histograms prove that the sets aren't linked. Linked sets differ in at most
-    (100 - p) / (100 + p) of their sizes' sum, and histograms differ no more than sets."""
+def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
+    """False if sizes or parity maps prove that two sets aren't linked: linked sets differ in at most
+    (100 - p) / (100 + p) of their sizes' sum."""
     (m, x), (n, y) = a, b
     if 100 * min(m, n) < percent * max(m, n):
-        return None
-    bits = min(len(x), len(y)).bit_length() - 1
-    found, most = (100 + percent) * int(np.abs(folded(x, bits) - folded(y, bits)).sum()), (100 - percent) * (m + n)
-    return found / most if found <= most else None
-
-
-def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
-    return gap(a, b, percent) is not None
+        return False
+    words = min(len(x), len(y)) // 8
+    apart = int(np.bitwise_count(folded(as_words(x), words) ^ folded(as_words(y), words)).sum())
+    return (100 + percent) * apart <= (100 - percent) * (m + n)
 
 
 def star(classes: DataFrame) -> DataFrame:
@@ -340,35 +344,35 @@ def star(classes: DataFrame) -> DataFrame:
 
 
 def divided(members: DataFrame, percent: int, pivots: int, cell: int) -> DataFrame:
-    """One level of Voronoi cells: members (region, id, n, component, counts, size) of regions of
-    more than `cell` members, in new regions."""
+    """One level of Voronoi cells: members (region, id, n, component, map, size) of regions of
+    more than `cell` members, in new regions. Distances are bits in which folded maps differ; a
+    document linked with one of n elements is within (100 - p) / (100 + p) * (n + 100 n / p) of it."""
     import pyarrow as pa
 
     chosen = members.where(F.pmod(F.xxhash64("region", "id"), F.lit(1 << 30)) <= F.lit(pivots * float(1 << 30)) / F.col("size"))
-    chosen = chosen.groupBy("region").agg(F.collect_list(F.struct("id", "counts")).alias("pivots"))  # about PIVOTS a region, by chance
-    window = 2 * (100 - percent) / 100 + 1e-9
+    chosen = chosen.groupBy("region").agg(F.collect_list(F.struct("id", "map")).alias("pivots"))  # about PIVOTS a region, by chance
+    near = (100 - percent) / (100 + percent) * (1 + 100 / percent)
 
     def run(batches):
         for batch in batches:
             cells, taken = [], []
-            columns = [batch.column(i).to_pylist() for i in (0, 4, 6)]
-            for i, (region, counts, found) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 4, 6)]
+            for i, (region, n, own, found) in enumerate(zip(*columns, strict=True)):
                 if not found:  # no pivot by chance: as it was
                     cells.append(region)
                     taken.append(i)
                     continue
-                x = folded(counts, BASE_BITS)
-                at = np.array([folded(p["counts"], BASE_BITS) for p in found])
-                least = np.minimum(at, x).sum(1)
-                d = 1 - least / np.maximum(at.sum(1) + x.sum() - least, 1)
-                for p in np.flatnonzero(d <= d.min() + window).tolist():
+                words = (1 << BASE_BITS) // 64
+                at = np.stack([folded(as_words(p["map"]), words) for p in found])
+                d = np.bitwise_count(at ^ folded(as_words(own), words)).sum(1)
+                for p in np.flatnonzero(d <= d.min() + 2 * near * n + 1e-6).tolist():
                     cells.append(int(mix(np.array([region, found[p]["id"]], np.int64).view(np.uint64) * FACTORS[:2]).sum().astype(np.uint64).view(np.int64)))
                     taken.append(i)
             rows = batch.select([1, 2, 3, 4, 5]).take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *rows.columns], names=["region", "id", "n", "component", "counts", "before"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *rows.columns], names=["region", "id", "n", "component", "map", "before"])
 
-    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "counts", "size", "pivots")
-    return rows.mapInArrow(run, "region long, id long, n long, component long, counts binary, before long")
+    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "map", "size", "pivots")
+    return rows.mapInArrow(run, "region long, id long, n long, component long, map binary, before long")
 
 
 def open_cells(members: DataFrame) -> DataFrame:
@@ -385,63 +389,58 @@ def blocks(members: DataFrame) -> DataFrame:
     outside = F.col("component") != F.col("main")
     q = members.where(outside).select("*", F.pmod(hashed, n_q).alias("q"), F.explode(F.sequence(F.lit(0), n_m - 1)).alias("m"), F.lit(True).alias("asks"))
     m = members.select("*", F.explode(F.sequence(F.lit(0), n_q - 1)).alias("q"), F.pmod(hashed, n_m).alias("m"), F.lit(False).alias("asks"))
-    return q.select("region", "q", "m", "asks", "id", "n", "component", "counts").unionByName(m.select("region", F.col("q").cast("long").alias("q"), F.col("m").alias("m"), "asks", "id", "n", "component", "counts").select("region", "q", "m", "asks", "id", "n", "component", "counts"))
+    return q.select("region", "q", "m", "asks", "id", "n", "component", "map").unionByName(m.select("region", F.col("q").cast("long").alias("q"), F.col("m").alias("m"), "asks", "id", "n", "component", "map").select("region", "q", "m", "asks", "id", "n", "component", "map"))
 
 
-def compared(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs (a < b) of a block's two sides that have different components and may be links, with
-    their components (c < d) and gap; whole=False: of each two components the nearest pair only.
-    Blocks come sorted, one after another; a block has a bounded number of rows."""
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of a block's two sides that have different components and may be links. Blocks
+    come sorted, one after another; a block has a bounded number of rows."""
     import pyarrow as pa
 
-    def near(q: list[tuple], m: list[tuple]):
-        sizes, comp = np.array([r[5] for r in m]), np.array([r[6] for r in m])
-        base = np.stack([folded(r[7], BASE_BITS) for r in m]) if len(m) > 24 else None
-        for r in q:
-            i, n, c, x = r[4:8]
-            at = np.flatnonzero((comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-            if base is not None:
-                at = at[(100 + percent) * np.abs(base[at] - folded(x, BASE_BITS)).sum(1) <= (100 - percent) * (sizes[at] + n)]
-            for k in at.tolist():
-                j, size, d, y = m[k][4:8]
-                if (far := gap((n, x), (size, y), percent)) is not None:
-                    yield (min(i, j), max(i, j), min(c, d), max(c, d), far)
-
-    def pairs_of(block: list[tuple]) -> list[tuple]:
+    def pairs_of(block: list[tuple]):
         q, m = [r for r in block if r[3]], [r for r in block if not r[3]]
         if not q or not m:
-            return []
-        if whole:
-            return list(near(q, m))
-        best: dict[tuple, tuple] = {}
-        for p in near(q, m):
-            if (p[2:4]) not in best or (p[4], p) < (best[p[2:4]][4], best[p[2:4]]):
-                best[p[2:4]] = p
-        return list(best.values())
-
-    def made(out: list[tuple]):
-        kinds = [pa.int64()] * 4 + [pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], kinds[i]) for i in range(5)], names=["a", "b", "c", "d", "gap"])
+            return
+        by_size: dict[int, list[tuple]] = {}
+        for r in m:
+            by_size.setdefault(len(r[7]) // 8, []).append(r)
+        for words, rows in by_size.items():
+            ids, sizes, comp = (np.array([r[i] for r in rows]) for i in (4, 5, 6))
+            whole = np.stack([as_words(r[7]) for r in rows])
+            maps = {words: whole}
+            for r in q:
+                i, n, c, x = r[4:8]
+                at = np.flatnonzero((comp != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if not len(at):
+                    continue
+                w = min(words, len(x) // 8)
+                if w not in maps:
+                    maps[w] = folded(whole, w)
+                apart = np.bitwise_count(maps[w][at] ^ folded(as_words(x), w)).sum(1, dtype=np.int64)
+                for j in ids[at[(100 + percent) * apart <= (100 - percent) * (sizes[at] + n)]].tolist():
+                    yield min(i, j), max(i, j)
+
+    def made(out: set[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
         block: list[tuple] = []
+        out: set[tuple] = set()
         for batch in batches:
-            out: list[tuple] = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block and block[0][:3] != r[:3]:
-                    out += pairs_of(block)
+                    out.update(pairs_of(block))
                     block = []
+                    if len(out) > 100_000:
+                        yield made(out)
+                        out = set()
                 block.append(r)
-            if out:
-                yield made(out)
-        if out := pairs_of(block) if block else []:
+        out.update(pairs_of(block) if block else ())
+        if out:
             yield made(out)
 
-    placed = rows.select("region", "q", "m", "asks", "id", "n", "component", "counts").repartition("region", "q", "m").sortWithinPartitions("region", "q", "m")
-    found = placed.mapInArrow(run, "a long, b long, c long, d long, gap double")
-    if whole:
-        return found.select("a", "b").distinct()
-    return found.groupBy("c", "d").agg(F.min(F.struct("gap", "a", "b")).alias("x")).select("x.a", "x.b")
+    placed = rows.select("region", "q", "m", "asks", "id", "n", "component", "map").repartition("region", "q", "m").sortWithinPartitions("region", "q", "m")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def cells(members: DataFrame, percent: int, cell: int, pivots: int) -> DataFrame:
@@ -469,12 +468,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     found = cut(features(own, k, percent), "jaccard-features")
     full = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("same").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    one_each = full.join(classes.withColumnRenamed("same", "of"), (F.col("same") == F.col("of")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "window", "frequent", "counts")
+    one_each = full.join(classes.withColumnRenamed("same", "of"), (F.col("same") == F.col("of")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "window", "frequent", "map")
 
     stars = cut(star(one_each), "jaccard-stars")
     met = cut(stars.groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("times")), "jaccard-met")
     best = met.groupBy("id").agg(F.max(F.struct("times", F.col("pivot"))).alias("best")).select(F.col("best.pivot").alias("a"), F.col("id").alias("b"))
-    facts = one_each.select("id", "n", "counts")
+    facts = one_each.select("id", "n", "map")
     links = verified(not_apart(best, facts, percent), own, k, percent)
     labels = components(links)
 
@@ -497,11 +496,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     print_of = rows.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y"))
     once = print_of.groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
     rows = cut(rows.join(once, "region", "left_semi").join(facts, "id"), "jaccard-left")
-    for whole in (False, True):
-        members = label(rows, "id", "component").select("region", "id", "n", "component", "counts")
-        pairs = cut(compared(cells(members, percent, cell, pivots), percent, whole), "jaccard-rest")
-        if pairs.isEmpty():
-            break
+    members = label(rows, "id", "component").select("region", "id", "n", "component", "map")
+    pairs = cut(compared(cells(members, percent, cell, pivots), percent), "jaccard-rest")
+    if not pairs.isEmpty():
         links = links.unionByName(verified(pairs, own, k, percent))
         labels = components(links)
 

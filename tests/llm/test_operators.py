@@ -158,7 +158,7 @@ def near_texts(rng, groups=12, words=60):
     return out
 
 
-@pytest.mark.parametrize("cell", [256, 4])
+@pytest.mark.parametrize("cell", [1024, 4])
 def test_jaccard(spark, monkeypatch, cell):
     monkeypatch.setattr(jaccard_regions, "FREQUENT", 6 if cell == 4 else 4096)
     monkeypatch.setattr(jaccard_regions, "BLOCK_Q", 3)
@@ -194,7 +194,7 @@ def test_may_link_never_drops_a_link():
         s, t = (np.unique(np.concatenate([both, m])) for m in more)
         inter = len(np.intersect1d(s, t))
         if 100 * inter >= 80 * (len(s) + len(t) - inter):
-            assert jaccard_regions.may_link((len(s), jaccard_regions.histogram(s)), (len(t), jaccard_regions.histogram(t)), 80)
+            assert jaccard_regions.may_link((len(s), jaccard_regions.parity_map(s)), (len(t), jaccard_regions.parity_map(t)), 80)
 
 
 def test_components(spark):
