@@ -28,7 +28,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose classes no Unicode version has changed since they were given. A text
 #: with any other is cut by the library's own pre-tokenizer.
 SETTLED = r"[^\x00-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-›€ぁ-ゔァ-ヺ一-龥가-힣]"
-MOST_PRETOKENS = 1_000_000
+MOST_PRETOKENS = 450_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -189,7 +189,7 @@ def encoder_of(path: str) -> PairIndexEncoder:
     return _encoders[path]
 
 
-def slabs(texts: list, most: int = 8_000_000):
+def slabs(texts: list, most: int = 4_000_000):
     """(from, to) of runs of about so many characters, one text at least."""
     at, size = 0, 0
     for k, t in enumerate(texts):

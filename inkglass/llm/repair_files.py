@@ -34,7 +34,7 @@ HEAD = "<4sIIIQQQ"
 #: Nonterminals are numbered from here; token ids are below it.
 BASE = 1 << 18
 #: A shard is closed after so many chunks.
-SHARD_CHUNKS = 2_000_000
+SHARD_CHUNKS = 1_500_000
 #: A pair is replaced if a shard has it so often.
 LEAST = 4
 #: A round inside chunks that made fewer rules was the last one.

@@ -13,7 +13,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Chunks kept at most; beyond it the table is begun anew (a matter of speed only).
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 800_000
 
 
 #: A full stop or comma that ends a chunk is a pre-token of its own after an ASCII letter or digit.
