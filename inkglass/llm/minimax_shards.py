@@ -106,7 +106,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
             else:
                 placed.append((r["block"], 0, shard, slot))
                 slot += r["n"]
-    places = spark.createDataFrame(placed, "block long, part int, shard int, first long")  # 2**BITS + PARTS / HOT_SHARE rows at most
+    places = spark.createDataFrame(placed, "block long, part int, shard int, first long", verifySchema=False)  # 2**BITS + PARTS / HOT_SHARE rows at most
     order = W.partitionBy("block", "part").orderBy("h", "doc_id", "size", "text_crc32")
     return (
         rows.withColumn("place", F.row_number().over(order)).join(F.broadcast(places), ["block", "part"])
