@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkglass.llm import decontaminate, jaccard_regions, line_edits, line_rules, pair_index_bpe
 from inkglass.llm.common import new_folder, table
 from inkglass.llm.queries import TOKENIZERS
+from inkglass.shipping import ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,16 +26,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked documents."""
+    ship_package(spark)
     return jaccard_regions.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of the benchmark."""
+    ship_package(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, ids and decoded texts (as hashes) of what is left."""
+    ship_package(spark)
     return pair_index_bpe.round_trip(docs, os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
 
 
