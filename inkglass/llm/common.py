@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,13 +91,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends texts to Python in batches of BATCH_BYTES at most: a batch is
+    in memory several times over, in the JVM and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def text_slices(batch, column: int, most: int):
+    """(from, texts) of runs of about so many bytes, one text at least."""
+    texts, at = batch.column(column), 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < most):
+            size += len(texts[stop].as_buffer() or b"")
+            stop += 1
+        yield at, texts.slice(at, stop - at).to_pylist()
+        at = stop
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a string column; null gives none."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
-
-
-def rows_of(batches: Iterator, columns: list[str]) -> Iterator[list[list]]:
-    """The named columns of Arrow batches as Python lists."""
-    for batch in batches:
-        if batch.num_rows:
-            yield [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import text_bytes
+from inkglass.llm.common import small_batches, text_bytes
 
 WINDOW = 10
 MOST_BYTES = 32_000_000
@@ -126,6 +126,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     import pyarrow as pa
 
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = [spark.sparkContext.broadcast(pickle.dumps(NgramSet(b, window))) for b in item_blocks(items, item_id, item_text, most_bytes)]
     keep = [c for c in keep or [] if c not in (id_col,)]
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import cut, text_bytes
+from inkglass.llm.common import cut, small_batches, text_bytes, text_slices
 from inkglass.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -63,6 +63,8 @@ CONTRACTIONS = 1
 TOGETHER = 512
 #: Pairs, at 32 bytes each, that are broadcast to the documents; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that are hashed together.
+SLICE = 1_000_000
 #: Bits of the smallest parity map.
 BASE_BITS = 10
 
@@ -78,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ROOT**i and ROOT**-i modulo 2**64 for i < n, kept by the worker."""
     if len(_powers.get(1, ())) < n:
-        whole = max(n, 1 << 21)
+        whole = max(n, 1 << 20)
         for sign, root in ((1, ROOT), (-1, pow(ROOT, -1, 1 << 64))):
             out = np.full(whole, root, np.uint64)
             out[0] = 1
@@ -184,10 +186,11 @@ def summed(rows: DataFrame, pieces, bits: int = TABLE_BITS) -> list[np.ndarray]:
 def table_pieces(places, bits: int):
     """For summed(): the counters of the places (an array) of each batch."""
     def run(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for at in places(batch):
-                total += np.bincount(at, minlength=1 << bits)
+                found, counts = np.unique(at, return_counts=True)
+                total[found] += counts.astype(np.uint32)
         step = 1 << min(bits, PIECE_BITS)
         for k in range((1 << bits) // step):
             part = total[k * step : (k + 1) * step]
@@ -200,22 +203,10 @@ def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
 
 
-def text_slices(batch, column: int, most: int = 2_000_000):
-    """(from, texts) of runs of about so many bytes."""
-    texts, at = batch.column(column), 0
-    while at < len(texts):
-        stop, size = at, 0
-        while stop < len(texts) and (stop == at or size < most):
-            size += len(texts[stop].as_buffer() or b"")
-            stop += 1
-        yield at, texts.slice(at, stop - at).to_pylist()
-        at = stop
-
-
 def levels(own: DataFrame, k: int) -> np.ndarray:
     """A byte a counter: twice the binary logarithm of how many shingles of the documents are there."""
     def places(batch):
-        for _, texts in text_slices(batch, 1):
+        for _, texts in text_slices(batch, 1, SLICE):
             yield (shingle_rows(texts, k)[0] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     counts = np.concatenate(summed(own, table_pieces(places, TABLE_BITS))).astype(float)
@@ -234,7 +225,7 @@ def features(own: DataFrame, k: int, percent: int) -> DataFrame:
 
         table = np.frombuffer(zlib.decompress(level.value), np.uint8)
         for batch in batches:
-            for at, texts in text_slices(batch, 1):
+            for at, texts in text_slices(batch, 1, SLICE):
                 out: list[list] = [[], [], [], [], []]
                 for s in shingle_sets(texts, k):
                     ranks = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -270,7 +261,7 @@ def sets_of(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             wanted = pa.array(bits[place(batch.column(0).to_numpy(zero_copy_only=False))])
             batch = batch.filter(wanted)
-            for at, texts in text_slices(batch, 1):
+            for at, texts in text_slices(batch, 1, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["id", "items"])
 
     return own.where("doc_id IS NOT NULL").mapInArrow(run, "id long, items binary")
@@ -464,6 +455,7 @@ def cells(members: DataFrame, percent: int, cell: int, pivots: int) -> DataFrame
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest id with the same set) of every document."""
+    small_batches(docs.sparkSession)
     own = documents_of(docs, id_col, text_col)
     found = cut(features(own, k, percent), "jaccard-features")
     full = found.where("n > 0 AND doc_id IS NOT NULL")

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.llm.common import small_batches, text_slices
 from inkglass.llm.wordtable import ChunkTable, gather
 
 #: Fixed value: the pattern that byte-level pre-tokenizers use.
@@ -28,7 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose classes no Unicode version has changed since they were given. A text
 #: with any other is cut by the library's own pre-tokenizer.
 SETTLED = r"[^\x00-ɏΑ-ΡΣ-ώЀ-џ‐-‧‰-›€ぁ-ゔァ-ヺ一-龥가-힣]"
-MOST_PRETOKENS = 450_000
+MOST_PRETOKENS = 350_000
+#: Bytes of text that are encoded together.
+SLICE = 4_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -189,18 +192,6 @@ def encoder_of(path: str) -> PairIndexEncoder:
     return _encoders[path]
 
 
-def slabs(texts: list, most: int = 4_000_000):
-    """(from, to) of runs of about so many characters, one text at least."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and size + len(t or "") > most:
-            yield at, k
-            at, size = k, 0
-        size += len(t or "")
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of ids more; every other column stays."""
     import pyarrow as pa
@@ -210,11 +201,11 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     def run(batches):
         coder = encoder_of(tokenizer_path)
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in slabs(texts):
-                ids = [x.astype(np.int32) for x, _ in coder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, ids_col])
+            for a, texts in text_slices(batch, len(kept), SLICE):
+                ids = [x.astype(np.int32) for x, _ in coder.encode(texts)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, len(texts)) for i in range(len(kept))), pa.array(ids, pa.list_(pa.int32()))], names=[*kept, ids_col])
 
+    small_batches(docs.sparkSession)
     own = "__text"
     schema = docs.select(*kept).withColumn(ids_col, F.array().cast("array<int>")).schema
     return docs.select(*kept, F.col(text_col).alias(own)).mapInArrow(run, schema)
@@ -237,10 +228,10 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def run(batches):
         coder = encoder_of(tokenizer_path)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slabs(texts):
-                out = [(len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()) for ids, shown in coder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[a:b], pa.int64()), "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+            for a, texts in text_slices(batch, 1, SLICE):
+                out = [(len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()) for ids, shown in coder.encode(texts)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, len(texts)), "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
 
+    small_batches(docs.sparkSession)
     inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return inner.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

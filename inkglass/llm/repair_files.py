@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import SharedFile, cut, file_system, new_folder, text_bytes
+from inkglass.llm.common import SharedFile, cut, file_system, new_folder, small_batches, text_bytes
 from inkglass.llm.wordtable import gather, table_of
 
 MAGIC = b"IGRP"
@@ -215,6 +215,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     """Writes all documents and returns one row a file: part, k, path, n_docs, n_tokens, n_symbols, n_rules."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     schema = "part int, k int, path string, n_docs long, n_tokens long, n_symbols long, n_rules long"
 
     def write(batches):

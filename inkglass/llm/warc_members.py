@@ -26,7 +26,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import SharedFile, cut, file_system, new_folder
+from inkglass.llm.common import SharedFile, cut, file_system, new_folder, small_batches
 
 PIECE = 1 << 20
 LEVEL = 6
@@ -211,6 +211,7 @@ def read_records(files: DataFrame, n_files: int, payloads: bool = False) -> Data
 def archive(pages: DataFrame, folder: str | None = None, file_bytes: int = 16_000_000, payloads: bool = False, **options) -> DataFrame:
     """Writes all pages, normalises the files and reads them back. A file gets about file_bytes of payload."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "warc")
     html = options.get("html_col", "html")
     total = pages.agg(F.coalesce(F.sum(F.octet_length(html) + 500), F.lit(0))).first()[0]
