@@ -135,6 +135,11 @@ def lacking(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def lacking_early(n: int, percent: int) -> int:
+    """As lacking(), for documents that are no smaller: the overlap is at least 2 p / (100 + p) of n."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def parity_map(s: np.ndarray) -> bytes:
     """A bit for each value of the hashes' last bits: 1 if an odd number of elements has it. There are
     at least four bits an element. Two maps differ in no more bits than the sets do in elements."""
@@ -226,20 +231,20 @@ def features(own: DataFrame, k: int, percent: int) -> DataFrame:
         table = np.frombuffer(zlib.decompress(level.value), np.uint8)
         for batch in batches:
             for at, texts in text_slices(batch, 1, SLICE):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for s in shingle_sets(texts, k):
                     ranks = table[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                     first = np.lexsort((s, ranks))[: lacking(len(s), percent)] if len(s) else np.zeros(0, np.int64)
                     hot = ranks[first] >= often
                     window = s.view(np.int64)[first]
-                    for column, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), window[~hot], window[hot], parity_map(s)), strict=True):
+                    for column, x in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()), window[~hot], window[hot], parity_map(s), lacking_early(len(s), percent) if len(s) else 0), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                    names=["doc_id", "n", "same", "window", "frequent", "map"],
+                    [batch.column(0).slice(at, len(texts)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary()), pa.array(out[5], pa.int32())],
+                    names=["doc_id", "n", "same", "window", "frequent", "map", "early"],
                 )
 
-    return own.mapInArrow(run, "doc_id long, n long, same binary, window array<long>, frequent array<long>, map binary")
+    return own.mapInArrow(run, "doc_id long, n long, same binary, window array<long>, frequent array<long>, map binary, early int")
 
 
 def sets_of(own: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -326,12 +331,15 @@ def may_link(a: tuple[int, bytes], b: tuple[int, bytes], percent: int) -> bool:
 
 
 def star(classes: DataFrame) -> DataFrame:
-    """region, pivot, id: each member of a region with the region's smallest class."""
-    rows = classes.select("id", F.explode("window").alias("region"))
-    rest = rows.withColumn("pivot", F.first("id").over(W.partitionBy("region").orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow))).where("pivot != id")
-    hot = classes.select("id", F.explode("frequent").alias("region"))
-    first = hot.groupBy("region").agg(F.min("id").alias("pivot"))
-    return rest.select("region", "pivot", "id").unionByName(hot.join(first, "region").where("pivot != id").select("region", "pivot", "id"))
+    """region, pivot, id: each member of a region with the region's pivot. A link's shingle is among
+    the first `early` of the smaller document, so a region in which no member has it so early is left
+    out; the pivot is the smallest class that has."""
+    rows = classes.select("id", "early", F.posexplode("window").alias("at", "region")).select("region", (F.col("at") >= F.col("early")).alias("late"), "id")
+    first = F.first(F.struct("late", "id")).over(W.partitionBy("region").orderBy("late", "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rest = rows.withColumn("first", first).where("NOT first.late AND first.id != id").select("region", F.col("first.id").alias("pivot"), "id")
+    hot = classes.select("id", F.size("window").alias("before"), "early", F.posexplode("frequent").alias("at", "region")).select("region", (F.col("before") + F.col("at") >= F.col("early")).alias("late"), "id")
+    least = hot.where("NOT late").groupBy("region").agg(F.min("id").alias("pivot"))
+    return rest.unionByName(hot.join(least, "region").where("pivot != id").select("region", "pivot", "id"))
 
 
 def divided(members: DataFrame, percent: int, pivots: int, cell: int) -> DataFrame:
@@ -460,7 +468,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     found = cut(features(own, k, percent), "jaccard-features")
     full = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("same").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    one_each = full.join(classes.withColumnRenamed("same", "of"), (F.col("same") == F.col("of")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "window", "frequent", "map")
+    one_each = full.join(classes.withColumnRenamed("same", "of"), (F.col("same") == F.col("of")) & (F.col("doc_id") == F.col("id"))).select("id", "n", "window", "frequent", "map", "early")
 
     stars = cut(star(one_each), "jaccard-stars")
     met = cut(stars.groupBy("pivot", "id").agg(F.count(F.lit(1)).alias("times")), "jaccard-met")
