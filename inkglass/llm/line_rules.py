@@ -4,15 +4,19 @@ Base rules look at one text: its words, symbols, repeated lines, and the words i
 eight words that the text has twice or more. A text fails with fewer than 20 words or more
 than 30 % of its words in repeated windows.
 
-The method then counts, for each host and normalised line (letters only, in lower case, hashed), the distinct documents that have it. Copies of a document are one
-document there: for a line, documents are told apart by the smallest hash of the eight-word
-windows in their other lines, which near copies mostly share, so a group of copies does not turn
-its own lines into boilerplate. A line is above the limit if it is in at least LEAST_DOCS documents of the host
-and in at least SHARE of them. Such lines are removed, and a document is rejected if it is
-depleted: fewer than LEFT of its words remain.
+The method then counts, for each host and normalised line (letters only, in lower case, hashed), the distinct documents that have it, and
+removes lines in at least LEAST_DOCS documents of the host and in at least SHARE of its distinct texts. A document is
+rejected if it is depleted: fewer than LEFT of its words remain.
+
+Documents are distinct texts first; that gives the candidates. Copies are taken out in a step of its own, so that a
+group of them does not turn its lines into boilerplate: a document that has a candidate is told apart by what it has
+besides, which leaves out the candidate itself, every line whose plain text is in LEAST_DOCS texts of the host, and
+lines that share half of their smallest window hashes with such lines (edited ones). The MARKS smallest hashes of the
+eight-word windows of that rest are its sketch. A rest that shares half of its sketch with a smaller one is a copy;
+those that do not are counted. Documents with no rest count as one.
 
 Hot hosts and hot lines: counts are combined before every shuffle, first by (host, line,
-document), then by (host, line). Only lines above the limit are joined back.
+text), then by (host, line). Only candidates and lines above the limit are joined back.
 
 Cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated
 rows get equal results and count once. An empty table gives none. Lines without a letter
@@ -30,6 +34,8 @@ SPACE = "[ \\t-\\r]"
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 LEAST_DOCS, SHARE, LEFT = 10, 0.01, 0.3
+#: Window hashes of a rest, and of a line, that are compared.
+MARKS, LINE_MARKS = 8, 4
 #: Lines above the limit, some 30 bytes each, that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -71,15 +77,60 @@ def covered(windows: Column, n: int = WINDOW) -> Column:
     return bind(lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(total(h)), windows)
 
 
-def line_mark(line: Column) -> Column:
-    """The smallest hash of a line's windows (of the line, if it is shorter); null without words."""
-    return bind(lambda w: F.when(F.size(w) >= WINDOW, F.array_min(windows_of(w))).when(F.size(w) > 0, F.xxhash64(w)), words_of(line))
+def line_marks(line: Column) -> Column:
+    """The MARKS smallest hashes of a line's windows (the hash of the line, if it is shorter); none without words."""
+    one = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    return bind(lambda w: F.when(F.size(w) >= WINDOW, smallest(windows_of(w))).otherwise(one(w)), words_of(line))
+
+
+def smallest(hashes: Column) -> Column:
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, MARKS)
 
 
 def normal(line: Column) -> Column:
     return F.regexp_replace(F.lower(line), r"\P{L}+", "")
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows (written before), to be broadcast if they are few, else joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without_copies(own: DataFrame, plain: DataFrame, candidates: DataFrame, least_docs: int) -> DataFrame:
+    """host, hash, n: the documents of each candidate line (host, hash), copies counted once."""
+    hits = plain.alias("l").join(few(candidates).alias("c"), F.expr("l.host <=> c.host AND l.hash = c.hash"), "left_semi").select("host", "key", "hash", F.xxhash64("line").alias("plain"))
+    hits = cut(hits.distinct(), "line-hits")
+    often = hits.select("host", "plain", "key").distinct().groupBy("host", "plain").count().where(F.col("count") >= least_docs).select("host", "plain")
+    often = cut(often, "lines-often")
+
+    with_hits = few(cut(hits.select("host", "key").distinct(), "line-texts"))
+    texts = own.select("host", "key", "text").alias("t").join(with_hits.alias("w"), F.expr("t.host <=> w.host AND t.key = w.key"), "left_semi").dropDuplicates(["host", "key"])
+    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("hash"), F.xxhash64(x).alias("plain"), line_marks(x).alias("marks")))
+    lines = cut(texts.select("host", "key", F.explode(parts).alias("x")).select("host", "key", "x.*").where(F.size("marks") > 0), "line-marks")
+    known = lines.alias("l").join(few(often).alias("o"), F.expr("l.host <=> o.host AND l.plain = o.plain"), "left_semi").select("host", "marks").distinct()
+    marks = few(cut(known.select("host", F.explode("marks").alias("mark")).distinct(), "often-marks"))
+    rest = lines.alias("l").join(few(often).alias("o"), F.expr("l.host <=> o.host AND l.plain = o.plain"), "left_anti")
+    for i in range(LINE_MARKS):
+        seen = marks.select(F.col("host").alias(f"host{i}"), F.col("mark").alias(f"mark{i}"))
+        rest = rest.join(seen, F.expr(f"l.host <=> host{i} AND get(marks, {i}) = mark{i}"), "left")
+    shared = sum((F.col(f"mark{i}").isNotNull().cast("int") for i in range(1, LINE_MARKS)), F.col("mark0").isNotNull().cast("int"))
+    rest = rest.where(2 * shared < F.least(F.size("marks"), F.lit(LINE_MARKS)))
+    rest = rest.groupBy("l.host", "l.key").agg(F.collect_set(F.struct("l.hash", "l.marks")).alias("rest"))
+
+    found = hits.select("host", "key", "hash").distinct().alias("h").join(rest.alias("r"), F.expr("h.host <=> r.host AND h.key = r.key"), "left")
+    besides = F.filter(F.coalesce("rest", F.array().cast("array<struct<hash:bigint,marks:array<bigint>>>")), lambda x: ~x["hash"].eqNullSafe(F.col("h.hash")))
+    found = found.select("h.host", "h.hash", smallest(F.flatten(F.transform(besides, lambda x: x["marks"]))).alias("sketch")).distinct()
+    found = cut(found, "line-rests")
+    each = found.select("host", "hash", "sketch", F.explode("sketch").alias("mark"))
+    first = each.groupBy("host", "hash", "mark").agg(F.min("sketch").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = each.alias("e").join(first.alias("f"), F.expr("e.host <=> f.host AND e.hash = f.hash AND e.mark = f.mark AND e.sketch > f.first"))
+    near = near.where(2 * F.size(F.array_intersect("e.sketch", "f.first")) >= F.least(F.size("e.sketch"), F.size("f.first"))).select("e.host", "e.hash", "e.sketch").distinct()
+    copies = near.groupBy("host", "hash").count()
+    total = found.groupBy("host", "hash").count()
+    both = total.alias("t").join(copies.alias("c"), F.expr("t.host <=> c.host AND t.hash = c.hash"), "left")
+    return both.select("t.host", "t.hash", (F.col("t.count") - F.coalesce("c.count", F.lit(0))).alias("n"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_removed_words; with keep_text also `row` (the row as it came) and `clean_text`."""
@@ -87,21 +138,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *([F.struct(*docs.columns).alias("row")] if keep_text else []))
     own = own.withColumn("key", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
 
-    # documents of each host with each line, and (line null) of each host, in one pass
-    marked = own.withColumn("parts", F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("line"), line_mark(x).alias("mark"))))
-    marked = marked.withColumn("marks", F.transform("parts", lambda x: x["mark"])).withColumn("least", F.array_min("marks"))
-    host_row = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("mark")))
-    lines = marked.select("key", "host", "least", F.array_min(F.filter("marks", lambda m: m != F.col("least"))).alias("next"), F.explode(F.concat(F.filter("parts", lambda x: x["line"].isNotNull()), host_row)).alias("x"))
-    lines = lines.select("host", F.coalesce(F.when(F.col("x.mark") == F.col("least"), F.col("next")).otherwise(F.col("least")), "key").alias("document"), F.col("x.line").alias("line"))
+    # texts of each host with each line, and (line null) of each host, in one pass
+    parts = F.filter(F.transform(F.split("text", "\n"), line_hash), lambda x: x.isNotNull())
+    lines = own.select("host", "key", F.explode(F.concat(parts, F.array(F.lit(None).cast("long")))).alias("line"))
     counts = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_docs) | F.col("line").isNull())
     counts = cut(counts, "line-counts")
     often, hosts = counts.where("line IS NOT NULL"), counts.where("line IS NULL").select("host", F.col("n").alias("n_docs"))
-    above = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", F.col("line").alias("hash"))
-    above = cut(above, "lines-above")
-    few = F.broadcast(above) if above.count() <= BROADCAST_ROWS else above
+    candidates = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", F.col("line").alias("hash"), F.greatest(F.lit(least_docs), F.col("n_docs") * share).alias("limit"))
+    candidates = cut(candidates, "line-candidates")
 
     plain = own.select("doc_id", "key", "host", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), line_hash(x).alias("hash")))).alias("at", "x")).select("doc_id", "key", "host", "at", "x.line", "x.hash")
-    hits = plain.alias("l").join(few.alias("a"), F.expr("l.host <=> a.host AND l.hash = a.hash"), "left_semi")
+    documents = without_copies(own, plain, candidates, least_docs)
+    above = candidates.alias("o").join(documents.alias("d"), F.expr("o.host <=> d.host AND o.hash = d.hash AND d.n >= o.limit"), "left_semi").select("host", "hash")
+    above = cut(above, "lines-above")
+    hits = plain.alias("l").join(few(above).alias("a"), F.expr("l.host <=> a.host AND l.hash = a.hash"), "left_semi")
     removed = hits.groupBy("doc_id", "key", "host").agg(F.collect_set(F.struct("at", F.size(words_of(F.col("line"))).alias("words"))).alias("gone"))
 
     symbols = F.regexp_count("text", F.lit("[#*$%&|<>]"))

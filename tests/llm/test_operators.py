@@ -233,6 +233,25 @@ def test_quality(spark):
     assert line_rules.judge(df.limit(0)).count() == 0
 
 
+def test_quality_of_templates(spark):
+    """Pages that share ten template lines are different documents; copies with scattered edits are one."""
+    line = lambda name, n=27: " ".join(f"{name}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    template = [line(f"t{name(k)}") for k in range(10)]
+    rows = [(i, "\n".join([*template, line(f"own{name(i)}", 20)]), "pages") for i in range(60)]
+    article = [line(f"n{name(k)}", 40) for k in range(12)]
+
+    def copy(i):
+        words = article[i % 12].split(" ")
+        words[i % 40] = f"edit{name(i)}"
+        return "\n".join([*article[: i % 12], " ".join(words), *article[i % 12 + 1 :]])
+
+    rows += [(1000 + i, copy(i), "copies") for i in range(60)]
+    found = {r.doc_id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(found[i].n_removed_words == 270 and not found[i].kept and not found[i].base_failed for i in range(60))
+    assert all(found[1000 + i].n_removed_words == 0 and found[1000 + i].kept for i in range(60))
+
+
 def test_line_edits(spark):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in documents()[:60]]
