@@ -4,7 +4,8 @@ Base rules look at one text: its words, symbols, repeated lines, and the words i
 eight words that the text has twice or more. A text fails with fewer than 20 words or more
 than 30 % of its words in repeated windows.
 
-The method then counts, for each host and normalised line (letters only, in lower case, hashed), the distinct documents that have it, and
+The method then counts, for each host and normalised line (letters and digits only, digits as 0, in lower case,
+hashed; a line that has neither as its plain text without spaces), the distinct documents that have it, and
 removes lines in at least LEAST_DOCS documents of the host and in at least SHARE of its distinct texts. A document is
 rejected if it is depleted: fewer than LEFT of its words remain.
 
@@ -19,7 +20,7 @@ Hot hosts and hot lines: counts are combined before every shuffle, first by (hos
 text), then by (host, line). Only candidates and lines above the limit are joined back.
 
 Cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated
-rows get equal results and count once. An empty table gives none. Lines without a letter
+rows get equal results and count once. An empty table gives none. Lines of spaces
 are never counted or removed.
 """
 
@@ -41,7 +42,7 @@ BROADCAST_ROWS = 500_000
 
 
 def line_hash(line: Column) -> Column:
-    """The hash of a normalised line; null without letters."""
+    """The hash of a normalised line; null for a line of spaces."""
     return bind(lambda n: F.when(n != "", F.xxhash64(n)), normal(line))
 
 
@@ -88,7 +89,12 @@ def smallest(hashes: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), r"\P{L}+", "")
+    def of(low: Column) -> Column:
+        found = F.translate(F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""), "123456789", "000000000")
+        # digits of other scripts, which are rare, take a second pass
+        found = bind(lambda x: F.when(x.rlike(r"[\p{N}&&[^0]]"), F.regexp_replace(x, r"\p{N}", "0")).otherwise(x), found)
+        return bind(lambda x: F.when(x != "", x).otherwise(F.regexp_replace(low, f"{SPACE}+", "")), found)
+    return bind(of, F.lower(line))
 
 
 def few(rows: DataFrame) -> DataFrame:

@@ -252,6 +252,17 @@ def test_quality_of_templates(spark):
     assert all(found[1000 + i].n_removed_words == 0 and found[1000 + i].kept for i in range(60))
 
 
+def test_quality_of_lines_without_letters(spark):
+    """Numbers count as lines, by their shape; symbols by their text; numbered lines are not one."""
+    words = lambda i: " ".join(f"{chr(97 + i)}w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    rows = [(i, f"{words(i)}\n+49 (0)30 1234-{1000 + i}\n* * *\n \t", "site") for i in range(15)]
+    rows += [(100 + i, f"{words(i)}\nStep {10 ** i} of the guide", "steps") for i in range(12)]
+    rows += [(200 + i, f"{words(i)}\n\u0663\u0664{i % 10}", "other") for i in range(12)]
+    found = {r.doc_id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [found[i].n_removed_words for i in range(15)] == [6] * 15
+    assert [found[100 + i].n_removed_words for i in range(12)] == [0] * 12 and [found[200 + i].n_removed_words for i in range(12)] == [1] * 12
+
+
 def test_line_edits(spark):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in documents()[:60]]
