@@ -6,11 +6,16 @@ of a higher level is a quoted passage. Lines are normalised (without quote marks
 letters and digits only) and hashed; a passage's hash is that of its joined lines, and each of
 its lines has one too. Originals are indexed by their own lines and own runs.
 
-Each hash of a passage is joined to two bounded candidates: the smallest original turn with it
-in the same conversation, and the smallest (conversation, turn) with it anywhere. An original in
-the same conversation and at an earlier turn wins, else one anywhere that is not the message
-itself. The passage as a whole outweighs its lines; among lines the original with most lines
-wins, the smallest on ties.
+The message itself and later turns of its conversation are never originals. An original with the
+passage as a whole wins: the smallest earlier turn of the same conversation, else the smallest
+(conversation, turn) elsewhere, for which the two smallest conversations of a hash are enough.
+For the other passages the lines are joined to all their originals, and the original with most
+lines wins; among equals an earlier turn of the same conversation, then the smallest.
+
+Hot hashes: passages with the same lines are joined once, originals of a hash are combined
+before, and those of a hash with more than SALT_ROWS are dealt to several parts. Of each passage
+the two best conversations are kept (the best may be the message's own), and its originals in
+conversations that quote it.
 
 A message replies to the original of its first passage of the lowest level, if that is an
 earlier turn of its conversation. `root_turn` and `depth` come from doubling parent pointers,
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 
 from inkglass.llm.common import bind, cut
 
+#: Originals of a hash in one part of the join.
+SALT_ROWS = 1000
 MARKS = "^(?:[ \\t]*>)+[ \\t]?"
 
 
@@ -63,6 +70,18 @@ def hashes(lines: Column) -> Column:
     return F.concat(whole, F.when(F.size(full) > 1, F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(1).alias("w")))).otherwise(F.array().cast("array<struct<h:bigint,w:int>>")))
 
 
+def two_best(rows: DataFrame, by: str) -> DataFrame:
+    """The smallest `far` of each `by` and the smallest of its other rows (one a conversation), as `fars`."""
+    first = rows.groupBy(by).agg(F.min("far").alias("one"))
+    second = rows.join(first, by).where("far > one").groupBy(by).agg(F.min("far").alias("two"))
+    return first.join(second, by, "left").select(by, F.array("one", "two").alias("fars"))
+
+
+def elsewhere(conv) -> Column:
+    """The first of `fars` of another conversation than conv_id."""
+    return F.get(F.filter("fars", lambda x: x.isNotNull() & (conv(x) != F.col("conv_id"))), F.lit(0))
+
+
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, role, clean_text, max_level, n_quoted_lines, n_passages, n_linked,
     quoted_conv, quoted_turn (of the first passage), parent_turn, root_turn, depth."""
@@ -75,14 +94,35 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     wanted = quoted.select("h").distinct()
     originals = mine.select("conv_id", "turn", F.explode(F.flatten(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.transform(hashes(r["lines"]), lambda x: x["h"])))).alias("h"))
     originals = originals.join(wanted, "h", "left_semi")
+    originals = cut(originals.groupBy("h", "conv_id", "turn").agg(F.lit(1).alias("one")), "originals")
+    me = ["conv_id", "turn", "key", "at", "level"]
+
+    # passages as a whole
     near = originals.groupBy("h", "conv_id").agg(F.min("turn").alias("near_turn"))
-    ends = originals.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    found = quoted.join(near, ["h", "conv_id"], "left").join(ends, "h", "left")
-    here = F.col("near_turn") < F.col("turn")
-    there = F.col("far").isNotNull() & ~((F.col("far.conv_id") == F.col("conv_id")) & (F.col("far.turn") >= F.col("turn")))
-    found = found.withColumn("to", F.when(here, F.struct(F.col("conv_id").alias("c"), F.col("near_turn").alias("t"))).when(there, F.struct(F.col("far.conv_id").alias("c"), F.col("far.turn").alias("t"))))
-    votes = found.where("to IS NOT NULL").groupBy("conv_id", "turn", "key", "at", "level", "to").agg(F.sum("w").alias("w"))
-    best = votes.groupBy("conv_id", "turn", "key", "at", "level").agg(F.min(F.struct((-F.col("w")).alias("w"), "to")).alias("best"))
+    ends = two_best(near.select("h", F.struct(F.col("conv_id").alias("c"), F.col("near_turn").alias("t")).alias("far")), "h")
+    found = quoted.where("w > 1").join(near, ["h", "conv_id"], "left").join(ends, "h", "left")
+    to = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("c"), F.col("near_turn").alias("t"))).otherwise(elsewhere(lambda x: x["c"]))
+    found = cut(found.select(*me, to.alias("to")), "whole-quotes")
+    whole_best = found.where("to IS NOT NULL")
+
+    # the others by their lines
+    lines = quoted.where("w = 1").join(found.where("to IS NULL").select(*me), me, "left_semi").groupBy(*me).agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    lines = cut(lines.withColumn("passage", F.xxhash64("hs")), "line-quotes")
+    wanted = lines.select("passage", "hs").dropDuplicates(["passage"]).select("passage", F.explode("hs").alias("h")).groupBy("passage", "h").agg(F.count(F.lit(1)).alias("n"))
+    parts = originals.groupBy("h").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).cast("long").alias("parts"))
+    wanted = wanted.join(parts, "h").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = originals.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.col("parts")))
+    votes = wanted.select("passage", "h", "n", "part").join(dealt.select("h", "part", "conv_id", "turn"), ["h", "part"])
+    votes = cut(votes.groupBy("passage", "conv_id", "turn").agg((-F.sum("n")).alias("w")), "votes")
+    per_conv = votes.groupBy("passage", "conv_id").agg(F.min(F.struct("w", "turn")).alias("x"))
+    tops = two_best(per_conv.select("passage", F.struct(F.col("x.w").alias("w"), F.col("conv_id").alias("c"), F.col("x.turn").alias("t")).alias("far")), "passage")
+    own = lines.alias("l").join(votes.alias("v"), F.expr("l.passage = v.passage AND l.conv_id = v.conv_id AND v.turn < l.turn")).groupBy(*[F.col(f"l.{c}") for c in me]).agg(F.min(F.struct("v.w", F.col("v.turn").alias("t"))).alias("mine"))
+    best = lines.join(tops, "passage", "left").join(own, me, "left").withColumn("there", elsewhere(lambda x: x["c"]))
+    here = F.col("mine").isNotNull() & (F.col("there").isNull() | (F.col("mine.w") <= F.col("there.w")))
+    to = F.when(here, F.struct(F.col("conv_id").alias("c"), F.col("mine.t").alias("t"))).when(F.col("there").isNotNull(), F.struct(F.col("there.c").alias("c"), F.col("there.t").alias("t")))
+    line_best = best.select(*me, to.alias("to")).where("to IS NOT NULL")
+
+    best = whole_best.unionByName(line_best).select(*me, F.struct("to").alias("best"))
     per = cut(best.groupBy("conv_id", "turn", "key").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", "at", F.col("best.to").alias("to"))).alias("first")).select("conv_id", "turn", "key", "n_linked", F.col("first.to.c").alias("quoted_conv"), F.col("first.to.t").alias("quoted_turn")), "quotes")
 
     roots = reply_roots(per.where("quoted_conv = conv_id AND quoted_turn < turn").groupBy("conv_id", "turn").agg(F.min("quoted_turn").alias("parent")))

@@ -336,6 +336,20 @@ def test_quotes(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_of_many_originals(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SALT_ROWS", 2)
+    rows = [
+        # the message says what it quotes, or a later turn does; another conversation is the original
+        (1, 0, "u", "> the long words\nthe long words"), (1, 1, "u", "the long words"), (5, 3, "u", "the long words"),
+        # every line stands earlier elsewhere, one original has them all
+        *[(2, k, "u", x) for k, x in enumerate(["hello", "my question", "many thanks"])], (7, 0, "u", "hello\nmy question\nand more\nmany thanks"), (8, 0, "u", "> hello\n> my question\n> many thanks\nyes"),
+        # as many lines: the same conversation, but not a later turn
+        (9, 0, "u", "red\nblue\nx"), (9, 1, "u", "> red\n> blue\nyes"), (9, 2, "u", "red\nblue\ny"), (3, 0, "u", "red\nblue\nz"),
+    ]
+    found = {(r.conv_id, r.turn): (r.quoted_conv, r.quoted_turn) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1, 0] == (5, 3) and found[8, 0] == (7, 0) and found[9, 1] == (9, 0)
+
+
 def test_warc(spark, tmp_path):
     rows = [(r["page_id"], r["url"], r["html"]) for r in documents("pages")]
     rows += [(9000, None, None), (9001, "http://a/\r\nX: 1", ""), (9002, "u", rows[0][2]), (9002, "u", rows[0][2]), (None, "u", rows[0][2]), (None, "u", "alone"), (8999, "v", "WARC/1.1\r\n\r\n" * 50_000)]
