@@ -26,14 +26,20 @@ def segment(marker: str, body: Column) -> Column:
     return F.concat(lit("ff" + marker), number(F.octet_length(body) + 2, 2), body)
 
 
+#: Characters of a comment, at most four bytes each; a segment holds 65,533 bytes.
+COMMENT_CHARS = 16_000
+
+
 def jpeg_of(text: Column) -> Column:
-    """A small JPEG with a comment, EXIF text and trailing bytes."""
-    note = F.encode(F.substring(text, 1, 200), "UTF-8")
-    artist = F.encode(F.rpad(F.regexp_replace(F.substring(text, 1, 40), "[^A-Za-z ]", "x"), 40, " "), "US-ASCII")
+    """A JPEG with the text in comments, its hash as EXIF text (which can't hold long ones) and trailing bytes."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(COMMENT_CHARS))
+    notes = F.transform(starts, lambda i: segment("fe", F.encode(F.substring(text, i, F.lit(COMMENT_CHARS)), "UTF-8")))
+    notes = F.aggregate(notes, lit(""), lambda a, b: F.concat(a, b))
+    artist = F.encode(F.sha1(F.encode(text, "UTF-8")), "US-ASCII")
     exif = F.concat(lit("457869660000" + "4d4d002a00000008" + "0002" + "0112000300000001" + "00060000" + "013b0002" + "00000028" + "00000026" + "00000000"), artist)
     frame = lit("ffc0000b080030004001011100")
     scan = lit("ffda0008010100003f00" + "1234ff00560078" + "ffd9")
-    return F.concat(lit("ffd8"), segment("e0", lit("4a46494600010201004800480000")), segment("e1", exif), segment("fe", note), frame, scan, F.encode(F.lit("after the end"), "US-ASCII"))
+    return F.concat(lit("ffd8"), segment("e0", lit("4a46494600010201004800480000")), segment("e1", exif), notes, frame, scan, F.encode(F.lit("after the end"), "US-ASCII"))
 
 
 def chunk(name: str, body: Column) -> Column:
@@ -42,16 +48,16 @@ def chunk(name: str, body: Column) -> Column:
 
 
 def png_of(text: Column) -> Column:
-    """A small PNG with text entries."""
+    """A PNG with the text in its text entries."""
     head = lit("00000008000000080802000000")
     return F.concat(
-        lit("89504e470d0a1a0a"), chunk("IHDR", head), chunk("tEXt", F.concat(F.encode(F.lit("Author"), "US-ASCII"), lit("00"), F.encode(F.regexp_replace(F.substring(text, 1, 60), "[^ -~]", "x"), "US-ASCII"))),
-        chunk("iTXt", F.concat(F.encode(F.lit("Title"), "US-ASCII"), lit("0000000000"), F.encode(F.substring(text, 1, 100), "UTF-8"))), chunk("IDAT", lit("789c030000000001")), chunk("IEND", lit("")),
+        lit("89504e470d0a1a0a"), chunk("IHDR", head), chunk("tEXt", F.concat(F.encode(F.lit("Author"), "US-ASCII"), lit("00"), F.encode(F.regexp_replace(text, "[^ -~]", "x"), "US-ASCII"))),
+        chunk("iTXt", F.concat(F.encode(F.lit("Title"), "US-ASCII"), lit("0000000000"), F.encode(text, "UTF-8"))), chunk("IDAT", lit("789c030000000001")), chunk("IEND", lit("")),
     )
 
 
 def pdf_of(text: Column) -> Column:
-    title = F.regexp_replace(F.substring(text, 1, 60), r"[()\\]", " ")
+    title = F.regexp_replace(text, r"[()\\]", " ")
     return F.encode(F.concat(F.lit("%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R /OpenAction << /S /JavaScript /JS (x) >> >>\nendobj\n2 0 obj\n<< /Kids [] /Count 0 >>\nendobj\n3 0 obj\n<< /Title ("), title, F.lit(") >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF\n")), "UTF-8")
 
 

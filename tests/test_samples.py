@@ -15,6 +15,24 @@ def test_made_files(spark):
     assert samples.inspect_made_files(spark, SF).where("code = 'file.type-mismatch'").count() == 100
 
 
+def test_made_files_hold_whole_texts(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{k} \u00e9\u4e2d (x)" for k in range(12_000))
+    made = spark.createDataFrame([(text,), ("",)], "text string").select("text", samples.jpeg_of(F.col("text")).alias("jpeg"), samples.png_of(F.col("text")).alias("png"), samples.pdf_of(F.col("text")).alias("pdf"))
+    for r in made.collect():
+        data, at, comment = bytes(r.jpeg), 2, b""
+        while data[at + 1] != 0xDA:
+            end = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+            comment += data[at + 4 : end] if data[at + 1] == 0xFE else b""
+            at = end
+        assert comment.decode() == r.text
+        assert r.text.encode() in bytes(r.png) and re.sub("[^ -~]", "x", r.text).encode() in bytes(r.png)
+        assert b"/Title (" + re.sub(r"[()\\]", " ", r.text).encode() + b")" in bytes(r.pdf)
+
+
 def test_copies(spark):
     rows = samples.copies_of_made_files(spark, SF).collect()
     assert len(rows) == 10 * 100 and {r.status for r in rows} == {"pass", "skipped"} and {r.id for r in rows if r.status == "skipped"} == {"decode"}
