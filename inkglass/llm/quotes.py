@@ -1,8 +1,9 @@
 r"""Operator 2: quotation linking for conversations, in DataFrame functions only.
 
 A line's quote level is the number of > at its start (spaces between them do not count). Lines
-of one level that stand together form a run. A message's own lines are those of level 0; a run
-of a higher level is a quoted passage. Lines are normalised (without quote marks, lower case,
+of one level that stand together form a run. A message's own lines are those of level 0, without
+attributions ("On ... wrote:" right before a quoted line); a run of a higher level is a quoted
+passage. Lines are normalised (without quote marks, lower case,
 letters and digits only) and hashed; a passage's hash is that of its joined lines, and each of
 its lines has one too. Originals are indexed by their own lines and own runs.
 
@@ -35,7 +36,10 @@ from inkglass.llm.common import bind, cut
 
 #: Originals of a hash in one part of the join.
 SALT_ROWS = 1000
-MARKS = "^(?:[ \\t]*>)+[ \\t]?"
+#: One character class, not a group in a loop: Java's matcher would nest once a mark.
+MARKS = "^[ \\t>]*>[ \\t]?"
+#: How mail programs introduce what they quote.
+ATTRIBUTION = r"^[ \t]*(?:On[ \t].*[ \t]wrote|Am[ \t].*[ \t]schrieb.*|Le[ \t].*[ \t]a \u00e9crit|El[ \t].*[ \t]escribi\u00f3)[ \t]*:[ \t]*$"
 
 
 def normal(line: Column) -> Column:
@@ -58,7 +62,12 @@ def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         one = lambda starts: lambda s, k: F.struct(F.get(raw, s)["level"].alias("level"), F.transform(run(starts, s, k), lambda x: F.trim(normal(x["body"]))).alias("lines"))
         return bind(lambda starts: F.transform(starts, one(starts)), F.filter(F.transform(raw, change), lambda i: i >= 0))
 
-    own = own.withColumn("raw", F.transform(F.split("text", "\n"), line)).withColumn("runs", bind(runs, F.col("raw")))
+    def with_attributions(raw: Column) -> Column:
+        """Level -1 for lines that introduce a quoted one."""
+        introduces = lambda x, i: (x["level"] == 0) & (F.coalesce(F.get(raw, i + 1)["level"], F.lit(0)) > 0) & x["body"].rlike(ATTRIBUTION)
+        return F.transform(raw, lambda x, i: F.struct(F.when(introduces(x, i), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
+
+    own = own.withColumn("raw", bind(with_attributions, F.transform(F.split("text", "\n"), line))).withColumn("runs", bind(runs, F.col("raw")))
     clean = F.array_join(F.transform(F.filter("raw", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     return own.withColumn("clean_text", clean).select("conv_id", "turn", "role", "text", "clean_text", "raw", "runs")
 
@@ -128,7 +137,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     roots = reply_roots(per.where("quoted_conv = conv_id AND quoted_turn < turn").groupBy("conv_id", "turn").agg(F.min("quoted_turn").alias("parent")))
     quoted_lines = F.filter("raw", lambda x: x["level"] > 0)
     out = whole.select(
-        "conv_id", "turn", "role", "clean_text", F.xxhash64("text").alias("key"), F.coalesce(F.array_max(F.transform("raw", lambda x: x["level"])), F.lit(0)).cast("int").alias("max_level"),
+        "conv_id", "turn", "role", "clean_text", F.xxhash64("text").alias("key"), F.greatest(F.array_max(F.transform("raw", lambda x: x["level"])), F.lit(0)).cast("int").alias("max_level"),
         F.size(quoted_lines).cast("long").alias("n_quoted_lines"), F.size(F.filter("runs", lambda r: r["level"] > 0)).cast("long").alias("n_passages"),
     )
     out = out.join(per, ["conv_id", "turn", "key"], "left").join(roots, ["conv_id", "turn"], "left")
