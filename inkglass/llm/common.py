@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,30 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that are broadcast at most; more are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """About what a row takes in a broadcast table."""
+    total = F.lit(24)
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            total = total + F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 16 + 24
+        else:
+            total = total + (16 if isinstance(f.dataType, T.StructType) else 8)
+    return total.cast("long")
+
+
+def light(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """rows (written before), to be broadcast if they are counted to take at most so many bytes, else
+    joined by shuffle. The result is the same."""
+    size = rows.agg(F.sum(row_bytes(rows.schema))).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

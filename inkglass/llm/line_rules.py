@@ -4,20 +4,16 @@ Base rules look at one text: its words, symbols, repeated lines, and the words i
 eight words that the text has twice or more. A text fails with fewer than 20 words or more
 than 30 % of its words in repeated windows.
 
-The method then counts, for each host and normalised line (letters and digits only, digits as 0, in lower case,
-hashed; a line that has neither as its plain text without spaces), the distinct documents that have it, and
-removes lines in at least LEAST_DOCS documents of the host and in at least SHARE of its distinct texts. A document is
+The method then counts, for each host and normalised line (letters and digits only, in lower case, hashed;
+a line that has neither as its plain text without spaces), the distinct documents that have it, and
+removes lines in at least LEAST_DOCS documents of the host and in at least SHARE of all of the host's. A document is
 rejected if it is depleted: fewer than LEFT of its words remain.
 
-Documents are distinct texts first; that gives the candidates. Copies are taken out in a step of its own, so that a
-group of them does not turn its lines into boilerplate: a document that has a candidate is told apart by what it has
-besides, which leaves out the candidate itself, every line whose plain text is in LEAST_DOCS texts of the host, and
-lines that share half of their smallest window hashes with such lines (edited ones). The MARKS smallest hashes of the
-eight-word windows of that rest are its sketch. A rest that shares half of its sketch with a smaller one is a copy;
-those that do not are counted. Documents with no rest count as one.
+Documents are told apart by their whole text: exact copies on a host are one document, near copies are several.
 
-Hot hosts and hot lines: counts are combined before every shuffle, first by (host, line,
-text), then by (host, line). Only candidates and lines above the limit are joined back.
+One scan works out the base rules and the lines' hashes of each document; the rest works on these. Hot hosts
+and hot lines: counts are combined before every shuffle, first by (host, line, text), then by (host, line).
+Only lines above the limit are joined back, and only documents that change are joined to the texts.
 
 Cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated
 rows get equal results and count once. An empty table gives none. Lines of spaces
@@ -29,21 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import bind, cut
+from inkglass.llm.common import bind, cut, light
 
 SPACE = "[ \\t-\\r]"
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 LEAST_DOCS, SHARE, LEFT = 10, 0.01, 0.3
-#: Window hashes of a rest, and of a line, that are compared.
-MARKS, LINE_MARKS = 8, 4
-#: Lines above the limit, some 30 bytes each, that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def line_hash(line: Column) -> Column:
-    """The hash of a normalised line; null for a line of spaces."""
-    return bind(lambda n: F.when(n != "", F.xxhash64(n)), normal(line))
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -78,110 +66,74 @@ def covered(windows: Column, n: int = WINDOW) -> Column:
     return bind(lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(total(h)), windows)
 
 
-def line_marks(line: Column) -> Column:
-    """The MARKS smallest hashes of a line's windows (the hash of the line, if it is shorter); none without words."""
-    one = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-    return bind(lambda w: F.when(F.size(w) >= WINDOW, smallest(windows_of(w))).otherwise(one(w)), words_of(line))
+def normal(line: Column) -> Column:
+    def of(low: Column) -> Column:
+        return bind(lambda x: F.when(x != "", x).otherwise(F.regexp_replace(low, f"{SPACE}+", "")), F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""))
+    return bind(of, F.lower(line))
+
+
+def line_hash(line: Column) -> Column:
+    """The hash of a normalised line; null for a line of spaces."""
+    return bind(lambda n: F.when(n != "", F.xxhash64(n)), normal(line))
 
 
-def smallest(hashes: Column) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, MARKS)
+def named(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> list[Column]:
+    """What tells a document: id, host and the hash of its text."""
+    return [F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key")]
 
 
-def normal(line: Column) -> Column:
-    def of(low: Column) -> Column:
-        found = F.translate(F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""), "123456789", "000000000")
-        # digits of other scripts, which are rare, take a second pass
-        found = bind(lambda x: F.when(x.rlike(r"[\p{N}&&[^0]]"), F.regexp_replace(x, r"\p{N}", "0")).otherwise(x), found)
-        return bind(lambda x: F.when(x != "", x).otherwise(F.regexp_replace(low, f"{SPACE}+", "")), found)
-    return bind(of, F.lower(line))
+def facts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """doc_id, host, key, the base rules' counts and lines: (hash, words) of each line in order."""
+    own = docs.select(*named(docs, id_col, text_col, host_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = own.withColumn("words", words_of(F.col("text"))).withColumn("parts", F.split("text", "\n"))
+    full = F.filter("parts", lambda x: x.rlike("[^ \\t-\\r]"))
+    return own.select(
+        "doc_id", "host", "key", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        bind(lambda x: F.size(x) - F.size(F.array_distinct(x)), full).cast("long").alias("n_dup_lines"), covered(windows_of(F.col("words"))).alias("n_repeat_words"),
+        F.transform("parts", lambda x: F.struct(line_hash(x).alias("hash"), F.size(words_of(x)).alias("words"))).alias("lines"),
+    )
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows (written before), to be broadcast if they are few, else joined by shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def without_copies(own: DataFrame, plain: DataFrame, candidates: DataFrame, least_docs: int) -> DataFrame:
-    """host, hash, n: the documents of each candidate line (host, hash), copies counted once."""
-    hits = plain.alias("l").join(few(candidates).alias("c"), F.expr("l.host <=> c.host AND l.hash = c.hash"), "left_semi").select("host", "key", "hash", F.xxhash64("line").alias("plain"))
-    hits = cut(hits.distinct(), "line-hits")
-    often = hits.select("host", "plain", "key").distinct().groupBy("host", "plain").count().where(F.col("count") >= least_docs).select("host", "plain")
-    often = cut(often, "lines-often")
-
-    with_hits = few(cut(hits.select("host", "key").distinct(), "line-texts"))
-    texts = own.select("host", "key", "text").alias("t").join(with_hits.alias("w"), F.expr("t.host <=> w.host AND t.key = w.key"), "left_semi").dropDuplicates(["host", "key"])
-    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(line_hash(x).alias("hash"), F.xxhash64(x).alias("plain"), line_marks(x).alias("marks")))
-    lines = cut(texts.select("host", "key", F.explode(parts).alias("x")).select("host", "key", "x.*").where(F.size("marks") > 0), "line-marks")
-    known = lines.alias("l").join(few(often).alias("o"), F.expr("l.host <=> o.host AND l.plain = o.plain"), "left_semi").select("host", "marks").distinct()
-    marks = few(cut(known.select("host", F.explode("marks").alias("mark")).distinct(), "often-marks"))
-    rest = lines.alias("l").join(few(often).alias("o"), F.expr("l.host <=> o.host AND l.plain = o.plain"), "left_anti")
-    for i in range(LINE_MARKS):
-        seen = marks.select(F.col("host").alias(f"host{i}"), F.col("mark").alias(f"mark{i}"))
-        rest = rest.join(seen, F.expr(f"l.host <=> host{i} AND get(marks, {i}) = mark{i}"), "left")
-    shared = sum((F.col(f"mark{i}").isNotNull().cast("int") for i in range(1, LINE_MARKS)), F.col("mark0").isNotNull().cast("int"))
-    rest = rest.where(2 * shared < F.least(F.size("marks"), F.lit(LINE_MARKS)))
-    rest = rest.groupBy("l.host", "l.key").agg(F.collect_set(F.struct("l.hash", "l.marks")).alias("rest"))
-
-    found = hits.select("host", "key", "hash").distinct().alias("h").join(rest.alias("r"), F.expr("h.host <=> r.host AND h.key = r.key"), "left")
-    besides = F.filter(F.coalesce("rest", F.array().cast("array<struct<hash:bigint,marks:array<bigint>>>")), lambda x: ~x["hash"].eqNullSafe(F.col("h.hash")))
-    found = found.select("h.host", "h.hash", smallest(F.flatten(F.transform(besides, lambda x: x["marks"]))).alias("sketch")).distinct()
-    found = cut(found, "line-rests")
-    each = found.select("host", "hash", "sketch", F.explode("sketch").alias("mark"))
-    first = each.groupBy("host", "hash", "mark").agg(F.min("sketch").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = each.alias("e").join(first.alias("f"), F.expr("e.host <=> f.host AND e.hash = f.hash AND e.mark = f.mark AND e.sketch > f.first"))
-    near = near.where(2 * F.size(F.array_intersect("e.sketch", "f.first")) >= F.least(F.size("e.sketch"), F.size("f.first"))).select("e.host", "e.hash", "e.sketch").distinct()
-    copies = near.groupBy("host", "hash").count()
-    total = found.groupBy("host", "hash").count()
-    both = total.alias("t").join(copies.alias("c"), F.expr("t.host <=> c.host AND t.hash = c.hash"), "left")
-    return both.select("t.host", "t.hash", (F.col("t.count") - F.coalesce("c.count", F.lit(0))).alias("n"))
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_removed_words; with keep_text also `row` (the row as it came) and `clean_text`."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), *([F.struct(*docs.columns).alias("row")] if keep_text else []))
-    own = own.withColumn("key", F.xxhash64("text")).withColumn("words", words_of(F.col("text")))
-
-    # texts of each host with each line, and (line null) of each host, in one pass
-    parts = F.filter(F.transform(F.split("text", "\n"), line_hash), lambda x: x.isNotNull())
-    lines = own.select("host", "key", F.explode(F.concat(parts, F.array(F.lit(None).cast("long")))).alias("line"))
-    counts = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_docs) | F.col("line").isNull())
+def lines_above(own: DataFrame, least_docs: int, share: float) -> DataFrame:
+    """host, hash of the lines above the limit. A row without a line stands for the host itself."""
+    hashes = F.array_distinct(F.filter(F.transform("lines", lambda x: x["hash"]), lambda h: h.isNotNull()))
+    seen = own.select("host", "key", F.explode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
+    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_docs) | F.col("hash").isNull())
     counts = cut(counts, "line-counts")
-    often, hosts = counts.where("line IS NOT NULL"), counts.where("line IS NULL").select("host", F.col("n").alias("n_docs"))
-    candidates = often.alias("o").join(hosts.alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", F.col("line").alias("hash"), F.greatest(F.lit(least_docs), F.col("n_docs") * share).alias("limit"))
-    candidates = cut(candidates, "line-candidates")
-
-    plain = own.select("doc_id", "key", "host", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), line_hash(x).alias("hash")))).alias("at", "x")).select("doc_id", "key", "host", "at", "x.line", "x.hash")
-    documents = without_copies(own, plain, candidates, least_docs)
-    above = candidates.alias("o").join(documents.alias("d"), F.expr("o.host <=> d.host AND o.hash = d.hash AND d.n >= o.limit"), "left_semi").select("host", "hash")
-    above = cut(above, "lines-above")
-    hits = plain.alias("l").join(few(above).alias("a"), F.expr("l.host <=> a.host AND l.hash = a.hash"), "left_semi")
-    removed = hits.groupBy("doc_id", "key", "host").agg(F.collect_set(F.struct("at", F.size(words_of(F.col("line"))).alias("words"))).alias("gone"))
-
-    symbols = F.regexp_count("text", F.lit("[#*$%&|<>]"))
-    repeated = bind(lambda x: F.size(x) - F.size(F.array_distinct(x)), F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
-    base = own.select(
-        "doc_id", "key", "host", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        repeated.cast("long").alias("n_dup_lines"), covered(windows_of(F.col("words"))).alias("n_repeat_words"),
-        *(["row"] if keep_text else []),
-    )
-    both = base.alias("b").join(removed.alias("r"), F.expr("b.doc_id <=> r.doc_id AND b.key = r.key AND b.host <=> r.host"), "left").select("b.*", "r.gone")
-    both = both.withColumn("n_removed_words", F.aggregate(F.coalesce("gone", F.array().cast("array<struct<at:int,words:int>>")), F.lit(0).cast("long"), lambda s, x: s + x["words"])).withColumn("gone", F.transform("gone", lambda x: x["at"]))
+    often, hosts = counts.where("hash IS NOT NULL"), counts.where("hash IS NULL").select("host", F.col("n").alias("n_docs"))
+    return often.alias("o").join(light(hosts).alias("t"), F.expr("o.host <=> t.host")).where(F.col("n") >= F.col("n_docs") * share).select("o.host", "hash")
+
+
+def verdicts(own: DataFrame, least_docs: int, share: float, left: float) -> DataFrame:
+    """facts() with gone (numbers of the lines to remove, null if none), n_removed_words, base_failed and kept."""
+    above = cut(lines_above(own, least_docs, share), "lines-above")
+    each = own.select("doc_id", "host", "key", F.posexplode("lines").alias("at", "x")).select("doc_id", "host", "key", "at", "x.hash", "x.words").where("hash IS NOT NULL")
+    hits = each.alias("l").join(light(above).alias("a"), F.expr("l.host <=> a.host AND l.hash = a.hash"), "left_semi")
+    hits = cut(hits.groupBy("doc_id", "key", "host").agg(F.collect_set(F.struct("at", "words")).alias("hits")), "line-hits")
+    both = own.alias("b").join(light(hits).alias("r"), F.expr("b.doc_id <=> r.doc_id AND b.key = r.key AND b.host <=> r.host"), "left")
+    removed = F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["words"]), F.lit(0).cast("long"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    both = both.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= left * F.col("n_words")))
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
-    if not keep_text:
-        return both.select(*out)
-    clean = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(F.filter(F.split(F.col(f"row.{text_col}"), "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return both.select(*out, "row", clean.alias("clean_text"))
+    both = both.select("b.doc_id", "b.host", "b.key", *BASE, F.transform("hits", lambda x: x["at"]).alias("gone"), removed.alias("n_removed_words"), failed.alias("base_failed"))
+    return both.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= left * F.col("n_words")))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words of every row."""
+    own = cut(facts(docs, id_col, text_col, host_col), "line-facts")
+    return verdicts(own, least_docs, share, left).select("doc_id", *BASE, "base_failed", "kept", "n_removed_words")
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", **limits) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars", least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """The documents that are kept, without the lines above the limit; same columns as docs.
     A column of the text's length, where there is one, follows the text."""
-    found = judge(docs, id_col, text_col, host_col, keep_text=True, **limits).where("kept")
+    own = cut(facts(docs, id_col, text_col, host_col), "line-facts")
+    changed = verdicts(own, least_docs, share, left).where("NOT kept OR gone IS NOT NULL").select("doc_id", "host", "key", "kept", "gone").dropDuplicates(["doc_id", "host", "key"])
+    changed = light(cut(changed, "line-verdicts"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *named(docs, id_col, text_col, host_col)).alias("d")
+    found = rows.join(changed.alias("v"), F.expr("d.doc_id <=> v.doc_id AND d.key = v.key AND d.host <=> v.host"), "left").where(F.coalesce("v.kept", F.lit(True)))
+    text = F.col(f"row.{text_col}")
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    found = found.select("row", clean.alias("clean_text"))
 
     def column(c: str) -> Column:
         if c == text_col:

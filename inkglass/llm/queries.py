@@ -88,6 +88,23 @@ ORACLES = {
         k AS (SELECT x, min(y) AS y FROM r GROUP BY x)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.y, w.doc_id) AS component_id, coalesce(m.class, w.doc_id) AS class_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN k ON k.x = m.class""",
+    # a document is a distinct text of its host; lines are compared by their normalised form
+    "op7_line_rules": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+        n AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words, regexp_replace(lower(line), '[^\pL\pN]+', '', 'g') AS letters FROM l),
+        m AS (SELECT *, CASE WHEN letters <> '' THEN letters ELSE regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', '', 'g') END AS norm FROM n),
+        hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
+        often AS (SELECT source, norm, count(DISTINCT text) AS n FROM m WHERE norm <> '' GROUP BY source, norm HAVING count(DISTINCT text) >= 10),
+        above AS (SELECT o.source, o.norm FROM often o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE o.n >= h.n_docs * 0.01),
+        lines AS (SELECT doc_id, count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0) AS n_dup_lines, coalesce(sum(words) FILTER (above.norm IS NOT NULL), 0) AS n_removed_words
+            FROM m LEFT JOIN above ON m.norm = above.norm AND m.source IS NOT DISTINCT FROM above.source GROUP BY doc_id),
+        windows AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' '))) AS s FROM d),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM windows) WHERE k > 1),
+        repeated AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+        base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(n_removed_words AS BIGINT) AS n_removed_words FROM d JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id))
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM base""",
     "op8_warc_members": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),

@@ -105,40 +105,25 @@ def base_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
 
 
-def quality(docs, least_docs=10, share=0.01, left=0.3):
-    """Rows of judge(): docs are (doc_id, text, host)."""
-    import xxhash
-
-    def chain(parts):
-        seed = 42
-        for p in parts:
-            seed = xxhash.xxh64(p.encode(), seed=seed).intdigest()
-        return seed - (1 << 64) if seed >= 1 << 63 else seed
+def normal_line(line):
+    import regex
 
-    def normal(line):
-        import regex
+    low = line.lower()
+    return regex.sub(r"[^\p{L}\p{N}]+", "", low) or re.sub("[\x20\x09-\x0D]+", "", low)
 
-        return regex.sub(r"\P{L}+", "", line.lower())
 
-    seen, hosts = defaultdict(set), defaultdict(set)
-    space = r"[^\x20\x09-\x0D]+"
+def quality(docs, least_docs=10, share=0.01, left=0.3):
+    """Rows of judge(): docs are (doc_id, text, host). Documents are sets of whole texts, by host."""
+    texts, having = defaultdict(set), defaultdict(set)
     for _, t, h in docs:
-        lines = (t or "").split("\n")
-        marks = []
-        for line in lines:
-            w = re.findall(space, line)
-            marks.append(min(chain(w[i : i + 8]) for i in range(max(1, len(w) - 7))) if w else None)
-        values = sorted({m for m in marks if m is not None})
-        key = chain([t or ""])
-        hosts[h].add(values[0] if values else key)
-        for line, m in zip(lines, marks, strict=True):
-            others = [v for v in values if v != m or m != values[0]]
-            if n := normal(line):
-                seen[h, n].add(others[0] if others else key)
+        texts[h].add(t or "")
+        for line in (t or "").split("\n"):
+            having[h, normal_line(line)].add(t or "")
     out = []
     for d, t, h in docs:
         n, chars, symbols, dups, repeated = base_rules(t)
-        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in (t or "").split("\n") if (k := normal(x)) and len(seen[h, k]) >= max(least_docs, share * len(hosts[h])))
+        above = lambda x: x != "" and len(having[h, x]) >= least_docs and len(having[h, x]) >= share * len(texts[h])  # noqa: B023, E731
+        gone = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in (t or "").split("\n") if above(normal_line(x)))
         failed = n < 20 or 100 * repeated > 30 * n
         out.append((d, n, chars, symbols, dups, repeated, failed, not failed and n - gone >= left * n, gone))
     return out
