@@ -44,12 +44,12 @@ BROADCAST_BYTES = 8 << 20
 
 def row_bytes(schema: T.StructType) -> Column:
     """About what a row takes in a broadcast table."""
-    total = F.lit(24)
+    total = F.lit(64)
     for f in schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16
         elif isinstance(f.dataType, T.ArrayType):
-            total = total + F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 16 + 24
+            total = total + F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0)) * 40 + 24
         else:
             total = total + (16 if isinstance(f.dataType, T.StructType) else 8)
     return total.cast("long")

@@ -5,22 +5,29 @@ characters. The first occurrence of a line is the one with the smallest (id, lin
 null ids first. An occurrence is removed if
 
 * the same line occurs earlier, or
-* the line has at least LEAST_CHARS characters and is within EDITS edits of a different line
-  whose first occurrence is earlier.
+* it is near a different line whose first occurrence is earlier: within one edit for each
+  CHARS_PER_EDIT characters of the shorter line, EDITS at most.
 
 The join: with at most e edits, one of e + 1 segments of the shorter line stands unchanged in
 the longer one, at a place that the difference in length and the segment's number bound. Each
 different line is filed under its own segments and probes with the substrings that could be
 segments of lines of its length or up to e shorter. A key holds length, number and substring as
-a hash. The join itself compares counts of ten characters (an edit changes two at most), so
-lines that share boilerplate but differ more are not emitted. Pairs are then verified by
-bit-parallel edit distance over a diagonal band (verified()).
+a hash. Of two lines of one length each probes for the other, so with e up to 2 shifts to the
+right are enough: if only the middle segment of one is unchanged and stands further left in the
+other, then a segment of the other is unchanged and stands in place or further right.
+
+Candidates come in two steps, neither of which makes pairs of the many lines that may share a
+segment: probes are matched with the filed keys (each key once), which leaves the lines with a
+match. Only these get counts of twenty characters (an edit changes two at most), which the join
+of pairs compares, so lines that share boilerplate but differ more are not emitted. Pairs are
+then verified by bit-parallel edit distance over a diagonal band (verified()).
 
 Hot lines: equal lines are combined before and after the shuffle, so a line enters the join
 once however often it occurs.
 
-Cases: null texts have one empty line; empty lines are counted and never removed. Repeated rows
-share their place and are treated alike. An empty table gives no rows.
+Cases: null texts have one empty line; empty lines are counted and never removed. Lines of fewer
+than CHARS_PER_EDIT characters are near none. Repeated rows share their place and are treated
+alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,63 +37,63 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import bind, cut
+from inkglass.llm.common import bind, cut, light
 
-EDITS, LEAST_CHARS = 2, 20
-#: Rows of some 40 bytes that are broadcast at most.
-BROADCAST_ROWS = 500_000
-#: Characters whose counts (6 bits each, modulo 64) a signature holds.
-COUNTED = " entoirhsa"
+EDITS, CHARS_PER_EDIT = 2, 10
+#: Characters whose counts (6 bits each, modulo 64) the two signatures hold.
+COUNTED = (" entoirhsa", "ludcmpgfyw")
 
 
-def signature(line: Column) -> Column:
-    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("long"), 6 * k) for k, c in enumerate(COUNTED)]
+def signature(line: Column, letters: str) -> Column:
+    parts = [F.shiftleft(((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 64).cast("long"), 6 * k) for k, c in enumerate(letters)]
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def apart(a: str, b: str) -> str:
     """SQL: a lower bound of the summed difference of two signatures' counts."""
-    one = [f"((shiftright({a}, {6 * k}) & 63) - (shiftright({b}, {6 * k}) & 63) + 64) % 64" for k in range(len(COUNTED))]
+    one = [f"((shiftright({a}, {6 * k}) & 63) - (shiftright({b}, {6 * k}) & 63) + 64) % 64" for k in range(10)]
     return " + ".join(f"least({d}, 64 - {d})" for d in one)
 
 
-def segment(length: Column, i: int, n: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment i of n; the longer segments come last."""
-    base, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
-    short = F.lit(n) - longer
-    return F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
-
-def own_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys under which a line is filed."""
-    def key(i: int) -> Column:
-        start, size = segment(length, i, edits + 1)
-        return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
-    return F.array(*[key(i) for i in range(edits + 1)])
+def allowed(length: Column, edits: int, chars: int) -> Column:
+    """Edits within which a line of this length and a longer one are near."""
+    return F.least(F.lit(edits), F.floor(length / chars).cast("int"))
 
 
-def probe_keys(line: Column, length: Column, edits: int, least: int, less: int) -> Column:
-    """Keys of the lines `less` characters shorter that could be within `edits`: one for each segment
-    and each place where it could stand. A loop over (segment, shift) keeps the generated code small
-    enough to be compiled."""
-    ways = [(i, shift) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
-    n = edits + 1
+def ways(edits: int, less: int) -> list[tuple[int, int]]:
+    """(segment, shift): where a line's own segments may stand in one that is `less` characters longer."""
+    found = [(i, shift) for i in range(edits + 1) for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)]
+    return [(i, shift) for i, shift in found if less or edits > 2 or shift >= 0]
 
-    def key(v: Column):
-        def one(way: Column) -> Column:
-            i = way["i"]
-            start = i * v["base"] + F.greatest(F.lit(0), i - v["short"]) + way["shift"]
-            size = v["base"] + F.when(i >= v["short"], 1).otherwise(0)
-            fine = (start >= 0) & (start + size <= v["length"])
-            return F.when(fine, F.xxhash64(v["shorter"], i, F.substring(v["line"], start + 1, size)))
-        return one
 
-    shorter = length - less
-    base = F.floor(shorter / n).cast("int")
-    facts = F.struct(line.alias("line"), length.alias("length"), shorter.alias("shorter"), base.alias("base"), (F.lit(n) - (shorter % n)).alias("short"))
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shift).alias("shift")) for i, shift in ways])
-    found = bind(lambda v: F.transform(listed, key(v)), facts)
-    return F.when(shorter >= least, F.array_compact(found)).otherwise(F.array().cast("array<bigint>"))
+def key(line: Column, length: Column, shorter: Column, n: int, i: int, shift: int) -> Column:
+    """The key of segment i of n of lines of `shorter` characters, as it stands in this line. The longer
+    segments come last. Null where the line has no such place."""
+    base, longer = F.floor(shorter / n).cast("int"), (shorter % n).cast("int")
+    short = F.lit(n) - longer
+    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short) + F.lit(shift)
+    size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
+    return F.when((start >= 0) & (start + size <= length), F.xxhash64(shorter, F.lit(i), F.substring(line, start + 1, size)))
+
+
+def keys(line: Column, length: Column, edits: int, chars: int) -> tuple[list[Column], list[Column]]:
+    """Keys under which a line is filed, and those with which it probes (besides); null where it has
+    fewer. A line's edits depend on its length, so each column chooses the key by that."""
+    def chosen(less: int, places: dict[int, list[tuple[int, int]]]) -> list[Column]:
+        shorter = length - less
+        e = allowed(shorter, edits, chars)
+        out = []
+        for k in range(max(map(len, places.values()), default=0)):
+            column = F.lit(None).cast("long")
+            for n, found in places.items():
+                if k < len(found):
+                    column = F.when(e == n, key(line, length, shorter, n + 1, *found[k])).otherwise(column)
+            out.append(column)
+        return out
+
+    own = chosen(0, {n: [(i, 0) for i in range(n + 1)] for n in range(1, edits + 1)})
+    others = [c for less in range(edits + 1) for c in chosen(less, {n: [w for w in ways(n, less) if less or w[1]] for n in range(max(less, 1), edits + 1)})]
+    return own, others
 
 
 def verified(longer: Column, shorter: Column, edits: int) -> Column:
@@ -137,11 +144,6 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
     return (m - n <= edits) & (F.aggregate(F.sequence(F.lit(0), n - 1), start, merge, lambda s: s["d"]) <= edits)
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """rows (written before), to be broadcast if they are few, else joined by shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (of the text), at, line, h1, h2 (two hashes of the line), for lines that are not empty."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -151,50 +153,58 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where("length > 0").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_pairs(lines: DataFrame, edits: int, chars: int) -> DataFrame:
+    """h1_a, h2_a, first_a, line_a and the same of b: pairs of different lines that share a key and whose
+    counts don't prove them apart."""
+    long = lines.where(F.col("length") >= chars)
+    own, others = keys(F.col("line"), F.col("length"), edits, chars)
+    names = [f"own{k}" for k in range(len(own))] + [f"other{k}" for k in range(len(others))]
+    # keys follow from the line: any occurrence's are right
+    filed = long.select("h1", *(c.alias(n) for c, n in zip(own + others, names, strict=True))).groupBy("h1").agg(*(F.max(n).alias(n) for n in names))
+    filed = cut(filed, "line-keys")
+
+    def listed(columns: list[str]) -> DataFrame:
+        return filed.select("h1", F.explode(F.array(*columns)).alias("k")).where("k IS NOT NULL")
+
+    index = listed(names[: len(own)])
+    once = index.groupBy("k").agg(F.min("h1").alias("one"), F.max("h1").alias("two"))
+    found = listed(names).join(once, "k").where("one != two OR one != h1")
+    found = cut(found.select("k", "h1"), "line-probes")
+    matched = light(cut(found.select("k").distinct(), "line-matched"))
+    index = cut(index.join(matched, "k", "left_semi"), "line-index")
+
+    members = light(cut(found.select("h1").union(index.select("h1")).distinct(), "line-members"))
+    texts = long.join(members, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("line").alias("line"))
+    texts = cut(texts.withColumns({f"counts{k}": signature(F.col("line"), x) for k, x in enumerate(COUNTED)}), "line-texts")
+    counts = light(texts.select("h1", "counts0", "counts1"))
+    i, p = index.join(counts, "h1").alias("i"), found.join(counts, "h1").alias("p")
+    near = f"{apart('i.counts0', 'p.counts0')} + {apart('i.counts1', 'p.counts1')} <= {2 * edits}"
+    pairs = i.join(p, F.expr(f"i.k = p.k AND i.h1 != p.h1 AND {near}")).select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b"))
+    pairs = cut(pairs.distinct(), "line-pairs")
+    one, two = (texts.select(*(F.col(c).alias(f"{c}_{x}") for c in ("h1", "h2", "first", "line"))) for x in "ab")
+    return pairs.join(one, F.col("a") == F.col("h1_a")).join(two, F.col("b") == F.col("h1_b"))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars: int = CHARS_PER_EDIT) -> DataFrame:
     """doc_id, key, gone: numbers (from 0) of the lines to remove, for documents that have such lines."""
     lines = lines_of(docs, id_col, text_col)
-    place = F.struct("doc_id", "at")
-
-    again = cut(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"), "lines-again")
-
-    length = F.col("length")
-    filed = (
-        lines.where(length >= least_chars)
-        .select(
-            "h1", "h2", signature(F.col("line")).alias("counts"), own_keys(F.col("line"), length, edits).alias("own"), probe_keys(F.col("line"), length, edits, least_chars, 0).alias("equal"),
-            F.concat(*[probe_keys(F.col("line"), length, edits, least_chars, n) for n in range(1, edits + 1)]).alias("longer"),
-        ).dropDuplicates(["h1", "h2"])
-    )
-    # one explode of all kinds, so that the lines are combined once
-    def of_kind(n: int):
-        return lambda k: F.struct(F.lit(n).alias("kind"), k.alias("k"))
-
-    kinds = [F.transform(c, of_kind(n)) for n, c in enumerate(("own", "equal", "longer"))]
-    both = filed.select("h1", "counts", F.explode(F.concat(*kinds)).alias("x")).select("h1", "counts", F.col("x.kind").alias("kind"), F.col("x.k").alias("k"))
-    index, probe = both.where("kind = 0").alias("i"), both.where("kind > 0").alias("p")
-    # of two lines of equal length each probes for the other; once is enough
-    once = "(p.kind = 2 AND i.h1 != p.h1 OR i.h1 < p.h1)"
-    pairs = index.join(probe, F.expr(f"i.k = p.k AND {once} AND {apart('i.counts', 'p.counts')} <= {2 * edits}"))
-    pairs = cut(pairs.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "line-pairs")
-
-    members = cut(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "line-members")
-    texts = lines.where(length >= least_chars).join(small(members), "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("line").alias("line"))
-    texts = cut(texts, "line-texts")
-    one, two = texts.select(*(F.col(c).alias(f"{c}_a") for c in texts.columns)), texts.select(*(F.col(c).alias(f"{c}_b") for c in texts.columns))
-    found = pairs.join(one, F.col("a") == F.col("h1_a")).join(two, F.col("b") == F.col("h1_b"))
-    found = found.withColumn("swap", F.length("line_a") < F.length("line_b"))
-    longer, shorter = F.when(F.col("swap"), F.col("line_b")).otherwise(F.col("line_a")), F.when(F.col("swap"), F.col("line_a")).otherwise(F.col("line_b"))
-    chars = lambda line: F.split(line, "")
-    found = found.select("h1_a", "h2_a", "h1_b", "h2_b", "first_a", "first_b", chars(longer).alias("longer"), chars(shorter).alias("shorter"))
-    found = found.where((F.abs(F.size("longer") - F.size("shorter")) <= edits) & verified(F.col("longer"), F.col("shorter"), edits))
+    again = cut(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"), "lines-again")
+
+    found = line_pairs(lines, edits, chars)
+    swap = F.length("line_a") < F.length("line_b")
+    longer, shorter = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))
+    found = found.select("h1_a", "h2_a", "h1_b", "h2_b", "first_a", "first_b", F.split(longer, "").alias("longer"), F.split(shorter, "").alias("shorter"))
+    # verified() is for one number of edits: each pair takes its own
+    e = allowed(F.size("shorter"), edits, chars)
+    fits = reduce(lambda rest, n: F.when(e == n, (F.size("longer") - F.size("shorter") <= n) & verified(F.col("longer"), F.col("shorter"), n)).otherwise(rest), range(1, edits + 1), F.lit(False))
+    found = found.where(fits)
     later = F.col("first_a") < F.col("first_b")
     near = cut(found.select(F.when(later, F.col("h1_b")).otherwise(F.col("h1_a")).alias("h1"), F.when(later, F.col("h2_b")).otherwise(F.col("h2_a")).alias("h2")).distinct(), "lines-near")
 
     # equal lines: all but the first go; near lines: all go
     drop = again.join(near, ["h1", "h2"], "left_anti").unionByName(near.withColumn("first", F.lit(None).cast(again.schema["first"].dataType)))
     drop = cut(drop, "lines-drop")
-    hits = lines.select("doc_id", "key", "at", "h1", "h2").join(small(drop), ["h1", "h2"])
+    hits = lines.select("doc_id", "key", "at", "h1", "h2").join(light(drop), ["h1", "h2"])
     gone = hits.where(F.col("first").isNull() | ~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 

@@ -18,7 +18,7 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def removed_lines(docs, edits=2, least=20):
+def removed_lines(docs, edits=2, chars=10):
     """{(doc_id, text): removed line numbers}; docs: (doc_id, text)."""
     first = {}
     key = lambda d, i: (d is not None, d or 0, i)
@@ -31,15 +31,16 @@ def removed_lines(docs, edits=2, least=20):
     by_length = defaultdict(list)
     for line in first:
         by_length[len(line)].append(line)
+
+    def near(a, b):
+        most = min(edits, min(len(a), len(b)) // chars)
+        return abs(len(a) - len(b)) <= most and sum((Counter(a) - Counter(b)).values()) <= most and levenshtein(a, b) <= most
+
     out = defaultdict(set)
     for line, places in occurrences.items():
-        near = len(line) >= least and any(
-            other != line and first[other] < first[line] and levenshtein(line, other) <= edits
-            for n in range(max(least, len(line) - edits), len(line) + edits + 1) for other in by_length[n]
-            if sum((Counter(line) - Counter(other)).values()) <= edits
-        )
+        again = any(other != line and first[other] < first[line] and near(line, other) for n in range(len(line) - edits, len(line) + edits + 1) for other in by_length[n])
         for d, t, i in places:
-            if near or key(d, i) != first[line]:
+            if again or key(d, i) != first[line]:
                 out[d, t].add(i)
     return out
 

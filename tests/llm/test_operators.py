@@ -263,7 +263,7 @@ def test_quality_of_lines_without_letters(spark):
 def test_line_edits(spark):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in documents()[:60]]
-    base = ["".join(rng.choice("abcdefgh ëß") for _ in range(rng.choice([18, 20, 21, 40, 90]))).strip() or "a" for _ in range(40)]
+    base = ["".join(rng.choice("abcdefgh ëß") for _ in range(rng.choice([3, 9, 10, 12, 18, 20, 21, 40, 90]))).strip() or "a" for _ in range(40)]
 
     def edited(s):
         s = list(s)
@@ -421,3 +421,33 @@ def test_queries_run_and_match_sql(spark):
             assert sorted(names) == sorted(found.columns)
             expect = sorted(str([r[names.index(c)] for c in found.columns]) for r in result.fetchall())
             assert sorted(str(list(r)) for r in found.collect()) == expect, name
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_segments_find_all_near_lines(edits):
+    """Of two lines within `edits`, one has a segment of the other where ways() looks for it."""
+    rng = random.Random(edits)
+
+    def segments(s):
+        n, base, short = edits + 1, len(s) // (edits + 1), edits + 1 - len(s) % (edits + 1)
+        starts = [i * base + max(0, i - short) for i in range(n)]
+        return [(a, base + (i >= short)) for i, a in enumerate(starts)]
+
+    def probes(x, y):
+        less = len(x) - len(y)
+        places = segments(y)
+        return any(0 <= places[i][0] + shift and x[places[i][0] + shift :][: places[i][1]] == y[places[i][0] :][: places[i][1]] for i, shift in line_edits.ways(edits, less))
+
+    found = 0
+    for _ in range(20_000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(edits + 1, 14)))
+        b = list(a)
+        for _ in range(rng.randrange(1, edits + 1)):
+            k, at = rng.randrange(3), rng.randrange(len(b))
+            b[at : at + 1] = [[], [b[at], rng.choice("ab")], [rng.choice("ab")]][k]
+            b = b or ["a"]
+        a, b = sorted((a, "".join(b)), key=len, reverse=True)
+        if len(b) > edits and brute.levenshtein(a, b) <= edits:
+            found += 1
+            assert probes(a, b) or (len(a) == len(b) and probes(b, a)), (a, b)
+    assert found > 10_000
