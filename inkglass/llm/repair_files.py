@@ -3,9 +3,11 @@
 Documents are range-partitioned by id, so the files in order of their names hold them in
 ascending order. Within a shard the most frequent id pairs are replaced by nonterminals,
 again and again: first inside the white-space-separated chunks (each different chunk once,
-weighted by how often it occurs), then across chunks. A round replaces all frequent pairs
-that cannot overlap one another, in falling order of frequency. No pair spans two documents,
-so every document begins at a symbol of its own.
+weighted by how often it occurs), then across chunks, each time until no pair occurs LEAST times.
+A round replaces all frequent pairs that cannot overlap one another, in falling order of
+frequency; of a run of equal symbols every other place. Only places whose pair was frequent or has
+just changed are counted again, so late rounds are short. No pair spans two documents, so every
+document begins at a symbol of its own.
 
 A file holds the rules, the length that each nonterminal expands to, and for each document
 its first symbol and its first token. With the lengths, a reader finds the symbol that covers
@@ -22,6 +24,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,27 +40,24 @@ BASE = 1 << 18
 SHARD_CHUNKS = 1_500_000
 #: A pair is replaced if a shard has it so often.
 LEAST = 4
-#: A round inside chunks that made fewer rules was the last one.
-LEAST_RULES = 32
-#: Rounds inside chunks and across chunks.
-INNER_ROUNDS, OUTER_ROUNDS = 24, 4
+#: Places beyond which pairs are counted roughly (never too few) before they are counted.
+MANY = 1_000_000
 
 
 def choose(codes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """Codes of frequent pairs, by falling count, of which no two can share a symbol of the text."""
-    often = counts >= least
-    codes, counts = codes[often], counts[often]
-    order = np.lexsort((codes, -counts))
+    """Places of frequent pairs among codes, by falling count, of which no two can share a symbol of the text."""
+    often = np.flatnonzero(counts >= least)
+    often = often[np.lexsort((codes[often], -counts[often]))]
     lefts: set[int] = set()
     rights: set[int] = set()
     out = []
-    for code in codes[order].tolist():
-        a, b = code >> 32, code & 0xFFFFFFFF
-        if a != b and a not in rights and b not in lefts:
+    listed = codes[often]
+    for k, a, b in zip(often.tolist(), (listed >> 32).tolist(), (listed & 0xFFFFFFFF).tolist(), strict=True):
+        if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
             lefts.add(a)
             rights.add(b)
-            out.append(code)
-    return np.array(sorted(out), np.int64)
+            out.append(k)
+    return np.array(out, np.int64)
 
 
 class Grammar:
@@ -67,50 +67,74 @@ class Grammar:
         self.rules: list[np.ndarray] = []
         self.ends = [0]
 
-    def replace(self, symbols: np.ndarray, joined: np.ndarray, weights: np.ndarray | None, least: float):
-        """One round over symbols; joined[i] says if i and i + 1 may become one. None when done."""
-        there = np.flatnonzero(joined[:-1])
-        codes = (symbols[there] << 32) | symbols[there + 1]
-        if weights is None:  # a cheap bound on the counts first
-            slots = (codes * 0x9E3779B97F4A7C1 >> 20) & 0x3FFFFF
-            some = np.bincount(slots, minlength=1)[slots] >= least
-            there, codes = there[some], codes[some]
-        found, where = np.unique(codes, return_inverse=True)
-        counts = np.bincount(where, None if weights is None else weights[there], minlength=len(found)) if len(found) else np.zeros(0)
-        chosen = choose(found, counts, least)
-        if not len(chosen):
-            return None
-        slot = np.full(len(found), -1, np.int64)
-        slot[np.searchsorted(found, chosen)] = np.arange(len(chosen))
-        at = slot[where]
-        hit, at = there[at >= 0], at[at >= 0]
-        symbols = symbols.copy()
-        symbols[hit] = BASE + self.ends[-1] + at
-        joined = joined.copy()
-        joined[hit] = joined[hit + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
-        self.rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
-        self.ends.append(self.ends[-1] + len(chosen))
-        return symbols[keep], joined[keep], keep
+    def rewrite(self, symbols: np.ndarray, joined: np.ndarray, weights: np.ndarray | None, least: float):
+        """All rounds over symbols; joined[i] says if i and the symbol after it may become one. Returns the
+        symbols that are left and a mask of their places."""
+        n = len(symbols)
+        symbols, joined, there = symbols.copy(), joined.copy(), np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places, again = np.flatnonzero(joined[:-1]), np.zeros(n, bool)
+        while len(places):
+            codes = (symbols[places] << 32) | symbols[after[places]]
+            if weights is None and len(places) > MANY:
+                slots = (codes * 0x9E3779B97F4A7C1 >> 20) & 0x3FFFFF
+                some = np.bincount(slots, minlength=1)[slots] >= least
+                places, codes = places[some], codes[some]
+            fine = every_other(places, codes, after)
+            where, found = pd.factorize(codes)
+            counts = np.bincount(where[fine], None if weights is None else weights[places[fine]], minlength=len(found))
+            chosen = choose(found, counts, least)
+            if not len(chosen):
+                break
+            slot = np.full(len(found), -1, np.int64)
+            slot[chosen] = np.arange(len(chosen))
+            rule = slot[where]
+            hit = fine & (rule >= 0)
+            first, rest = places[hit], places[(counts >= least)[where] & ~hit]
+            second = after[first]
+            symbols[first] = BASE + self.ends[-1] + rule[hit]
+            joined[first] = joined[second]
+            there[second] = False
+            after[first] = after[second]
+            inside = after[first] < n
+            before[after[first][inside]] = first[inside]
+            left = before[first]
+            again[places] = False
+            again[rest] = again[first] = again[left[left >= 0]] = True
+            places = np.flatnonzero(again & there & joined)
+            places = places[after[places] < n]
+            self.rules.append(np.stack([found[chosen] >> 32, found[chosen] & 0xFFFFFFFF], 1))
+            self.ends.append(self.ends[-1] + len(chosen))
+        return symbols[there], there
+
+
+def every_other(places: np.ndarray, codes: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which of the places (ascending) can be replaced at once: of a run of one symbol the first, third ..."""
+    fine = np.ones(len(places), bool)
+    same = np.flatnonzero(codes >> 32 == codes & 0xFFFFFFFF)
+    if len(same):
+        at = places[same]
+        begins = np.concatenate([[True], after[at[:-1]] != at[1:]])
+        number = np.arange(len(same))
+        fine[same] = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+    return fine
 
 
 def compress(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, end_id: int):
     """(grammar, symbols, symbol offset of each document, token offset of each document)."""
     grammar = Grammar()
-    used, inverse, often = np.unique(numbers, return_inverse=True, return_counts=True)
+    often = np.bincount(numbers, minlength=1)  # as many as the table has chunks
+    used = np.flatnonzero(often)
+    rank = np.zeros(len(often), np.int64)
+    rank[used] = np.arange(len(used))
+    inverse, often = rank[numbers], often[used]
     n = counts[used]
     symbols = gather(ids, starts[used], n).astype(np.int64)
     chunk = np.repeat(np.arange(len(used)), n)
     joined = np.ones(len(symbols), bool)
     joined[np.cumsum(n)[n > 0] - 1] = False
-    for _ in range(INNER_ROUNDS):
-        if (made := grammar.replace(symbols, joined, often[chunk].astype(float), LEAST)) is None:
-            break
-        symbols, joined, keep = made
-        chunk = chunk[keep]
-        if grammar.ends[-1] - grammar.ends[-2] < LEAST_RULES:
-            break
+    symbols, keep = grammar.rewrite(symbols, joined, often[chunk].astype(float), LEAST)
+    chunk = chunk[keep]
     n = np.bincount(chunk, minlength=len(used)).astype(np.int64)
     begin = np.cumsum(n) - n
     # each document's chunks and then the end id, which is one more chunk
@@ -129,11 +153,8 @@ def compress(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts:
     joined[symbol_ends - 1] = False
     joined[np.maximum(symbol_ends - 2, 0)] = False  # the end id stays by itself
     document = np.repeat(np.arange(len(lengths)), np.diff(np.concatenate([[0], symbol_ends])))
-    for _ in range(OUTER_ROUNDS):
-        if (made := grammar.replace(symbols, joined, None, LEAST)) is None:
-            break
-        symbols, joined, keep = made
-        document = document[keep]
+    symbols, keep = grammar.rewrite(symbols, joined, None, LEAST)
+    document = document[keep]
     per = np.bincount(document, minlength=len(lengths))
     return grammar, symbols, np.concatenate([[0], np.cumsum(per)]).astype(np.uint64), token_at
 

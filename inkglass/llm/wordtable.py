@@ -29,6 +29,12 @@ def plainer(text: bytes) -> bytes:
     return END_MARK.sub(rb" \1", text)
 
 
+def plain_letters(chunk: str) -> bool:
+    """If a chunk is of letters below U+0250 only: none of them changes in NFC or becomes a mark in lower case
+    (but for one), so the tokenizer takes it as one pre-token."""
+    return chunk.isalpha() and max(chunk) < "\u0250" and "\u0130" not in chunk
+
+
 class ChunkTable:
     """Chunk (bytes) -> number; flat ids with the start of each chunk's."""
 
@@ -42,6 +48,12 @@ class ChunkTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
+        names = self.tokenizer.get_vocab()
+        #: By id, if it ends a word; None for tokenizers that don't mark the ends of words.
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        if not self.ends_word.any():
+            self.ends_word = None
         self.clear()
 
     def clear(self) -> None:
@@ -59,15 +71,32 @@ class ChunkTable:
         out[: len(array)] = array
         return out
 
+    def apart(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row and how many each has; one call of the library for each."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
+
+    def together(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks of plain letters, in one call. Each is one pre-token, whose last id ends a word."""
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[flat]) + 1
+        if len(stops) != len(part) or stops[-1] != len(flat):
+            return self.apart(part)
+        return flat, np.diff(stops, prepend=0)
+
     def add(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
-            lists = [e.ids for e in found]
+        texts = [c.decode("utf-8", "replace") for c in new]
+        plain = [self.ends_word is not None and plain_letters(t) for t in texts]
+        for kind, encode in ((True, self.together), (False, self.apart)):
+            self.add_parts([c for c, p in zip(new, plain, strict=True) if p == kind], [t for t, p in zip(texts, plain, strict=True) if p == kind], encode)
+
+    def add_parts(self, new: list[bytes], texts: list[str], encode) -> None:
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            flat, counts = encode(texts[at : at + 5000])
             first = len(self.number)
             self.number.update(zip(part, range(first, first + len(part)), strict=True))
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum()))
             self.ids = self.room(self.ids, self.n_ids + len(flat))
             self.starts = self.room(self.starts, first + len(part))
             self.counts = self.room(self.counts, first + len(part))

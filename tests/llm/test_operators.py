@@ -66,6 +66,41 @@ def test_grammar_reads_at_random():
         assert (file.tokens(int(a), int(b)) == whole[a:b]).all()
 
 
+def test_grammar_ends_without_frequent_pairs():
+    """Re-Pair goes on until no pair of symbols occurs LEAST times in places that don't overlap."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    words = [rng.integers(5, 15, rng.integers(1, 9)).astype(np.uint32) for _ in range(200)] + [np.full(5000, 9, np.uint32), np.full(7, 4, np.uint32)]
+    counts = np.array([len(w) for w in words])
+    flat, starts = np.concatenate(words), np.cumsum(counts) - counts
+    lengths = rng.integers(1, 90, 40)
+    numbers = np.concatenate([rng.zipf(1.3, lengths.sum() - 3) % 201, [200, 201, 200]])
+    grammar, symbols, symbol_at, _ = repair_files.compress(numbers, lengths, flat, starts, counts, 1)
+    pairs = Counter()
+    for a, b in zip(symbol_at.tolist(), symbol_at.tolist()[1:]):
+        part, last = symbols[a : b - 1].tolist(), None
+        for i, pair in enumerate(zip(part, part[1:])):
+            if pair[0] != pair[1] or last != (i - 1, pair):
+                pairs[pair] += 1
+                last = (i, pair)
+    assert max(pairs.values(), default=0) < repair_files.LEAST
+    longest = np.concatenate([np.ones(repair_files.BASE, np.int64), repair_files.GrammarFile(repair_files.pack(list(range(40)), grammar, symbols, symbol_at, np.zeros(41, np.uint64))).lengths]).max()
+    assert longest >= 1024  # runs of one symbol are halved again and again
+
+
+def test_plain_chunks_are_encoded_together():
+    from inkglass.llm.wordtable import ChunkTable
+
+    table, rng = ChunkTable(WORD), random.Random(11)
+    letters = [chr(c) for c in range(0x24F) if chr(c).isalpha()] + list("etaoin")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(4000)] + ["a1", "don't", "\u0130x", "\u1e9b\u0323", "x" * 30_000]
+    numbers, _ = table.numbers([" ".join(texts).encode()])
+    for number, text in zip(numbers.tolist(), texts, strict=True):
+        at = table.starts[number]
+        assert table.ids[at : at + table.counts[number]].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pair_index(spark):
     docs = [(r["doc_id"], r["text"]) for r in documents()] + [r[:2] for r in edge_rows()]
     tokenizer = Tokenizer.from_file(BYTE)
