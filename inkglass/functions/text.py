@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkglass.functions.limits import DISPLAY_CHARS
+from inkglass.functions.limits import DISPLAY_CHARS, TAG_CHARS
 
 #: Characters that are not shown as they are.
 CONTROLS = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
@@ -15,7 +15,7 @@ NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 def display_text(value: Column, most: int = DISPLAY_CHARS) -> Column:
     clean = F.regexp_replace(F.regexp_replace(value, CONTROLS, "�"), INVISIBLE, "�")
-    more = F.concat(F.substring(clean, 1, most), F.lit("… ("), (F.length(clean) - most).cast("string"), F.lit(" more characters not shown)"))
+    more = F.concat(F.substring(clean, 1, most), F.lit("… ("), (F.length(clean) - most).cast("string"), F.lit(" characters longer)"))
     return F.when(F.length(clean) > most, more).otherwise(clean)
 
 
@@ -51,14 +51,17 @@ def strip_noise(xml: Column) -> Column:
 
 
 def start_tags(xml: Column, local: str, most: int = 200_000) -> Column:
-    """Start tags of a local name, with any prefix, as they are written."""
-    quoted = r"""(?:[^<>"']|"[^"]*"|'[^']*')*"""
-    return F.slice(F.regexp_extract_all(xml, F.lit(rf"(?s)(<(?:[A-Za-z_][\w.-]*:)?{local}(?=[\s/>]){quoted}>)"), F.lit(1)), 1, most)
+    """Start tags of a local name, with any prefix, as they are written; longer ones than TAG_CHARS are
+    left out. Quantifiers are possessive: the matcher would nest once a character otherwise."""
+    quoted = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+    found = F.regexp_extract_all(xml, F.lit(rf"(?s)(<(?:[A-Za-z_][\w.-]*+:)?{local}(?=[\s/>]){quoted}>)"), F.lit(1))
+    return F.slice(F.filter(found, lambda t: F.length(t) <= TAG_CHARS), 1, most)
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """An attribute's value as written, empty if there is none."""
-    return F.regexp_extract(tag, rf"""(?s)[\s](?:[\w.-]+:)?{name}\s*=\s*(?:"([^"]*)"|'[^']*')""", 1)
+    """An attribute's value as written, in quotes of either kind, empty if there is none."""
+    pattern = rf"""(?s)[\s](?:[\w.-]++:)?{name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')"""
+    return F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
 
 
 def element_text(xml: Column, local: str, most: int = 4000) -> Column:
@@ -88,7 +91,7 @@ def describe_location(kind: Column, offset: Column, length: Column, path: Column
     return (
         F.when((kind == "bytes") & (length == 0), F.concat(F.lit("Byte "), at))
         .when(kind == "bytes", F.concat(F.lit("Bytes "), at, F.lit(" to "), end, F.lit(" ("), plural(length, "byte"), F.lit(")")))
-        .when(kind == "structure", path).otherwise(F.lit("Not tied to a byte range"))
+        .when(kind == "structure", path).otherwise(F.lit("no byte range"))
     )
 
 

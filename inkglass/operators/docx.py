@@ -33,7 +33,7 @@ def directory(data: bytes) -> dict:
     if 0xFFFF in (count,) or 0xFFFFFFFF in (size, start):
         return out | {"zip64": True}
     if start + size > at:
-        return out | {"malformed": "the directory lies outside the file"}
+        return out | {"malformed": "the directory is not in the file"}
     for _ in range(count):
         if not r.has(start, 46) or data[start : start + 4] != b"PK\1\2":
             return out | {"malformed": "a directory entry is damaged"}
@@ -55,13 +55,13 @@ def read_entry(data: bytes, e: dict, most: int) -> tuple[bytes | None, bool, str
     if e["flags"] & 1:
         return None, False, "encrypted"
     if not r.has(at, 30) or data[at : at + 4] != b"PK\3\4":
-        return None, False, "bad local header"
+        return None, False, "its own header is damaged"
     n, m = r.u16(at + 26), r.u16(at + 28)
     if utf8(data[at + 30 : at + 30 + n]) != e["name"]:
         return None, False, "names differ"
     start = at + 30 + n + m
     if not r.has(start, e["compressed"]):
-        return None, False, "outside the file"
+        return None, False, "its bytes are not in the file"
     raw = data[start : start + e["compressed"]]
     if e["method"] == 0:
         return raw[:most], len(raw) > most, None
@@ -214,6 +214,6 @@ def inspect(data: bytes, sink: Findings) -> dict:
         add("docx.macros", "[Content_Types].xml", "declared as holding macros", status="inferred")
     if cut_parts or unread or budget <= 0:
         add("docx.limit", "parts", f"{len(cut_parts)} parts were read in part, {len(unread)} could not be read", status="unsupported")
-    for area, state in (("Package structure", "partial" if found["limit"] or found["malformed"] else "inspected"), ("Document properties", "inspected"), ("Comments and changes", "partial" if cut_parts else "inspected"), ("External links", "inspected"), ("Macros", "not-inspected"), ("Embedded content", "not-inspected"), ("Text and pictures", "not-inspected")):
+    for area, state in (("Package structure", "partial" if found["limit"] or found["malformed"] else "inspected"), ("Properties", "inspected"), ("Comments and changes", "partial" if cut_parts else "inspected"), ("External links", "inspected"), ("Macros", "not-inspected"), ("Embedded content", "not-inspected"), ("Text and pictures", "not-inspected")):
         sink.cover(area, state)
     return {"width": None, "height": None, "orientation": None, "structurally_unsound": bool(found["malformed"] or found["zip64"]), "copy_refusal": "copies of this format are not made"}

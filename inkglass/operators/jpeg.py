@@ -208,7 +208,7 @@ def inspect(data: bytes, sink: Findings) -> dict:
     sink.cover("JPEG structure", "partial" if scan.limit or scan.invalid or scan.truncated else "inspected")
     sink.cover("EXIF", "partial" if n_exif else "inspected")
     sink.cover("XMP", "partial" if n_xmp or extended else "inspected", "every packet is itemised; extended XMP is not put together")
-    for area, state in (("IPTC and Photoshop data", "partial"), ("Colour profile", "partial"), ("Image content", "not-inspected"), ("Pixel-level hidden data", "not-inspected")):
+    for area, state in (("Photoshop blocks with IPTC", "partial"), ("Colour profile", "partial"), ("Image content", "not-inspected"), ("Data hidden in pixels", "not-inspected")):
         sink.cover(area, state)
     return {"width": scan.size and scan.size[0], "height": scan.size and scan.size[1], "orientation": orientation, "structurally_unsound": scan.unsound, "copy_refusal": refusal(scan)}
 

@@ -289,7 +289,7 @@ def inspect(data: bytes, sink: Findings) -> dict:
         sink.add("pdf.truncated", "PDF end marks", "the last part has no end mark", status="suspicious")
     if raw["version"]:
         sink.add("pdf.version", "PDF header", raw["version"])
-    for area, state in (("Document properties", "inspected" if readable else "not-inspected"), ("XMP", "partial" if readable else "not-inspected"), ("Attachments", "partial"), ("Scripts and actions", "partial"), ("Annotations and forms", "partial" if readable else "not-inspected"), ("Object streams", "not-inspected" if "ObjStm" in tokens else "inspected"), ("Page content", "not-inspected"), ("Hidden text", "not-inspected")):
+    for area, state in (("Information dictionary", "inspected" if readable else "not-inspected"), ("XMP", "partial" if readable else "not-inspected"), ("Attachments", "partial"), ("Actions", "partial"), ("Annotations and forms", "partial" if readable else "not-inspected"), ("Object streams", "not-inspected" if "ObjStm" in tokens else "inspected"), ("Page content", "not-inspected"), ("Hidden text", "not-inspected")):
         sink.cover(area, state)
     if locked:
         sink.cover("Encrypted content", "not-inspected")

@@ -69,29 +69,47 @@ class Scan:
         return self.data[c["offset"] + 8 : c["offset"] + 8 + c["length"]]
 
 
+def head_fault(scan: Scan) -> str | None:
+    """What is wrong with the first chunk, if anything."""
+    if not scan.chunks:
+        return "there is no chunk"
+    if scan.chunks[0]["type"] != "IHDR":
+        return "the first chunk is not IHDR"
+    head = scan.body(scan.chunks[0])
+    if len(head) != 13:
+        return f"IHDR has {len(head)} bytes"
+    width, height = int.from_bytes(head[:4]), int.from_bytes(head[4:8])
+    depth, colour, packing, filtering, lacing = head[8:13]
+    if not (0 < width < 1 << 31 and 0 < height < 1 << 31):
+        return "IHDR has no usable size"
+    if depth not in DEPTHS.get(colour, ()) or packing or filtering or lacing > 1:
+        return "IHDR combines values that don't go together"
+    return None
+
+
 def rules(scan: Scan) -> tuple[list[str], bool]:
-    """Broken rules, and whether one is fatal."""
+    """Broken rules, and whether one is fatal: png_rules over this file's chunks, and what IHDR says."""
     out: list[tuple[str, bool]] = []
+    if fault := head_fault(scan):
+        out.append((fault, True))
     names = [c["type"] for c in scan.chunks]
-    head = scan.body(scan.chunks[0]) if names and names[0] == "IHDR" else b""
-    if len(head) != 13:
-        out.append(("the first chunk is not a whole IHDR", True))
-    elif head[8] not in DEPTHS.get(head[9], ()):
-        out.append(("colour type and bit depth don't go together", True))
+    data = [k for k, name in enumerate(names) if name == "IDAT"]
+    start, palette = (data[0] if data else len(names)), (names.index("PLTE") if "PLTE" in names else len(names))
+    left = next((k for k in range(start, len(names)) if names[k] not in ("IDAT", "fdAT")), len(names))
     seen: set[str] = set()
     for k, name in enumerate(names):
-        if name in SINGLE and name in seen:
-            out.append((f"{name} is repeated", True))
-        if name == "IDAT" and "IDAT" in seen and names[k - 1] not in ("IDAT", "fdAT"):
-            out.append(("IDAT chunks don't stand together", True))
-        if name == "PLTE" and "IDAT" in seen:
-            out.append(("PLTE stands after IDAT", True))
-        if name in COLOUR and seen & {"PLTE", "IDAT"}:
+        if name in SINGLE and name in seen and len(out) < 30:
+            out.append((f"{name} stands there again", name in ("IHDR", "PLTE")))
+        if name == "IDAT" and k > left:
+            out.append(("other chunks stand between IDAT chunks", True))
+        if name == "PLTE" and k > start:
+            out.append(("the palette follows image data", True))
+        if name in COLOUR and k > min(start, palette) and len(out) < 30:
             out.append((f"{name} stands late", False))
         if name == "IEND" and scan.chunks[k]["length"]:
-            out.append(("IEND is not empty", True))
+            out.append(("IEND is not empty", False))
         seen.add(name)
-    if "IDAT" not in seen:
+    if not data and scan.end is not None:
         out.append(("there is no image data", True))
     if {"iCCP", "sRGB"} <= seen:
         out.append(("there are two colour profiles", False))
@@ -197,7 +215,7 @@ def inspect(data: bytes, sink: Findings) -> dict:
     if size_refusal(size):
         sink.add("image.extreme-dimensions", "PNG IHDR", f"{size[0]} × {size[1]} pixels", status="suspicious")
     unsound = scan.truncated or scan.invalid is not None or scan.limit or scan.end is None or fatal or size is None or any(not c["crc_ok"] and c["kind"] == "critical" for c in scan.chunks) or any(c["kind"] == "unknown-critical" for c in scan.chunks)
-    for area, state in (("PNG structure", "partial" if scan.limit or scan.invalid or scan.truncated else "inspected"), ("Text and XMP", "partial" if exhausted or bad_text else "inspected"), ("EXIF", "partial" if any(c["type"] == "eXIf" for c in scan.chunks) else "inspected"), ("Colour profile", "partial"), ("Image content", "not-inspected"), ("Pixel-level hidden data", "not-inspected")):
+    for area, state in (("Chunks", "partial" if scan.limit or scan.invalid or scan.truncated else "inspected"), ("Text and XMP", "partial" if exhausted or bad_text else "inspected"), ("EXIF", "partial" if any(c["type"] == "eXIf" for c in scan.chunks) else "inspected"), ("Colour profile", "partial"), ("Image content", "not-inspected"), ("Data hidden in pixels", "not-inspected")):
         sink.cover(area, state)
     return {"width": size and size[0], "height": size and size[1], "orientation": orientation, "structurally_unsound": bool(unsound), "copy_refusal": "the structure is damaged or incomplete" if unsound else size_refusal(size)}
 

@@ -6,37 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Fixed values of the PNG specification.
-SINGLE = ("IHDR", "PLTE", "IEND", "tRNS", "cHRM", "gAMA", "iCCP", "sBIT", "sRGB", "cICP", "bKGD", "hIST", "pHYs", "tIME", "acTL", "eXIf")
-BEFORE_COLOUR = ("cHRM", "gAMA", "iCCP", "sBIT", "sRGB", "cICP")
+from inkglass.operators.png import COLOUR, SINGLE
 
 
 def order_issues(chunks: DataFrame) -> DataFrame:
-    """file_id, rule, seq, fatal for chunk rows (file_id, seq, type): a chunk that breaks a rule,
-    or seq null for rules on the whole file."""
+    """file_id, rule, seq, fatal for chunk rows (file_id, seq, type and, for two of the rules, length): a
+    chunk that breaks a rule, or seq null for rules on the whole file."""
     by = W.partitionBy("file_id").orderBy("seq")
     before = by.rowsBetween(W.unboundedPreceding, -1)
-    seen = lambda t: F.coalesce(F.max((F.col("type") == t).cast("int")).over(before), F.lit(0)) == 1
-    rows = chunks.select(
-        "file_id", "seq", "type", F.row_number().over(by).alias("rank"), F.lag("type").over(by).alias("last"), seen("IDAT").alias("after_idat"), seen("PLTE").alias("after_plte"),
-        F.row_number().over(W.partitionBy("file_id", "type").orderBy("seq")).alias("nth"),
-    )
+    some = lambda what: F.coalesce(F.bool_or(what).over(before), F.lit(False))
+    kind = F.col("type")
+    length = F.col("length") if "length" in chunks.columns else F.lit(None).cast("long")
+    rows = chunks.select("file_id", "seq", "type", length.alias("length"), F.row_number().over(by).alias("rank"), some(kind == "IDAT").alias("after_idat"), some(kind == "PLTE").alias("after_plte"), F.row_number().over(W.partitionBy("file_id", "type").orderBy("seq")).alias("nth"))
+    rows = rows.withColumn("apart", some(F.col("after_idat") & ~kind.isin("IDAT", "fdAT")))  # image data has been left
     rules = {
-        "first-not-ihdr": ((F.col("rank") == 1) & (F.col("type") != "IHDR"), True),
-        "repeated": (F.col("type").isin(*SINGLE) & (F.col("nth") == 2), True),
-        "idat-not-together": ((F.col("type") == "IDAT") & F.col("after_idat") & ~F.col("last").isin("IDAT", "fdAT"), True),
-        "plte-after-idat": ((F.col("type") == "PLTE") & F.col("after_idat"), True),
-        "colour-late": (F.col("type").isin(*BEFORE_COLOUR) & (F.col("after_idat") | F.col("after_plte")), False),
+        "first-not-ihdr": ((F.col("rank") == 1) & (kind != "IHDR"), F.lit(True)),
+        "ihdr-length": ((F.col("rank") == 1) & (kind == "IHDR") & (F.col("length") != 13), F.lit(True)),
+        "repeated": (kind.isin(*SINGLE) & (F.col("nth") > 1), kind.isin("IHDR", "PLTE")),
+        "idat-not-together": ((kind == "IDAT") & F.col("apart"), F.lit(True)),
+        "plte-after-idat": ((kind == "PLTE") & F.col("after_idat"), F.lit(True)),
+        "colour-late": (kind.isin(*COLOUR) & (F.col("after_idat") | F.col("after_plte")), F.lit(False)),
+        "iend-data": ((kind == "IEND") & (F.col("length") != 0), F.lit(False)),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("rule"), F.lit(fatal).alias("fatal"))) for k, (c, fatal) in rules.items()]))
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("rule"), fatal.alias("fatal"))) for k, (c, fatal) in rules.items()]))
     per_chunk = rows.select("file_id", "seq", F.explode(found).alias("x")).select("file_id", F.col("x.rule").alias("rule"), "seq", F.col("x.fatal").alias("fatal"))
-    n = lambda t: F.count_if(F.col("type") == t)
-    whole = chunks.groupBy("file_id").agg(n("IDAT").alias("idat"), n("iCCP").alias("iccp"), n("sRGB").alias("srgb"))
-    both = F.array_compact(F.array(F.when(F.col("idat") == 0, F.struct(F.lit("no-idat").alias("rule"), F.lit(True).alias("fatal"))), F.when((F.col("iccp") > 0) & (F.col("srgb") > 0), F.struct(F.lit("two-profiles").alias("rule"), F.lit(False).alias("fatal")))))
+    n = lambda t: F.count_if(kind == t)
+    whole = chunks.groupBy("file_id").agg(n("IDAT").alias("idat"), n("IEND").alias("iend"), n("iCCP").alias("iccp"), n("sRGB").alias("srgb"))
+    no_data = (F.col("idat") == 0) & (F.col("iend") > 0)
+    both = F.array_compact(F.array(F.when(no_data, F.struct(F.lit("no-idat").alias("rule"), F.lit(True).alias("fatal"))), F.when((F.col("iccp") > 0) & (F.col("srgb") > 0), F.struct(F.lit("two-profiles").alias("rule"), F.lit(False).alias("fatal")))))
     per_file = whole.select("file_id", F.explode(both).alias("x")).select("file_id", F.col("x.rule").alias("rule"), F.lit(None).cast(chunks.schema["seq"].dataType).alias("seq"), F.col("x.fatal").alias("fatal"))
     return per_chunk.unionByName(per_file)
 
 
+def verdicts(chunks: DataFrame) -> DataFrame:
+    """file_id, issues, unsound (a fatal rule is broken) of every file."""
+    found = order_issues(chunks).groupBy("file_id").agg(F.count(F.lit(1)).alias("issues"), F.bool_or("fatal").alias("unsound"))
+    files = chunks.select("file_id").distinct()
+    return files.join(found, "file_id", "left").select("file_id", F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), F.coalesce("unsound", F.lit(False)).alias("unsound"))
+
+
 def itemised(issues: DataFrame, most: int = 20) -> DataFrame:
     """The first `most` issues of a file, and one row with the number of the others."""
     rank = F.row_number().over(W.partitionBy("file_id").orderBy(F.col("seq").asc_nulls_last(), "rule"))

@@ -80,7 +80,7 @@ def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DISPLAY_SQL = r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace('a' || chr(1) || 'b' || chr(8203) || 'c' || chr(133) || chr(9) || text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', chr(65533), 'g'),
     '[\x{200b}-\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}\x{61c}\x{feff}]', chr(65533), 'g') AS s FROM documents)
-    SELECT doc_id, CASE WHEN length(s) > 400 THEN substr(s, 1, 400) || '… (' || (length(s) - 400) || ' more characters not shown)' ELSE s END AS shown FROM c"""
+    SELECT doc_id, CASE WHEN length(s) > 400 THEN substr(s, 1, 400) || '… (' || (length(s) - 400) || ' characters longer)' ELSE s END AS shown FROM c"""
 
 
 def start_tag_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,8 +91,8 @@ def start_tag_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.size("tags").cast("long").alias("n_tags"), F.size("hrefs").cast("long").alias("n_values"), F.array_join(F.slice("hrefs", 1, 20), " ").alias("first_values"))
 
 
-TAGS_SQL = r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '<a(?:\s(?:[^<>"'']|"[^"]*"|''[^'']*'')*)?>') AS tags FROM pages),
-    u AS (SELECT page_id, t.i, regexp_extract(tags[t.i], '\shref\s*=\s*"([^"]*)"', 1) AS v FROM t t0, unnest(range(1, len(tags) + 1)) AS t(i) WHERE t0.page_id IS NOT NULL),
+TAGS_SQL = r"""WITH t AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a(?:[\s/](?:[^<>"'']|"[^"]*"|''[^'']*'')*)?>'), lambda x: length(x) <= 4000) AS tags FROM pages),
+    u AS (SELECT page_id, t.i, regexp_extract(tags[t.i], '\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1) || regexp_extract(tags[t.i], '\shref\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 2) AS v FROM t t0, unnest(range(1, len(tags) + 1)) AS t(i) WHERE t0.page_id IS NOT NULL),
     f AS (SELECT page_id, v, min(i) AS i FROM u WHERE v != '' GROUP BY page_id, v), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM f),
     g AS (SELECT page_id, count(*) AS n, string_agg(v, ' ' ORDER BY i) FILTER (k <= 20) AS s FROM r GROUP BY page_id)
     SELECT t.page_id, CAST(len(tags) AS BIGINT) AS n_tags, CAST(coalesce(n, 0) AS BIGINT) AS n_values, coalesce(s, '') AS first_values FROM t LEFT JOIN g USING (page_id)"""
@@ -141,19 +141,19 @@ N_CODES = len(entries()) - 1
 
 
 def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four findings a document with codes that its id picks; some carry overrides."""
+    """Four to twelve findings a document, whose text they have, with codes that its id picks; some carry overrides."""
     docs = table(spark, sf_dir, "documents")
     code = F.element_at(F.array(*[F.lit(e[0]) for e in entries()[:-1]]), ((F.col("doc_id") * 7 + F.col("j") * 29) % N_CODES + 1).cast("int"))
-    rows = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    rows = docs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), 3 + F.col("doc_id") % 9)).alias("j"))
     return rows.select(
-        (F.col("doc_id") % 97).cast("string").alias("file_id"), (F.col("doc_id") * 4 + F.col("j")).alias("seq"), code.alias("code"), F.substring("text", 1, 30).alias("value"), F.concat(F.lit("part "), F.col("j").cast("string")).alias("source"),
+        F.col("doc_id").cast("string").alias("file_id"), (F.col("doc_id") * 16 + F.col("j")).alias("seq"), code.alias("code"), F.col("text").alias("value"), F.concat(F.lit("part "), F.col("j").cast("string")).alias("source"),
         F.when(F.col("doc_id") % 11 == 0, "-").when(F.col("doc_id") % 13 == 0, "exif").alias("grp"), F.when(F.col("doc_id") % 7 == 0, "suspicious").alias("status"), F.when(F.col("j") % 2 == 0, "bytes").alias("kind"), (F.col("doc_id") * 3).alias("offset"), (F.col("j") * 100).cast("long").alias("length"),
     )
 
 
-RAW_SQL = f"""SELECT CAST(doc_id % 97 AS VARCHAR) AS file_id, doc_id * 4 + j AS seq, c.code, substr(text, 1, 30) AS value, 'part ' || j AS source, doc_id, j, c.category, c.label, c.privacy,
+RAW_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id * 16 + j AS seq, c.code, text AS value, 'part ' || j AS source, doc_id, j, c.category, c.label, c.privacy,
     CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'exif' ELSE c.grp END AS grp, c.grp AS own_grp, c.transformation AS own, CASE WHEN doc_id % 7 = 0 THEN 'suspicious' ELSE 'verified' END AS status
-    FROM documents, (SELECT unnest(range(4)) AS j) JOIN {CATALOG_SQL} ON CAST(c.i AS BIGINT) = (doc_id * 7 + j * 29) % {N_CODES}"""
+    FROM (SELECT *, unnest(range(4 + doc_id % 9)) AS j FROM documents) JOIN {CATALOG_SQL} ON CAST(c.i AS BIGINT) = (doc_id * 7 + j * 29) % {N_CODES}"""
 RESOLVED_SQL = f"""SELECT *, CASE WHEN grp IS NOT NULL THEN 'removable' WHEN own_grp IS NULL THEN own ELSE 'unsupported' END AS transformation FROM ({RAW_SQL})"""
 
 
@@ -164,7 +164,7 @@ def catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG_FINDINGS_SQL = f"""SELECT file_id, seq, code, category, label, value, source, CASE WHEN j % 2 = 0 THEN 'bytes' ELSE 'none' END AS kind, status, 'high' AS confidence, privacy, grp, transformation, transformation = 'removable' AS removable
-    FROM (SELECT * REPLACE (regexp_replace(regexp_replace(value, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', chr(65533), 'g'), '[\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}\\x{{61c}}\\x{{feff}}]', chr(65533), 'g') AS value) FROM ({RESOLVED_SQL}))"""
+    FROM (SELECT * REPLACE (CASE WHEN length(value) > 400 THEN substr(value, 1, 400) || '… (' || (length(value) - 400) || ' characters longer)' ELSE value END AS value) FROM (SELECT * REPLACE (regexp_replace(regexp_replace(value, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]', chr(65533), 'g'), '[\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}\\x{{61c}}\\x{{feff}}]', chr(65533), 'g') AS value) FROM ({RESOLVED_SQL})))"""
 
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,16 +176,16 @@ ROLLUP_SQL = f"SELECT file_id, category, count(*) AS n, CAST(list_position({sql_
 
 
 def capped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2 with a cap of 20 and 5 more for essential codes."""
-    return model.capped(model.resolve(raw_findings(spark, sf_dir)), 20, 5).select("file_id", "seq", "id", "code")
+    """G2 with a cap of 6 and 3 more for essential codes."""
+    return model.capped(model.resolve(raw_findings(spark, sf_dir)), 6, 3).select("file_id", "seq", "id", "code")
 
 
 # the list as a fold over each file's rows, not as windows
 CAPPED_SQL = f"""
     WITH f AS (SELECT file_id, seq, code, regexp_matches(code, '^(jpeg|png|pdf)\\.(limit|truncated|invalid-segment|invalid|trailing-data|order|malformed)$|^image\\.') AS e FROM ({RESOLVED_SQL})),
     l AS (SELECT file_id, list(struct_pack(seq := seq, code := code, e := e) ORDER BY seq) AS x FROM f GROUP BY file_id),
-    r AS (SELECT file_id, list_reduce(x, lambda s, y: struct_pack(n := CASE WHEN s.n < CASE WHEN y.e THEN 25 ELSE 20 END OR NOT s.told THEN s.n + 1 ELSE s.n END, told := s.told OR s.n >= CASE WHEN y.e THEN 25 ELSE 20 END,
-        rows := CASE WHEN s.n < CASE WHEN y.e THEN 25 ELSE 20 END THEN list_append(s.rows, struct_pack(seq := y.seq, id := y.code || '#' || (s.n + 1), code := y.code))
+    r AS (SELECT file_id, list_reduce(x, lambda s, y: struct_pack(n := CASE WHEN s.n < CASE WHEN y.e THEN 9 ELSE 6 END OR NOT s.told THEN s.n + 1 ELSE s.n END, told := s.told OR s.n >= CASE WHEN y.e THEN 9 ELSE 6 END,
+        rows := CASE WHEN s.n < CASE WHEN y.e THEN 9 ELSE 6 END THEN list_append(s.rows, struct_pack(seq := y.seq, id := y.code || '#' || (s.n + 1), code := y.code))
             WHEN NOT s.told THEN list_append(s.rows, struct_pack(seq := y.seq, id := 'limit#' || (s.n + 1), code := 'limit.findings')) ELSE s.rows END),
         struct_pack(n := CAST(0 AS BIGINT), told := false, rows := CAST([] AS STRUCT(seq BIGINT, id VARCHAR, code VARCHAR)[]))) AS s FROM (SELECT file_id, x FROM l))
     SELECT file_id, o.seq, o.id, o.code FROM (SELECT file_id, unnest(s.rows) AS o FROM r)"""
@@ -227,19 +227,19 @@ PRESENTED_SQL = f"SELECT file_id, seq, CAST(row_number() OVER (PARTITION BY file
 
 def bounded_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5."""
-    return model.bounded(raw_findings(spark, sf_dir), "file_id", "seq").select("file_id", "seq", "n", "rank")
+    return model.bounded(raw_findings(spark, sf_dir), "file_id", "seq", whole=7, first=5).select("file_id", "seq", "n", "rank")
 
 
-BOUNDED_SQL = f"SELECT file_id, seq, n, CAST(rank AS INTEGER) AS rank FROM (SELECT file_id, seq, count(*) OVER (PARTITION BY file_id) AS n, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS rank FROM ({RAW_SQL})) WHERE n <= 12 OR rank <= 10"
+BOUNDED_SQL = f"SELECT file_id, seq, n, CAST(rank AS INTEGER) AS rank FROM (SELECT file_id, seq, count(*) OVER (PARTITION BY file_id) AS n, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS rank FROM ({RAW_SQL})) WHERE n <= 7 OR rank <= 5"
 
 
 def made_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each file of raw_findings(), some of which refuse copies."""
-    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("k")).distinct()
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))
     return rows.select(F.col("k").cast("string").alias("file_id"), F.when(F.col("k") % 2 == 0, "jpeg").otherwise("png").alias("format"), F.when(F.col("k") % 10 == 3, "unsound").alias("copy_refusal"))
 
 
-REPORTS_SQL = "SELECT CAST(k AS VARCHAR) AS file_id, CASE WHEN k % 2 = 0 THEN 'jpeg' ELSE 'png' END AS format, CASE WHEN k % 10 = 3 THEN 'unsound' END AS copy_refusal FROM (SELECT DISTINCT doc_id % 97 AS k FROM documents)"
+REPORTS_SQL = "SELECT CAST(k AS VARCHAR) AS file_id, CASE WHEN k % 2 = 0 THEN 'jpeg' ELSE 'png' END AS format, CASE WHEN k % 10 = 3 THEN 'unsound' END AS copy_refusal FROM (SELECT doc_id AS k FROM documents)"
 
 
 def removal_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,32 +308,52 @@ ACCOUNTING_SQL = """WITH r AS (SELECT source, ['keep','remove','rewrite-from','r
 TYPES = ("IHDR", "PLTE", "IDAT", "tEXt", "sRGB", "iCCP", "IDAT", "gAMA", "IEND", "fdAT")
 
 
-def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules over chunk rows made of conversations (message = chunk)."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 != 0), "IHDR").otherwise(pick(TYPES, F.col("conv_id") * 31 + F.col("turn") * 17)).alias("type"))
-    return png_rules.itemised(png_rules.order_issues(rows), 3)
+def made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("conv_id") * 31 + F.col("turn") * 17
+    kind = F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 != 0), "IHDR").otherwise(pick(TYPES, at))
+    length = F.when((kind == "IHDR") & (F.col("conv_id") % 7 != 0), 13).when((kind == "IEND") & (F.col("conv_id") % 5 != 0), 0).otherwise(F.length("text"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), kind.alias("type"), length.cast("long").alias("length"))
 
 
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over chunk rows made of conversations (message = chunk)."""
+    return png_rules.itemised(png_rules.order_issues(made_chunks(spark, sf_dir)), 3)
+
+
+# the specification's rules, each told by a look at all chunks before
+CHUNKS_SQL = f"""
+    t AS (SELECT conv_id AS file_id, turn AS seq, CASE WHEN turn = 0 AND conv_id % 3 != 0 THEN 'IHDR' ELSE {sql_list(TYPES)}[1 + (conv_id * 31 + turn * 17) % 10] END AS type, length(text) AS n FROM conversations),
+    c AS (SELECT file_id, seq, type, CASE WHEN type = 'IHDR' AND file_id % 7 != 0 THEN 13 WHEN type = 'IEND' AND file_id % 5 != 0 THEN 0 ELSE n END AS length FROM t),
+    r AS (SELECT a.*, (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq) AS k, (SELECT min(b.seq) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = 'IDAT') AS idat, (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = 'PLTE') > 0 AS plte,
+        (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = a.type) AS same FROM c a),
+    i AS (SELECT file_id, 'first-not-ihdr' AS rule, seq, true AS fatal FROM r WHERE k = 0 AND type != 'IHDR' UNION ALL SELECT file_id, 'ihdr-length', seq, true FROM r WHERE k = 0 AND type = 'IHDR' AND length != 13
+        UNION ALL SELECT file_id, 'repeated', seq, type IN ('IHDR', 'PLTE') FROM r WHERE same > 0 AND type IN ('IHDR', 'PLTE', 'sRGB', 'iCCP', 'gAMA')
+        UNION ALL SELECT file_id, 'idat-not-together', seq, true FROM r WHERE type = 'IDAT' AND EXISTS (SELECT 1 FROM c b WHERE b.file_id = r.file_id AND b.seq > r.idat AND b.seq < r.seq AND b.type NOT IN ('IDAT', 'fdAT'))
+        UNION ALL SELECT file_id, 'plte-after-idat', seq, true FROM r WHERE type = 'PLTE' AND idat IS NOT NULL UNION ALL SELECT file_id, 'colour-late', seq, false FROM r WHERE type IN ('sRGB', 'iCCP', 'gAMA') AND (idat IS NOT NULL OR plte)
+        UNION ALL SELECT file_id, 'iend-data', seq, false FROM r WHERE type = 'IEND' AND length != 0
+        UNION ALL SELECT file_id, 'no-idat', NULL, true FROM c GROUP BY file_id HAVING count(*) FILTER (type = 'IDAT') = 0 AND count(*) FILTER (type = 'IEND') > 0
+        UNION ALL SELECT file_id, 'two-profiles', NULL, false FROM c GROUP BY file_id HAVING count(*) FILTER (type = 'iCCP') > 0 AND count(*) FILTER (type = 'sRGB') > 0)"""
 CHUNK_SQL = f"""
-    WITH c AS (SELECT conv_id AS file_id, turn AS seq, CASE WHEN turn = 0 AND conv_id % 3 != 0 THEN 'IHDR' ELSE {sql_list(TYPES)}[1 + (conv_id * 31 + turn * 17) % 10] END AS type FROM conversations),
-    r AS (SELECT a.*, (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq) AS k, (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = 'IDAT') > 0 AS idat, (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = 'PLTE') > 0 AS plte,
-        (SELECT count(*) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq AND b.type = a.type) AS same, (SELECT arg_max(b.type, b.seq) FROM c b WHERE b.file_id = a.file_id AND b.seq < a.seq) AS last FROM c a),
-    i AS (SELECT file_id, 'first-not-ihdr' AS rule, seq FROM r WHERE k = 0 AND type != 'IHDR' UNION ALL SELECT file_id, 'repeated', seq FROM r WHERE same = 1 AND type IN ('IHDR', 'PLTE', 'IEND', 'sRGB', 'iCCP', 'gAMA')
-        UNION ALL SELECT file_id, 'idat-not-together', seq FROM r WHERE type = 'IDAT' AND idat AND last NOT IN ('IDAT', 'fdAT') UNION ALL SELECT file_id, 'plte-after-idat', seq FROM r WHERE type = 'PLTE' AND idat
-        UNION ALL SELECT file_id, 'colour-late', seq FROM r WHERE type IN ('sRGB', 'iCCP', 'gAMA') AND (idat OR plte) UNION ALL SELECT file_id, 'no-idat', NULL FROM c GROUP BY file_id HAVING count(*) FILTER (type = 'IDAT') = 0
-        UNION ALL SELECT file_id, 'two-profiles', NULL FROM c GROUP BY file_id HAVING count(*) FILTER (type = 'iCCP') > 0 AND count(*) FILTER (type = 'sRGB') > 0),
-    n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq NULLS LAST, rule) AS rank FROM i)
+    WITH {CHUNKS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq NULLS LAST, rule) AS rank FROM i)
     SELECT file_id, CAST(rank AS INTEGER) AS rank, rule, seq, CAST(NULL AS BIGINT) AS more FROM n WHERE rank <= 3 UNION ALL SELECT file_id, 4, 'more', NULL, count(*) - 3 FROM n GROUP BY file_id HAVING count(*) > 3"""
 
 
+def chunk_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the order of a file's chunks alone makes it unsound."""
+    return png_rules.verdicts(made_chunks(spark, sf_dir))
+
+
+VERDICTS_SQL = f"WITH {CHUNKS_SQL} SELECT f.file_id, count(i.rule) AS issues, coalesce(bool_or(i.fatal), false) AS unsound FROM (SELECT DISTINCT file_id FROM c) f LEFT JOIN i USING (file_id) GROUP BY f.file_id"
+
+
 def file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6, in thousandths of a percent."""
-    sizes = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 97).cast("string").alias("file_id")).agg(F.sum("n_chars").alias("size"))
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("n_chars").alias("size"))
     found = model.file_map(model.resolve(raw_findings(spark, sf_dir)), sizes)
     return found.select("file_id", "seq", "category", F.floor(F.col("left_pct") * 1000).cast("long").alias("left_m"), F.floor(F.col("width_pct") * 1000).cast("long").alias("width_m"))
 
 
-MAP_SQL = f"""WITH s AS (SELECT CAST(doc_id % 97 AS VARCHAR) AS file_id, sum(n_chars) AS size FROM documents GROUP BY 1)
+MAP_SQL = f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, n_chars AS size FROM documents)
     SELECT f.file_id, f.seq, f.category, CAST(floor(least(99.4::DOUBLE, 100.0::DOUBLE * (f.doc_id * 3) / greatest(size, 1)::DOUBLE) * 1000) AS BIGINT) AS left_m, CAST(floor(greatest(0.6::DOUBLE, 100.0::DOUBLE * (f.j * 100) / greatest(size, 1)::DOUBLE) * 1000) AS BIGINT) AS width_m FROM ({RESOLVED_SQL}) f JOIN s USING (file_id) WHERE j % 2 = 0"""
 
 
@@ -361,7 +381,7 @@ SHOWN_SQL = """WITH d AS (SELECT *, n_chars * n_chars AS n FROM documents)
     SELECT doc_id, CASE WHEN n < 1024 THEN n || ' bytes' WHEN n < 10240 THEN printf('%.1f', round(n / 1024, 1)) || ' KiB' WHEN n < 1048576 THEN printf('%.0f', round(n / 1024)) || ' KiB' WHEN n < 10485760 THEN printf('%.2f', round(n / 1048576, 2)) || ' MiB' ELSE printf('%.1f', round(n / 1048576, 1)) || ' MiB' END AS size,
         (doc_id % 3) || CASE WHEN doc_id % 3 = 1 THEN ' entry' ELSE ' entries' END AS counted,
         CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'Byte ' || format('{:,}', n_chars) WHEN doc_id % 3 = 0 THEN 'Bytes ' || format('{:,}', n_chars) || ' to ' || format('{:,}', n_chars + doc_id % 5 - 1) || ' (' || (doc_id % 5) || CASE WHEN doc_id % 5 = 1 THEN ' byte)' ELSE ' bytes)' END
-             WHEN doc_id % 3 = 1 THEN source ELSE 'Not tied to a byte range' END AS place FROM d"""
+             WHEN doc_id % 3 = 1 THEN source ELSE 'no byte range' END AS place FROM d"""
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,22 +423,22 @@ def trailing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAILING_SQL = "SELECT doc_id, ['begins like a JPEG image', 'begins like a PNG image', 'begins like a ZIP archive', 'begins like a PDF document', 'of an unknown kind', ''][1 + doc_id % 6] AS kind FROM documents"
-MARKERS = (0xE0, 0xE1, 0xFE, 0xE2, 0xDB, 0xED, 0xE1, 0xE5)
-PAYLOADS = ("4a46494600", "457869660000", "", "4943435f50524f46494c4500", "00", "50686f746f73686f7020332e3000", "58", "59")
+MARKERS = (0xE0, 0xE1, 0xFE, 0xE2, 0xDB, 0xED, 0xE1, 0xE5, 0xC2, 0xC4)
+PAYLOADS = ("4a46494600", "457869660000", "", "4943435f50524f46494c4500", "00", "50686f746f73686f7020332e3000", "58", "59", "08", "00")
 
 
 def segment_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as segments, looked up and numbered by kind."""
     rows = table(spark, sf_dir, "conversations")
     at = F.col("conv_id") + F.col("turn") * 3
-    made = rows.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.element_at(F.array(*map(F.lit, MARKERS)), (at % 8 + 1).cast("int")).alias("marker"), F.unhex(pick(PAYLOADS, at)).alias("payload"))
+    made = rows.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), F.element_at(F.array(*map(F.lit, MARKERS)), (at % 10 + 1).cast("int")).alias("marker"), F.unhex(pick(PAYLOADS, at)).alias("payload"))
     found = segments.first_of_kind(segments.classified(made), "file_id", "kind", "seq")
     return found.select("file_id", "seq", "kind", "grp", "nth", "duplicate", segments.is_frame(F.col("marker")).alias("frame"))
 
 
-SEGMENT_SQL = """WITH s AS (SELECT conv_id AS file_id, turn AS seq, 1 + (conv_id + turn * 3) % 8 AS k FROM conversations),
-    c AS (SELECT file_id, seq, ['jfif','exif','comment','icc','structure','photoshop','app-other','app-other'][k] AS kind, [NULL,'exif','comments',NULL,NULL,'iptc','other-segments','other-segments'][k] AS grp FROM s)
-    SELECT *, CAST(row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) AS INTEGER) AS nth, row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) > 1 AS duplicate, false AS frame FROM c"""
+SEGMENT_SQL = """WITH s AS (SELECT conv_id AS file_id, turn AS seq, 1 + (conv_id + turn * 3) % 10 AS k FROM conversations),
+    c AS (SELECT file_id, seq, ['jfif','exif','comment','icc','structure','photoshop','app-other','app-other','structure','structure'][k] AS kind, [NULL,'exif','comments',NULL,NULL,'iptc','other-segments','other-segments',NULL,NULL][k] AS grp, k = 9 AS frame FROM s)
+    SELECT * EXCLUDE (frame), CAST(row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) AS INTEGER) AS nth, row_number() OVER (PARTITION BY file_id, kind ORDER BY seq) > 1 AS duplicate, frame FROM c"""
 
 
 def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,12 +487,12 @@ PDF_SQL = "SELECT doc_id, '1.' || (doc_id % 8) AS version, doc_id % 4 AS eof_cou
 QUERIES = {
     "fingerprint": fingerprint, "mismatch_findings": mismatch_findings, "display_text": display_text, "start_tag_attrs": start_tag_attrs, "extension_check": extension_check, "strip_noise": strip_noise, "element_text": element_text, "token_counts": token_counts,
     "catalog_findings": catalog_findings, "category_rollup": category_rollup, "capped_findings": capped_findings, "name_list": name_list, "share_notes": share_notes, "presented": presented, "bounded_list": bounded_list, "removal_offers": removal_offers,
-    "removal_plan": removal_plan, "verify_diff": verify_diff, "byte_accounting": byte_accounting, "chunk_order": chunk_order, "file_map": file_map, "package_health": package_health_query, "shown_sizes": shown_sizes, "dates": dates, "hash_duplicates": hash_duplicates,
+    "removal_plan": removal_plan, "verify_diff": verify_diff, "byte_accounting": byte_accounting, "chunk_order": chunk_order, "chunk_verdicts": chunk_verdicts, "file_map": file_map, "package_health": package_health_query, "shown_sizes": shown_sizes, "dates": dates, "hash_duplicates": hash_duplicates,
     "download_names": download_names, "trailing_kinds": trailing_kinds, "segment_kinds": segment_kinds, "profile_parts": profile_parts, "compared_folders": compared_folders, "support_labels": support_labels, "pdf_facts": pdf_facts,
 }
 ORACLES = {
     "fingerprint": FINGERPRINT_SQL, "mismatch_findings": MISMATCH_SQL, "display_text": DISPLAY_SQL, "start_tag_attrs": TAGS_SQL, "extension_check": EXTENSION_SQL, "strip_noise": NOISE_SQL, "element_text": ELEMENT_SQL, "token_counts": TOKENS_SQL,
     "catalog_findings": CATALOG_FINDINGS_SQL, "category_rollup": ROLLUP_SQL, "capped_findings": CAPPED_SQL, "name_list": NAMES_SQL, "share_notes": NOTES_SQL, "presented": PRESENTED_SQL, "bounded_list": BOUNDED_SQL, "removal_offers": OFFERS_SQL,
-    "removal_plan": PLAN_SQL, "verify_diff": DIFF_SQL, "byte_accounting": ACCOUNTING_SQL, "chunk_order": CHUNK_SQL, "file_map": MAP_SQL, "package_health": HEALTH_SQL, "shown_sizes": SHOWN_SQL, "dates": DATES_SQL, "hash_duplicates": DUPLICATES_SQL,
+    "removal_plan": PLAN_SQL, "verify_diff": DIFF_SQL, "byte_accounting": ACCOUNTING_SQL, "chunk_order": CHUNK_SQL, "chunk_verdicts": VERDICTS_SQL, "file_map": MAP_SQL, "package_health": HEALTH_SQL, "shown_sizes": SHOWN_SQL, "dates": DATES_SQL, "hash_duplicates": DUPLICATES_SQL,
     "download_names": DOWNLOAD_SQL, "trailing_kinds": TRAILING_SQL, "segment_kinds": SEGMENT_SQL, "profile_parts": PARTS_SQL, "compared_folders": FOLDERS_SQL, "support_labels": SUPPORT_SQL, "pdf_facts": PDF_SQL,
 }
