@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import signal
 import struct
+import threading
 import zlib
+from contextlib import contextmanager
 
 
 class LimitError(Exception):
@@ -68,8 +71,27 @@ def utf8(data: bytes) -> str:
     return data.decode("utf-8-sig", "replace") if data[:3] == b"\xef\xbb\xbf" else data.decode("utf-8", "replace")
 
 
-def find(data: bytes, needle: bytes, start: int, stop: int) -> int:
-    return bytes(data).find(needle, start, stop)
+class TimeLimitError(Exception):
+    """A file took longer than its time."""
+
+
+@contextmanager
+def time_limit(seconds: float):
+    """Ends what runs inside after so many seconds, in the main thread of a worker (elsewhere there is no limit)."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeLimitError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 class Findings:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from inkglass.functions import limits, text
 from inkglass.functions.catalog import CATEGORIES, catalog
 
-#: Fixed value: codes that are listed beyond the cap.
-ESSENTIAL = r"^(jpeg|png|pdf)\.(limit|truncated|invalid-segment|invalid|trailing-data|order|malformed)$|^image\."
+#: Codes that are listed beyond the cap.
+ESSENTIAL = tuple(f"{fmt}.{what}" for fmt in ("jpeg", "png", "pdf") for what in ("limit", "truncated", "invalid-segment", "invalid", "trailing-data", "order", "malformed"))
 
 
 def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -41,7 +41,7 @@ def capped(findings: DataFrame, most: int = limits.FINDINGS, more: int = limits.
     file: rows up to rank `most` are listed; later essential ones are, as long as their number and
     a notice that ordinary ones before them have caused leave room. New column id; seq stays."""
     by = W.partitionBy("file_id").orderBy("seq")
-    ranked = findings.withColumn("rank", F.row_number().over(by)).withColumn("essential", F.col("code").rlike(ESSENTIAL))
+    ranked = findings.withColumn("rank", F.row_number().over(by)).withColumn("essential", F.col("code").isin(*ESSENTIAL) | F.col("code").startswith("image."))
     so_far = by.rowsBetween(W.unboundedPreceding, 0)
     late = F.col("rank") > most
     ranked = ranked.withColumn("e", F.sum(F.when(late & F.col("essential"), 1).otherwise(0)).over(so_far)).withColumn("o", F.max(F.when(late & ~F.col("essential"), 1).otherwise(0)).over(so_far))
@@ -49,7 +49,7 @@ def capped(findings: DataFrame, most: int = limits.FINDINGS, more: int = limits.
     ranked = ranked.withColumn("refusals", F.sum(F.when(~F.col("listed"), 1).otherwise(0)).over(so_far))
     first = (~F.col("listed")) & (F.col("refusals") == 1)
     notice = {
-        "code": F.lit("limit.findings"), "category": F.lit("unsupported"), "label": F.lit("More findings than are listed"), "value": F.lit(f"The list stops at {most} findings."),
+        "code": F.lit("limit.findings"), "category": F.lit("unsupported"), "label": F.lit("Findings beyond the list"), "value": F.lit(f"Not more than {most} are listed."),
         "source": F.lit("Finding limit"), "kind": F.lit("none"), "status": F.lit("unsupported"), "confidence": F.lit("high"), "removable": F.lit(False), "transformation": F.lit("unsupported"),
         "privacy": F.lit("The file holds more items than are listed."), "offset": F.lit(None).cast("long"), "length": F.lit(None).cast("long"), "path": F.lit(None).cast("string"), "grp": F.lit(None).cast("string"),
     }
@@ -110,7 +110,7 @@ def kinds_text(notes: DataFrame) -> DataFrame:
     """file_id and one sentence of the categories that have notes."""
     rows = notes.where("category != 'unsupported'").groupBy("file_id", "category").agg(F.min("place").alias("place"))
     listed = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", "category"))).alias("c"))
-    return listed.select("file_id", F.concat(F.lit("Kinds of information found: "), F.array_join(F.transform("c", lambda x: F.replace(x["category"], F.lit("-"), F.lit(" "))), ", "), F.lit(".")).alias("kinds"))
+    return listed.select("file_id", F.concat(F.lit("Found in this file: "), F.array_join(F.transform("c", lambda x: F.replace(x["category"], F.lit("-"), F.lit(" "))), ", "), F.lit(".")).alias("kinds"))
 
 
 def file_map(findings: DataFrame, sizes: DataFrame) -> DataFrame:

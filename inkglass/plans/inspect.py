@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkglass.functions import limits
 from inkglass.operators import docx, jpeg, pdf, png
-from inkglass.operators.bytesio import Findings
+from inkglass.operators.bytesio import Findings, TimeLimitError, time_limit
 from inkglass.plans import findings as model
 from inkglass.plans import removal
 from inkglass.sources import files
@@ -41,14 +41,17 @@ def inspect_bytes(data: bytes) -> dict:
     """A report with its findings and coverage."""
     sink, fmt, error, report = Findings(), None, None, {}
     try:
-        if not data:
-            error = "empty-file"
-        elif (fmt := format_of(data)) is None:
-            error = "unsupported-format"
-        elif len(data) > limits.FORMAT_BYTES[fmt]:
-            error = "format-too-large"
-        else:
-            report = WALKERS[fmt](data, sink)
+        with time_limit(limits.SECONDS):
+            if not data:
+                error = "empty-file"
+            elif (fmt := format_of(data)) is None:
+                error = "zip-too-large" if data[:2] == b"PK" and len(data) > limits.FORMAT_BYTES["docx"] else "unsupported-format"
+            elif len(data) > limits.FORMAT_BYTES[fmt]:
+                error = "format-too-large"
+            else:
+                report = WALKERS[fmt](data, sink)
+    except TimeLimitError:
+        error, report = "time-limit", {"structurally_unsound": True, "copy_refusal": "the file took too long"}
     except Exception as e:  # one bad file must not end a stage; its text may hold content, so only its kind is told
         error = f"internal-{type(e).__name__}"
         report = {"structurally_unsound": True, "copy_refusal": "the file could not be walked"}
@@ -56,22 +59,36 @@ def inspect_bytes(data: bytes) -> dict:
     return {"format": fmt, "error": error, **{k: report.get(k) for k in keys}, "findings": [{f: row.get(f) for f in FIELDS} for row in sink.rows], "coverage": [dict(zip(("area", "state", "note"), a, strict=True)) for a in sink.areas]}
 
 
-def inspect(df: DataFrame) -> DataFrame:
-    """One nested report a file, from (file_id, content)."""
+def together(rows: Iterator[dict], schema, most: int = 2 << 20) -> Iterator:
+    """Record batches of rows, closed once they have some 2 MB of values."""
     import pyarrow as pa
 
-    spark = df.sparkSession
-    schema = spark.createDataFrame([], REPORT).schema
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += 200 * (1 + len(row.get("findings") or ()) + len(row.get("manifest") or ())) + len(row.get("output") or b"")
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(part, schema=schema)
+            part, size = [], 0
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema=schema)
+
+
+def inspect(df: DataFrame) -> DataFrame:
+    """One nested report a file, from (file_id, content)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    schema = df.sparkSession.createDataFrame([], REPORT).schema
     arrow = to_arrow_schema(schema)
 
-    def run(batches) -> Iterator:
+    def reports(batches) -> Iterator[dict]:
         for batch in batches:
             ids, contents = batch.column(0).to_pylist(), batch.column(1)
-            for k, file_id in enumerate(ids):  # a row at a time: one file's bytes in memory
-                row = {"file_id": file_id} | inspect_bytes(contents[k].as_py() or b"")
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            for k, file_id in enumerate(ids):  # one file's bytes at a time
+                yield {"file_id": file_id} | inspect_bytes(contents[k].as_py() or b"")
+
+    def run(batches) -> Iterator:
+        return together(reports(batches), arrow)
 
     return df.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, schema)
 
@@ -92,20 +109,23 @@ def findings(reports: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     return model.resolve(raw)
 
 
-def make_copies(df: DataFrame, selected: DataFrame) -> DataFrame:
-    """file_id, output, manifest (rows), refusal: copies of (file_id, content) without the chosen groups
-    (file_id, grp). Files without a choice are left out."""
-    import pyarrow as pa
+def make_copies(df: DataFrame, selected: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """file_id, output, manifest (rows), refusal, source_sha256: copies of (file_id, content) without the chosen
+    groups (file_id, grp). Files without a choice are left out. With fingerprints, a file whose content
+    isn't the one that was inspected is refused."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = df.sparkSession.createDataFrame([], "file_id string, format string, output binary, manifest array<struct<action:string,what:string,grp:string,offset:long,bytes:long>>, refusal string").schema
+    schema = df.sparkSession.createDataFrame([], "file_id string, format string, output binary, manifest array<struct<action:string,what:string,grp:string,offset:long,bytes:long>>, refusal string, source_sha256 string").schema
     arrow = to_arrow_schema(schema)
     chosen = selected.groupBy(F.col("file_id").cast("string").alias("__id")).agg(F.collect_set("grp").alias("groups"))  # eleven groups at most
 
-    def run(batches) -> Iterator:
+    def made(batches) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
-                file_id, data, groups = (batch.column(i)[k].as_py() for i in range(3))
+                file_id, data, groups, sha, told = (batch.column(i)[k].as_py() for i in range(5))
+                if told is not None and told != sha:
+                    yield {"file_id": file_id, "refusal": "the file has changed since it was inspected", "source_sha256": sha}
+                    continue
                 report = inspect_bytes(data or b"")
                 fmt, refusal, out, manifest = report["format"], report["copy_refusal"], None, None
                 unknown = set(groups) - set(removal.group_ids(fmt)) if fmt else set()
@@ -113,9 +133,16 @@ def make_copies(df: DataFrame, selected: DataFrame) -> DataFrame:
                     refusal = refusal or report["error"] or "a group that the format doesn't offer"
                 else:
                     out, manifest = {"jpeg": jpeg, "png": png}[fmt].rewrite(data, set(groups), report["orientation"])
-                yield pa.RecordBatch.from_pylist([{"file_id": file_id, "format": fmt, "output": out, "manifest": manifest, "refusal": refusal}], schema=arrow)
+                yield {"file_id": file_id, "format": fmt, "output": out, "manifest": manifest, "refusal": refusal, "source_sha256": sha}
+
+    def run(batches) -> Iterator:
+        return together(made(batches), arrow)
 
-    rows = df.join(chosen, df["file_id"].cast("string") == F.col("__id")).select(F.col("__id").alias("file_id"), "content", "groups")
+    rows = df.join(chosen, df["file_id"].cast("string") == F.col("__id")).select(F.col("__id").alias("file_id"), "content", "groups", F.sha2("content", 256).alias("sha"))
+    if prints is None:
+        rows = rows.withColumn("told", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(prints.select(F.col("file_id").cast("string").alias("file_id"), F.col("sha256").alias("told")), "file_id", "left")
     return rows.mapInArrow(run, schema)
 
 
@@ -129,8 +156,9 @@ def byte_checks(originals: DataFrame, copies: DataFrame) -> DataFrame:
 
     def run(batches) -> Iterator:
         for batch in batches:
+            out: dict[str, list] = {"file_id": [], "id": [], "status": []}
             for k in range(batch.num_rows):
-                file_id, before, after, told = (batch.column(i)[k].as_py() for i in range(4))
+                file_id, before, after = (batch.column(i)[k].as_py() for i in range(3))
                 a, b = inspect_bytes(before), inspect_bytes(after)
                 kind = {"jpeg": jpeg, "png": png}[a["format"]]
                 same = a["format"] == b["format"]
@@ -138,12 +166,14 @@ def byte_checks(originals: DataFrame, copies: DataFrame) -> DataFrame:
                     "format": same and not b["structurally_unsound"], "picture-data": same and kind.core(before) == kind.core(after), "display-data": same and kind.display(before) == kind.display(after),
                     "dimensions": (a["width"], a["height"]) == (b["width"], b["height"]), "orientation": a["orientation"] == b["orientation"] or (a["orientation"], b["orientation"]) == (1, None),
                 }
-                n = len(verdicts)
-                yield pa.RecordBatch.from_pydict({"file_id": [file_id] * n, "id": list(verdicts), "status": ["pass" if v else "fail" for v in verdicts.values()]})
-
-    both = originals.select(F.col("file_id").cast("string").alias("file_id"), "content").join(copies.where("output IS NOT NULL").select("file_id", "output"), "file_id")
-    found = both.select("file_id", "content", "output", F.lit("").alias("told")).mapInArrow(run, "file_id string, id string, status string")
-    untouched = both.select("file_id", F.lit("original-untouched").alias("id"), F.when(F.sha2("content", 256) == F.sha2("content", 256), "pass").otherwise("fail").alias("status"))
+                out["file_id"] += [file_id] * len(verdicts)
+                out["id"] += list(verdicts)
+                out["status"] += ["pass" if v else "fail" for v in verdicts.values()]
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string()) for c, v in out.items()})
+
+    both = originals.select(F.col("file_id").cast("string").alias("file_id"), "content").join(copies.where("output IS NOT NULL").select("file_id", "output", "source_sha256"), "file_id")
+    found = both.select("file_id", "content", "output").mapInArrow(run, "file_id string, id string, status string")
+    untouched = both.select("file_id", F.lit("original-untouched").alias("id"), F.when(F.sha2("content", 256) == F.col("source_sha256"), "pass").otherwise("fail").alias("status"))
     decode = both.select("file_id", F.lit("decode").alias("id"), F.lit("skipped").alias("status"))  # there is no picture decoder
     return found.unionByName(untouched).unionByName(decode)
 
@@ -161,7 +191,19 @@ def verify(originals: DataFrame, copies: DataFrame, selected: DataFrame) -> tupl
 
 
 def compared_reports(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Sizes of the picture and numbers of findings of an original and its copy, side by side."""
-    def side(r: DataFrame, p: str) -> DataFrame:
-        return r.select("file_id", *(F.col(c).alias(f"{p}_{c}") for c in ("width", "height", "orientation")), F.size("findings").alias(f"{p}_findings"))
+    """Sizes in bytes and pixels, orientation and numbers of findings (without facts of the structure) of an
+    original and its copy, side by side. before, after: (file_id, content)."""
+    def side(files_: DataFrame, p: str) -> DataFrame:
+        reports = inspect(files_)
+        told = findings(reports).where("category != 'structural'").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+        sizes = files_.select(F.col("file_id").cast("string").alias("file_id"), F.octet_length("content").cast("long").alias("size"))
+        rows = reports.join(told, "file_id", "left").join(sizes, "file_id")
+        return rows.select("file_id", *(F.col(c).alias(f"{p}_{c}") for c in ("size", "width", "height", "orientation")), F.coalesce("n", F.lit(0)).cast("long").alias(f"{p}_findings"))
     return side(before, "original").join(side(after, "copy"), "file_id")
+
+
+def inspected_prints(df: DataFrame, reports: DataFrame) -> DataFrame:
+    """Fingerprints in which a ZIP is a DOCX where its directory, as the walker has read it, says so."""
+    told = reports.select(F.col("file_id").alias("__id"), (F.col("format") == "docx").alias("__docx"))
+    rows = df.join(told, df["file_id"].cast("string") == F.col("__id"), "left")
+    return files.fingerprint(rows, F.coalesce("__docx", F.lit(False)))

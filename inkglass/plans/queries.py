@@ -54,7 +54,7 @@ FINGERPRINT_SQL = f"""
     e AS (SELECT *, regexp_extract(lower(regexp_extract(name, '([^/\\\\]*)$', 1)), '^.+\\.([^.]+)$', 1) AS extension,
         ['png','jpeg',NULL,NULL,NULL,NULL,NULL,NULL,'pdf',NULL][k + 1] AS f,
         ['image/png','image/jpeg','image/gif','image/webp','video/mp4 or image/heic','application/zip','image/tiff','application/x-ole-storage','application/pdf','unknown'][k + 1] AS mime,
-        ['PNG image','JPEG image','GIF image','WebP image','ISO media container (MP4, HEIC, AVIF)','ZIP-based container (for example DOCX, XLSX, PPTX)','TIFF image','Legacy Office (OLE) document','PDF document','Unrecognised content'][k + 1] AS label FROM d)
+        ['PNG picture','JPEG picture','GIF picture','WebP picture','media file with an ftyp box','ZIP package','TIFF picture','OLE compound file','PDF file','content without a known signature'][k + 1] AS label FROM d)
     SELECT CAST(doc_id AS VARCHAR) AS file_id, name, declared_type, CAST(length(h) // 2 AS BIGINT) AS size, f AS detected_format, mime AS detected_type, label AS detected_label, k BETWEEN 2 AND 7 AS recognised_unsupported, extension,
         CASE WHEN f IS NULL OR extension = '' THEN 'unknown' WHEN (f = 'png' AND extension = 'png') OR (f = 'jpeg' AND extension IN ('jpg', 'jpeg', 'jpe', 'jfif')) OR (f = 'pdf' AND extension = 'pdf') THEN 'match' ELSE 'mismatch' END AS extension_check,
         CASE WHEN f IS NULL OR declared_type IS NULL THEN 'unknown' WHEN declared_type = mime THEN 'match' ELSE 'mismatch' END AS declared_type_check,
@@ -66,7 +66,7 @@ def mismatch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.mismatches(fingerprint(spark, sf_dir))
 
 
-MISMATCH_SQL = f"""WITH p AS ({FINGERPRINT_SQL}) SELECT file_id, 'file.type-mismatch' AS code, 'Content is ' || detected_label || ', but '
+MISMATCH_SQL = f"""WITH p AS ({FINGERPRINT_SQL}) SELECT file_id, 'file.type-mismatch' AS code, 'The content is a ' || detected_label || ', but '
     || concat_ws(' and ', CASE WHEN extension_check = 'mismatch' THEN 'the name ends in .' || extension END, CASE WHEN declared_type_check = 'mismatch' THEN 'the declared type is ' || declared_type END) || '.' AS value,
     'File name and type' AS source FROM p WHERE extension_check = 'mismatch' OR declared_type_check = 'mismatch'"""
 
@@ -422,7 +422,7 @@ def trailing_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", files.describe_trailing(whole, F.octet_length("b")).alias("kind"))
 
 
-TRAILING_SQL = "SELECT doc_id, ['begins like a JPEG image', 'begins like a PNG image', 'begins like a ZIP archive', 'begins like a PDF document', 'of an unknown kind', ''][1 + doc_id % 6] AS kind FROM documents"
+TRAILING_SQL = "SELECT doc_id, ['starts with a JPEG signature', 'starts with a PNG signature', 'starts with a ZIP signature', 'starts with a PDF signature', 'starts with no known signature', ''][1 + doc_id % 6] AS kind FROM documents"
 MARKERS = (0xE0, 0xE1, 0xFE, 0xE2, 0xDB, 0xED, 0xE1, 0xE5, 0xC2, 0xC4)
 PAYLOADS = ("4a46494600", "457869660000", "", "4943435f50524f46494c4500", "00", "50686f746f73686f7020332e3000", "58", "59", "08", "00")
 

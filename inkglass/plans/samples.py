@@ -3,6 +3,8 @@ have none. Pictures and documents are put together from a row's text by DataFram
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,11 @@ def pdf_of(text: Column) -> Column:
 def made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of each document, of a format that its id picks."""
     docs = table(spark, sf_dir, "documents")
-    kind, t = F.col("doc_id") % 4, F.col("text")
-    content = F.when(kind == 0, jpeg_of(t)).when(kind == 1, png_of(t)).when(kind == 2, pdf_of(t)).otherwise(F.encode(t, "UTF-8"))
-    return docs.select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("declared_type"), content.alias("content"))
+    t = F.col("text")
+    kinds = (jpeg_of(t), png_of(t), pdf_of(t), F.encode(t, "UTF-8"))
+    # a select for each kind: one expression for all would be too large to be compiled
+    parts = [docs.where(F.col("doc_id") % 4 == k).select(F.col("doc_id").cast("string").alias("file_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("declared_type"), made.alias("content")) for k, made in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def inspect_made_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,17 +14,17 @@ EXTENSIONS = {"jpeg": ("jpg", "jpeg", "jpe", "jfif"), "png": ("png",), "pdf": ("
 DOCX_MIME = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 #: In order, (test, format, type, label, recognised though not supported).
 SIGNATURES = (
-    (("89504e470d0a1a0a", 0), "png", "image/png", "PNG image", False),
-    (("ffd8ff", 0), "jpeg", "image/jpeg", "JPEG image", False),
-    (("474946383761", 0), None, "image/gif", "GIF image", True),
-    (("474946383961", 0), None, "image/gif", "GIF image", True),
-    (("52494646", 0, "57454250", 8), None, "image/webp", "WebP image", True),
-    (("66747970", 4), None, "video/mp4 or image/heic", "ISO media container (MP4, HEIC, AVIF)", True),
-    (("504b0304", 0), None, "application/zip", "ZIP-based container (for example DOCX, XLSX, PPTX)", True),
-    (("504b0506", 0), None, "application/zip", "ZIP-based container (for example DOCX, XLSX, PPTX)", True),
-    (("49492a00", 0), None, "image/tiff", "TIFF image", True),
-    (("4d4d002a", 0), None, "image/tiff", "TIFF image", True),
-    (("d0cf11e0", 0), None, "application/x-ole-storage", "Legacy Office (OLE) document", True),
+    (("89504e470d0a1a0a", 0), "png", "image/png", "PNG picture", False),
+    (("ffd8ff", 0), "jpeg", "image/jpeg", "JPEG picture", False),
+    (("474946383761", 0), None, "image/gif", "GIF picture", True),
+    (("474946383961", 0), None, "image/gif", "GIF picture", True),
+    (("52494646", 0, "57454250", 8), None, "image/webp", "WebP picture", True),
+    (("66747970", 4), None, "video/mp4 or image/heic", "media file with an ftyp box", True),
+    (("504b0304", 0), None, "application/zip", "ZIP package", True),
+    (("504b0506", 0), None, "application/zip", "ZIP package", True),
+    (("49492a00", 0), None, "image/tiff", "TIFF picture", True),
+    (("4d4d002a", 0), None, "image/tiff", "TIFF picture", True),
+    (("d0cf11e0", 0), None, "application/x-ole-storage", "OLE compound file", True),
 )
 
 
@@ -60,8 +60,8 @@ def detect(content: Column) -> Column:
 
     head = F.substring(content, 1, 1024 + 5)
     pdf = F.position(F.unhex(F.lit("255044462d")), head) > 0
-    out = F.when(pdf, made("pdf", "application/pdf", "PDF document", False))
-    out = F.coalesce(out, made(None, "unknown", "Unrecognised content", False))
+    out = F.when(pdf, made("pdf", "application/pdf", "PDF file", False))
+    out = F.coalesce(out, made(None, "unknown", "content without a known signature", False))
     for parts, *what in reversed(SIGNATURES):
         out = F.when(fits(parts), made(*what)).otherwise(out)
     return out
@@ -83,17 +83,20 @@ def extension_check(fmt: Column, extension: Column) -> Column:
 
 
 def fingerprint(files: DataFrame, docx: Column | None = None) -> DataFrame:
-    """Each file's detection, checks, hash and refusal. docx: says if a ZIP is a DOCX (by its entries)."""
+    """Each file's detection, checks, hash and refusal. docx: says if a ZIP is a DOCX (by its entries). A size that
+    the source has listed must be that of the content."""
     found = files.withColumn("d", detect(F.col("content")))
     if docx is not None:
-        word = F.struct(F.lit("docx").alias("format"), F.lit(DOCX_MIME).alias("mime"), F.lit("Word document (DOCX)").alias("label"), F.lit(False).alias("recognised_unsupported"))
+        word = F.struct(F.lit("docx").alias("format"), F.lit(DOCX_MIME).alias("mime"), F.lit("DOCX package").alias("label"), F.lit(False).alias("recognised_unsupported"))
         found = found.withColumn("d", F.when((F.col("d.mime") == "application/zip") & docx, word).otherwise(F.col("d")))
-    found = found.withColumn("extension", text.extension(F.col("name"))).withColumn("size", F.octet_length("content").cast("long"))
+    listed = F.col("size") if "size" in files.columns else F.lit(None).cast("long")
+    found = found.withColumn("listed", listed).withColumn("extension", text.extension(F.col("name"))).withColumn("size", F.octet_length("content").cast("long"))
     declared = F.lower("declared_type")
     check = F.when(F.col("d.format").isNull() | F.coalesce(declared, F.lit("")).eqNullSafe(""), "unknown").when(declared == F.col("d.mime"), "match").otherwise("mismatch")
-    refusal = F.when(F.col("size") == 0, "empty-file").when(F.col("size") > limits.FILE_BYTES, "file-too-large").when(F.col("size") > size_limit(F.col("d.format")), "format-too-large").when(F.col("d.format").isNull(), "unsupported-format")
+    large_zip = (F.col("d.mime") == "application/zip") & (F.col("size") > limits.FORMAT_BYTES["docx"])
+    refusal = F.when(F.col("listed") != F.col("size"), "changed-while-read").when(large_zip, "zip-too-large").when(F.col("size") == 0, "empty-file").when(F.col("size") > limits.FILE_BYTES, "file-too-large").when(F.col("size") > size_limit(F.col("d.format")), "format-too-large").when(F.col("d.format").isNull(), "unsupported-format")
     return found.select(
-        "file_id", "name", F.substring("declared_type", 1, 100).alias("declared_type"), "size", F.col("d.format").alias("detected_format"), F.col("d.mime").alias("detected_type"), F.col("d.label").alias("detected_label"), F.col("d.recognised_unsupported").alias("recognised_unsupported"),
+        "file_id", "name", F.substring("declared_type", 1, 100).alias("declared_type"), "size", F.col("d.format").alias("detected_format"), F.col("d.mime").alias("detected_type"), F.when(large_zip, "ZIP archive too large to look for a DOCX in it").otherwise(F.col("d.label")).alias("detected_label"), F.col("d.recognised_unsupported").alias("recognised_unsupported"),
         "extension", extension_check(F.col("d.format"), F.col("extension")).alias("extension_check"), check.alias("declared_type_check"), F.sha2("content", 256).alias("sha256"), refusal.alias("refusal"),
     )
 
@@ -104,7 +107,7 @@ def mismatches(prints: DataFrame) -> DataFrame:
         F.when(F.col("extension_check") == "mismatch", F.concat(F.lit("the name ends in ."), "extension")),
         F.when(F.col("declared_type_check") == "mismatch", F.concat(F.lit("the declared type is "), "declared_type")),
     ))
-    value = F.concat(F.lit("Content is "), "detected_label", F.lit(", but "), F.array_join(parts, " and "), F.lit("."))
+    value = F.concat(F.lit("The content is a "), "detected_label", F.lit(", but "), F.array_join(parts, " and "), F.lit("."))
     return prints.where("extension_check = 'mismatch' OR declared_type_check = 'mismatch'").select("file_id", F.lit("file.type-mismatch").alias("code"), value.alias("value"), F.lit("File name and type").alias("source"))
 
 
@@ -113,6 +116,6 @@ def describe_trailing(content: Column, start: Column) -> Column:
     tail = content.substr(start + 1, F.lit(8))
     begins = lambda sign: tail.substr(F.lit(1), F.lit(len(sign) // 2)) == F.unhex(F.lit(sign))
     return (
-        F.when(F.octet_length(content) - start < 4, "").when(begins("ffd8ff"), "begins like a JPEG image").when(begins("89504e47"), "begins like a PNG image")
-        .when(begins("504b0304"), "begins like a ZIP archive").when(begins("25504446"), "begins like a PDF document").otherwise("of an unknown kind")
+        F.when(F.octet_length(content) - start < 4, "").when(begins("ffd8ff"), "starts with a JPEG signature").when(begins("89504e47"), "starts with a PNG signature")
+        .when(begins("504b0304"), "starts with a ZIP signature").when(begins("25504446"), "starts with a PDF signature").otherwise("starts with no known signature")
     )

@@ -77,7 +77,9 @@ def test_bounded_parts():
     assert docx.strip_noise("a<!-- x --><?p?><![CDATA[<b>&]]><!D>c<!-- open") == "a&lt;b&gt;&amp;c"
     assert docx.element_text("<a:t/><a:t> </a:t><a:t>x &lt; <i>y</i></a:t>", "t") == "x < y" and docx.element_text("<ta>no</ta>", "t") is None
     assert packets.decode_entities("&lt;&#65;&#x42;&#0;&no;&amp;lt;") == "<AB�&no;&lt;"
-    assert packets.xmp_values("<dc:title" * 50_000, "dc:title") == []
+    assert packets.xmp_properties("<dc:title" * 50_000) == {} and packets.xmp_properties("<a b='" * 50_000) == {}
+    listed = packets.xmp_properties('<d x:a="1 &lt; 2" x:b=\'no\'><dc:t>\n<rdf:Seq><rdf:li>one</rdf:li><rdf:li y="z"><b>two</b></rdf:li></rdf:Seq></dc:t><dc:t> three </dc:t><dc:u/></d>')
+    assert listed["dc:t"] == ["one", "two", "three"] and listed["x:a"] == ["1 < 2"] and "x:b" not in listed and "dc:u" not in listed
     assert pdf.raw_scan(b"%PDF-1.4 /J#61vaScript /JS/JS %%EOF")["tokens"] == {"JavaScript": 1, "JS": 2}
 
 
@@ -112,7 +114,7 @@ def test_fingerprints_and_findings(spark, table):
     reports = plan.inspect(table)
     found = plan.findings(reports, prints).collect()
     assert all(r.removable == (r.transformation == "removable") and r.code in BY_CODE for r in found)
-    assert [r.value for r in found if r.code == "file.type-mismatch" and r.file_id == "wrong.png"] == ["Content is JPEG image, but the name ends in .png."]
+    assert [r.value for r in found if r.code == "file.type-mismatch" and r.file_id == "wrong.png"] == ["The content is a JPEG picture, but the name ends in .png."]
     assert plan.coverage(reports).where("state = 'not-inspected'").count() > 10
 
 
