@@ -1,46 +1,65 @@
 r"""Operator 9: URL filters, pattern rules indexed by their rarest literal token.
 
-A rule has a pattern and literal tokens (runs of ASCII letters and digits, lower case) that
-every URL it fits must have. The tokens that occur in rules are counted over all URLs, each
-rule is filed under its rarest token, and a URL's own tokens fetch the candidate rules. Only
-those run their regular expressions. Rules without a token are candidates for every URL.
+A rule has a pattern and alternatives, each a set of literal tokens (runs of ASCII letters and
+digits, lower case): a URL that the rule fits has all tokens of one alternative. The tokens that
+occur in rules are counted over all URLs, each alternative is filed under its rarest token, and a
+URL's own tokens fetch the candidate rules. Only those run their regular expressions, which are
+compiled when first needed. A rule without alternatives is a candidate for every URL; the default
+rules have none such.
 
 Host rules (host, path, verdict) come first: the longest rule that fits decides. Other URLs
 get the verdict of the pattern rules: block if one fits, else allow.
 
+Rules are lists or tables. They are sent to all tasks, so their text is measured first and more
+than RULE_BYTES is refused.
+
 Cases: a null URL or one without :// has an empty host and path, fits no host rule and is
 allowed unless a pattern rule fits. Repeated rows give repeated rows. An empty table gives none.
-Rules are parameters; their number bounds what is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkglass.llm.common import light
+
+#: Text of all rules, at most.
+RULE_BYTES = 8_000_000
 #: (host, path, verdict)
 HOST_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-#: (name, pattern over the URL, literal tokens): what is seldom worth crawling.
+#: (name, pattern over the URL, alternatives of literal tokens): what is seldom worth crawling.
 PATTERN_RULES = (
-    ("session", r"(?i)[?&](sessionid|phpsessid|jsessionid)=", ()),
-    ("calendar", r"(?i)/calendar/[0-9]{4}/", ("calendar",)),
-    ("login", r"(?i)/(login|signin|logout)([/?#]|$)", ()),
-    ("cart", r"(?i)/cart/(add|remove)([/?#]|$)", ("cart",)),
-    ("tracker", r"(?i)^https?://([^/?#]*\.)?adserver\.", ("adserver",)),
-    ("image", r"(?i)\.(jpe?g|png|gif|webp|svg)([?#]|$)", ()),
+    ("session", r"(?ia)[?&](sessionid|phpsessid|jsessionid)=", (("sessionid",), ("phpsessid",), ("jsessionid",))),
+    ("calendar", r"(?ia)/calendar/[0-9]{4}/", (("calendar",),)),
+    ("login", r"(?ia)/(login|signin|logout)([/?#]|$)", (("login",), ("signin",), ("logout",))),
+    ("cart", r"(?ia)/cart/(add|remove)([/?#]|$)", (("cart", "add"), ("cart", "remove"))),
+    ("tracker", r"(?ia)^https?://([^/?#]*\.)?adserver\.", (("adserver",),)),
+    ("image", r"(?ia)\.(jpe?g|png|gif|webp|svg)([?#]|$)", (("jpg",), ("jpeg",), ("png",), ("gif",), ("webp",), ("svg",))),
 )
 TOKEN = re.compile(r"[0-9a-z]+")
 
 
+class Rule(NamedTuple):
+    name: str
+    kind: str
+    length: int
+    verdict: str
+    pattern: str
+    alternatives: tuple[tuple[str, ...], ...]
+
+
 def lower(s: str) -> str:
     """A-Z only."""
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s) if not s.islower() else s
+    return s if s.islower() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -52,62 +71,82 @@ def split_url(url: str | None) -> tuple[str, str]:
     return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def compiled(host_rules: Iterable, pattern_rules: Iterable) -> list[tuple]:
-    """(rule name, kind, length, verdict, pattern, tokens) of all rules; host rules as patterns over 'host path'."""
+def rule_list(host_rules: Iterable, pattern_rules: Iterable) -> list[Rule]:
+    """All rules; host rules as patterns over 'host path', with the host's tokens."""
     out = []
     for host, path, verdict in host_rules:
-        name = lower(host) + path
-        pattern = re.compile(r"(?s)(?:[^ ]*\.)?" + re.escape(lower(host)) + " " + re.escape(path))
-        out.append((name, "host", len(name), verdict, pattern, tuple(sorted(set(TOKEN.findall(lower(host)))))))
-    return out + [(name, "pattern", 0, "block", re.compile(pattern), tuple(tokens)) for name, pattern, tokens in pattern_rules]
+        own, tokens = lower(host), tuple(sorted(set(TOKEN.findall(lower(host)))))
+        out.append(Rule(own + path, "host", len(own + path), verdict, r"(?s)(?:[^ ]*\.)?" + re.escape(own) + " " + re.escape(path), (tokens,) if tokens else ()))
+    return out + [Rule(name, "pattern", 0, "block", pattern, tuple(tuple(a) for a in alternatives or ())) for name, pattern, alternatives in pattern_rules]
 
 
-def rule_index(rules: list[tuple], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
-    """Rules by their rarest token, and those without one."""
+def rule_index(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
+    """Rules by the rarest token of each alternative, and those without one."""
     index: dict[str, list[int]] = {}
     always = []
-    for k, (*_, tokens) in enumerate(rules):
-        if tokens:
-            index.setdefault(min(tokens, key=lambda t: (counts.get(t, 0), t)), []).append(k)
-        else:
+    for k, rule in enumerate(rules):
+        if not all(rule.alternatives) or not rule.alternatives:
             always.append(k)
+            continue
+        for token in {min(a, key=lambda t: (counts.get(t, 0), t)) for a in rule.alternatives}:
+            index.setdefault(token, []).append(k)
     return index, always
 
 
-def decide(url: str | None, rules: list[tuple], index: dict[str, list[int]], always: list[int]) -> tuple:
-    """(host, path, rule, verdict, name of the pattern rule)."""
+@lru_cache(100_000)
+def compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
+def decide(url: str | None, rules: list[Rule], index: dict[str, list[int]], always: list[int]) -> tuple:
+    """(host, path, rule, verdict, name of the pattern rule, rules tried)."""
     host, path = split_url(url)
     whole = f"{host} {path}"
-    candidates = {k for t in set(TOKEN.findall(lower(url or ""))) for k in index.get(t, ())} | set(always)
+    candidates = sorted({k for t in set(TOKEN.findall(lower(url or ""))) for k in index.get(t, ())} | set(always))
     best, blocked = None, None
-    for k in sorted(candidates):
-        name, kind, length, verdict, pattern, _ = rules[k]
-        if kind == "host":
-            if host and (best is None or length > best[0]) and pattern.match(whole):
-                best = (length, name, verdict)
-        elif blocked is None and url is not None and pattern.search(url):
-            blocked = name
+    for rule in map(rules.__getitem__, candidates):
+        if rule.kind == "host":
+            if host and (best is None or rule.length > best.length) and compiled(rule.pattern).match(whole):
+                best = rule
+        elif blocked is None and url is not None and compiled(rule.pattern).search(url):
+            blocked = rule.name
     if best:
-        return host, path, best[1], best[2], None
-    return host, path, None, "block" if blocked else "allow", blocked
-
-
-def judge(pages: DataFrame, host_rules: Iterable = HOST_RULES, pattern_rules: Iterable = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, pattern_rule of every URL."""
+        return host, path, best.name, best.verdict, None, len(candidates)
+    return host, path, None, "block" if blocked else "allow", blocked, len(candidates)
+
+
+def bounded(rules, columns: tuple[str, ...]) -> list[tuple]:
+    """Rules of a list or a table, if their text is within RULE_BYTES."""
+    if isinstance(rules, DataFrame):
+        size = rules.agg(F.sum(sum((F.octet_length(F.to_json(F.struct(c))) for c in columns[1:]), F.octet_length(F.to_json(F.struct(columns[0])))))).first()[0] or 0
+        rules = [tuple(r) for r in rules.select(*columns).collect()] if size <= RULE_BYTES else None
+    else:
+        rules = list(rules)
+        size = sum(len(str(r)) for r in rules)
+    if rules is None or size > RULE_BYTES:
+        raise ValueError(f"the rules have {size} bytes; {RULE_BYTES} is the most that is sent to tasks")
+    return rules
+
+
+def judge(pages: DataFrame, host_rules: DataFrame | Iterable = HOST_RULES, pattern_rules: DataFrame | Iterable = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern_rule, n_tried of every URL. Tables of rules have the columns
+    host, path, verdict and name, pattern, tokens (alternatives)."""
     import pyarrow as pa
 
-    host_rules, pattern_rules = list(host_rules), list(pattern_rules)
-    wanted = sorted({t for *_, tokens in compiled(host_rules, pattern_rules) for t in tokens})
+    spark = pages.sparkSession
+    rules = rule_list(bounded(host_rules, ("host", "path", "verdict")), bounded(pattern_rules, ("name", "pattern", "tokens")))
+    wanted = sorted({t for rule in rules for a in rule.alternatives for t in a})
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     tokens = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([0-9a-z]+)"), F.lit(1)))).alias("t"))
-    counts = {r["t"]: r["n"] for r in tokens.where(F.col("t").isin(wanted)).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a rule token at most
+    known = light(spark.createDataFrame([(t,) for t in wanted], "t string"))
+    counts = {r["t"]: r["n"] for r in tokens.join(known, "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a rule token at most
+    index, always = rule_index(rules, counts)
+    told = spark.sparkContext.broadcast((rules, index, always))
 
     def run(batches):
-        rules = compiled(host_rules, pattern_rules)
-        index, always = rule_index(rules, counts)
         for batch in batches:
-            found = [decide(u, rules, index, always) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in range(5))], names=["page_id", "host", "path", "rule", "verdict", "pattern_rule"])
+            found = [decide(u, *told.value) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.string()) for i in range(5)), pa.array([x[5] for x in found], pa.int32())], names=["page_id", "host", "path", "rule", "verdict", "pattern_rule", "n_tried"])
 
     kind = dict(own.dtypes)["page_id"]
-    return own.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern_rule string")
+    return own.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern_rule string, n_tried int")
