@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkglass.llm import decontaminate, jaccard_regions, line_edits, line_rules, minimax_shards, pair_index_bpe, quotes, repair_files, url_rules, warc_members
@@ -129,11 +130,16 @@ def test_pair_index_random():
 def test_decontaminate(spark):
     items = [(r["item_id"], r["text"]) for r in documents("benchmark")] + [(900, "short item"), (900, "short item"), (901, ""), (902, None), (None, "only five words stand here")]
     rows = [(r["doc_id"], r["text"]) for r in documents()] + [(5000, f"Some {items[0][1].upper()} and a SHORT item; only five words stand here!"), (5001, None), (5002, ""), (5002, ""), (None, "short item")]
+    rows += [(5003, " ".join(x for x in [items[1][1], *[f"z{i}" for i in range(6000)], items[2][1]]))]
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     sort = lambda x: sorted((r[0] is not None, r[0] or 0, *r[1:]) for r in x)
     expect = sort(brute.contamination(rows, items))
     assert sort(tuple(r) for r in decontaminate.scan(df, bench).collect()) == expect
     assert sort(tuple(r) for r in decontaminate.scan(df, bench, most_bytes=300).collect()) == expect
+    clash = df.withColumn("data", F.lit(1)).withColumn("keep_text", F.lit("k")).withColumn("places", F.lit(2)).withColumn("items", F.lit("i"))
+    for most in (10**6, 300):
+        spans = decontaminate.decontaminate(clash, bench, remove="spans", most_bytes=most)
+        assert spans.columns == clash.columns and {tuple(r)[2:] for r in spans.collect()} == {(1, "k", 2, "i")}
     clean = decontaminate.decontaminate(df, bench).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in clean) == sorted((not x[0], x[1]) for x in expect if not x[-1])
     spans = decontaminate.decontaminate(df, bench, remove="spans")
@@ -144,6 +150,21 @@ def test_decontaminate(spark):
     assert decontaminate.scan(df.limit(0), bench).count() == 0
 
 
+def test_ngram_set_memory():
+    """With the set, items of MOST_BYTES take at most 60 times their text, even if all words differ."""
+    import tracemalloc
+
+    for words in ([f"w{i % 20_000}" for i in range(200_000)], [f"w{i}" for i in range(200_000)]):
+        items = [(str(k), " ".join(words[k : k + 100]).encode()) for k in range(0, len(words), 100)]
+        size = sum(len(t) for _, t in items)
+        tracemalloc.start()
+        found = decontaminate.NgramSet(items)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak <= 60 * size and 60 * decontaminate.MOST_BYTES <= 250_000_000, peak / size
+        assert found.scan(items[7][1])[1].all() and "700" in found.scan(items[7][1])[2]
+
+
 def test_shards(spark):
     rng = random.Random(1)
     for _ in range(300):
@@ -414,9 +435,39 @@ def test_urls(spark):
     found = {r.page_id: tuple(r)[1:5] for r in url_rules.judge(df).collect()}
     assert found == dict(enumerate(cases.values()))
     assert url_rules.judge(df.limit(0)).count() == 0
-    rules = url_rules.compiled(url_rules.HOST_RULES, url_rules.PATTERN_RULES)
+    rules = url_rules.rule_list(url_rules.HOST_RULES, url_rules.PATTERN_RULES)
     index, always = url_rules.rule_index(rules, {"com": 10, "example": 3, "www": 5})
-    assert index["example"] and [rules[k][0] for k in index["com"]] == ["com/"] and always
+    names = lambda t: {rules[k].name for k in index[t]}
+    assert names("com") == {"com/"} and "example.com/en/" in names("example") and names("logout") == {"login"} == names("signin") and names("phpsessid") == {"session"} and not always
+
+
+def test_thousands_of_url_rules(spark, monkeypatch):
+    """Only rules whose token a URL has are tried; the verdicts are those of trying all."""
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 5)))
+    hosts = list({(f"{name()}.{rng.choice(['com', 'net', 'org'])}", rng.choice(["/", f"/{name()}/"])): rng.choice(["allow", "block"]) for _ in range(3000)}.items())
+    hosts = [(h, p, v) for (h, p), v in hosts]
+    patterns = [(f"p{i}", rf"(?ia)/{w}([/?#]|$)", ((w,),)) for i, w in enumerate({name() + name() for _ in range(1500)})]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)[0]}{rng.choice(['/', rng.choice(hosts)[1]])}{rng.choice([name(), rng.choice(patterns)[2][0][0].upper()])}" for _ in range(400)]
+
+    def plain(url):
+        host, path = url_rules.split_url(url)
+        fits = [(len(h + p), h + p, v) for h, p, v in hosts if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            return max(fits)[1:]
+        import re
+
+        return None, "block" if any(re.search(p, url) for _, p, _ in patterns) else "allow"
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host_table = spark.createDataFrame(hosts, "host string, path string, verdict string")
+    pattern_table = spark.createDataFrame([(n, p, [list(t) for t in x]) for n, p, x in patterns], "name string, pattern string, tokens array<array<string>>")
+    found = {r.page_id: (r.rule, r.verdict, r.n_tried) for r in url_rules.judge(df, host_table, pattern_table).collect()}
+    assert {i: x[:2] for i, x in found.items()} == {i: plain(u) for i, u in enumerate(urls)}
+    assert sum(x[2] for x in found.values()) / len(urls) < 20
+    monkeypatch.setattr(url_rules, "RULE_BYTES", 1000)
+    with pytest.raises(ValueError, match="rules"):
+        url_rules.judge(df, host_table, pattern_table)
 
 
 def test_pipeline(spark):
