@@ -6,18 +6,22 @@ pivots. The first level therefore takes single shingles as pivots: a document's
 that of its rarest shingle, and its window holds the next rarest, as many as a linked document
 can lack (20 % of the set). Two linked documents meet in a region. Shingles are ordered by a
 table of counts over all documents (of a fixed size, so counts are upper bounds), then by hash.
+Documents of a region share a shingle, and there distances spread.
 
 Inside a region documents are joined as follows.
 
 1. Equal sets are one class and enter once. The smallest class is the region's pivot; each class
    is verified against the pivot that it meets most often, then components that meet by one
    pair each. Classes of one connected component need no more links, so regions with one component are done.
-2. What is left is joined by document pivots: sets are mapped to parities of their hashes' last
-   bits, whose Hamming distance is a metric and never more than the sets' difference. Pivots of a
-   large region create Voronoi cells of it, each class goes to its nearest pivot's cell and to
-   every cell within twice the threshold more (triangle inequality), and cells that are still
-   large are divided again. A cell that pivots can't divide is dealt out in blocks of bounded
-   size, those that aren't in its largest component against all.
+2. What is left is joined by document pivots. Sets are mapped to parities of their hashes' last
+   bits, at least four bits an element, whose Hamming distance is a metric and never more than the
+   sets' difference. A large region is first split by size (linked sets differ by a quarter at
+   most), so its maps have one width and one bound N on the set size. Its largest components each
+   give a pivot. A class is at home in the cell of a pivot within RADIUS * N; by the triangle
+   inequality, what is linked with it is within RADIUS * N and the largest distance of a link, so
+   each class goes to all cells within that window and nowhere else. Classes at home in no cell
+   form the rest. Cells and the rest are divided again, as long as they are large and get smaller;
+   others are dealt out in blocks of bounded size, what isn't in the largest component against all.
 3. Pairs of different components that these maps don't prove apart are verified exactly.
 
 Links between classes so found connect what all links connect. Set elements are 64-bit hashes
@@ -35,13 +39,14 @@ null component and links nothing. Repeated rows give repeated rows. Empty tables
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import cut, small_batches, text_bytes, text_slices
+from inkglass.llm.common import cut, light, small_batches, text_bytes, text_slices
 from inkglass.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -49,8 +54,8 @@ WORDS, PERCENT = 5, 80
 TABLE_BITS, PIECE_BITS = 22, 16
 #: Shingles that the table counts so often are joined in splittable form.
 FREQUENT = 4096
-#: Members of a cell that is compared at once; pivots of a larger region.
-CELL, PIVOTS = 1024, 8
+#: Members of a cell that is compared at once; pivots of a larger region; radius of a cell.
+CELL, PIVOTS, RADIUS = 1024, 8, 0.5
 #: Rows of a block: those outside the largest component, and those against which they go.
 BLOCK_Q, BLOCK_M = 1024, 2048
 FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -61,8 +66,6 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 CONTRACTIONS = 1
 #: Members of one pivot that are verified in one place.
 TOGETHER = 512
-#: Pairs, at 32 bytes each, that are broadcast to the documents; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are hashed together.
 SLICE = 1_000_000
 #: Bits of the smallest parity map.
@@ -284,7 +287,7 @@ def verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFram
     to = to.unionByName(n.select(F.col("a").alias("id"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     to = cut(to, "jaccard-ways")
     sets = sets_of(own, to.select("id").distinct(), k)
-    met = sets.join(F.broadcast(to) if to.count() <= BROADCAST_ROWS else to, "id")
+    met = sets.join(light(to), "id")
 
     def run(batches):
         now, s = None, None
@@ -342,43 +345,55 @@ def star(classes: DataFrame) -> DataFrame:
     return rest.unionByName(hot.join(least, "region").where("pivot != id").select("region", "pivot", "id"))
 
 
-def divided(members: DataFrame, percent: int, pivots: int, cell: int) -> DataFrame:
-    """One level of Voronoi cells: members (region, id, n, component, map, size) of regions of
-    more than `cell` members, in new regions. Distances are bits in which folded maps differ; a
-    document linked with one of n elements is within (100 - p) / (100 + p) * (n + 100 n / p) of it."""
+def keyed(*parts: int) -> int:
+    """A number for a region made of others."""
+    return int(mix(np.array(parts, np.int64).view(np.uint64) * FACTORS[: len(parts)]).sum(dtype=np.uint64).view(np.int64))
+
+
+def banded(members: DataFrame, percent: int) -> DataFrame:
+    """Regions split by set size: linked sets are in the same band or in neighbours, so each class is in
+    the region of its own band and in that of the next one."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    rows = members.select("region", "id", "n", "component", "map", F.explode(F.array(band, band + 1)).alias("band"))
+    return rows.select(F.xxhash64("region", "band").alias("region"), "id", "n", "component", "map")
+
+
+def divided(members: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """One level of cells: members (region, id, n, component, map, size, width, most_n) of large regions in
+    the cells of pivots within whose window they are, and in the rest if they are at home in none."""
     import pyarrow as pa
 
-    chosen = members.where(F.pmod(F.xxhash64("region", "id"), F.lit(1 << 30)) <= F.lit(pivots * float(1 << 30)) / F.col("size"))
-    chosen = chosen.groupBy("region").agg(F.collect_list(F.struct("id", "map")).alias("pivots"))  # about PIVOTS a region, by chance
-    near = (100 - percent) / (100 + percent) * (1 + 100 / percent)
+    # a component is chosen by its share of the region: about `pivots` in all, those with more than a share of one surely
+    each = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"), F.first("size").alias("size"), F.min_by(F.struct("id", "map"), "id").alias("pivot"))
+    chosen = each.where(F.pmod(F.xxhash64("region", "component"), F.lit(1 << 30)) <= F.lit(pivots * float(1 << 30)) * F.col("m") / F.col("size"))
+    chosen = chosen.groupBy("region").agg(F.collect_list("pivot").alias("pivots"))
+    link = 2 * (100 - percent) / (100 + percent)  # of N, the largest distance of two linked sets
 
     def run(batches):
         for batch in batches:
             cells, taken = [], []
-            columns = [batch.column(i).to_pylist() for i in (0, 2, 4, 6)]
-            for i, (region, n, own, found) in enumerate(zip(*columns, strict=True)):
-                if not found:  # no pivot by chance: as it was
-                    cells.append(region)
-                    taken.append(i)
-                    continue
-                words = (1 << BASE_BITS) // 64
-                at = np.stack([folded(as_words(p["map"]), words) for p in found])
-                d = np.bitwise_count(at ^ folded(as_words(own), words)).sum(1)
-                for p in np.flatnonzero(d <= d.min() + 2 * near * n + 1e-6).tolist():
-                    cells.append(int(mix(np.array([region, found[p]["id"]], np.int64).view(np.uint64) * FACTORS[:2]).sum().astype(np.uint64).view(np.int64)))
-                    taken.append(i)
-            rows = batch.select([1, 2, 3, 4, 5]).take(pa.array(taken, pa.int64()))
+            columns = [batch.column(i).to_pylist() for i in (0, 4, 5, 6, 7)]
+            for i, (region, own, width, most, found) in enumerate(zip(*columns, strict=True)):
+                words = width // 8
+                d = np.bitwise_count(np.stack([folded(as_words(p["map"]), words) for p in found]) ^ folded(as_words(own), words)).sum(1) if found else np.zeros(0)
+                to = [keyed(region, found[k]["id"]) for k in np.flatnonzero(d <= (RADIUS + link) * most + 1e-6).tolist()]
+                if not found or d.min() > RADIUS * most:
+                    to.append(keyed(region, -1, -1))
+                cells += to
+                taken += [i] * len(to)
+            rows = batch.select([1, 2, 3, 4, 8]).take(pa.array(taken, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *rows.columns], names=["region", "id", "n", "component", "map", "before"])
 
-    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "map", "size", "pivots")
+    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "map", "width", "most_n", "pivots", "size")
     return rows.mapInArrow(run, "region long, id long, n long, component long, map binary, before long")
 
 
 def open_cells(members: DataFrame) -> DataFrame:
-    """Members of regions with two components or more, with the region's size and largest component."""
-    by = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
-    regions = by.groupBy("region").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return members.join(regions.select("region", "size", F.col("most.m").alias("largest"), F.col("most.component").alias("main")), "region")
+    """Members of regions with two components or more, with the region's size and largest component, the
+    smallest width of its maps and its largest set."""
+    by = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"), F.min(F.octet_length("map")).alias("width"), F.max("n").alias("most_n"))
+    regions = by.groupBy("region").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("k"), F.min("width").alias("width"), F.max("most_n").alias("most_n")).where("k > 1")
+    return members.join(regions.select("region", "size", F.col("most.m").alias("largest"), F.col("most.component").alias("main"), "width", "most_n"), "region")
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -444,21 +459,20 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
 
 def cells(members: DataFrame, percent: int, cell: int, pivots: int) -> DataFrame:
     """Blocks in which all pairs of different components that may be links meet."""
-    now = cut(open_cells(members), "jaccard-cells")
-    done = []
-    while True:
-        done.append(blocks(now.where(F.col("size") <= cell)))
-        large = now.where(F.col("size") > cell)
-        if large.isEmpty():
-            break
-        parts = cut(open_cells(divided(large, percent, pivots, cell)), "jaccard-cells")
+    def small_and_large(rows: DataFrame) -> DataFrame:
+        done.append(blocks(rows.where(F.col("size") <= cell)))
+        return rows.where(F.col("size") > cell)
+
+    done: list[DataFrame] = []
+    large = small_and_large(cut(open_cells(members), "jaccard-cells"))
+    if not large.isEmpty():
+        large = small_and_large(cut(open_cells(banded(large, percent)), "jaccard-bands"))
+    while not large.isEmpty():
+        parts = small_and_large(cut(open_cells(divided(large, percent, pivots)), "jaccard-cells"))
         stuck = F.col("size") > 0.7 * F.col("before")
         done.append(blocks(parts.where(stuck)))
-        now = parts.where(~stuck).drop("before")
-    rows = done[0]
-    for more in done[1:]:
-        rows = rows.unionByName(more)
-    return rows
+        large = parts.where(~stuck).drop("before")
+    return reduce(DataFrame.unionByName, done)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:

@@ -236,6 +236,40 @@ def test_jaccard(spark, monkeypatch, cell):
     assert jaccard_regions.join(df.limit(0)).count() == 0
 
 
+def test_windows_leave_cells_out(spark):
+    """Classes of a region go to the cells of near pivots only, and all that may be links still meet."""
+    rng = np.random.default_rng(12)
+    sets, component = [], []
+    for c in range(6):  # clusters of sets at distances of about a third, beyond a link; some are linked
+        base = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        for k in range(40):
+            s = base.copy()
+            some = rng.choice(200, 20 if k % 4 else 4, replace=False)
+            s[some] = rng.integers(0, 1 << 63, len(some)).astype(np.uint64)
+            sets.append(np.unique(s))
+            component.append(1000 * c + (0 if k < 30 else k))
+    for k in range(120):  # and others that are like nothing else
+        sets.append(np.unique(rng.integers(0, 1 << 63, 180 + k % 40).astype(np.uint64)))
+        component.append(90_000 + k)
+    rows = [(7, i, len(s), component[i], jaccard_regions.parity_map(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "region long, id long, n long, component long, map binary")
+    bands = jaccard_regions.open_cells(jaccard_regions.banded(members, 80))
+    parts = jaccard_regions.divided(bands, 80, 8).collect()
+    n, cells = bands.count(), {r.region for r in parts}
+    assert len(cells) > 6 and len(parts) < 1.2 * n  # all windows with all cells would make eight times as many
+    in_cell = {}
+    for r in parts:
+        in_cell.setdefault(r.id, set()).add(r.region)
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                assert in_cell[i] & in_cell[j]
+    assert links > 100
+
+
 def test_jaccard_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in documents()]
     found = jaccard_regions.join(spark.read.parquet(f"{SF}/documents.parquet")).collect()
