@@ -20,8 +20,10 @@ Inside a region documents are joined as follows.
    give a pivot. A class is at home in the cell of a pivot within RADIUS * N; by the triangle
    inequality, what is linked with it is within RADIUS * N and the largest distance of a link, so
    each class goes to all cells within that window and nowhere else. Classes at home in no cell
-   form the rest. Cells and the rest are divided again, as long as they are large and get smaller;
-   others are dealt out in blocks of bounded size, what isn't in the largest component against all.
+   form the rest. Cells and the rest are divided again while they are large. A region whose cells
+   together have nearly as many pairs to compare as itself (all its classes are near one another) is
+   dealt out in blocks of bounded size instead, what isn't in its largest component against all;
+   so are small regions.
 3. Pairs of different components that these maps don't prove apart are verified exactly.
 
 Links between classes so found connect what all links connect. Set elements are 64-bit hashes
@@ -370,22 +372,29 @@ def divided(members: DataFrame, percent: int, pivots: int) -> DataFrame:
     link = 2 * (100 - percent) / (100 + percent)  # of N, the largest distance of two linked sets
 
     def run(batches):
+        last = None
         for batch in batches:
             cells, taken = [], []
-            columns = [batch.column(i).to_pylist() for i in (0, 4, 5, 6, 7)]
-            for i, (region, own, width, most, found) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(i).to_pylist() for i in (0, 4, 5, 6)]
+            for i, (region, own, width, most) in enumerate(zip(*columns, strict=True)):
                 words = width // 8
-                d = np.bitwise_count(np.stack([folded(as_words(p["map"]), words) for p in found]) ^ folded(as_words(own), words)).sum(1) if found else np.zeros(0)
-                to = [keyed(region, found[k]["id"]) for k in np.flatnonzero(d <= (RADIUS + link) * most + 1e-6).tolist()]
+                if region != last:  # rows of a region come together
+                    last, found = region, batch.column(7)[i].as_py() or []
+                    maps = np.stack([folded(as_words(p["map"]), words) for p in found]) if found else np.zeros((0, words), np.uint64)
+                    names, rest = [keyed(region, p["id"]) for p in found], keyed(region, -1, -1)
+                d = np.bitwise_count(maps ^ folded(as_words(own), words)).sum(1)
+                to = [names[k] for k in np.flatnonzero(d <= (RADIUS + link) * most + 1e-6).tolist()]
                 if not found or d.min() > RADIUS * most:
-                    to.append(keyed(region, -1, -1))
+                    to.append(rest)
                 cells += to
                 taken += [i] * len(to)
-            rows = batch.select([1, 2, 3, 4, 8]).take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *rows.columns], names=["region", "id", "n", "component", "map", "before"])
+            rows = batch.select([1, 2, 3, 4]).take(pa.array(taken, pa.int64()))
+            parents = batch.select([0, 8]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *rows.columns, *parents.columns], names=["region", "id", "n", "component", "map", "parent", "before"])
 
-    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "map", "width", "most_n", "pivots", "size")
-    return rows.mapInArrow(run, "region long, id long, n long, component long, map binary, before long")
+    pairs = (F.col("size") * (F.col("size") - F.col("largest"))).alias("pairs")
+    rows = members.join(chosen, "region", "left").select("region", "id", "n", "component", "map", "width", "most_n", "pivots", pairs)
+    return rows.mapInArrow(run, "region long, id long, n long, component long, map binary, parent long, before long")
 
 
 def open_cells(members: DataFrame) -> DataFrame:
@@ -468,10 +477,12 @@ def cells(members: DataFrame, percent: int, cell: int, pivots: int) -> DataFrame
     if not large.isEmpty():
         large = small_and_large(cut(open_cells(banded(large, percent)), "jaccard-bands"))
     while not large.isEmpty():
-        parts = small_and_large(cut(open_cells(divided(large, percent, pivots)), "jaccard-cells"))
-        stuck = F.col("size") > 0.7 * F.col("before")
-        done.append(blocks(parts.where(stuck)))
-        large = parts.where(~stuck).drop("before")
+        parts = cut(open_cells(divided(large, percent, pivots)), "jaccard-cells")
+        pairs = parts.groupBy("parent", "before", "region").agg(F.first(F.col("size") * (F.col("size") - F.col("largest"))).alias("pairs"))
+        stuck = pairs.groupBy("parent", "before").agg(F.sum("pairs").alias("pairs")).where("pairs > 0.7 * before").select("parent")
+        stuck = light(cut(stuck, "jaccard-stuck"))
+        done.append(blocks(large.join(stuck, F.col("region") == F.col("parent"), "left_semi")))
+        large = small_and_large(parts.join(stuck, "parent", "left_anti").drop("parent", "before"))
     return reduce(DataFrame.unionByName, done)
 
 
