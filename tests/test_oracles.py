@@ -5,9 +5,11 @@ import decimal
 import duckdb
 import pytest
 
-from inkglass.plans.queries import ORACLES, QUERIES
+from inkglass.plans import property_files
+from inkglass.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = core.QUERIES | property_files.QUERIES, core.ORACLES | property_files.ORACLES
 
 
 def plain(x):

@@ -50,5 +50,13 @@ def test_entry_without_llm():
     with tempfile.TemporaryDirectory() as to:
         shutil.copytree(f"{root}/inkglass", f"{to}/inkglass", ignore=shutil.ignore_patterns("llm"))
         shutil.copy(f"{root}/__spark_entry__.py", to)
-        code = "import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op')] and set(e.oracle_sql()) <= set(q)"
-        subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=100)
+        code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+
+q = e.queries()
+assert q and not [k for k in q if k.startswith("op") or k == "pipeline"] and set(e.oracle_sql()) <= set(q)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.entry(spark).count() == 200 and q["property_reports"](spark, "/root/testdata/sf0.001").count() == 200
+"""
+        subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=200)
