@@ -128,7 +128,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A column of the text's length, where there is one, follows the text."""
     own = cut(facts(docs, id_col, text_col, host_col), "line-facts")
     changed = verdicts(own, least_docs, share, left).where("NOT kept OR gone IS NOT NULL").select("doc_id", "host", "key", "kept", "gone").dropDuplicates(["doc_id", "host", "key"])
-    changed = light(cut(changed, "line-verdicts"))
+    changed = cut(changed, "line-verdicts")  # a part of all documents: joined by shuffle at every size
     rows = docs.select(F.struct(*docs.columns).alias("row"), *named(docs, id_col, text_col, host_col)).alias("d")
     found = rows.join(changed.alias("v"), F.expr("d.doc_id <=> v.doc_id AND d.key = v.key AND d.host <=> v.host"), "left").where(F.coalesce("v.kept", F.lit(True)))
     text = F.col(f"row.{text_col}")
