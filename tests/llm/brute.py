@@ -130,6 +130,62 @@ def quality(docs, least_docs=10, share=0.01, left=0.3):
     return out
 
 
+def quote_runs(text):
+    """[(level, non-empty normalised lines)] of a message's runs."""
+    import regex
+
+    lines = []
+    for x in (text or "").split("\n"):
+        body = re.sub(r"^[ \t>]*>[ \t]?", "", x)
+        lines.append((x[: len(x) - len(body)].count(">"), body))
+    levels = [-1 if n == 0 and i + 1 < len(lines) and lines[i + 1][0] > 0 and re.match(r"[ \t]*On[ \t].*[ \t]wrote[ \t]*:[ \t]*$", body) else n for i, (n, body) in enumerate(lines)]
+    runs = []
+    for n, (_, body) in zip(levels, lines, strict=True):
+        if not runs or runs[-1][0] != n:
+            runs.append((n, []))
+        if word := regex.sub(r"[^\p{L}\p{N}]+", " ", body.lower()).strip():
+            runs[-1][1].append(word)
+    return runs
+
+
+def quotations(messages):
+    """{(conv, turn): (n_passages, n_linked, quoted_conv, quoted_turn, parent, root, depth)}; messages: (conv, turn, text),
+    one text a place. Every passage is held against every other message."""
+    said, out = {}, {}
+    for c, t, text in messages:
+        own = [x for n, x in quote_runs(text) if n == 0 and x]
+        said[c, t] = {" ".join(x) for x in own} | {y for x in own if len(x) > 1 for y in x}
+    for c, t, text in messages:
+        passages = sorted((n, i, x) for i, (n, x) in enumerate(quote_runs(text)) if n > 0)
+        earlier = [p for p in said if not (p[0] == c and p[1] >= t)]
+        linked = []
+        for _, _, x in passages:
+            if not x:
+                continue
+            whole = [p for p in earlier if " ".join(x) in said[p]]
+            votes = {p: sum(y in said[p] for y in x) for p in earlier} if len(x) > 1 else {}
+            most = max(votes.values(), default=0)
+            of = whole or [p for p, n in votes.items() if n == most > 0]
+            if of:
+                linked.append(min(of, key=lambda p: (p[0] != c, p)))
+        out[c, t] = [len(passages), len(linked), *(linked[0] if linked else (None, None))]
+    for (c, t), row in out.items():
+        at, depth = t, 0
+        while out[c, at][2] == c:
+            at, depth = out[c, at][3], depth + 1
+        row += [row[3] if row[2] == c else None, at, depth]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def shard_load(sizes, shards):
+    """The least largest sum of contiguous parts, over all places of the cuts."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    best = sums.copy()
+    for _ in range(shards - 1):
+        best = np.array([min(max(best[k], sums[n] - sums[k]) for k in range(n + 1)) for n in range(len(sums))])
+    return int(best[-1])
+
+
 def archive(pages):
     first = {}
     for p, _, html in pages:

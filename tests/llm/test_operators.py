@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -199,6 +200,28 @@ def test_shards(spark):
     assert minimax_shards.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("shards", [3, 7])
+def test_shards_by_brute_force(spark, shards):
+    import xxhash
+
+    rng = random.Random(shards)
+    texts = ["x" * rng.randrange(400) + str(i) for i in range(50)]
+    rows = [(i, rng.choice(texts)) for i in range(300)] + [(1000 + i, texts[0]) for i in range(100)]
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t].append(d)
+    order = sorted(groups, key=lambda t: (xxhash.xxh64(t, seed=42).intdigest() >> 46, t))
+    assert len({xxhash.xxh64(t, seed=42).intdigest() >> 46 for t in order}) == len(order)
+    found = {r.doc_id: r for r in minimax_shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()}
+    totals, last = Counter(), 0
+    for t in order:
+        at = {found[d].shard for d in groups[t]}
+        assert len(at) == 1 and last <= min(at)
+        last = min(at)
+        totals[last] += (len(t) + 16) * len(groups[t])
+    assert max(totals.values()) == brute.shard_load([(len(t) + 16) * len(groups[t]) for t in order], shards)
+
+
 def near_texts(rng, groups=12, words=60):
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(25)]
@@ -439,6 +462,30 @@ def test_quotes_of_many_originals(spark, monkeypatch):
     assert found[1, 0] == (5, 3) and found[8, 0] == (7, 0) and found[9, 1] == (9, 0)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotes_by_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(quotes, "SALT_ROWS", 2)
+    rng = random.Random(seed)
+    said = [f"line {w} of many" for w in "abcdefgh"] + ["...", "", "line a of many line b of many", "Über 12"]
+    written = lambda x: rng.choice((x, x.upper(), x.replace(" ", "  "), x + "!"))
+
+    def message():
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            mark = rng.choice(("", "", "> ", ">", ">> ", "> > "))
+            if mark and rng.random() < 0.3:
+                out.append("On Monday, A wrote:")
+            out += [mark + written(rng.choice(said)) for _ in range(rng.randrange(1, 4))]
+        return "\n".join(out)
+
+    rows = [(c, t, message()) for c in range(8) for t in rng.sample(range(12), 7)]
+    expected = brute.quotations(rows)
+    assert sum(r[1] > 0 for r in expected.values()) > 10 and any(r[6] > 1 for r in expected.values())
+    found = quotes.link(spark.createDataFrame([(c, t, "u", x) for c, t, x in [*rows, *rows[:5]]], "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == len(rows) + 5
+    assert {(r.conv_id, r.turn): (r.n_passages, r.n_linked, r.quoted_conv, r.quoted_turn, r.parent_turn, r.root_turn, r.depth) for r in found} == expected
+
+
 def test_warc(spark, tmp_path):
     rows = [(r["page_id"], r["url"], r["html"]) for r in documents("pages")]
     rows += [(9000, None, None), (9001, "http://a/\r\nX: 1", ""), (9002, "u", rows[0][2]), (9002, "u", rows[0][2]), (None, "u", rows[0][2]), (None, "u", "alone"), (8999, "v", "WARC/1.1\r\n\r\n" * 50_000)]
