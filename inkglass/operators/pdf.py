@@ -1,10 +1,12 @@
-"""PDF: raw scan of tokens, and a small bounded reader of objects in plain form. Object streams,
-encrypted files and damaged ones are not opened; coverage says so."""
+"""PDF: raw scan of tokens, and a small bounded reader of objects, in plain form or in object
+streams compressed by Flate or not at all. Encrypted files and damaged ones, and object streams of
+other filters or with predictors, are not opened; coverage says so."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 from inkglass.functions import limits
@@ -18,6 +20,8 @@ TOKEN = re.compile(rb"\s+|%[^\r\n]*|<<|>>|\[|\]|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|\
 #: Info entries.
 INFO = {"Title": "pdf.title", "Author": "pdf.author", "Subject": "pdf.subject", "Keywords": "pdf.keywords", "Creator": "pdf.creator", "Producer": "pdf.producer", "CreationDate": "pdf.created", "ModDate": "pdf.modified"}
 KNOWN_INFO = {*INFO, "Trapped"}
+#: Bytes of one object stream and of all of a file, opened.
+PACKED_BYTES, PACKED_TOTAL = 4 * limits.MIB, 32 * limits.MIB
 SCRIPT = {"JavaScript", "JS"}
 ACTIONS = {"OpenAction", "AA", "Launch", "SubmitForm", "ImportData", "GoToR", "GoToE"}
 
@@ -110,23 +114,55 @@ def parse(data: bytes, at: int, most: int = 20_000):
 
 
 class Document:
-    """Objects by number (the last one wins), read when they are asked for."""
+    """Objects by number (the last one wins), read when they are asked for. An object in a stream
+    stands where its stream does."""
 
     def __init__(self, data: bytes):
         self.data = data
-        self.places = {int(m[1]): m.end() for m in OBJECT.finditer(data)}
         self.read: dict[int, object] = {}
         self.trailer: dict = {}
-        for m in re.finditer(rb"\btrailer\b", data):
-            value, _ = parse(data, m.end())
+        self.closed_streams = self.opened_streams = 0
+        found = [(m.start(), m.end(), int(m[1])) for m in OBJECT.finditer(data)]
+        self.places = {number: end for _, end, number in found}
+        self.packed: dict[int, tuple[bytes, int]] = {}
+        ends = [m.end() for m in re.finditer(rb"\btrailer\b", data)]
+        holders = self.holders([end for _, end, _ in found])
+        for at in sorted([*ends, *(at for at, kind in holders if kind == "XRef")]):
+            value, _ = parse(data, at)
             if isinstance(value, dict):
                 self.trailer |= value
+        if "Encrypt" not in self.trailer:
+            self.unpack([at for at, kind in holders if kind == "ObjStm"])
+
+    def holders(self, starts: list[int]) -> list[tuple[int, str]]:
+        """Where objects of the types ObjStm and XRef begin, in file order."""
+        near = sorted({bisect_right(starts, m.start()) - 1 for m in re.finditer(rb"/(?:ObjStm|XRef)\b", self.data)})
+        heads = ((starts[i], parse(self.data, starts[i])[0]) for i in near if i >= 0)
+        return [(at, head["Type"]) for at, head in heads if isinstance(head, dict) and head.get("Type") in ("ObjStm", "XRef")]
+
+    def unpack(self, streams: list[int]) -> None:
+        """Notes where the objects in streams are; values are parsed when asked for."""
+        left, stood = PACKED_TOTAL, dict(self.places)
+        for at in streams:
+            body, head = self.body(at, min(left, PACKED_BYTES))
+            first, n = (self.get(head.get(k)) for k in ("First", "N"))
+            if body is None or not isinstance(first, int) or not isinstance(n, int):
+                self.closed_streams += 1
+                continue
+            left -= len(body)
+            self.opened_streams += 1
+            numbers = [int(x) for x in re.findall(rb"[0-9]{1,10}", body[: max(first, 0)])[: 2 * max(n, 0)]]
+            for number, offset in zip(numbers[::2], numbers[1::2], strict=False):
+                if stood.get(number, -1) <= at:
+                    stood[number] = at
+                    self.packed[number] = (body, first + offset)
+                    self.read.pop(number, None)
 
     def get(self, value, depth: int = 0):
         while isinstance(value, Ref) and depth < 8:
             if value not in self.read:
-                at = self.places.get(int(value))
-                self.read[value] = parse(self.data, at)[0] if at is not None else None
+                source, at = self.packed.get(int(value)) or (self.data, self.places.get(int(value)))
+                self.read[value] = parse(source, at)[0] if at is not None else None
             value, depth = self.read[value], depth + 1
         return value
 
@@ -140,21 +176,26 @@ class Document:
 
     def stream(self, ref) -> bytes | None:
         at = self.places.get(int(ref)) if isinstance(ref, Ref) else None
-        if at is None:
-            return None
+        return None if at is None else self.body(at, limits.XMP_BYTES)[0]
+
+    def body(self, at: int, most: int) -> tuple[bytes | None, dict]:
+        """What the stream that begins at `at` holds, up to so many bytes, and its dictionary."""
         head, end = parse(self.data, at)
+        if not isinstance(head, dict):
+            return None, {}
         m = re.compile(rb"\s*stream\r?\n").match(self.data, end)
-        if not isinstance(head, dict) or not m:
-            return None
+        if not m or most <= 0:
+            return None, head
         stop = self.data.find(b"endstream", m.end())
-        raw = self.data[m.end() : stop if stop >= 0 else len(self.data)][: limits.XMP_BYTES]
-        kind = self.get(head.get("Filter"))
-        if kind in ("FlateDecode", ["FlateDecode"]):
+        raw = self.data[m.end() : stop if stop >= 0 else len(self.data)]
+        kind, how = self.get(head.get("Filter")), self.get(head.get("DecodeParms"))
+        predicted = any(self.dictionary(x).get("Predictor", 1) != 1 for x in (how if isinstance(how, list) else [how]))
+        if kind in ("FlateDecode", ["FlateDecode"]) and not predicted:
             try:
-                return zlib.decompressobj().decompress(raw, limits.XMP_BYTES)
+                return zlib.decompressobj().decompress(raw, most), head
             except zlib.error:
-                return None
-        return raw if kind is None else None
+                return None, head
+        return (raw[:most] if kind in (None, []) else None), head
 
     def pages(self) -> list[dict]:
         root = self.dictionary(self.trailer.get("Root"))
@@ -200,7 +241,7 @@ def inspect(data: bytes, sink: Findings) -> dict:
     if locked:
         add("pdf.encrypted", "trailer", "the file is encrypted and was not opened", status="unsupported")
     elif not root:
-        add("pdf.malformed", "trailer", "no catalogue was found in plain form" + (" (object streams are not opened)" if "ObjStm" in tokens else ""), status="unavailable" if "ObjStm" in tokens else "suspicious")
+        add("pdf.malformed", "trailer", "no catalogue was found" + (" (object streams could not be opened)" if "ObjStm" in tokens else ""), status="unavailable" if "ObjStm" in tokens else "suspicious")
     n_pages, annotations, authors, urls, layers = 0, Counter(), [], [], []
     if readable:
         info = doc.dictionary(doc.trailer.get("Info"))
@@ -273,6 +314,9 @@ def inspect(data: bytes, sink: Findings) -> dict:
         layers, off = doc.items(groups.get("OCGs")), doc.items(doc.dictionary(groups.get("D")).get("OFF"))
         if layers:
             add("pdf.layers", "OCProperties", f"{len(layers)} layers, {len(off)} hidden")
+    if doc.closed_streams:
+        add("pdf.limit", "object streams", f"{doc.closed_streams} of {doc.closed_streams + doc.opened_streams} object streams were not opened", status="unsupported")
+    sink.add("pdf.hidden-text", "What is inspected", status="unsupported")
     if raw["ids"]:
         add("pdf.document-id", "trailer ID", raw["ids"][0] + (", second id differs" if raw["ids"][0] != raw["ids"][1] else ""))
     hints = {"pdf.javascript": SCRIPT, "pdf.actions": ACTIONS, "pdf.attachments": {"EmbeddedFile", "EmbeddedFiles"}, "pdf.forms": {"AcroForm", "XFA"}, "pdf.signature": {"ByteRange", "Sig"}, "pdf.encrypted": {"Encrypt"}}
@@ -289,7 +333,7 @@ def inspect(data: bytes, sink: Findings) -> dict:
         sink.add("pdf.truncated", "PDF end marks", "the last part has no end mark", status="suspicious")
     if raw["version"]:
         sink.add("pdf.version", "PDF header", raw["version"])
-    for area, state in (("Information dictionary", "inspected" if readable else "not-inspected"), ("XMP", "partial" if readable else "not-inspected"), ("Attachments", "partial"), ("Actions", "partial"), ("Annotations and forms", "partial" if readable else "not-inspected"), ("Object streams", "not-inspected" if "ObjStm" in tokens else "inspected"), ("Page content", "not-inspected"), ("Hidden text", "not-inspected")):
+    for area, state in (("Information dictionary", "inspected" if readable else "not-inspected"), ("XMP", "partial" if readable else "not-inspected"), ("Attachments", "partial"), ("Actions", "partial"), ("Annotations and forms", "partial" if readable else "not-inspected"), ("Object streams", "not-inspected" if "ObjStm" in tokens and not doc.opened_streams else "partial" if doc.closed_streams else "inspected"), ("Page content", "not-inspected"), ("Hidden text", "not-inspected")):
         sink.cover(area, state)
     if locked:
         sink.cover("Encrypted content", "not-inspected")

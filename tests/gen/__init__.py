@@ -136,6 +136,22 @@ startxref
 """
 
 
+def object_stream(number: int, objects: dict[int, bytes], more: bytes = b"", packed=zlib.compress) -> bytes:
+    table, body = [], b""
+    for n, value in objects.items():
+        table.append(b"%d %d" % (n, len(body)))
+        body += value + b"\n"
+    first = b" ".join(table) + b"\n"
+    data = packed(first + body)
+    return b"%d 0 obj\n<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d %s >>\nstream\n" % (number, len(objects), len(first), len(data), more) + data + b"\nendstream\nendobj\n"
+
+
+def packed_pdf(more: bytes = b"", info: bytes = b"<< /Title (Packed) /Author (Ann) >>", trailer: bytes = b"", parms: bytes = b"") -> bytes:
+    """Catalogue, pages and properties in an object stream, a cross-reference stream in place of the trailer."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R /OpenAction << /S /JavaScript /JS (app.alert) >> >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R >>", 4: info}
+    return b"%PDF-1.5\n" + object_stream(9, objects, parms) + more + b"10 0 obj\n<< /Type /XRef /Size 11 /W [1 2 1] /Root 1 0 R /Info 4 0 R " + trailer + b">>\nstream\n\nendstream\nendobj\nstartxref\n0\n%%EOF\n"
+
+
 def docx(**more: str | bytes) -> bytes:
     """Parts by name; defaults make a small document."""
     w = 'xmlns:w="w"'

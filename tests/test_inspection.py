@@ -55,6 +55,31 @@ def test_png_findings():
     assert set(codes(SAMPLES["clean.png"])) == {"image.dimensions"}
 
 
+def test_pdf_object_streams():
+    found = codes(gen.packed_pdf())
+    assert found["pdf.title"] == ["Packed"] and found["pdf.author"] == ["Ann"] and found["pdf.pages"] == ["1 pages"] and found["pdf.javascript"] == ["when opened"]
+    assert "pdf.malformed" not in found and "pdf.limit" not in found and found["pdf.hidden-text"] == [None]
+    # what stands later in the file wins, in plain form or in a stream
+    assert codes(gen.packed_pdf(b"4 0 obj\n<< /Title (Plain) >>\nendobj\n"))["pdf.title"] == ["Plain"]
+    later = gen.object_stream(11, {4: b"<< /Title (Newer) >>"})
+    found = codes(gen.packed_pdf(b"4 0 obj\n<< /Title (Plain) >>\nendobj\n" + later))
+    assert found["pdf.title"] == ["Newer"] and "pdf.author" not in found
+    # predictors, damage, encryption
+    found = codes(gen.packed_pdf(parms=b"/DecodeParms << /Predictor 12 >>"))
+    assert "pdf.title" not in found and found["pdf.limit"] == ["1 of 1 object streams were not opened"] and "could not be opened" in found["pdf.malformed"][0]
+    assert codes(gen.packed_pdf(gen.object_stream(11, {4: b"<< >>"}, packed=lambda x: b"no")))["pdf.limit"] == ["1 of 2 object streams were not opened"]
+    found = codes(gen.packed_pdf(trailer=b"/Encrypt 12 0 R "))
+    assert "pdf.encrypted" in found and "pdf.title" not in found and "pdf.limit" not in found
+    # a stream of 64 MiB of zeros is read up to its limit
+    assert "pdf.title" not in codes(gen.packed_pdf(info=bytes(64 << 20) + b"<< /Title (far) >>"))
+    rng = random.Random(5)
+    for _ in range(200):
+        data = bytearray(gen.packed_pdf(later))
+        for _ in range(rng.randrange(1, 12)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        codes(bytes(data))
+
+
 def test_pdf_and_docx_findings():
     found = codes(SAMPLES["plain.pdf"])
     assert found["pdf.title"] == ["A (small) title"] and found["pdf.author"] == ["Ann"] and found["pdf.created"] == ["2020-01-02 03:04:05 UTC+01:00"] and found["pdf.custom"] == ["Custom: mine"] and found["pdf.version"] == ["1.7"]
