@@ -85,7 +85,17 @@ def docx_file(text: str, n: int) -> bytes:
 
 
 def pdf_file(text: str, n: int) -> bytes:
-    return f"%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [] /Count 0 >>\nendobj\n3 0 obj\n<< /Title ({text}) /Author (Author {n}) /CreationDate (D:202001{1 + n % 28:02d}101112Z) >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF\n".encode()
+    """Every other one has its objects in an object stream."""
+    objects = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [] /Count 0 >>", 3: f"<< /Title ({text}) /Author (Author {n}) /CreationDate (D:202001{1 + n % 28:02d}101112Z) >>"}
+    if n % 8 == 7:
+        starts, body = "", ""
+        for number, value in objects.items():
+            starts += f"{number} {len(body)} "
+            body += value + " "
+        data = zlib.compress((starts + body).encode())
+        return f"%PDF-1.7\n4 0 obj\n<< /Type /ObjStm /N {len(objects)} /First {len(starts)} /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream\nendobj\n5 0 obj\n<< /Type /XRef /Size 6 /W [1 2 1] /Root 1 0 R /Info 3 0 R >>\nstream\n\nendstream\nendobj\n%%EOF\n"
+    plain = "".join(f"{number} 0 obj\n{value}\nendobj\n" for number, value in objects.items())
+    return f"%PDF-1.7\n{plain}trailer\n<< /Root 1 0 R /Info 3 0 R >>\n%%EOF\n".encode()
 
 
 MAKERS = (jpeg_file, png_file, docx_file, pdf_file)

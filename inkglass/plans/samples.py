@@ -44,6 +44,21 @@ def jpeg_of(text: Column) -> Column:
     return F.concat(lit("ffd8"), segment("e0", lit("4a46494600010201004800480000")), segment("e1", exif), notes, frame, scan, F.encode(F.lit("after the end"), "US-ASCII"))
 
 
+def many_comments(spark: SparkSession, n_files: int, comments: int = 700) -> DataFrame:
+    """file_id, name, declared_type, content: pictures with more comments than a list of findings shows."""
+    notes = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(comments - 1)), lambda i: segment("fe", F.encode(F.concat(F.lit("made-up note "), i), "UTF-8"))), lit(""), lambda a, b: F.concat(a, b))
+    data = F.concat(lit("ffd8"), notes, lit("ffc0000b080030004001011100"), lit("ffda0008010100003f00" + "1234ff00560078" + "ffd9"))
+    return spark.range(n_files).select(F.col("id").cast("string").alias("file_id"), F.concat(F.lit("many"), "id", F.lit(".jpg")).alias("name"), F.lit(None).cast("string").alias("declared_type"), data.alias("content"))
+
+
+def many_pages(spark: SparkSession, n_files: int, pages: int = 5000) -> DataFrame:
+    """file_id, name, declared_type, content: documents with more pages than are read, each with an annotation."""
+    kids = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 R"))), " ")
+    leaves = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda i: F.concat((i + 3).cast("string"), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Annots [<< /Subtype /Text >>] >>\nendobj\n"))), "")
+    data = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids ["), kids, F.lit(f"] /Count {pages} >>\nendobj\n"), leaves, F.lit("trailer\n<< /Root 1 0 R >>\n%%EOF\n"))
+    return spark.range(n_files).select(F.col("id").cast("string").alias("file_id"), F.concat(F.lit("pages"), "id", F.lit(".pdf")).alias("name"), F.lit(None).cast("string").alias("declared_type"), F.encode(data, "US-ASCII").alias("content"))
+
+
 def chunk(name: str, body: Column) -> Column:
     typed = F.concat(F.encode(F.lit(name), "US-ASCII"), body)
     return F.concat(number(F.octet_length(body), 4), typed, number(F.crc32(typed), 4))

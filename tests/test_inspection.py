@@ -1,18 +1,21 @@
 """Walkers, findings, copies, verification and the stream, on generated files."""
 
 import random
+import time
 import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkglass.functions.catalog import BY_CODE
 from inkglass.operators import docx, jpeg, packets, pdf, png
 from inkglass.operators.bytesio import inflate
 from inkglass.plans import inspect as plan
 from inkglass.plans import findings as model
-from inkglass.plans import removal
+from inkglass.plans import removal, samples
 from inkglass.sources import files
+from inkglass.streaming.progress import Progress
 from inkglass.streaming.stream import inspect_stream
 
 from . import gen
@@ -130,7 +133,6 @@ def table(spark):
 
 def test_fingerprints_and_findings(spark, table):
     zips = [n for n, b in SAMPLES.items() if plan.format_of(b) == "docx"]
-    from pyspark.sql import functions as F
 
     prints = files.fingerprint(table, F.col("file_id").isin(zips))
     by = {r.file_id: r for r in prints.collect()}
@@ -191,7 +193,6 @@ def test_copies_and_checks(spark, table):
     assert {v for k, v in status.items() if k[1] == "decode"} == {"skipped"}
     assert not {k: v for k, v in status.items() if v == "fail"}
     # a copy whose picture was changed, and one from which nothing was removed
-    from pyspark.sql import functions as F
 
     out = made["full.jpg"].output
     bad = out.replace(b"\x12\x34", b"\x12\x35")
@@ -210,5 +211,22 @@ def test_read_and_stream(spark, tmp_path):
     rows = files.read_files(spark, f"{tmp_path}/in")
     assert rows.count() == len(SAMPLES) - 1 and files.refused(spark, f"{tmp_path}/in").count() == 0
     assert "PushedFilters: [IsNotNull(length), GreaterThanOrEqual(length,1)" in spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
-    inspect_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(100)
+    spark.streams.addListener(progress := Progress())
+    query = inspect_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state")
+    query.awaitTermination(100)
+    for _ in range(100):
+        if progress.now.get(str(query.runId), ("",))[0] == "done":
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert progress.now[str(query.runId)] == ("done", len(SAMPLES) - 1)
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(SAMPLES) - 1
+
+
+def test_stress_files(spark):
+    rows = model.capped(plan.findings(plan.inspect(samples.many_comments(spark, 3))))
+    per = {r.file_id: r for r in rows.groupBy("file_id").agg(F.count_if(F.col("code") == "jpeg.comment").alias("comments"), F.count_if(F.col("code") == "limit.findings").alias("notices"), F.count("*").alias("n")).collect()}
+    assert set(per) == {"0", "1", "2"} and all(600 <= r.n <= 701 and 590 < r.comments <= 600 and r.notices == 1 for r in per.values())
+    assert model.capped(plan.findings(plan.inspect(samples.many_comments(spark, 1, 20)))).where("code = 'limit.findings'").isEmpty()
+    found = codes(samples.many_pages(spark, 1).first().content)
+    assert found["pdf.pages"] == ["5000 pages"] and found["pdf.annotations"] == ["Text (200)"] and len(found["pdf.limit"]) == 1
