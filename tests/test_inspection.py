@@ -133,7 +133,6 @@ def table(spark):
 
 def test_fingerprints_and_findings(spark, table):
     zips = [n for n, b in SAMPLES.items() if plan.format_of(b) == "docx"]
-
     prints = files.fingerprint(table, F.col("file_id").isin(zips))
     by = {r.file_id: r for r in prints.collect()}
     assert {n: r.detected_format for n, r in by.items()} == {n: plan.format_of(b) for n, b in SAMPLES.items()}
@@ -193,7 +192,6 @@ def test_copies_and_checks(spark, table):
     assert {v for k, v in status.items() if k[1] == "decode"} == {"skipped"}
     assert not {k: v for k, v in status.items() if v == "fail"}
     # a copy whose picture was changed, and one from which nothing was removed
-
     out = made["full.jpg"].output
     bad = out.replace(b"\x12\x34", b"\x12\x35")
     worse = copies.where("file_id = 'full.jpg'").withColumn("output", F.lit(bad))
