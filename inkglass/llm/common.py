@@ -62,6 +62,26 @@ def light(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(rows) if size <= most else rows
 
 
+#: A group with this share of all rows is one of at most so many: its row is broadcast.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], size: str) -> DataFrame:
+    """rows with the columns of their group, null where they have none. Both were written before; groups has a
+    row for each value of `by`, whose column `size` counts its rows. The rows of groups with a thousandth of all
+    or more, of which there are a thousand at most, are joined by broadcast where they lie; only the others are
+    dealt by their key. Null keys match."""
+    total = rows.count()
+    matches = lambda g: [F.col(f"r.{c}").eqNullSafe(F.col(f"{g}.{c}")) for c in by]
+    more = [c for c in groups.columns if c not in by]
+    heavy = F.broadcast(groups.filter(F.col(size) * HEAVY >= total)).alias("h")
+    left = rows.alias("r")
+    found = left.join(heavy, matches("h")).select("r.*", *(f"h.{c}" for c in more))
+    others = left.join(heavy, matches("h"), "left_anti").alias("r")
+    light_ones = groups.filter(F.col(size) * HEAVY < total).alias("g")
+    return found.unionByName(others.join(light_ones, matches("g"), "left").select("r.*", *(f"g.{c}" for c in more)))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkglass.llm import decontaminate, jaccard_regions, line_edits, line_rules, minimax_shards, pair_index_bpe, quotes, repair_files, url_rules, warc_members
+from inkglass.llm import decontaminate, exact_copies, jaccard_regions, line_edits, line_rules, minimax_shards, pair_index_bpe, quotes, repair_files, token_alignment, url_rules, vector_codes, warc_members
 from inkglass.llm.common import table
 
 #: Where the vocabulary files of public tokenizers are, on every machine.
-TOKENIZERS = os.environ.get("INKGLASS_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("INKGLASS_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_repair_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -58,7 +59,37 @@ def op10_pair_index_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKE
     return pair_index_bpe.round_trip(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_token_files, op2_quotation_links, op3_line_edit_join, op4_decontaminate, op5_minimax_shards, op6_jaccard_regions, op7_line_rules, op8_warc_members, op9_url_rules, op10_pair_index_bpe)}
+def op11_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies.report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repair_token_files, op2_quotation_links, op3_line_edit_join, op4_decontaminate, op5_minimax_shards, op6_jaccard_regions, op7_line_rules, op8_warc_members, op9_url_rules, op10_pair_index_bpe, op11_exact_copies, op12_token_alignment, op13_vector_codes)}
+
+def codes_sql(rounds: int) -> str:
+    """Operator 13 in SQL: a pair of relations (nearest entries, new codebook) for each round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, min(gap) AS gap, arg_min(e, gap * 100 + e) AS e FROM (SELECT r, p, e, sum((x - c) * (x - c)) AS gap FROM v JOIN b{k} USING (p, j) GROUP BY r, p, e) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT o.p, o.e, o.j, coalesce(m.c, o.c) AS c FROM b{k} o LEFT JOIN (SELECT p, e, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM v JOIN a{k} USING (r, p) GROUP BY p, e, j) m USING (p, e, j))""")
+    return f"""
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding, len(embedding) // 8 AS w FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        v AS MATERIALIZED (SELECT r, (i - 1) // w AS p, (i - 1) % w AS j, CAST(floor(4096 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT *, unnest(range(1, 8 * w + 1)) AS i FROM k)),
+        b0 AS MATERIALIZED (SELECT p, r - 1 AS e, j, x AS c FROM v WHERE r <= 16),
+        {", ".join(steps)},
+        codes AS (SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(gap) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+        books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN codes USING (r), books"""
+
 
 ORACLES = {
     # fast enough over whole tables at sf0.01 (windows of items against words in place)
@@ -119,4 +150,9 @@ ORACLES = {
         m AS (SELECT h.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict FROM h JOIN r ON ((h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)) GROUP BY h.page_id)
         SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, CASE WHEN regexp_matches(url, '(?i)([?&](sessionid|phpsessid|jsessionid)=|/calendar/[0-9]{4}/|/(login|signin|logout)([/?#]|$)|/cart/(add|remove)([/?#]|$)|^https?://([^/?#]*\.)?adserver\.|\.(jpe?g|png|gif|webp|svg)([?#]|$))') THEN 'block' ELSE 'allow' END) AS verdict
         FROM h LEFT JOIN m USING (page_id)""",
+    "op11_exact_copies": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', '', 'g') AS norm FROM documents),
+        g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM d GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
+    "op13_vector_codes": codes_sql(6),
 }
