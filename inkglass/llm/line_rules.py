@@ -68,7 +68,7 @@ def covered(windows: Column, n: int = WINDOW) -> Column:
 
 def normal(line: Column) -> Column:
     def of(low: Column) -> Column:
-        return bind(lambda x: F.when(x != "", x).otherwise(F.regexp_replace(low, f"{SPACE}+", "")), F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""))
+        return bind(lambda x: F.when(x != "", x).otherwise(F.regexp_replace(low, f"{SPACE}+", "")), F.regexp_replace(low, r"[^\p{L}\p{M}\p{N}]+", ""))
     return bind(of, F.lower(line))
 
 

@@ -123,7 +123,7 @@ ORACLES = {
     "op7_line_rules": r"""
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
         l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
-        n AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words, regexp_replace(lower(line), '[^\pL\pN]+', '', 'g') AS letters FROM l),
+        n AS (SELECT *, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS words, regexp_replace(lower(line), '[^\pL\pM\pN]+', '', 'g') AS letters FROM l),
         m AS (SELECT *, CASE WHEN letters <> '' THEN letters ELSE regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', '', 'g') END AS norm FROM n),
         hosts AS (SELECT source, count(DISTINCT text) AS n_docs FROM d GROUP BY source),
         often AS (SELECT source, norm, count(DISTINCT text) AS n FROM m WHERE norm <> '' GROUP BY source, norm HAVING count(DISTINCT text) >= 10),

@@ -43,7 +43,7 @@ ATTRIBUTION = r"^[ \t]*(?:On[ \t].*[ \t]wrote|Am[ \t].*[ \t]schrieb.*|Le[ \t].*[
 
 
 def normal(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")
+    return F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " ")
 
 
 def parsed(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:

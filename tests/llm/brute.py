@@ -110,7 +110,7 @@ def normal_line(line):
     import regex
 
     low = line.lower()
-    return regex.sub(r"[^\p{L}\p{N}]+", "", low) or re.sub("[\x20\x09-\x0D]+", "", low)
+    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", "", low) or re.sub("[\x20\x09-\x0D]+", "", low)
 
 
 def quality(docs, least_docs=10, share=0.01, left=0.3):
@@ -143,7 +143,7 @@ def quote_runs(text):
     for n, (_, body) in zip(levels, lines, strict=True):
         if not runs or runs[-1][0] != n:
             runs.append((n, []))
-        if word := regex.sub(r"[^\p{L}\p{N}]+", " ", body.lower()).strip():
+        if word := regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", body.lower()).strip():
             runs[-1][1].append(word)
     return runs
 
