@@ -55,11 +55,14 @@ def row_bytes(schema: T.StructType) -> Column:
     return total.cast("long")
 
 
+def fits(rows: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """If rows (written before) are counted to take at most so many bytes."""
+    return (rows.agg(F.sum(row_bytes(rows.schema))).first()[0] or 0) <= most
+
+
 def light(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """rows (written before), to be broadcast if they are counted to take at most so many bytes, else
-    joined by shuffle. The result is the same."""
-    size = rows.agg(F.sum(row_bytes(rows.schema))).first()[0] or 0
-    return F.broadcast(rows) if size <= most else rows
+    """rows (written before), to be broadcast if they fit, else joined by shuffle. The result is the same."""
+    return F.broadcast(rows) if fits(rows, most) else rows
 
 
 #: A group with this share of all rows is one of at most so many: its row is broadcast.
