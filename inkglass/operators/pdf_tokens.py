@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names whose number tells something.
+#: Names whose number tells something, ascending.
 WATCHED = (
-    "JavaScript", "JS", "OpenAction", "AA", "Launch", "SubmitForm", "ImportData", "GoToR", "GoToE", "URI", "EmbeddedFile", "EmbeddedFiles", "Filespec", "AcroForm",
-    "XFA", "Sig", "ByteRange", "Encrypt", "ObjStm", "RichMedia", "Movie", "Sound", "Annots", "Metadata", "Linearized",
+    "3D", "AA", "AcroForm", "Annots", "ByteRange", "EmbeddedFile", "EmbeddedFiles", "Encrypt", "GoToE", "GoToR", "ImportData", "JS", "JavaScript",
+    "Launch", "Linearized", "Metadata", "Movie", "OCProperties", "ObjStm", "OpenAction", "RichMedia", "Sound", "SubmitForm", "URI", "XFA",
 )
 STOP = r"\x00\t\n\f\r ()<>\[\]{}/%"
 

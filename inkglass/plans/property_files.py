@@ -51,12 +51,24 @@ def profile(description: str) -> bytes:
     return bytes(head) + struct.pack(">I", 1) + b"desc" + struct.pack(">II", 144, len(body)) + body
 
 
+#: What the JPEG files hold: every XMP property and IPTC dataset that is itemised, by the code of its finding.
+MADE_XMP = {
+    "xmp.creator": ["dc:creator"], "xmp.rights": ["dc:rights"], "xmp.tool": ["xmp:CreatorTool"], "xmp.agent": ["stEvt:softwareAgent"], "xmp.date": ["xmp:CreateDate", "xmp:ModifyDate", "xmp:MetadataDate", "photoshop:DateCreated"],
+    "xmp.title": ["dc:title"], "xmp.description": ["dc:description"], "xmp.keywords": ["dc:subject"], "xmp.document-id": ["xmpMM:DocumentID", "xmpMM:InstanceID", "xmpMM:OriginalDocumentID"], "xmp.device": ["tiff:Make", "tiff:Model"],
+    "xmp.location": ["photoshop:City", "photoshop:State", "photoshop:Country", "exif:GPSLatitude", "exif:GPSLongitude"],
+}
+MADE_IPTC = {"iptc.headline": [5, 105], "iptc.keywords": [25], "iptc.date": [55, 60], "iptc.byline": [80, 122], "iptc.location": [90, 92, 95, 101], "iptc.credit": [110, 115], "iptc.copyright": [116], "iptc.caption": [120]}
+#: Made in another form below.
+APART = {"dc:creator", "xmp:CreatorTool", "dc:title", 120}
+
+
 def jpeg_file(text: str, n: int) -> bytes:
     part = lambda marker, body: bytes([0xFF, marker]) + struct.pack(">H", len(body) + 2) + body
     digest = hashlib.sha1(text.encode()).hexdigest()  # a segment holds 65,533 bytes, so only comments have the whole text
     notes = [text[at : at + COMMENT_CHARS] for at in range(0, max(len(text), 1), COMMENT_CHARS)]
-    xmp = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description xmp:CreatorTool="Tool &amp; {n}"><dc:creator><rdf:Seq><rdf:li>First {n}</rdf:li><rdf:li>Second {n}</rdf:li></rdf:Seq></dc:creator><dc:title>Title {n}</dc:title></rdf:Description></rdf:RDF></x:xmpmeta>'
-    sets = b"".join(b"\x1c\x02" + bytes([kind]) + struct.pack(">H", len(v)) + v.encode() for kind, v in ((80, f"Byline {n}"), (120, digest), (25, f"Keyword {n}")))
+    more = "".join(f' {p}="{p} {n}"' for names in MADE_XMP.values() for p in names if p not in APART)
+    xmp = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF><rdf:Description xmp:CreatorTool="Tool &amp; {n}"{more}><dc:creator><rdf:Seq><rdf:li>First {n}</rdf:li><rdf:li>Second {n}</rdf:li></rdf:Seq></dc:creator><dc:title>Title {n}</dc:title></rdf:Description></rdf:RDF></x:xmpmeta>'
+    sets = b"".join(b"\x1c\x02" + bytes([kind]) + struct.pack(">H", len(v)) + v.encode() for kind in sorted(k for kinds in MADE_IPTC.values() for k in kinds) for v in [digest if kind == 120 else f"Set {kind} {n}"])
     block = b"Photoshop 3.0\0" + b"8BIM\x04\x04\0\0" + struct.pack(">I", len(sets)) + sets + b"\0" * (len(sets) % 2)
     return b"".join([
         b"\xff\xd8", part(0xE0, b"JFIF\0\1\2\1\0\x48\0\x48\0\0"), part(0xE1, b"Exif\0\0" + exif(digest, n)), part(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + xmp.encode()), part(0xE2, b"ICC_PROFILE\0\1\1" + profile(f"Profile {n}")),
@@ -120,7 +132,7 @@ def property_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Findings whose values follow from what was put in.
 CODES = (
-    "exif.make", "exif.model", "exif.orientation", "exif.software", "exif.datetime", "exif.artist", "exif.copyright", "xmp.creator", "xmp.tool", "xmp.title", "iptc.byline", "iptc.caption", "iptc.keywords", "icc.profile", "jpeg.comment", "image.dimensions",
+    "exif.make", "exif.model", "exif.orientation", "exif.software", "exif.datetime", "exif.artist", "exif.copyright", *MADE_XMP, *MADE_IPTC, "icc.profile", "jpeg.comment", "image.dimensions",
     "png.text", "png.text-author", "png.time", "docx.author", "docx.last-modified-by", "docx.property", "docx.company", "docx.comments", "docx.comment-authors", "docx.tracked-changes", "docx.tracked-authors", "docx.hidden-text", "pdf.title", "pdf.author", "pdf.created",
 )
 
@@ -136,13 +148,14 @@ def shown(value: str) -> str:
 
 
 D_SQL = f"d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS file_id, doc_id % 4 AS k, trim(regexp_replace(coalesce(text, ''), '{PLAIN}', ' ', 'g'), ' ') AS t FROM documents)"
+MADE_SQL = ", ".join(f"('{code}', '{p if isinstance(p, str) else f'Set {p}'}')" for code, names in (MADE_XMP | MADE_IPTC).items() for p in names if p not in APART)
 FOUND_SQL = f"""WITH {D_SQL},
     e AS (SELECT file_id, n, k, CASE WHEN k = 0 THEN sha1(t) ELSE t END AS artist FROM d WHERE k < 2),
     v AS (SELECT file_id, 'exif.make' AS code, 'Maker ' || n AS value FROM e UNION ALL SELECT file_id, 'exif.model', 'Model ' || n FROM e UNION ALL SELECT file_id, 'exif.orientation', CAST(1 + n % 8 AS VARCHAR) FROM e UNION ALL SELECT file_id, 'exif.software', 'Program ' || n FROM e
         UNION ALL SELECT file_id, 'exif.datetime', '2020-01-' || lpad(CAST(1 + n % 28 AS VARCHAR), 2, '0') || ' 10:11:12' FROM e UNION ALL SELECT file_id, 'exif.artist', artist FROM e WHERE artist <> '' UNION ALL SELECT file_id, 'exif.copyright', 'Owner ' || n FROM e
         UNION ALL SELECT file_id, 'icc.profile', 'Profile ' || n || ', RGB display, ICC 2.4' FROM e UNION ALL SELECT file_id, 'image.dimensions', ['64 × 48 pixels', '8 × 8 pixels'][k + 1] FROM e
         UNION ALL SELECT file_id, 'xmp.creator', 'First ' || n || '; Second ' || n FROM d WHERE k = 0 UNION ALL SELECT file_id, 'xmp.tool', 'Tool & ' || n FROM d WHERE k = 0 UNION ALL SELECT file_id, 'xmp.title', 'Title ' || n FROM d WHERE k = 0
-        UNION ALL SELECT file_id, 'iptc.byline', 'Byline ' || n FROM d WHERE k = 0 UNION ALL SELECT file_id, 'iptc.caption', sha1(t) FROM d WHERE k = 0 UNION ALL SELECT file_id, 'iptc.keywords', 'Keyword ' || n FROM d WHERE k = 0
+        UNION ALL SELECT file_id, 'iptc.caption', sha1(t) FROM d WHERE k = 0 UNION ALL SELECT file_id, code, made || ' ' || n FROM d, (VALUES {MADE_SQL}) AS m(code, made) WHERE k = 0
         UNION ALL SELECT file_id, 'jpeg.comment', '.' || substr(t, 1 + i * {COMMENT_CHARS}, {COMMENT_CHARS}) || '.' FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(length(t) / {COMMENT_CHARS}.0) AS BIGINT)))) AS i FROM d WHERE k = 0)
         UNION ALL SELECT file_id, 'png.text', 'Comment: ' || t FROM d WHERE k = 1 UNION ALL SELECT file_id, 'png.text', 'Title: Title ' || n FROM d WHERE k = 1 UNION ALL SELECT file_id, 'png.text-author', 'Author: ' || t FROM d WHERE k = 1
         UNION ALL SELECT file_id, 'png.time', '2021-' || lpad(CAST(1 + n % 12 AS VARCHAR), 2, '0') || '-03 04:05:06 UTC' FROM d WHERE k = 1
