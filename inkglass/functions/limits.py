@@ -14,4 +14,5 @@ PDF_PAGES = 200
 ZIP_ENTRIES, ZIP_PART, ZIP_INFLATE, ZIP_DECLARED, ZIP_RATIO = 2000, 512 * 1024, 6 * MIB, 512 * MIB, 1000
 SECONDS = 30
 TAG_CHARS = 4000
+ELEMENTS = 20
 SNIFF_BYTES = 1032

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkglass.functions.limits import DISPLAY_CHARS, TAG_CHARS
+from inkglass.functions.limits import DISPLAY_CHARS, ELEMENTS, TAG_CHARS
 
 #: Characters that are not shown as they are.
 CONTROLS = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
@@ -13,6 +13,11 @@ INVISIBLE = r"[\x{200b}-\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}\x{61c}\x{feff
 NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 
+def bind(f, value: Column) -> Column:
+    """f(value) with value worked out once: a lambda's variable is, an expression that it names may be worked out again at each place."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def display_text(value: Column, most: int = DISPLAY_CHARS) -> Column:
     clean = F.regexp_replace(F.regexp_replace(value, CONTROLS, "�"), INVISIBLE, "�")
     more = F.concat(F.substring(clean, 1, most), F.lit("… ("), (F.length(clean) - most).cast("string"), F.lit(" characters longer)"))
@@ -65,10 +70,11 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def element_text(xml: Column, local: str, most: int = 4000) -> Column:
-    """Text of the first element of this name, tags dropped, entities decoded, trimmed; null if blank."""
-    inner = F.regexp_extract(xml, rf"(?s)<(?:[A-Za-z_][\w.-]*:)?{local}(?:\s[^>]*)?>(.*?)</", 1)
-    text = F.regexp_replace(decode_entities(F.regexp_replace(inner, "<[^>]*>", "")), r"^\s+|\s+$", "")
-    return F.when(text != "", F.substring(text, 1, most))
+    """Text of the first element of this name that isn't blank, tags dropped, entities decoded, trimmed; null if none
+    of the first ELEMENTS has any."""
+    inner = F.slice(F.regexp_extract_all(xml, F.lit(rf"(?s)<(?:[A-Za-z_][\w.-]*:)?{local}(?:\s[^>]*)?>(.*?)</"), F.lit(1)), 1, ELEMENTS)
+    plain = lambda x: F.regexp_replace(decode_entities(F.regexp_replace(x, "<[^>]*>", "")), r"^\s+|\s+$", "")
+    return F.substring(F.get(F.filter(F.transform(inner, plain), lambda x: x != ""), 0), 1, most)
 
 
 def format_bytes(n: Column) -> Column:

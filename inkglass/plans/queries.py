@@ -123,9 +123,9 @@ def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.element_text(F.col("html"), "title").alias("title"))
 
 
-ELEMENT_SQL = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<title(?:\s[^>]*)?>(.*?)</', 1), '<[^>]*>', '', 'g') AS s FROM pages),
-    d AS (SELECT page_id, trim(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)) AS s FROM t)
-    SELECT page_id, CASE WHEN s != '' THEN substr(s, 1, 4000) END AS title FROM d"""
+ELEMENT_SQL = r"""WITH t AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<title(?:\s[^>]*)?>(.*?)</', 1)[1:20], lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS x FROM pages),
+    d AS (SELECT page_id, list_filter(list_transform(x, lambda s: trim(replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13))), lambda s: s != '') AS x FROM t)
+    SELECT page_id, substr(x[1], 1, 4000) AS title FROM d"""
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,14 @@ def not_offered(selected: DataFrame, offers: DataFrame) -> DataFrame:
     return selected.join(offers.select("file_id", "grp"), ["file_id", "grp"], "left_anti")
 
 
+def selection_errors(files: DataFrame, selected: DataFrame, offers: DataFrame) -> DataFrame:
+    """file_id, error, grp: `nothing-chosen` for files without a choice, `not-offered` for each chosen group that the file
+    doesn't offer (once). A file without rows may be copied as chosen. Choices for files that aren't listed are not offered."""
+    none = files.select("file_id").join(selected.where("grp IS NOT NULL").select("file_id"), "file_id", "left_anti").distinct()
+    wrong = not_offered(selected.where("grp IS NOT NULL").select("file_id", "grp").distinct(), offers)
+    return none.select("file_id", F.lit("nothing-chosen").alias("error"), F.lit(None).cast("string").alias("grp")).unionByName(wrong.select("file_id", F.lit("not-offered").alias("error"), "grp"))
+
+
 def is_chosen(findings: DataFrame, selected: DataFrame) -> DataFrame:
     rows = findings.join(selected.select("file_id", "grp", F.lit(True).alias("__chosen")).distinct(), ["file_id", "grp"], "left")
     return rows.withColumn("removed", F.coalesce("__chosen", F.lit(False)) & (F.col("transformation") == "removable")).drop("__chosen")

@@ -5,11 +5,11 @@ import decimal
 import duckdb
 import pytest
 
-from inkglass.plans import property_files
+from inkglass.plans import property_files, relations
 from inkglass.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = core.QUERIES | property_files.QUERIES, core.ORACLES | property_files.ORACLES
+QUERIES, ORACLES = core.QUERIES | property_files.QUERIES | relations.QUERIES, core.ORACLES | property_files.ORACLES | relations.ORACLES
 
 
 def plain(x):
@@ -23,7 +23,7 @@ def plain(x):
 @pytest.fixture(scope="session")
 def db():
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "conversations", "orders", "labels"):
+    for name in ("documents", "pages", "benchmark", "conversations", "events", "orders", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
