@@ -19,9 +19,10 @@ def bind(f, value: Column) -> Column:
 
 
 def display_text(value: Column, most: int = DISPLAY_CHARS) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(value, CONTROLS, "�"), INVISIBLE, "�")
-    more = F.concat(F.substring(clean, 1, most), F.lit("… ("), (F.length(clean) - most).cast("string"), F.lit(" characters longer)"))
-    return F.when(F.length(clean) > most, more).otherwise(clean)
+    """The first characters of a value, those that aren't shown replaced one by one, and how many there are more."""
+    clean = F.regexp_replace(F.regexp_replace(F.substring(value, 1, most), CONTROLS, "�"), INVISIBLE, "�")
+    more = F.concat(clean, F.lit("… ("), (F.length(value) - most).cast("string"), F.lit(" characters longer)"))
+    return F.when(F.length(value) > most, more).otherwise(clean)
 
 
 def decode_entities(value: Column) -> Column:

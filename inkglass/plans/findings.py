@@ -17,8 +17,9 @@ def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(f"r.{name}") if name in df.columns else F.lit(None).cast(kind)
 
 
-def resolve(raw: DataFrame) -> DataFrame:
-    """Raw findings (file_id, seq, code, value, source and overrides) with their catalogue entry.
+def resolve(raw: DataFrame, shown: bool = False) -> DataFrame:
+    """Raw findings (file_id, seq, code, value, source and overrides) with their catalogue entry. shown: values are display texts already,
+    as where one long value was made shorter before its findings.
 
     An override of '-' for the group means none. A code that the catalogue lacks is an error."""
     joined = raw.alias("r").join(F.broadcast(catalog(raw.sparkSession)).alias("c"), "code", "left")
@@ -26,7 +27,7 @@ def resolve(raw: DataFrame) -> DataFrame:
     own = F.when(group.isNotNull(), "removable").otherwise(F.when(F.col("c.grp").isNull(), F.col("c.transformation")).otherwise("unsupported"))
     out = joined.select(
         "r.file_id", "r.seq", F.when(F.col("c.category").isNull(), F.raise_error(F.concat(F.lit("unknown finding code "), "code"))).otherwise(F.col("code")).alias("code"),
-        F.coalesce(optional(raw, "category"), "c.category").alias("category"), F.coalesce(optional(raw, "label"), "c.label").alias("label"), text.display_text(F.col("r.value")).alias("value"), "r.source",
+        F.coalesce(optional(raw, "category"), "c.category").alias("category"), F.coalesce(optional(raw, "label"), "c.label").alias("label"), (F.col("r.value") if shown else text.display_text(F.col("r.value"))).alias("value"), "r.source",
         F.coalesce(optional(raw, "kind"), F.lit("none")).alias("kind"), optional(raw, "offset", "long").alias("offset"), optional(raw, "length", "long").alias("length"), optional(raw, "path").alias("path"),
         F.coalesce(optional(raw, "status"), F.lit("verified")).alias("status"), F.coalesce(optional(raw, "confidence"), F.lit("high")).alias("confidence"), F.col("c.privacy").alias("privacy"),
         group.alias("grp"), F.coalesce(optional(raw, "transformation"), own).alias("transformation"),

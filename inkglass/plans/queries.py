@@ -140,9 +140,12 @@ CATALOG_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else "'
 N_CODES = len(entries()) - 1
 
 
-def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four to twelve findings a document, whose text they have, with codes that its id picks; some carry overrides."""
+def raw_findings(spark: SparkSession, sf_dir: str, shown: bool = False) -> DataFrame:
+    """Four to twelve findings a document, whose text they have (shown: as display text, worked out once a document), with codes
+    that its id picks; some carry overrides."""
     docs = table(spark, sf_dir, "documents")
+    if shown:
+        docs = docs.withColumn("text", text.display_text(F.col("text")))
     code = F.element_at(F.array(*[F.lit(e[0]) for e in entries()[:-1]]), ((F.col("doc_id") * 7 + F.col("j") * 29) % N_CODES + 1).cast("int"))
     rows = docs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), 3 + F.col("doc_id") % 9)).alias("j"))
     return rows.select(
@@ -157,9 +160,13 @@ RAW_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id * 16 + j AS seq,
 RESOLVED_SQL = f"""SELECT *, CASE WHEN grp IS NOT NULL THEN 'removable' WHEN own_grp IS NULL THEN own ELSE 'unsupported' END AS transformation FROM ({RAW_SQL})"""
 
 
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.resolve(raw_findings(spark, sf_dir, shown=True), shown=True)
+
+
 def catalog_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1."""
-    found = model.resolve(raw_findings(spark, sf_dir))
+    found = resolved(spark, sf_dir)
     return found.select("file_id", "seq", "code", "category", "label", "value", "source", "kind", "status", "confidence", "privacy", "grp", "transformation", "removable")
 
 
@@ -169,7 +176,7 @@ CATALOG_FINDINGS_SQL = f"""SELECT file_id, seq, code, category, label, value, so
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4's ranks, R7."""
-    return model.category_counts(model.resolve(raw_findings(spark, sf_dir)))
+    return model.category_counts(resolved(spark, sf_dir))
 
 
 ROLLUP_SQL = f"SELECT file_id, category, count(*) AS n, CAST(list_position({sql_list(CATEGORIES)}, category) AS INTEGER) AS rank FROM ({RESOLVED_SQL}) GROUP BY file_id, category"
@@ -177,7 +184,7 @@ ROLLUP_SQL = f"SELECT file_id, category, count(*) AS n, CAST(list_position({sql_
 
 def capped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 with a cap of 6 and 3 more for essential codes."""
-    return model.capped(model.resolve(raw_findings(spark, sf_dir)), 6, 3).select("file_id", "seq", "id", "code")
+    return model.capped(resolved(spark, sf_dir), 6, 3).select("file_id", "seq", "id", "code")
 
 
 # the list as a fold over each file's rows, not as windows
@@ -204,7 +211,7 @@ NAMES_SQL = """WITH s AS (SELECT lang, source, min(doc_id) AS pos FROM documents
 
 def share_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R1."""
-    return model.share_notes(model.resolve(raw_findings(spark, sf_dir)))
+    return model.share_notes(resolved(spark, sf_dir))
 
 
 NOTES_SQL = f"""
@@ -219,7 +226,7 @@ NOTES_SQL = f"""
 
 def presented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4."""
-    return model.presented(model.resolve(raw_findings(spark, sf_dir))).select("file_id", "seq", "place")
+    return model.presented(resolved(spark, sf_dir)).select("file_id", "seq", "place")
 
 
 PRESENTED_SQL = f"SELECT file_id, seq, CAST(row_number() OVER (PARTITION BY file_id ORDER BY list_position({sql_list(CATEGORIES)}, category), code LIKE '%.limit' DESC, seq) AS INTEGER) AS place FROM ({RESOLVED_SQL})"
@@ -244,7 +251,7 @@ REPORTS_SQL = "SELECT CAST(k AS VARCHAR) AS file_id, CASE WHEN k % 2 = 0 THEN 'j
 
 def removal_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1."""
-    return removal.offered(model.resolve(raw_findings(spark, sf_dir)), made_reports(spark, sf_dir))
+    return removal.offered(resolved(spark, sf_dir), made_reports(spark, sf_dir))
 
 
 GROUPS_SQL = "(VALUES " + ", ".join(f"('{f}', '{g}', {i}, {str(d).lower()})" for i, (f, g, d) in enumerate(removal.GROUPS)) + ") AS g(format, grp, place, default_on)"
@@ -258,7 +265,7 @@ def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that stay and go, by category."""
-    found, selected = model.resolve(raw_findings(spark, sf_dir)), chosen(spark, sf_dir)
+    found, selected = resolved(spark, sf_dir), chosen(spark, sf_dir)
     gone = removal.removed_by(found, selected).select("file_id", "category", F.lit("removed").alias("fate"))
     stay = removal.remaining_after(found, selected).select("file_id", "category", F.lit("staying").alias("fate"))
     return gone.unionByName(stay).groupBy("file_id", "category", "fate").agg(F.count(F.lit(1)).alias("n"))
@@ -270,7 +277,7 @@ PLAN_SQL = f"""WITH f AS ({RESOLVED_SQL}), s AS (SELECT file_id, grp FROM ({OFFE
 
 def after_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a copy's inspection might find: two removals missed, some values changed."""
-    found, selected = model.resolve(raw_findings(spark, sf_dir)), chosen(spark, sf_dir)
+    found, selected = resolved(spark, sf_dir), chosen(spark, sf_dir)
     rows = removal.is_chosen(found, selected).where("NOT removed OR seq % 50 = 0")
     return rows.withColumn("value", F.when(F.col("seq") % 37 == 0, F.lit("changed")).otherwise(F.col("value"))).drop("removed")
 
@@ -280,9 +287,8 @@ AFTER_SQL = f"""SELECT file_id, code, label, CASE WHEN seq % 37 = 0 THEN 'change
 
 def verify_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs, counted, with the verdict of each file."""
-    diffs = removal.differences(model.resolve(raw_findings(spark, sf_dir)), after_findings(spark, sf_dir), chosen(spark, sf_dir))
-    checks = removal.finding_checks(made_reports(spark, sf_dir), diffs)
-    return checks.join(removal.verdict(checks).select("file_id", "all_passed"), "file_id")
+    diffs = removal.differences(resolved(spark, sf_dir), after_findings(spark, sf_dir), chosen(spark, sf_dir))
+    return removal.with_verdict(removal.finding_checks(made_reports(spark, sf_dir), diffs))
 
 
 DIFF_SQL = f"""
@@ -349,7 +355,7 @@ VERDICTS_SQL = f"WITH {CHUNKS_SQL} SELECT f.file_id, count(i.rule) AS issues, co
 def file_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6, in thousandths of a percent."""
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("n_chars").alias("size"))
-    found = model.file_map(model.resolve(raw_findings(spark, sf_dir)), sizes)
+    found = model.file_map(resolved(spark, sf_dir), sizes)
     return found.select("file_id", "seq", "category", F.floor(F.col("left_pct") * 1000).cast("long").alias("left_m"), F.floor(F.col("width_pct") * 1000).cast("long").alias("width_m"))
 
 

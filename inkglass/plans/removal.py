@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Format, group, on by default.
@@ -57,23 +58,22 @@ def remaining_after(findings: DataFrame, selected: DataFrame) -> DataFrame:
     return is_chosen(findings, selected).where("NOT removed AND category != 'structural'").drop("removed")
 
 
-def same(a: str, b: str) -> Column:
-    """Two findings tell the same: file, code, label and value."""
-    return F.expr(f"{a}.file_id <=> {b}.file_id AND {a}.code = {b}.code AND {a}.label = {b}.label AND {a}.value <=> {b}.value")
-
-
 def differences(before: DataFrame, after: DataFrame, selected: DataFrame) -> DataFrame:
     """file_id, what (still-there, gone, new, lost), code, label, value: removals that did or didn't
-    happen, findings only the copy has, and preserved findings that it lacks."""
+    happen, findings only the copy has, and preserved findings that it lacks; a row for each finding.
+
+    Two findings tell the same if file, code, label and value are equal, null values too. Both sides are counted
+    by these in one pass."""
     marked = is_chosen(before, selected)
-    listed = lambda df, what: df.select("file_id", F.lit(what).alias("what"), "code", "label", "value")
-    b, a = marked.alias("b"), after.alias("a")
-    still = listed(b.where("removed").join(a, same("b", "a"), "left_semi"), "still-there")
-    gone = listed(b.where("removed").join(a, same("b", "a"), "left_anti"), "gone")
-    new = listed(a.join(before.alias("b"), same("a", "b"), "left_anti"), "new")
-    kept = (F.col("transformation") == "preserved") & ~((F.col("code") == "exif.orientation") & F.col("value").startswith("1"))
-    lost = listed(b.where(kept).join(a, same("b", "a"), "left_anti"), "lost")
-    return still.unionByName(gone).unionByName(new).unionByName(lost)
+    kept = (F.col("transformation") == "preserved") & ~((F.col("code") == "exif.orientation") & F.coalesce(F.col("value").startswith("1"), F.lit(False)))
+    told = ("file_id", "code", "label", "value")
+    zero = F.lit(False)
+    both = marked.select(*told, F.lit(True).alias("old"), "removed", kept.alias("kept")).unionByName(after.select(*told, zero.alias("old"), zero.alias("removed"), zero.alias("kept")))
+    n = both.groupBy(*told).agg(F.count_if("old").alias("old"), F.count_if(~F.col("old")).alias("new"), F.count_if("removed").alias("removed"), F.count_if("kept").alias("kept"))
+    there = F.col("new") > 0
+    some = lambda what, count, when: F.array_repeat(F.lit(what), F.when(when, F.col(count)).otherwise(0).cast("int"))
+    rows = F.concat(some("still-there", "removed", there), some("gone", "removed", ~there), some("new", "new", F.col("old") == 0), some("lost", "kept", ~there))
+    return n.select("file_id", F.explode(rows).alias("what"), "code", "label", "value")
 
 
 def finding_checks(files: DataFrame, diffs: DataFrame) -> DataFrame:
@@ -85,6 +85,11 @@ def finding_checks(files: DataFrame, diffs: DataFrame) -> DataFrame:
     return rows.select("file_id", "x.id", F.when(F.col("x.n") == 0, "pass").otherwise("fail").alias("status"), "x.n")
 
 
+def with_verdict(checks: DataFrame) -> DataFrame:
+    """checks with all_passed, the verdict of their file, over its few rows."""
+    return checks.withColumn("all_passed", F.bool_and(F.col("status") != "fail").over(W.partitionBy("file_id")))
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """file_id, all_passed: no check has failed; skipped ones don't count as passed or failed."""
     return checks.groupBy("file_id").agg(F.bool_and(F.col("status") != "fail").alias("all_passed"), F.count_if(F.col("status") == "skipped").alias("skipped"))

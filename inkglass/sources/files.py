@@ -47,24 +47,26 @@ def refused(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("size") < 1) | (F.col("size") > limits.FILE_BYTES)).withColumn("refusal", F.when(F.col("size") < 1, "empty-file").otherwise("file-too-large"))
 
 
+#: What a row number of detect() stands for: SIGNATURES, then PDF, then anything else.
+KINDS = (*(s[1:] for s in SIGNATURES), ("pdf", "application/pdf", "PDF file", False), (None, "unknown", "content without a known signature", False))
+
+
 def detect(content: Column) -> Column:
-    """format, mime, label, recognised_unsupported from leading bytes alone."""
-    def made(fmt, mime, label, known) -> Column:
-        return F.struct(F.lit(fmt).cast("string").alias("format"), F.lit(mime).alias("mime"), F.lit(label).alias("label"), F.lit(known).alias("recognised_unsupported"))
-
-    def fits(parts: tuple) -> Column:
-        out = F.lit(True)
-        for sign, at in zip(parts[::2], parts[1::2], strict=True):
-            out = out & (F.substring(content, at + 1, len(sign) // 2) == F.unhex(F.lit(sign)))
+    """format, mime, label, recognised_unsupported from leading bytes alone, which are taken once and give a row number of KINDS."""
+    def row(head: Column) -> Column:
+        def fits(parts: tuple) -> Column:
+            out = F.lit(True)
+            for sign, at in zip(parts[::2], parts[1::2], strict=True):
+                out = out & (F.substring(head, at + 1, len(sign) // 2) == F.unhex(F.lit(sign)))
+            return out
+
+        out = F.when(F.position(F.unhex(F.lit("255044462d")), head) > 0, F.lit(len(SIGNATURES))).otherwise(F.lit(len(KINDS) - 1))
+        for k, (parts, *_) in reversed([*enumerate(SIGNATURES)]):
+            out = F.when(fits(parts), F.lit(k)).otherwise(out)
         return out
 
-    head = F.substring(content, 1, 1024 + 5)
-    pdf = F.position(F.unhex(F.lit("255044462d")), head) > 0
-    out = F.when(pdf, made("pdf", "application/pdf", "PDF file", False))
-    out = F.coalesce(out, made(None, "unknown", "content without a known signature", False))
-    for parts, *what in reversed(SIGNATURES):
-        out = F.when(fits(parts), made(*what)).otherwise(out)
-    return out
+    listed = F.array(*(F.struct(F.lit(f).cast("string").alias("format"), F.lit(m).alias("mime"), F.lit(label).alias("label"), F.lit(known).alias("recognised_unsupported")) for f, m, label, known in KINDS))
+    return text.bind(lambda head: F.get(listed, F.coalesce(row(head), F.lit(len(KINDS) - 1))), F.substring(content, 1, 1024 + 5))
 
 
 def size_limit(fmt: Column) -> Column:
