@@ -528,8 +528,10 @@ def test_thousands_of_url_rules(spark, monkeypatch):
     name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 5)))
     hosts = list({(f"{name()}.{rng.choice(['com', 'net', 'org'])}", rng.choice(["/", f"/{name()}/"])): rng.choice(["allow", "block"]) for _ in range(3000)}.items())
     hosts = [(h, p, v) for (h, p), v in hosts]
-    patterns = [(f"p{i}", rf"(?ia)/{w}([/?#]|$)", ((w,),)) for i, w in enumerate({name() + name() for _ in range(1500)})]
-    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)[0]}{rng.choice(['/', rng.choice(hosts)[1]])}{rng.choice([name(), rng.choice(patterns)[2][0][0].upper()])}" for _ in range(400)]
+    patterns = [(f"p{i}", rf"(?ia)/{w}([/?#]|$)") for i, w in enumerate(sorted({name() + name() for _ in range(1500)}))]
+    patterns += [("upper", "/Foo/"), ("free", "z.?z.?z"), ("class", "[/.](?:yy|Xx)[/?]")]
+    words = [p[1][6:-8] for p in patterns[:-3]]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)[0]}{rng.choice(['/', rng.choice(hosts)[1]])}{rng.choice([name(), rng.choice(words).upper(), 'Foo/', 'foo/', 'zazbz', 'Xx/', 'xx/', 'yy?'])}" for _ in range(600)] + [None, "", "x://Foo/", "x://İ.com/yy/Foo/"]
 
     def plain(url):
         host, path = url_rules.split_url(url)
@@ -538,17 +540,21 @@ def test_thousands_of_url_rules(spark, monkeypatch):
             return max(fits)[1:]
         import re
 
-        return None, "block" if any(re.search(p, url) for _, p, _ in patterns) else "allow"
+        return None, "block" if any(re.search(p, url or "") for _, p in patterns) else "allow"
 
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     host_table = spark.createDataFrame(hosts, "host string, path string, verdict string")
-    pattern_table = spark.createDataFrame([(n, p, [list(t) for t in x]) for n, p, x in patterns], "name string, pattern string, tokens array<array<string>>")
-    found = {r.page_id: (r.rule, r.verdict, r.n_tried) for r in url_rules.judge(df, host_table, pattern_table).collect()}
-    assert {i: x[:2] for i, x in found.items()} == {i: plain(u) for i, u in enumerate(urls)}
-    assert sum(x[2] for x in found.values()) / len(urls) < 20
+    pattern_table = spark.createDataFrame(patterns, "name string, pattern string")
+    found = {r.page_id: tuple(r)[1:] for r in url_rules.judge(df, host_table, pattern_table).collect()}
+    assert {i: x[2:4] for i, x in found.items()} == {i: plain(u) for i, u in enumerate(urls)}
+    assert sum(x[5] for x in found.values()) / len(urls) < 20
+    # rules that are too many to be sent to all tasks
     monkeypatch.setattr(url_rules, "RULE_BYTES", 1000)
-    with pytest.raises(ValueError, match="rules"):
-        url_rules.judge(df, host_table, pattern_table)
+    joined = {r.page_id: tuple(r)[1:] for r in url_rules.judge(df, host_table, pattern_table).collect()}
+    assert joined == found
+    assert url_rules.judge(df.limit(0), host_table, pattern_table).count() == 0
+    with pytest.raises(ValueError, match="without a token"):
+        url_rules.judge(df, host_table, spark.createDataFrame([(f"p{i}", "zz") for i in range(200)], "name string, pattern string"))
 
 
 def test_pipeline(spark):
