@@ -166,6 +166,26 @@ def test_ngram_set_memory():
         assert found.scan(items[7][1])[1].all() and "700" in found.scan(items[7][1])[2]
 
 
+@pytest.mark.parametrize(("bits", "more"), [(4, 3), (1, 60)])
+def test_shards_are_smallest_over_all_groups(spark, bits, more, monkeypatch):
+    """Blocks of many groups are divided until no cut could be better."""
+    rng = random.Random(bits + more)
+    monkeypatch.setattr(minimax_shards, "OPEN_MOST", 40)
+    for shards, hot in ((7, 0), (5, 400)):
+        rows = [(i, "x" * rng.choice([1, 5, 50, 900]) + str(rng.randrange(250))) for i in range(500)] + [(1000 + i, "hot" * 30) for i in range(hot)]
+        frame = spark.createDataFrame([(i, t, "c", 1, 2, 3) for i, t in rows], "doc_id long, text string, shard string, size int, u int, block int")
+        found = minimax_shards.assign(frame, shards, bits=bits, more=more).toPandas()
+        hashes = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+        sizes: dict = {}
+        for _, t in rows:
+            sizes[hashes[t]] = sizes.get(hashes[t], 0) + len(t) + 16
+        groups = [sizes[h] for h in sorted(sizes, key=lambda h: h % 2**64)]
+        assert len(found) == len(rows) and found.groupby("shard")["size"].sum().max() <= minimax_shards.smallest_capacity(groups, shards)
+        assert found.groupby("text_crc32")["shard"].nunique().max() == 1
+        for _, part in found.groupby("shard"):
+            assert sorted(part.slot) == list(range(len(part)))
+
+
 def test_shards(spark):
     rng = random.Random(1)
     for _ in range(300):
