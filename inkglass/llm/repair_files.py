@@ -11,7 +11,7 @@ document begins at a symbol of its own.
 
 A file holds the rules, the length that each nonterminal expands to, and for each document
 its first symbol and its first token. With the lengths, a reader finds the symbol that covers
-any token without expanding what stands before it (GrammarFile.tokens).
+any token without expanding what stands before it (TokenReader, which reads a file in place; GrammarFile has a whole one).
 
 Cases: a null or empty text has the end id only. Null ids come first. Repeated ids stay
 apart, in order of their texts' hashes. An empty table writes no file and gives no rows.
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from inkglass.llm.common import SharedFile, cut, file_system, new_folder, small_batches, text_bytes
 from inkglass.llm.wordtable import gather, table_of
 
-MAGIC = b"IGRP"
+#: Files with symbols of 3 and of 4 bytes.
+MAGIC = {b"IGRP": 3, b"IGR4": 4}
 HEAD = "<4sIIIQQQ"
 #: Nonterminals are numbered from here; token ids are below it.
 BASE = 1 << 18
+#: Symbols from here on take 4 bytes.
+THREE_BYTES = 1 << 24
 #: A shard is closed after so many chunks.
 SHARD_CHUNKS = 1_500_000
 #: A pair is replaced if a shard has it so often.
@@ -160,19 +163,18 @@ def compress(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray, starts:
 
 
 def pack(doc_ids: list, grammar: Grammar, symbols: np.ndarray, symbol_at: np.ndarray, token_at: np.ndarray) -> bytes:
-    """A file's bytes: head, round ends, rules, expansion lengths, documents, symbols of 3 bytes."""
+    """A file's bytes: head, round ends, rules, expansion lengths, documents, symbols of 3 bytes, or of 4 where there are many rules."""
     rules = np.concatenate(grammar.rules) if grammar.rules else np.zeros((0, 2), np.int64)
-    if BASE + len(rules) >= 1 << 24:
-        raise ValueError("too many rules for symbols of 3 bytes")
+    magic = b"IGRP" if BASE + len(rules) < THREE_BYTES else b"IGR4"
     lengths = np.ones(len(rules), np.uint64)
     for a, b in zip(grammar.ends, grammar.ends[1:], strict=False):
         lengths[a:b] = np.where(rules[a:b] < BASE, 1, lengths[np.maximum(rules[a:b] - BASE, 0)]).sum(1)
     nulls = sum(x is None for x in doc_ids)
     return b"".join([
-        struct.pack(HEAD, MAGIC, BASE, len(rules), len(grammar.ends), len(doc_ids), len(symbols), nulls),
+        struct.pack(HEAD, magic, BASE, len(rules), len(grammar.ends), len(doc_ids), len(symbols), nulls),
         np.array(grammar.ends, "<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u8").tobytes(),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), symbol_at.astype("<u8").tobytes(), token_at.astype("<u8").tobytes(),
-        np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes(),
+        np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : MAGIC[magic]]).tobytes(),
     ])
 
 
@@ -181,7 +183,7 @@ class GrammarFile:
 
     def __init__(self, data: bytes):
         magic, self.base, n_rules, n_ends, n_docs, n_symbols, nulls = struct.unpack_from(HEAD, data)
-        if magic != MAGIC:
+        if magic not in MAGIC:
             raise ValueError("not a grammar file")
         at = struct.calcsize(HEAD)
 
@@ -199,7 +201,8 @@ class GrammarFile:
         self.symbol_at = take("<u8", n_docs + 1).astype(np.int64)
         self.token_at = take("<u8", n_docs + 1).astype(np.int64)
         packed = np.zeros((n_symbols, 4), np.uint8)
-        packed[:, :3] = take("u1", 3 * n_symbols).reshape(-1, 3)
+        width = MAGIC[magic]
+        packed[:, :width] = take("u1", width * n_symbols).reshape(-1, width)
         self.symbols = packed.view("<u4").reshape(-1).astype(np.int64)
         # all expansions in a row, terminals first
         top = self.base
@@ -232,6 +235,65 @@ class GrammarFile:
         return self.expand(part[a:b])[start - first : stop - first]
 
 
+class TokenReader:
+    """Any ids of a file, which is opened for random access (an object with read_at(size, offset)). Rules and offsets are
+    read once; of the symbols only those that cover the ids are, and of the first and last of these only what is asked for is expanded."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, self.base, n_rules, n_ends, n_docs, self.n_symbols, _ = struct.unpack(HEAD, file.read_at(struct.calcsize(HEAD), 0))
+        if magic not in MAGIC:
+            raise ValueError("not a grammar file")
+        self.width = MAGIC[magic]
+        at = struct.calcsize(HEAD) + 4 * n_ends
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            size = np.dtype(kind).itemsize * n
+            out = np.frombuffer(file.read_at(size, at), kind, n).astype(np.int64)
+            at += size
+            return out
+
+        self.rules, self.lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u8", n_rules)
+        at += 8 * n_docs
+        self.symbol_at, self.token_at = take("<u8", n_docs + 1), take("<u8", n_docs + 1)
+        self.symbols_from = at
+
+    def symbols(self, start: int, stop: int) -> np.ndarray:
+        data = np.frombuffer(self.file.read_at((stop - start) * self.width, self.symbols_from + start * self.width), np.uint8).reshape(-1, self.width)
+        out = np.zeros((len(data), 4), np.uint8)
+        out[:, : self.width] = data
+        return out.view("<u4").reshape(-1).astype(np.int64)
+
+    def widths(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids symbols stand for."""
+        if not len(self.lengths):
+            return np.ones(len(symbols), np.int64)
+        return np.where(symbols < self.base, 1, self.lengths[np.maximum(symbols - self.base, 0)])
+
+    def tokens(self, start: int, stop: int) -> np.ndarray:
+        """The ids start to stop."""
+        start, stop = max(0, start), min(stop, int(self.token_at[-1]))
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        k, last = int(np.searchsorted(self.token_at, start, "right")) - 1, int(np.searchsorted(self.token_at, stop, "left"))
+        symbols, first = self.symbols(int(self.symbol_at[k]), int(self.symbol_at[last])), int(self.token_at[k])
+        while True:
+            # what lies outside goes at each level, so no more than the ids asked for and a path to either end is expanded
+            ends = first + np.cumsum(self.widths(symbols))
+            a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+            first = int(ends[a - 1]) if a else first
+            symbols = symbols[a:b]
+            pairs = symbols >= self.base
+            if not pairs.any():
+                return symbols[start - first : stop - first].astype(np.uint32)
+            n = np.where(pairs, 2, 1)
+            out, at = np.empty(int(n.sum()), np.int64), np.cumsum(n) - n
+            out[at] = np.where(pairs, self.rules[np.maximum(symbols - self.base, 0), 0], symbols)
+            out[at[pairs] + 1] = self.rules[symbols[pairs] - self.base, 1]
+            symbols = out
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shard_chunks: int = SHARD_CHUNKS) -> DataFrame:
     """Writes all documents and returns one row a file: part, k, path, n_docs, n_tokens, n_symbols, n_rules."""
     import pyarrow as pa
@@ -308,8 +370,10 @@ def read_shards(files: DataFrame) -> DataFrame:
                         "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found], "n_symbols": [int(file.symbol_at[k + 1] - file.symbol_at[k]) for k in part],
                     })
 
-    # one row a file here, so one task is enough for the sum
-    ordered = files.withColumn("first", F.sum("n_tokens").over(W.orderBy("part", "k")) - F.col("n_tokens"))
+    # the sums of parts, a row for each task that wrote, stand in one task; files are added up part by part
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n")).drop("n")
+    within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("k")) - F.col("n_tokens")
+    ordered = files.withColumn("within", within).join(F.broadcast(parts), "part").withColumn("first", F.col("before") + F.col("within"))
     n = max(1, min(files.count(), 10_000))
     return ordered.select("path", "first").repartition(n, "path").mapInArrow(read, schema)
 

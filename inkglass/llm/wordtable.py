@@ -1,12 +1,14 @@
 """Chunks of text mapped to token ids by way of a table that a Python worker keeps.
 
-White space ends every pre-token of the tokenizers used here, and neither NFC nor their
-lower-casing looks across it, so a text's ids are those of its white-space-separated
-chunks in a row. Each different chunk is encoded once by the library and looked up after.
+Where a tokenizer's file says that white space ends every pre-token and is dropped, and that texts are
+normalised by nothing but NFC and lower-casing, a text's ids are those of its white-space-separated
+chunks in a row. Each different chunk is encoded once by the library and looked up after. With any other
+tokenizer a whole text is one chunk.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain, repeat
 
@@ -20,11 +22,33 @@ MOST_CHUNKS = 800_000
 END_MARK = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n])")
 
 
-def plainer(text: bytes) -> bytes:
-    """The text with fewer different chunks and the same ids: A-Z in lower case (as the tokenizer does
+#: Fixed value: a pre-tokenizer that drops white space, with letters, single digits and other characters apart.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of chunks that the table holds before it is begun anew.
+MOST_BYTES = 64_000_000
+
+
+def parts_of(what: dict | None, name: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer."""
+    return [] if what is None else what[name] if what["type"] == "Sequence" else [what]
+
+
+def cuts_at_spaces(file: dict) -> tuple[bool, bool]:
+    """If the chunks between white space can be encoded one by one, and if letters become lower case."""
+    steps = parts_of(file.get("normalizer"), "normalizers")
+    kinds = {x["type"] for x in steps}
+    spaces = all(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps if x["type"] == "Replace")
+    cutters = parts_of(file.get("pre_tokenizer"), "pretokenizers")
+    split = bool(cutters) and (cutters[0]["type"], cutters[0].get("pattern"), cutters[0].get("behavior"), cutters[0].get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+    rest = all(x["type"] == "ByteLevel" and not x.get("use_regex", True) and not x.get("add_prefix_space", True) for x in cutters[1:])
+    return kinds <= {"NFC", "Replace", "Lowercase"} and spaces and split and rest, "Lowercase" in kinds
+
+
+def plainer(text: bytes, lowers: bool) -> bytes:
+    """The text with fewer different chunks and the same ids: A-Z in lower case (as a tokenizer that lowers does
     it, unless the text has combining marks, which could compose with one case only, or what might
     be a special string), and end marks apart."""
-    if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+    if lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
         text = text.lower()
     return END_MARK.sub(rb" \1", text)
 
@@ -48,11 +72,12 @@ class ChunkTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
+        self.by_chunks, self.lowers = cuts_at_spaces(json.load(open(tokenizer_path, encoding="utf-8")))
         names = self.tokenizer.get_vocab()
         #: By id, if it ends a word; None for tokenizers that don't mark the ends of words.
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        if not self.ends_word.any():
+        if not self.ends_word.any() or not self.by_chunks:
             self.ends_word = None
         self.clear()
 
@@ -61,7 +86,7 @@ class ChunkTable:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int64)
-        self.n_ids = 0
+        self.n_ids = self.held = 0
 
     @staticmethod
     def room(array: np.ndarray, n: int) -> np.ndarray:
@@ -97,6 +122,7 @@ class ChunkTable:
             flat, counts = encode(texts[at : at + 5000])
             first = len(self.number)
             self.number.update(zip(part, range(first, first + len(part)), strict=True))
+            self.held += sum(map(len, part))
             self.ids = self.room(self.ids, self.n_ids + len(flat))
             self.starts = self.room(self.starts, first + len(part))
             self.counts = self.room(self.counts, first + len(part))
@@ -108,7 +134,7 @@ class ChunkTable:
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Chunk numbers of all texts in a row, and how many each text has. Chunks that are not in
         the table yet are encoded and come in."""
-        chunks = [plainer(t).split() for t in texts]
+        chunks = [plainer(t, self.lowers).split() for t in texts] if self.by_chunks else [[t] if t else [] for t in texts]
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         listed = list(chain.from_iterable(chunks))
         flat = np.fromiter(map(self.number.get, listed, repeat(-1)), np.int64, len(listed))
@@ -122,7 +148,7 @@ class ChunkTable:
     @property
     def full(self) -> bool:
         """If the table should be begun anew before more texts."""
-        return len(self.number) > self.most
+        return len(self.number) > self.most or self.held > MOST_BYTES
 
 
 def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

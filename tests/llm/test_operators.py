@@ -68,6 +68,52 @@ def test_grammar_reads_at_random():
         assert (file.tokens(int(a), int(b)) == whole[a:b]).all()
 
 
+class Counted:
+    """Bytes to read at random, and how many were."""
+
+    def __init__(self, data):
+        self.data, self.n = data, 0
+
+    def read_at(self, size, offset):
+        self.n += size
+        return self.data[offset : offset + size]
+
+
+@pytest.mark.parametrize("three", [1 << 24, 1])
+def test_tokens_are_read_in_place(monkeypatch, three):
+    monkeypatch.setattr(repair_files, "THREE_BYTES", three)
+    rng = np.random.default_rng(4)
+    words = [rng.integers(5, 40, rng.integers(0, 6)).astype(np.uint32) for _ in range(60)]
+    counts = np.array([len(w) for w in words])
+    flat, starts = np.concatenate(words), np.cumsum(counts) - counts
+    lengths = np.append(rng.integers(0, 80, 50), 60_000)
+    numbers = rng.zipf(1.4, lengths.sum()) % 60
+    parts = np.split(numbers, np.cumsum(lengths)[:-1])
+    whole = np.concatenate([np.concatenate([*(words[i] for i in p), [1]]).astype(np.uint32) for p in parts])
+    data = repair_files.pack(list(range(51)), *repair_files.compress(numbers, lengths, flat, starts, counts, 1))
+    assert data[:4] == (b"IGRP" if three > 1 else b"IGR4")
+    assert all((repair_files.GrammarFile(data).document(k)[-1:] == 1).all() for k in range(51))
+    reader = repair_files.TokenReader(Counted(data))
+    for _ in range(200):
+        a, b = sorted(rng.integers(0, len(whole) + 1, 2))
+        assert (reader.tokens(int(a), int(b)) == whole[a:b]).all()
+    assert len(reader.tokens(-5, 0)) == 0 and (reader.tokens(-5, 3) == whole[:3]).all() and len(reader.tokens(5, 5)) == 0
+    # a document's symbols are read, not the file's
+    before = reader.file.n
+    reader.tokens(3, 9)
+    assert reader.file.n - before < len(data) / 50
+    empty = repair_files.TokenReader(Counted(repair_files.pack([], repair_files.Grammar(), np.zeros(0, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.uint64))))
+    assert len(empty.tokens(0, 10)) == 0
+
+
+def test_token_files_of_other_tokenizers(spark):
+    """Tokenizers that keep case and white space get whole texts."""
+    texts = ["Hello World. The END, ok", "a  b\n\nC.", *(t for t in ODD if t is None or len(t) < 1000)]
+    tokenizer = Tokenizer.from_file(BYTE)
+    found = repair_files.token_shards(small(spark, texts), BYTE).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == brute.token_rows(list(enumerate(texts)), tokenizer)
+
+
 def test_grammar_ends_without_frequent_pairs():
     """Re-Pair goes on until no pair of symbols occurs LEAST times in places that don't overlap."""
     from collections import Counter
