@@ -3,8 +3,8 @@ r"""Operator 2: quotation linking for conversations, in DataFrame functions only
 A line's quote level is the number of > at its start (spaces between them do not count). Lines
 of one level that stand together form a run. A message's own lines are those of level 0, without
 attributions ("On ... wrote:" right before a quoted line); a run of a higher level is a quoted
-passage. Lines are normalised (without quote marks, lower case,
-letters and digits only) and hashed; a passage's hash is that of its joined lines, and each of
+passage. Lines are normalised (without quote marks, lower case, letters with their marks
+and digits only) and hashed; a passage's hash is that of its joined lines, and each of
 its lines has one too. Originals are indexed by their own lines and own runs.
 
 The message itself and later turns of its conversation are never originals. An original with the
@@ -14,7 +14,8 @@ For the other passages the lines are joined to all their originals, and the orig
 lines wins; among equals an earlier turn of the same conversation, then the smallest.
 
 Hot hashes: passages with the same lines are joined once, originals of a hash are combined
-before, and those of a hash with more than SALT_ROWS are dealt to several parts. Of each passage
+before, and those of a hash with more than SALT_ROWS are dealt to several parts. Lines that stand in many passages
+and many originals are looked up only where a rarer line has found an original (see by_lines). Of each passage
 the two best conversations are kept (the best may be the message's own), and its originals in
 conversations that quote it.
 
@@ -36,6 +37,8 @@ from inkglass.llm.common import bind, cut
 
 #: Originals of a hash in one part of the join.
 SALT_ROWS = 1000
+#: A line that would bring more votes than this (passages that quote it times originals that have it) is common.
+COMMON_PAIRS = 1_000_000
 #: One character class, not a group in a loop: Java's matcher would nest once a mark.
 MARKS = "^[ \\t>]*>[ \\t]?"
 #: How mail programs introduce what they quote.
@@ -91,6 +94,57 @@ def elsewhere(conv) -> Column:
     return F.get(F.filter("fars", lambda x: x.isNotNull() & (conv(x) != F.col("conv_id"))), F.lit(0))
 
 
+def ballots(lines: DataFrame, votes: DataFrame, me: list[str]) -> DataFrame:
+    """Each passage of lines with the original that votes (passage, conv_id, turn, w: minus the number) give it: to, and its w. Null if there is none."""
+    per_conv = votes.groupBy("passage", "conv_id").agg(F.min(F.struct("w", "turn")).alias("x"))
+    tops = two_best(per_conv.select("passage", F.struct(F.col("x.w").alias("w"), F.col("conv_id").alias("c"), F.col("x.turn").alias("t")).alias("far")), "passage")
+    own = lines.alias("l").join(votes.alias("v"), F.expr("l.passage = v.passage AND l.conv_id = v.conv_id AND v.turn < l.turn")).groupBy(*[F.col(f"l.{c}") for c in me]).agg(F.min(F.struct("v.w", F.col("v.turn").alias("t"))).alias("mine"))
+    best = lines.join(tops, "passage", "left").join(own, me, "left").withColumn("there", elsewhere(lambda x: x["c"]))
+    here = F.col("mine").isNotNull() & (F.col("there").isNull() | (F.col("mine.w") <= F.col("there.w")))
+    to = F.when(here, F.struct(F.col("conv_id").alias("c"), F.col("mine.t").alias("t"))).when(F.col("there").isNotNull(), F.struct(F.col("there.c").alias("c"), F.col("there.t").alias("t")))
+    return best.select(*me, "passage", to.alias("to"), F.when(here, F.col("mine.w")).otherwise(F.col("there.w")).alias("w"))
+
+
+def all_votes(wanted: DataFrame, originals: DataFrame) -> DataFrame:
+    """passage, conv_id, turn, w for wanted (passage, h, n): the originals of every line. Those of a line are dealt in parts."""
+    parts = originals.groupBy("h").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).cast("long").alias("parts"))
+    asked = wanted.join(parts, "h").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = originals.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.col("parts")))
+    votes = asked.select("passage", "h", "n", "part").join(dealt.select("h", "part", "conv_id", "turn"), ["h", "part"])
+    return votes.groupBy("passage", "conv_id", "turn").agg((-F.sum("n")).alias("w"))
+
+
+def by_lines(lines: DataFrame, originals: DataFrame, me: list[str]) -> DataFrame:
+    """me and `to` of passages (me, hs, passage) by the number of their lines that an original has.
+
+    A line that many passages quote and many originals have would bring each of these to each of those. Such a common line
+    is looked up only for originals that a rarer line of the passage has found. An original that common lines alone would
+    find has no more votes than the passage has common lines: where the best has more, it is the best of all, and
+    only passages where it hasn't are counted again with the originals of every line."""
+    wanted = lines.select("passage", "hs").dropDuplicates(["passage"]).select("passage", F.explode("hs").alias("h")).groupBy("passage", "h").agg(F.count(F.lit(1)).alias("n"))
+    asked = wanted.groupBy("h").agg(F.count(F.lit(1)).alias("asked"))
+    common = originals.groupBy("h").agg(F.count(F.lit(1)).alias("there")).join(asked, "h").where(F.col("asked") * F.col("there") > COMMON_PAIRS).select("h")
+    common = cut(common, "common-lines")
+    if common.isEmpty():
+        found = ballots(lines, cut(all_votes(wanted, originals), "votes"), me)
+        return found.where("to IS NOT NULL").select(*me, "to")
+    often = cut(wanted.join(common, "h", "left_semi"), "common-wanted")
+    rare = cut(all_votes(wanted.join(common, "h", "left_anti"), originals), "rare-votes")
+    # common lines of originals that are known already
+    more = rare.select("passage", "conv_id", "turn").join(often, "passage").join(originals, ["h", "conv_id", "turn"], "left_semi")
+    votes = rare.unionByName(more.select("passage", "conv_id", "turn", (-F.col("n")).alias("w"))).groupBy("passage", "conv_id", "turn").agg(F.sum("w").alias("w"))
+    most = often.groupBy("passage").agg(F.sum("n").alias("most"))
+    found = cut(ballots(lines, cut(votes, "votes"), me).join(most, "passage", "left"), "line-ballots")
+    settled = F.coalesce(-F.col("w") > F.coalesce("most", F.lit(0)), F.col("most").isNull())
+    sure = found.where(settled & F.col("to").isNotNull()).select(*me, "to")
+    open_ = cut(lines.join(found.where(~settled).select(*me), me, "left_semi"), "line-open")
+    if open_.isEmpty():
+        return sure
+    again = wanted.join(open_.select("passage").distinct(), "passage", "left_semi")
+    rest = ballots(open_, cut(all_votes(again, originals), "votes"), me)
+    return sure.unionByName(rest.where("to IS NOT NULL").select(*me, "to"))
+
+
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, role, clean_text, max_level, n_quoted_lines, n_passages, n_linked,
     quoted_conv, quoted_turn (of the first passage), parent_turn, root_turn, depth."""
@@ -117,19 +171,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     # the others by their lines
     lines = quoted.where("w = 1").join(found.where("to IS NULL").select(*me), me, "left_semi").groupBy(*me).agg(F.array_sort(F.collect_list("h")).alias("hs"))
     lines = cut(lines.withColumn("passage", F.xxhash64("hs")), "line-quotes")
-    wanted = lines.select("passage", "hs").dropDuplicates(["passage"]).select("passage", F.explode("hs").alias("h")).groupBy("passage", "h").agg(F.count(F.lit(1)).alias("n"))
-    parts = originals.groupBy("h").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).cast("long").alias("parts"))
-    wanted = wanted.join(parts, "h").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = originals.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("conv_id", "turn"), F.col("parts")))
-    votes = wanted.select("passage", "h", "n", "part").join(dealt.select("h", "part", "conv_id", "turn"), ["h", "part"])
-    votes = cut(votes.groupBy("passage", "conv_id", "turn").agg((-F.sum("n")).alias("w")), "votes")
-    per_conv = votes.groupBy("passage", "conv_id").agg(F.min(F.struct("w", "turn")).alias("x"))
-    tops = two_best(per_conv.select("passage", F.struct(F.col("x.w").alias("w"), F.col("conv_id").alias("c"), F.col("x.turn").alias("t")).alias("far")), "passage")
-    own = lines.alias("l").join(votes.alias("v"), F.expr("l.passage = v.passage AND l.conv_id = v.conv_id AND v.turn < l.turn")).groupBy(*[F.col(f"l.{c}") for c in me]).agg(F.min(F.struct("v.w", F.col("v.turn").alias("t"))).alias("mine"))
-    best = lines.join(tops, "passage", "left").join(own, me, "left").withColumn("there", elsewhere(lambda x: x["c"]))
-    here = F.col("mine").isNotNull() & (F.col("there").isNull() | (F.col("mine.w") <= F.col("there.w")))
-    to = F.when(here, F.struct(F.col("conv_id").alias("c"), F.col("mine.t").alias("t"))).when(F.col("there").isNotNull(), F.struct(F.col("there.c").alias("c"), F.col("there.t").alias("t")))
-    line_best = best.select(*me, to.alias("to")).where("to IS NOT NULL")
+    line_best = by_lines(lines, originals, me)
 
     best = whole_best.unionByName(line_best).select(*me, F.struct("to").alias("best"))
     per = cut(best.groupBy("conv_id", "turn", "key").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", "at", F.col("best.to").alias("to"))).alias("first")).select("conv_id", "turn", "key", "n_linked", F.col("first.to.c").alias("quoted_conv"), F.col("first.to.t").alias("quoted_turn")), "quotes")

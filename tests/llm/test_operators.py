@@ -528,9 +528,10 @@ def test_quotes_of_many_originals(spark, monkeypatch):
     assert found[1, 0] == (5, 3) and found[8, 0] == (7, 0) and found[9, 1] == (9, 0)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_quotes_by_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "common"), [(1, 10**6), (2, 2), (3, 60)])
+def test_quotes_by_brute_force(spark, monkeypatch, seed, common):
     monkeypatch.setattr(quotes, "SALT_ROWS", 2)
+    monkeypatch.setattr(quotes, "COMMON_PAIRS", common)  # with 2 all but the rarest lines are common
     rng = random.Random(seed)
     said = [f"line {w} of many" for w in "abcdefgh"] + ["...", "", "line a of many line b of many", "Über 12"]
     written = lambda x: rng.choice((x, x.upper(), x.replace(" ", "  "), x + "!"))
