@@ -5,30 +5,56 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Folders of this machine that stand in for the shared one of a local session, by application.
+_local: dict[str, str] = {}
+#: What scratch() is to delete.
+_watched: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where that is unset (tests, local sessions) a folder of this machine is set, which
-    only a local master can use.
+    Where that is unset (tests, local sessions) it is a folder of this machine, which
+    only a local master can use. The session is left as it is.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="inkglass-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-inkglass-")
+        found = _local[app]
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path of this run's own in the shared folder (not yet made)."""
-    return f"{shared_dir(spark)}/inkglass/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/inkglass/{what}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables and files that operators put into the shared folder inside are deleted at the end, so what is to stay
+    must have been written elsewhere or read by then."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        for path in made:
+            drop_folder(spark, path)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

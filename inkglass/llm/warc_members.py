@@ -26,7 +26,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkglass.llm.common import SharedFile, cut, file_system, light, new_folder, small_batches
+from inkglass.llm.common import SharedFile, cut, file_system, fits, join_groups, new_folder, small_batches
 
 PIECE = 1 << 20
 LEVEL = 6
@@ -109,8 +109,10 @@ def with_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("same", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     # grouped without the payloads; those that occur once need no join, only groups come back
-    first = own.groupBy("same", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= revisit_from)).select("same", "size", "first")
-    both = own.join(light(cut(first, "warc-first")), ["same", "size"], "left")
+    first = own.groupBy("same", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= revisit_from)).select("same", "size", "first", "n")
+    first = cut(first, "warc-first")
+    # too many groups to broadcast: those with a thousandth of all pages still come to them, so no task gets all pages of one payload
+    both = own.join(F.broadcast(first), ["same", "size"], "left") if fits(first) else join_groups(own, first, ["same", "size"], "n")
     return both.select("page_id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
