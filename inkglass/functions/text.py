@@ -25,6 +25,11 @@ def display_text(value: Column, most: int = DISPLAY_CHARS) -> Column:
     return F.when(F.length(value) > most, more).otherwise(clean)
 
 
+def low_bytes(value: Column) -> Column:
+    """The low byte of each UTF-16 unit of a text; null stays null."""
+    return F.unhex(F.regexp_replace(F.hex(F.encode(value, "UTF-16BE")), "..(..)", "$1"))
+
+
 def decode_entities(value: Column) -> Column:
     """The five named entities and numeric ones, each decoded once. Split at entities, decode the
     parts that are one, and join again."""
@@ -93,12 +98,11 @@ def plural(n: Column, one: str, many: str | None = None) -> Column:
 
 
 def describe_location(kind: Column, offset: Column, length: Column, path: Column) -> Column:
-    at = F.format_number(offset, 0)
-    end = F.format_number(offset + F.greatest(length - 1, F.lit(0)), 0)
+    """Where a finding stands: its first byte and how many it takes, its path, or nowhere."""
+    at = F.concat(F.lit("offset "), F.format_number(offset, 0))
     return (
-        F.when((kind == "bytes") & (length == 0), F.concat(F.lit("Byte "), at))
-        .when(kind == "bytes", F.concat(F.lit("Bytes "), at, F.lit(" to "), end, F.lit(" ("), plural(length, "byte"), F.lit(")")))
-        .when(kind == "structure", path).otherwise(F.lit("no byte range"))
+        F.when((kind == "bytes") & (length > 0), F.concat(at, F.lit(", "), F.format_number(length, 0), F.when(length == 1, " byte").otherwise(" bytes")))
+        .when(kind == "bytes", at).when(kind == "structure", path).otherwise(F.lit("no place in the bytes"))
     )
 
 
@@ -110,8 +114,9 @@ def list_names(names: Column, most: int = 4) -> Column:
 
 
 def lower_first(label: Column) -> Column:
-    """First word in lower case unless it is an acronym."""
-    return F.when(label.rlike(r"^[A-Z][a-z]+(\s|$)"), F.concat(F.lower(F.substring(label, 1, 1)), F.substring(label, 2, 1_000_000))).otherwise(label)
+    """The first letter in lower case where the second is; acronyms have a capital or a digit there."""
+    second = F.substring(label, 2, 1)
+    return F.when((second >= "a") & (second <= "z"), F.concat(F.lower(F.substring(label, 1, 1)), F.substr(label, F.lit(2)))).otherwise(label)
 
 
 def exif_date(value: Column) -> Column:

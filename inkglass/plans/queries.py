@@ -218,7 +218,7 @@ NOTES_SQL = f"""
     WITH f AS (SELECT *, CASE WHEN category = 'location' AND code = 'exif.gps-position' THEN 'gps' WHEN category = 'location' THEN 'place' WHEN category = 'identity' THEN 'identity' WHEN category = 'time' THEN 'time' WHEN category = 'device-software' THEN 'device'
         WHEN category = 'document-properties' THEN 'properties' WHEN category = 'embedded-content' THEN 'embedded' WHEN category = 'active-features' THEN 'active' WHEN category = 'unsupported' AND code LIKE '%.limit' THEN 'limits' WHEN category = 'unsupported' THEN 'unsupported' END AS id FROM ({RESOLVED_SQL})),
     n AS (SELECT file_id, id, any_value(category) AS category, count(*) AS n, count(*) FILTER (status = 'verified') AS fine, bool_or(contains(value, '°')) AS odd FROM f WHERE id IS NOT NULL GROUP BY file_id, id),
-    l AS (SELECT file_id, id, label, min(seq) AS pos FROM f WHERE id IS NOT NULL GROUP BY ALL), m AS (SELECT file_id, id, list(CASE WHEN regexp_matches(label, '^[A-Z][a-z]+(\\s|$)') THEN lower(label[1]) || label[2:] ELSE label END ORDER BY pos) AS s FROM l GROUP BY file_id, id)
+    l AS (SELECT file_id, id, label, min(seq) AS pos FROM f WHERE id IS NOT NULL GROUP BY ALL), m AS (SELECT file_id, id, list(CASE WHEN regexp_matches(label, '^.[a-z]') THEN lower(label[1]) || label[2:] ELSE label END ORDER BY pos) AS s FROM l GROUP BY file_id, id)
     SELECT file_id, CAST(list_position(['gps','place','identity','time','device','properties','embedded','active','limits','unsupported'], id) AS INTEGER) AS place, id, category, CASE WHEN id = 'gps' AND fine > 0 THEN fine ELSE n END AS n,
         CASE WHEN id != 'gps' THEN NULL WHEN fine > 0 THEN 'position' WHEN odd THEN 'out-of-range' ELSE 'undecodable' END AS detail,
         CASE WHEN id IN ('gps', 'active', 'limits') THEN NULL WHEN len(list_distinct(s)) > 4 THEN array_to_string(s[1:4], ', ') || ' and ' || (len(s) - 4) || ' more' ELSE array_to_string(s, ', ') END AS names FROM n JOIN m USING (file_id, id)"""
@@ -386,8 +386,8 @@ def shown_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHOWN_SQL = """WITH d AS (SELECT *, n_chars * n_chars AS n FROM documents)
     SELECT doc_id, CASE WHEN n < 1024 THEN n || ' bytes' WHEN n < 10240 THEN printf('%.1f', round(n / 1024, 1)) || ' KiB' WHEN n < 1048576 THEN printf('%.0f', round(n / 1024)) || ' KiB' WHEN n < 10485760 THEN printf('%.2f', round(n / 1048576, 2)) || ' MiB' ELSE printf('%.1f', round(n / 1048576, 1)) || ' MiB' END AS size,
         (doc_id % 3) || CASE WHEN doc_id % 3 = 1 THEN ' entry' ELSE ' entries' END AS counted,
-        CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN 'Byte ' || format('{:,}', n_chars) WHEN doc_id % 3 = 0 THEN 'Bytes ' || format('{:,}', n_chars) || ' to ' || format('{:,}', n_chars + doc_id % 5 - 1) || ' (' || (doc_id % 5) || CASE WHEN doc_id % 5 = 1 THEN ' byte)' ELSE ' bytes)' END
-             WHEN doc_id % 3 = 1 THEN source ELSE 'no byte range' END AS place FROM d"""
+        CASE WHEN doc_id % 3 = 0 THEN 'offset ' || format('{:,}', n_chars) || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ', 1 byte' ELSE ', ' || (doc_id % 5) || ' bytes' END
+             WHEN doc_id % 3 = 1 THEN source ELSE 'no place in the bytes' END AS place FROM d"""
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,18 @@ TRAILER_SQL = rf"""WITH {made_tokens_sql()},
     g AS (SELECT doc_id, arg_max(x, pos) FILTER (x.a <> '') AS x, bool_or(literal) AS literal FROM i GROUP BY doc_id)
     SELECT doc_id, lower(regexp_replace(x.a, '\s', '', 'g')) AS id_first, lower(regexp_replace(x.b, '\s', '', 'g')) AS id_second, literal FROM g WHERE x IS NOT NULL OR literal"""
 
+def low_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, with characters beyond ASCII and beyond 16 bits before it, as low bytes."""
+    made = text.low_bytes(F.concat(F.lit("Ā€ÿ😀"), F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(made).cast("long").alias("n_bytes"), F.sha2(made, 256).alias("sha256"))
+
+
+# units of code points, above 16 bits as two
+LOW_BYTES_SQL = """
+    WITH c AS (SELECT doc_id, list_transform(string_split('Ā€ÿ😀' || text, ''), lambda x: unicode(x)) AS c FROM documents),
+    u AS (SELECT doc_id, flatten(list_transform(c, lambda p: CASE WHEN p > 65535 THEN [((p - 65536) // 1024) % 256, (p - 65536) % 256] ELSE [p % 256] END)) AS u FROM c)
+    SELECT doc_id, CAST(len(u) AS BIGINT) AS n_bytes, sha256(unhex(array_to_string(list_transform(u, lambda b: printf('%02X', CAST(b AS INTEGER))), ''))) AS sha256 FROM u"""
+
 #: Byte patterns, some of which overlap themselves or one another.
 PATTERNS = {"pdf": b"%PDF-", "zip": b"PK\x03\x04", "url": b"http", "aa": b"aa", "ana": b"ana", "an": b"an", "umlaut": "ü".encode(), "stop": b". "}
 
@@ -199,6 +211,20 @@ RANGED_SQL = f"""
         CASE WHEN f IS NULL OR extension = '' THEN 'unknown' WHEN (f = 'png' AND extension = 'png') OR (f = 'jpeg' AND extension IN ('jpg', 'jpeg', 'jpe', 'jfif')) OR (f = 'pdf' AND extension = 'pdf') THEN 'match' ELSE 'mismatch' END AS extension_check,
         CASE WHEN f IS NULL THEN 'unsupported-format' END AS refusal, CAST(least(size, CASE WHEN k = 5 THEN {limits.SNIFF_BYTES + ranges.TAIL_BYTES} ELSE {limits.SNIFF_BYTES} END) AS BIGINT) AS bytes_read FROM e WHERE size > 0"""
 
+def folder_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files and read back whole; empty ones are left out by their length, which the source filters."""
+    folder = new_folder(spark, "files")
+    made = core.made_files(spark, sf_dir)
+    ranges.write_copies(made.select(F.concat(F.lit("f"), "file_id", F.lit("."), F.lower(F.regexp_extract("name", r"([^./]+)$", 1))).alias("name"), "content"), folder)
+    return files.fingerprint(files.read_files(spark, folder)).drop("file_id", "declared_type", "declared_type_check")
+
+
+FOLDER_SQL = f"""
+    WITH p AS ({core.FINGERPRINT_SQL}), n AS (SELECT *, 'f' || file_id || '.' || lower(regexp_extract(name, '([^./]+)$', 1)) AS own FROM p WHERE size > 0),
+    e AS (SELECT * EXCLUDE (name, extension), rtrim(own, '.') AS name, regexp_extract(own, '([^.]*)$', 1) AS extension FROM n)
+    SELECT name, size, detected_format, detected_type, detected_label, recognised_unsupported, extension,
+        CASE WHEN detected_format IS NULL OR extension = '' THEN 'unknown' WHEN (detected_format = 'png' AND extension = 'png') OR (detected_format = 'jpeg' AND extension IN ('jpg', 'jpeg', 'jpe', 'jfif')) OR (detected_format = 'pdf' AND extension = 'pdf') THEN 'match' ELSE 'mismatch' END AS extension_check, sha256, refusal FROM e"""
+
 #: Names that no file may have, or not everywhere; %d stands for a number.
 ODD_NAMES = ("copy %d.jpg", "a/b/../%d.png", "what? %d*.jpg", " .%d. ", "con.%d", "x\\y:%d")
 
@@ -292,8 +318,8 @@ SELECTION_SQL = f"""
     UNION ALL SELECT file_id, 'not-offered', grp FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file_id = c.file_id AND o.grp = c.grp)"""
 
 
-QUERIES = {f.__name__: f for f in (ranged_detection, written_copies, job_control, batch_progress, tag_places, token_places, trailer_ids, byte_patterns, joined_parts, crc_of_parts, range_tiling, findings_by_place, kinds_sentences, selection_errors)}
+QUERIES = {f.__name__: f for f in (ranged_detection, folder_fingerprints, written_copies, job_control, batch_progress, tag_places, token_places, trailer_ids, low_bytes, byte_patterns, joined_parts, crc_of_parts, range_tiling, findings_by_place, kinds_sentences, selection_errors)}
 ORACLES = {
-    "ranged_detection": RANGED_SQL, "written_copies": WRITTEN_SQL, "job_control": JOB_SQL, "batch_progress": PROGRESS_SQL, "tag_places": TAG_PLACES_SQL, "token_places": TOKEN_PLACES_SQL, "trailer_ids": TRAILER_SQL, "byte_patterns": PATTERNS_SQL,
+    "ranged_detection": RANGED_SQL, "folder_fingerprints": FOLDER_SQL, "written_copies": WRITTEN_SQL, "job_control": JOB_SQL, "batch_progress": PROGRESS_SQL, "tag_places": TAG_PLACES_SQL, "token_places": TOKEN_PLACES_SQL, "trailer_ids": TRAILER_SQL, "low_bytes": LOW_BYTES_SQL, "byte_patterns": PATTERNS_SQL,
     "joined_parts": PARTS_SQL, "crc_of_parts": CRC_SQL, "range_tiling": TILING_SQL, "findings_by_place": BY_PLACE_SQL, "kinds_sentences": KINDS_SQL, "selection_errors": SELECTION_SQL,
 }
