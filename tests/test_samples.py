@@ -60,3 +60,6 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 assert e.entry(spark).count() == 200 and q["property_reports"](spark, "/root/testdata/sf0.001").count() == 200
 """
         subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=200)
+        # a folder that has nothing but caches left
+        os.makedirs(f"{to}/inkglass/llm/__pycache__")
+        subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert not [k for k in e.queries() if k.startswith('op')]"], cwd=to, check=True, timeout=100)
