@@ -650,7 +650,7 @@ def test_queries_run_and_match_sql(spark):
     from inkglass.llm.queries import ORACLES
 
     db = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "conversations"):
+    for name in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, query in QUERIES.items():
         found = query(spark, SF)
