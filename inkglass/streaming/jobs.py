@@ -22,8 +22,10 @@ watermark is dropped by the engine. An empty stream gives no rows. Active jobs a
 
 from __future__ import annotations
 
+import sys
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -105,6 +107,8 @@ def framed(key: str, rows: list[tuple[int, int, str, int]]):
 def controlled(messages: DataFrame, seconds: float = limits.SECONDS, delay: str = "0 seconds") -> DataFrame:
     """What becomes of a stream of messages: key, at, message_id, kind, generation. The state store must be RocksDB."""
     rows = messages.select(F.col("key").cast("string").alias("key"), F.date_trunc("millisecond", F.col("at").cast("timestamp")).alias("at"), F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms"), F.col("message_id").cast("long").alias("message_id"), "kind", F.col("generation").cast("long").alias("generation"))
+    # the worker that a stream starts beside the driver isn't sent the package, so the processor goes to it whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = rows.where("key IS NOT NULL AND at IS NOT NULL AND message_id IS NOT NULL").withWatermark("at", delay)
     return rows.groupBy("key").transformWithStateInPandas(JobControl(seconds), ROWS, "Append", "EventTime")
 
