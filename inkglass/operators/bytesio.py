@@ -13,6 +13,9 @@ class LimitError(Exception):
     """A read outside the bytes."""
 
 
+FORMS = {(little, kind): struct.Struct(("<" if little else ">") + kind) for little in (False, True) for kind in "bBhHiIqQfd"}
+
+
 class Reader:
     """Reads numbers and slices of a buffer; a read outside it raises LimitError."""
 
@@ -28,7 +31,10 @@ class Reader:
         return bytes(self.data[at : at + n])
 
     def number(self, at: int, kind: str) -> int:
-        return struct.unpack(("<" if self.little else ">") + kind, self.take(at, struct.calcsize(kind)))[0]
+        form = FORMS[self.little, kind]
+        if not self.has(at, form.size):
+            raise LimitError
+        return form.unpack_from(self.data, at)[0]
 
     def u8(self, at: int) -> int:
         return self.number(at, "B")

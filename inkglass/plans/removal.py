@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkglass.functions import text
+
 #: Format, group, on by default.
 GROUPS = (
     ("jpeg", "exif", True), ("jpeg", "xmp", True), ("jpeg", "iptc", True), ("jpeg", "comments", True), ("jpeg", "other-segments", False), ("jpeg", "trailer", False),
@@ -31,6 +33,14 @@ def offered(findings: DataFrame, reports: DataFrame) -> DataFrame:
     return counts.join(fine, "file_id").join(F.broadcast(groups(findings.sparkSession)), ["format", "grp"]).select("file_id", "grp", "place", "default_on", "n")
 
 
+def offered_groups(found: Column, fmt: Column, refusal: Column, default_only: bool) -> Column:
+    """The groups of offered() as an array, from one file's findings as findings.resolved() gives them; null where copies are not made."""
+    out = F.when(refusal.isNotNull(), F.lit(None))
+    for f in ("jpeg", "png"):
+        out = out.when(fmt == f, F.array_intersect(F.transform(found, lambda x: x["grp"]), F.array(*(F.lit(g) for k, g, d in GROUPS if k == f and (d or not default_only)))))
+    return out
+
+
 def not_offered(selected: DataFrame, offers: DataFrame) -> DataFrame:
     """Chosen groups that a file doesn't offer; must be empty."""
     return selected.join(offers.select("file_id", "grp"), ["file_id", "grp"], "left_anti")
@@ -76,6 +86,26 @@ def differences(before: DataFrame, after: DataFrame, selected: DataFrame) -> Dat
     return n.select("file_id", F.explode(rows).alias("what"), "code", "label", "value")
 
 
+def checks_of(before: Column, after: Column, groups: Column) -> Column:
+    """The checks of finding_checks() as an array of (id, status, n), from one file's findings and its copy's."""
+    def key(f: Column) -> Column:  # of findings that tell the same
+        return F.concat(f["code"], F.lit("\n"), F.length(f["label"]).cast("string"), F.lit("\n"), f["label"], F.coalesce(F.concat(F.lit("="), f["value"]), F.lit("")))
+
+    def count(of: Column, those) -> Column:  # `those` is mostly empty
+        return text.bind(lambda x: F.when(F.size(x) == 0, 0).otherwise(F.size(F.filter(of, lambda k: F.array_contains(x, k)))).cast("long"), those)
+
+    removed = lambda f: F.coalesce(F.array_contains(groups, f["grp"]) & (f["transformation"] == "removable"), F.lit(False))
+    kept = lambda f: (f["transformation"] == "preserved") & ~((f["code"] == "exif.orientation") & F.coalesce(f["value"].startswith("1"), F.lit(False)))
+
+    def rows(x: Column) -> Column:
+        numbers = (("selected-removed", count(x["removed"], F.array_intersect(x["removed"], x["new"]))), ("nothing-new", count(x["new"], F.array_except(x["new"], x["old"]))), ("kept-as-planned", count(x["kept"], F.array_except(x["kept"], x["new"]))))
+        counted = F.array(*(F.struct(F.lit(i).alias("id"), n.alias("n")) for i, n in numbers))
+        return F.transform(counted, lambda c: F.struct(c["id"].alias("id"), F.when(c["n"] == 0, "pass").otherwise("fail").alias("status"), c["n"].alias("n")))
+
+    keys = lambda found: F.transform(found, key)
+    return text.bind(rows, F.struct(keys(before).alias("old"), keys(after).alias("new"), keys(F.filter(before, removed)).alias("removed"), keys(F.filter(before, kept)).alias("kept")))
+
+
 def finding_checks(files: DataFrame, diffs: DataFrame) -> DataFrame:
     """file_id, id, status, n of the three checks that compare findings."""
     n = diffs.groupBy("file_id").agg(*(F.count_if(F.col("what") == w).alias(k) for w, k in (("still-there", "selected-removed"), ("new", "nothing-new"), ("lost", "kept-as-planned"))))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from inkglass.plans import findings as model
 from inkglass.plans import inspect as plan
-from inkglass.plans import removal
 from inkglass.plans.queries import table
 from inkglass.sources import files
 
@@ -101,11 +100,8 @@ def coverage_of_made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies_of_made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies without what is removed by default, checked; one row a check."""
-    made = made_files(spark, sf_dir)
-    reports = plan.inspect(made)
-    chosen = removal.offered(plan.findings(reports), reports.select("file_id", "format", "copy_refusal")).where("default_on").select("file_id", "grp")
-    copies = plan.make_copies(made, chosen)
-    return plan.verify(made, copies, chosen)[0]
+    copies = plan.copy_inspected(plan.inspect(made_files(spark, sf_dir), ("content",)), default_only=True)
+    return copies.select("file_id", F.explode("checks").alias("c")).select("file_id", "c.id", "c.status", "c.n")
 
 
 QUERIES = {"inspect_made_files": inspect_made_files, "coverage_of_made_files": coverage_of_made_files, "copies_of_made_files": copies_of_made_files}

@@ -17,3 +17,12 @@ def new_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-inkglass-")
     return f"{found.rstrip('/')}/inkglass/{what}-{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bytes of a batch that a Python worker gets: files are large, and a batch of 10,000 rows would hold too many of them. The
+    session's setting must hold when the result is computed, so it isn't set back; a smaller one is left."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))

@@ -84,9 +84,9 @@ def extension_check(fmt: Column, extension: Column) -> Column:
     return F.when(fmt.isNull() | (extension == ""), "unknown").when(known, "match").otherwise("mismatch")
 
 
-def fingerprint(files: DataFrame, docx: Column | None = None) -> DataFrame:
+def fingerprint(files: DataFrame, docx: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each file's detection, checks, hash and refusal. docx: says if a ZIP is a DOCX (by its entries). A size that
-    the source has listed must be that of the content."""
+    the source has listed must be that of the content. keep: columns that are handed on."""
     found = files.withColumn("d", detect(F.col("content")))
     if docx is not None:
         word = F.struct(F.lit("docx").alias("format"), F.lit(DOCX_MIME).alias("mime"), F.lit("DOCX package").alias("label"), F.lit(False).alias("recognised_unsupported"))
@@ -99,7 +99,7 @@ def fingerprint(files: DataFrame, docx: Column | None = None) -> DataFrame:
     refusal = F.when(F.col("listed") != F.col("size"), "changed-while-read").when(large_zip, "zip-too-large").when(F.col("size") == 0, "empty-file").when(F.col("size") > limits.FILE_BYTES, "file-too-large").when(F.col("size") > size_limit(F.col("d.format")), "format-too-large").when(F.col("d.format").isNull(), "unsupported-format")
     return found.select(
         "file_id", "name", F.substring("declared_type", 1, 100).alias("declared_type"), "size", F.col("d.format").alias("detected_format"), F.col("d.mime").alias("detected_type"), F.when(large_zip, "ZIP archive too large to look for a DOCX in it").otherwise(F.col("d.label")).alias("detected_label"), F.col("d.recognised_unsupported").alias("recognised_unsupported"),
-        "extension", extension_check(F.col("d.format"), F.col("extension")).alias("extension_check"), check.alias("declared_type_check"), F.sha2("content", 256).alias("sha256"), refusal.alias("refusal"),
+        "extension", extension_check(F.col("d.format"), F.col("extension")).alias("extension_check"), check.alias("declared_type_check"), F.sha2("content", 256).alias("sha256"), refusal.alias("refusal"), *keep,
     )
 
 
