@@ -21,6 +21,10 @@ def test_property_copies_stay(spark):
     assert not shuffles(spark, property_files.property_copies(spark, SF))
 
 
+def test_property_comparison_stays(spark):
+    assert not shuffles(spark, property_files.property_comparison(spark, SF))
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     turned = [(f"{n}.png", property_files.png_file("a text", n)) for n in range(8)] + [(f"{n}.jpg", property_files.jpeg_file("a text", n)) for n in range(8)]
