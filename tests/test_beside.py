@@ -29,6 +29,10 @@ def test_property_reports_stay(spark):
     assert not shuffles(spark, property_files.property_reports(spark, SF))
 
 
+def test_copies_of_made_files_stay(spark):
+    assert not shuffles(spark, samples.copies_of_made_files(spark, SF))
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     turned = [(f"{n}.png", property_files.png_file("a text", n)) for n in range(8)] + [(f"{n}.jpg", property_files.jpeg_file("a text", n)) for n in range(8)]
