@@ -235,7 +235,7 @@ def written_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     names = F.replace(core.pick(ODD_NAMES, F.col("doc_id")), F.lit("%d"), F.col("doc_id").cast("string"))
     ranges.write_copies(docs.select(names.alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = files.fewer_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
     return found.select(F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -6,7 +6,7 @@ and tests of `extension` and `name` are taken over from filters, so files that t
 not opened. Each partition is a bounded number of files.
 
 Sink `inkglass-copies`: rows (name, content) become files. A task writes below `_temporary` under
-a folder of its own attempt; the commit moves each task's folder to its place, one message a task, so
+a folder of its own attempt, in folders of 2,000 files; the commit moves these to their places, one message a task, so
 a lost or repeated task leaves whole files or none, and an aborted job nothing. Names are made safe
 for any file system. A name that a task has written already gets a number.
 
@@ -34,8 +34,8 @@ from inkglass.sources import files
 
 TAIL_BYTES = 64 << 10
 ZIP_SIGNS = (b"PK\x03\x04", b"PK\x05\x06")
-#: Files of a partition.
-FILES_EACH = 500
+#: Files of a partition, and of a folder that is written: more than 32 folders are listed by a job, not by the driver.
+FILES_EACH, FOLDER_FILES = 500, 2000
 NAME_CHARS = 120
 
 
@@ -180,6 +180,9 @@ class Written(WriterCommitMessage):
     n_files: int
     n_bytes: int
 
+    def moves(self) -> list[tuple[str, str]]:
+        return [(f"{self.own}/{k}", f"{self.place}-{k}") for k in range(-(-self.n_files // FOLDER_FILES))]
+
 
 class Copies(DataSource):
     @classmethod
@@ -211,8 +214,9 @@ class CopyWriter(DataSourceWriter):
         for row in rows:
             if row.name is None or row.content is None:
                 raise ValueError("a file to write has no name or no content")
-            if not n_files:
-                system.create_dir(own, recursive=True)
+            place = f"{own}/{n_files // FOLDER_FILES}"
+            if not n_files % FOLDER_FILES:
+                system.create_dir(place, recursive=True)
             name = safe_name(row.name)
             k = taken[name.lower()] = taken.get(name.lower(), 0) + 1
             while k > 1:  # the numbered name may be one of the given ones
@@ -223,7 +227,7 @@ class CopyWriter(DataSourceWriter):
                     taken[name.lower()] = 1
                     break
                 k += 1
-            with system.open_output_stream(f"{own}/{name}") as f:
+            with system.open_output_stream(f"{place}/{name}") as f:
                 f.write(row.content)
             n_files, n_bytes = n_files + 1, n_bytes + len(row.content)
         return Written(own, f"{path}/part-{task.partitionId():05d}-{self.job[:8]}", n_files, n_bytes)
@@ -234,8 +238,8 @@ class CopyWriter(DataSourceWriter):
             self.clear_others(system, path)
         system.create_dir(path, recursive=True)
         for m in messages:
-            if m is not None and m.n_files:
-                system.move(m.own, m.place)
+            for own, place in m.moves() if m is not None else ():
+                system.move(own, place)
         self.forget(system)
 
     def clear_others(self, system, path: str) -> None:

@@ -81,3 +81,19 @@ def test_pdf_strings():
         assert bytes(found) == value and (data[:end] == data or data[end:] == b"rest")
     found, end = pdf.literal(b"(" + b"x" * (3 << 20) + b")", 0)
     assert len(found) == 1 << 20 and end == 1 + (1 << 20)
+
+
+def test_many_small_files(spark, tmp_path):
+    """Files lie in folders of bounded size, and a task reads more than 32 of them."""
+    import os
+
+    from inkglass.sources import files, ranges
+
+    n = 2 * ranges.FOLDER_FILES + 1
+    rows = spark.range(n).coalesce(1).select(F.concat("id", F.lit(".txt")).alias("name"), F.encode(F.col("id").cast("string"), "UTF-8").alias("content"))
+    ranges.write_copies(rows, f"{tmp_path}/many")
+    assert sorted(len(os.listdir(f"{tmp_path}/many/{d}")) for d in os.listdir(f"{tmp_path}/many")) == [1, ranges.FOLDER_FILES, ranges.FOLDER_FILES]
+    found = files.read_files(spark, f"{tmp_path}/many")
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < n // 32
+    told = found.selectExpr("name", "CAST(content AS string) AS c").collect()
+    assert len(told) == n and all(r.name == f"{r.c}.txt" for r in told)
