@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import sys
 from contextlib import contextmanager
+from operator import itemgetter
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,8 @@ class JobControl(StatefulProcessor):
         pass
 
     def now(self) -> tuple[int, bool, int, int]:
-        return tuple(self.job.get()) if self.job.exists() else (0, False, 0, 0)
+        found = self.job.get()  # one call; None where there is none
+        return (0, False, 0, 0) if found is None else tuple(found)
 
     def put(self, state: tuple[int, bool, int, int], before: tuple[int, bool, int, int]) -> None:
         """Keeps the state; its timer is the active job's deadline."""
@@ -62,12 +64,12 @@ class JobControl(StatefulProcessor):
         self.job.update(state)
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        messages = pd.concat(list(rows)).sort_values(["at_ms", "message_id"], kind="stable")
+        # a key has few messages, for which a frame's own sorting takes longer than all else
+        messages = [m for part in rows for m in zip(*(part[c].tolist() for c in ("at_ms", "message_id", "kind", "generation")), strict=True)]
+        messages.sort(key=itemgetter(0, 1))
         before = state = self.now()
         out = []
-        for at, message_id, kind, named in zip(messages["at_ms"].tolist(), messages["message_id"].tolist(), messages["kind"].tolist(), messages["generation"].tolist(), strict=True):
+        for at, message_id, kind, named in messages:
             state = self.fold(state, at, message_id, kind, None if named is None or named != named else int(named), out)
         self.put(state, before)
         yield framed(key[0], out)
@@ -98,10 +100,12 @@ class JobControl(StatefulProcessor):
 
 
 def framed(key: str, rows: list[tuple[int, int, str, int]]):
+    import numpy as np
     import pandas as pd
 
     at, generation, outcome, message_id = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pd.DataFrame({"key": [key] * len(rows), "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="ms"), "generation": pd.Series(generation, dtype="int64"), "outcome": pd.Series(outcome, dtype="object"), "message_id": pd.Series(message_id, dtype="int64")})
+    n = lambda values, kind: np.array(values, dtype=kind)
+    return pd.DataFrame({"key": n([key] * len(rows), "object"), "at": n(at, "int64").astype("datetime64[ms]").astype("datetime64[ns]"), "generation": n(generation, "int64"), "outcome": n(outcome, "object"), "message_id": n(message_id, "int64")})
 
 
 def controlled(messages: DataFrame, seconds: float = limits.SECONDS, delay: str = "0 seconds") -> DataFrame:

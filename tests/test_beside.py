@@ -97,3 +97,33 @@ def test_many_small_files(spark, tmp_path):
     assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < n // 32
     told = found.selectExpr("name", "CAST(content AS string) AS c").collect()
     assert len(told) == n and all(r.name == f"{r.c}.txt" for r in told)
+
+
+def test_job_control_asks_for_state_once():
+    import pandas as pd
+
+    from inkglass.streaming.jobs import JobControl
+
+    class Handle:
+        calls, state = [], None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.state
+
+        def update(self, state):
+            self.calls.append("update")
+            self.state = state
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+
+    control, handle = JobControl(1), Handle()
+    control.init(handle)
+    parts = [pd.DataFrame({"at_ms": [5, 3], "message_id": [2, 1], "kind": ["progress", "start"], "generation": [1.0, None]}), pd.DataFrame({"at_ms": [3], "message_id": [0], "kind": ["error"], "generation": [None]})]
+    (out,) = control.handleInputRows(("k",), iter(parts), None)
+    assert out["outcome"].tolist() == ["stale", "started", "progress"] and out["generation"].tolist() == [0, 1, 1] and handle.state == (1, True, 1, 1003)
+    assert handle.calls == ["get", "timer", "update"]
