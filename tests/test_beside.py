@@ -127,3 +127,15 @@ def test_job_control_asks_for_state_once():
     (out,) = control.handleInputRows(("k",), iter(parts), None)
     assert out["outcome"].tolist() == ["stale", "started", "progress"] and out["generation"].tolist() == [0, 1, 1] and handle.state == (1, True, 1, 1003)
     assert handle.calls == ["get", "timer", "update"]
+
+
+def test_batches_count_values_and_kept_bytes(spark):
+    """Rows with long values, or with bytes kept beside them, close a batch."""
+    import pyarrow as pa
+
+    schema = pa.schema([("file_id", pa.string()), ("findings", pa.list_(pa.struct([("value", pa.string())])))])
+    long = [{"file_id": str(k), "findings": [{"value": "v" * (1 << 20)}]} for k in range(8)]
+    assert max(b.num_rows for b in plan.together(iter(long), schema)) <= 2
+    assert max(b.num_rows for b in plan.together(({"file_id": "x", "kept_bytes": 1 << 20} for _ in range(8)), schema)) <= 2
+    plan.inspect(samples.made_files(spark, SF))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20
