@@ -1,5 +1,7 @@
 """Files are copied, compared and fingerprinted where their reports are made: nothing is shuffled or joined."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,16 @@ def test_batches_count_values_and_kept_bytes(spark):
     assert max(b.num_rows for b in plan.together(({"file_id": "x", "kept_bytes": 1 << 20} for _ in range(8)), schema)) <= 2
     plan.inspect(samples.made_files(spark, SF))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_property_files_need_no_pattern(spark, tmp_path):
+    texts = {0: None, 1: "", 3: "  a? \né漢\U0001f600.b:,-~ ", 4: "".join(map(chr, range(1, 0x300))), 5: "\U0010ffff漢", 7: "x" * 70_000 + "é"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {i: re.sub(property_files.PLAIN, " ", t or "").strip(" ") for i, t in texts.items()}
+    made = property_files.property_files(spark, str(tmp_path))
+    assert "regexp_replace" not in optimized(made)
+    assert {r.file_id: bytes(r.content) for r in made.collect()} == {str(i): property_files.MAKERS[i % 4](t, i) for i, t in plain.items()}
