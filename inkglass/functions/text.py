@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from inkglass.functions.limits import DISPLAY_CHARS, ELEMENTS, TAG_CHARS
 
 #: Characters that are not shown as they are.
-CONTROLS = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}\x{61c}\x{feff}]"
+#: These and controls, the latter one by one: Java looks those up in a table, and compares a character with each range.
+ODD = "[" + "".join(rf"\x{{{c:x}}}" for c in (*range(9), 11, 12, *range(14, 32), *range(0x7F, 0xA0))) + INVISIBLE[1:]
 NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 
@@ -20,9 +21,10 @@ def bind(f, value: Column) -> Column:
 
 def display_text(value: Column, most: int = DISPLAY_CHARS) -> Column:
     """The first characters of a value, those that aren't shown replaced one by one, and how many there are more."""
-    clean = F.regexp_replace(F.regexp_replace(F.substring(value, 1, most), CONTROLS, "�"), INVISIBLE, "�")
+    shown = lambda x: F.regexp_replace(x, ODD, "�")
+    clean = shown(F.substring(value, 1, most))
     more = F.concat(clean, F.lit("… ("), (F.length(value) - most).cast("string"), F.lit(" characters longer)"))
-    return F.when(F.length(value) > most, more).otherwise(clean)
+    return F.when(F.octet_length(value) <= most, shown(value)).when(F.length(value) > most, more).otherwise(clean)  # bytes are counted already
 
 
 def low_bytes(value: Column) -> Column:

@@ -37,8 +37,12 @@ def resolve(raw: DataFrame, shown: bool = False) -> DataFrame:
     return out.withColumn("removable", F.col("transformation") == "removable")
 
 
-def resolved(found: Column) -> Column:
-    """What resolve() makes of one file's raw findings, as an array: code, category, label, value, grp, transformation."""
+TOLD = ("code", "category", "label", "value", "grp", "transformation")
+
+
+def resolved(found: Column, columns: tuple[str, ...] = TOLD) -> Column:
+    """What resolve() makes of one file's raw findings, as an array of these columns: code, category, label, value, grp, transformation.
+    A lambda's fields are all worked out, so a caller names those that it needs."""
     known = json.dumps({code: {"category": category, "label": label, "grp": grp, "transformation": transformation} for code, category, label, _, grp, transformation in entries()})
     known = F.from_json(F.lit(known), "map<string,struct<category:string,label:string,grp:string,transformation:string>>")  # a constant
 
@@ -46,12 +50,13 @@ def resolved(found: Column) -> Column:
         def row(c: Column) -> Column:
             group = F.when(f["grp"] == "-", None).otherwise(F.coalesce(f["grp"], c["grp"]))
             own = F.when(group.isNotNull(), "removable").otherwise(F.when(c["grp"].isNull(), c["transformation"]).otherwise("unsupported"))
-            return F.struct(
-                F.when(c.isNull(), F.raise_error(F.concat(F.lit("unknown finding code "), f["code"]))).otherwise(f["code"]).alias("code"), F.coalesce(f["category"], c["category"]).alias("category"),
-                F.coalesce(f["label"], c["label"]).alias("label"), text.display_text(f["value"]).alias("value"), group.alias("grp"), F.coalesce(f["transformation"], own).alias("transformation"),
-            )
+            made = {
+                "code": f["code"], "category": F.coalesce(f["category"], c["category"]), "label": F.coalesce(f["label"], c["label"]), "value": text.display_text(f["value"]),
+                "grp": group, "transformation": F.coalesce(f["transformation"], own),
+            }
+            return F.struct(*(made[n].alias(n) for n in columns))
 
-        return text.bind(row, F.try_element_at(known, f["code"]))
+        return text.bind(row, F.coalesce(F.try_element_at(known, f["code"]), F.raise_error(F.concat(F.lit("unknown finding code "), f["code"]))))
 
     return F.transform(found, one)
 

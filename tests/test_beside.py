@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from inkglass.functions import text
 from inkglass.operators import pdf
 from inkglass.plans import findings as model
 from inkglass.plans import inspect as plan
@@ -154,3 +155,16 @@ def test_texts_of_property_files_need_no_pattern(spark, tmp_path):
     made = property_files.property_files(spark, str(tmp_path))
     assert "regexp_replace" not in optimized(made)
     assert {r.file_id: bytes(r.content) for r in made.collect()} == {str(i): property_files.MAKERS[i % 4](t, i) for i, t in plain.items()}
+
+
+def test_comparison_makes_no_display_texts(spark):
+    found = optimized(property_files.property_comparison(spark, SF))
+    assert "MapInArrow" in found and "regexp_replace" not in found
+
+
+def test_display_text_of_long_short_and_odd_values(spark):
+    most = text.DISPLAY_CHARS
+    values = [None, "", "a" * most, "é" * most, "é" * (most + 1), "".join(map(chr, range(1, 0x300))), "".join(map(chr, range(0x2000, 0x2100))), "\ufeff\t\n\r"]
+    rows = spark.createDataFrame([*enumerate(values)], "i int, v string").select("i", text.display_text(F.col("v")).alias("d")).orderBy("i").collect()
+    odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\u2066-\u2069\u061c\ufeff]")
+    assert [r.d for r in rows] == [v and odd.sub("�", v[:most]) + (f"… ({len(v) - most} characters longer)" if len(v) > most else "") for v in values]
