@@ -126,6 +126,18 @@ def findings(reports: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     return model.resolve(raw)
 
 
+def findings_of(made: DataFrame) -> DataFrame:
+    """findings() of files (file_id, name, declared_type, content) with their mismatches, from one pass over them: a file's
+    fingerprint is made where it goes to its walker."""
+    prints = files.fingerprint(made, keep=("content",))
+    mismatch = F.when(F.expr(files.MISMATCH), F.array(files.mismatch_text())).otherwise(F.array().cast("array<string>"))
+    reports = inspect(prints.select("file_id", "content", mismatch.alias("mismatch")), ("mismatch",))
+    told = {"code": F.lit("file.type-mismatch"), "source": F.lit("File name and type"), "status": F.lit("suspicious")}
+    one = lambda v: F.struct(*(told.get(n, v if n == "value" else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in FINDING.split(", "))))
+    raw = reports.select("file_id", (1 - F.size("mismatch")).alias("from"), F.posexplode(F.concat(F.transform("mismatch", one), "findings")).alias("seq", "f"))
+    return model.resolve(raw.select("file_id", (F.col("seq") + F.col("from")).alias("seq"), "f.*"))
+
+
 MANIFEST = "array<struct<action:string,what:string,grp:string,offset:long,bytes:long>>"
 
 

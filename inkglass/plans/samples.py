@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from inkglass.plans import findings as model
 from inkglass.plans import inspect as plan
 from inkglass.plans.queries import table
-from inkglass.sources import files
 
 
 def number(n: Column, size: int) -> Column:
@@ -89,8 +88,7 @@ def made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inspect_made_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J, E, P, F walkers, G1, G2: the listed findings of all files."""
-    made = made_files(spark, sf_dir)
-    return model.capped(plan.findings(plan.inspect(made), files.fingerprint(made)))
+    return model.capped(plan.findings_of(made_files(spark, sf_dir)))
 
 
 def coverage_of_made_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,14 +110,22 @@ def fingerprint(files: DataFrame, docx: Column | None = None, keep: tuple[str, .
     )
 
 
-def mismatches(prints: DataFrame) -> DataFrame:
-    """One file.type-mismatch finding for each file whose name or declared type differs from its content."""
+#: If a file's name or declared type differs from its content.
+MISMATCH = "extension_check = 'mismatch' OR declared_type_check = 'mismatch'"
+
+
+def mismatch_text() -> Column:
+    """What a file.type-mismatch finding says, from the columns of fingerprint()."""
     parts = F.array_compact(F.array(
         F.when(F.col("extension_check") == "mismatch", F.concat(F.lit("the name ends in ."), "extension")),
         F.when(F.col("declared_type_check") == "mismatch", F.concat(F.lit("the declared type is "), "declared_type")),
     ))
-    value = F.concat(F.lit("The content is a "), "detected_label", F.lit(", but "), F.array_join(parts, " and "), F.lit("."))
-    return prints.where("extension_check = 'mismatch' OR declared_type_check = 'mismatch'").select("file_id", F.lit("file.type-mismatch").alias("code"), value.alias("value"), F.lit("File name and type").alias("source"))
+    return F.concat(F.lit("The content is a "), "detected_label", F.lit(", but "), F.array_join(parts, " and "), F.lit("."))
+
+
+def mismatches(prints: DataFrame) -> DataFrame:
+    """One file.type-mismatch finding for each file whose name or declared type differs from its content."""
+    return prints.where(MISMATCH).select("file_id", F.lit("file.type-mismatch").alias("code"), mismatch_text().alias("value"), F.lit("File name and type").alias("source"))
 
 
 def describe_trailing(content: Column, start: Column) -> Column:

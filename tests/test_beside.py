@@ -10,6 +10,7 @@ from inkglass.operators import pdf
 from inkglass.plans import findings as model
 from inkglass.plans import inspect as plan
 from inkglass.plans import property_files, removal, samples
+from inkglass.sources import files
 from tests import gen
 
 SF = "/root/testdata/sf0.001"
@@ -168,3 +169,13 @@ def test_display_text_of_long_short_and_odd_values(spark):
     rows = spark.createDataFrame([*enumerate(values)], "i int, v string").select("i", text.display_text(F.col("v")).alias("d")).orderBy("i").collect()
     odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b-\u200f\u2028-\u202e\u2066-\u2069\u061c\ufeff]")
     assert [r.d for r in rows] == [v and odd.sub("�", v[:most]) + (f"… ({len(v) - most} characters longer)" if len(v) > most else "") for v in values]
+
+
+def test_findings_of_made_files_in_one_pass(spark, table):
+    rows = table.withColumn("declared_type", F.when(F.length("name") % 2 == 0, "image/PNG"))
+    joined = plan.findings(plan.inspect(rows), files.fingerprint(rows))
+    beside = plan.findings_of(rows)
+    assert beside.schema.simpleString() == joined.schema.simpleString()
+    assert sorted(map(str, beside.collect())) == sorted(map(str, joined.collect()))
+    assert beside.where("seq = 0").count() > 2
+    assert optimized(samples.inspect_made_files(spark, SF)).count("MapInArrow") == 1 and optimized(samples.inspect_made_files(spark, SF)).count("Relation") == 4
