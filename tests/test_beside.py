@@ -179,3 +179,8 @@ def test_findings_of_made_files_in_one_pass(spark, table):
     assert sorted(map(str, beside.collect())) == sorted(map(str, joined.collect()))
     assert beside.where("seq = 0").count() > 2
     assert optimized(samples.inspect_made_files(spark, SF)).count("MapInArrow") == 1 and optimized(samples.inspect_made_files(spark, SF)).count("Relation") == 4
+
+
+def test_checks_of_copies_are_made_once(spark):
+    lines = optimized(samples.copies_of_made_files(spark, SF)).split("\n")
+    assert not [x for x in lines if "Filter" in x and "regexp_replace" in x]
