@@ -3,7 +3,7 @@
 Texts are cut into pre-tokens by the tokenizer's pattern. The different pre-tokens that a
 Python worker has not met before lie in one array of symbols; an index maps each pair to all
 its positions there. Active ranks leave a heap in ascending order; a rank's merge is applied
-at every position of its pair, and the lists of the pairs beside it are updated. Ids of known
+at every position of its pair at once, and the lists of the pairs beside it are updated. Ids of known
 pre-tokens come from the worker's table.
 
 Cases: a null or empty text has no ids and decodes to the empty text. The tokenizer's special
@@ -52,16 +52,22 @@ class PairIndexEncoder:
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.first = [0] * 256
+        self.first = np.zeros(256, np.int64)
         for c, b in back.items():
             self.first[b] = vocab[c]
-        self.rank: dict[int, int] = {}
+        rank: dict[int, int] = {}
         self.made: list[tuple[int, int]] = []
         for merge in data["model"]["merges"]:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             code = vocab[a] << 32 | vocab[b]
-            self.rank.setdefault(code, len(self.made))
+            rank.setdefault(code, len(self.made))
             self.made.append((code, vocab[a + b]))
+        # codes of pairs in order, and a last one that none has, with their ranks; those of two bytes in a table, too
+        self.codes = np.array([*sorted(rank), 1 << 62], np.int64)
+        self.ranks = np.array([rank.get(c, -1) for c in self.codes.tolist()], np.int64)
+        pairs = self.first[:, None] << 32 | self.first
+        at = np.searchsorted(self.codes, pairs)
+        self.byte_ranks = np.where(self.codes[at] == pairs, self.ranks[at], -1)
         self.find = regex.compile(PATTERN).findall
         self.odd = regex.compile(SETTLED).search
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -80,60 +86,67 @@ class PairIndexEncoder:
         self.texts: list[str] = []
         self.n_ids = 0
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word, by the index of all words' pairs."""
-        first, rank, made = self.first, self.rank, self.made
-        symbols: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            symbols += map(first.__getitem__, w)
-            ends.append(len(symbols))
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        begin = 0
-        for e in ends:
-            if e > begin:
-                after[e - 1] = -1
-                before[begin] = -1
-            begin = e
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] >= 0 and (r := rank.get(symbols[i] << 32 | symbols[i + 1])) is not None:
-                if r in index:
-                    index[r].append(i)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has, by the index of all words' pairs. All places of a rank are
+        merged at once; place n stands for what lies before and after a word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n, ends = len(data), np.cumsum(sizes)
+        begins = ends - sizes
+        symbols = np.append(self.first[data], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends[sizes > 0] - 1] = before[begins[sizes > 0]] = n
+        index: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def put(ranks: np.ndarray, places: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for at, s in enumerate(ranks[cuts[:-1]].tolist()):
+                part = places[cuts[at] : cuts[at + 1]]
+                if s in index:
+                    index[s].append(part)
                 else:
-                    index[r] = [i]
-        active = list(index)
-        heapq.heapify(active)
+                    index[s] = [part]
+                    heapq.heappush(active, s)
+
+        def indexed(codes: np.ndarray, places: np.ndarray) -> None:
+            at = np.searchsorted(self.codes, codes)
+            hit = np.flatnonzero(self.codes[at] == codes)
+            if len(hit):
+                put(self.ranks[at[hit]], places[hit])
+
+        if n > 1:
+            ranks = self.byte_ranks[data[:-1], data[1:]]
+            places = np.flatnonzero((ranks >= 0) & (after[: n - 1] < n))
+            if len(places):
+                put(ranks[places], places)
         while active:
             r = heapq.heappop(active)
-            code, new = made[r]
+            code, new = self.made[r]
             a, b = code >> 32, code & 0xFFFFFFFF
-            for i in sorted(index.pop(r)):
-                if symbols[i] != a or (j := after[i]) < 0 or symbols[j] != b:
-                    continue
-                symbols[i], symbols[j] = new, -1
-                k = after[i] = after[j]
-                if k >= 0:
-                    before[k] = i
-                    if (s := rank.get(new << 32 | symbols[k])) is not None:
-                        if s in index:
-                            index[s].append(i)
-                        else:
-                            index[s] = [i]
-                            heapq.heappush(active, s)
-                h = before[i]
-                if h >= 0 and (s := rank.get(symbols[h] << 32 | new)) is not None:
-                    if s in index:
-                        index[s].append(h)
-                    else:
-                        index[s] = [h]
-                        heapq.heappush(active, s)
-        out, begin = [], 0
-        for e in ends:
-            out.append([s for s in symbols[begin:e] if s >= 0])
-            begin = e
-        return out
+            parts = index.pop(r)
+            i = np.sort(parts[0] if len(parts) == 1 else np.concatenate(parts))
+            j = after[i]
+            fits = (symbols[i] == a) & (symbols[j] == b)
+            fits[1:] &= i[1:] != i[:-1]
+            i = i[fits]
+            if a == b and len(i) > 1:  # of a run of equal symbols the first, third ...
+                number = np.arange(len(i))
+                begun = np.concatenate([[True], after[i[:-1]] != i[1:]])
+                i = i[(number - np.maximum.accumulate(np.where(begun, number, 0))) % 2 == 0]
+            if not len(i):
+                continue
+            j = after[i]
+            symbols[i], symbols[j] = new, -1
+            k = after[i] = after[j]
+            before[k] = i
+            h = before[i]
+            indexed(np.concatenate([new << 32 | symbols[k], symbols[h] << 32 | new]), np.concatenate([i, h]))
+        left = symbols[:n] >= 0
+        until = np.concatenate([[0], np.cumsum(left)])
+        return symbols[:n][left], until[ends] - until[begins]
 
     def pieces(self, text: str) -> list[str]:
         if self.odd(text):
@@ -151,18 +164,22 @@ class PairIndexEncoder:
         new = sorted(tokens.difference(self.number))
         for at in range(0, len(new), 100_000):
             part = new[at : at + 100_000]
-            lists = [[self.special[p]] if p in self.special else x for p, x in zip(part, self.merge([p.encode() for p in part]), strict=True)]
+            # a special string is one symbol, which has no pair
+            flat, counts = self.merge([b"\0" if p in self.special else p.encode() for p in part])
+            stops = np.cumsum(counts)
+            for k, p in enumerate(part) if self.special else ():
+                if p in self.special:
+                    flat[stops[k] - 1] = self.special[p]
             first = len(self.number)
             self.number.update(zip(part, range(first, first + len(part)), strict=True))
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
             self.ids = ChunkTable.room(self.ids, self.n_ids + len(flat))
             self.starts, self.counts = ChunkTable.room(self.starts, first + len(part)), ChunkTable.room(self.counts, first + len(part))
             self.ids[self.n_ids : self.n_ids + len(flat)] = flat
             self.counts[first : first + len(part)] = counts
-            self.starts[first : first + len(part)] = self.n_ids + np.cumsum(counts) - counts
+            self.starts[first : first + len(part)] = self.n_ids + stops - counts
             self.n_ids += len(flat)
-            self.texts += [",".join(map(str, x)) for x in lists]
+            shown, stops = list(map(str, flat.tolist())), stops.tolist()
+            self.texts += [",".join(shown[a:b]) for a, b in zip([0, *stops], stops, strict=False)]
 
     def encode(self, texts: list[str | None]):
         """For each text its ids and the ids' decimal text."""

@@ -174,6 +174,34 @@ def test_pair_index_random():
         assert coder.decode(ids).decode() == tokenizer.decode(plain, skip_special_tokens=False)
 
 
+def test_pair_index_merges_places_together():
+    """Steps of a merge follow the ranks that occur, not the words; runs of equal symbols and odd words come out as the library's."""
+    import sys
+
+    coder, tokenizer, rng = pair_index_bpe.PairIndexEncoder(BYTE), Tokenizer.from_file(BYTE), random.Random(6)
+
+    def steps(words):
+        calls = 0
+
+        def count(*_):
+            nonlocal calls
+            calls += 1
+
+        sys.setprofile(count)
+        try:
+            coder.merge(words)
+        finally:
+            sys.setprofile(None)
+        return calls
+
+    words = ["notwithstanding", "aaaaaaa", "understandably"]
+    assert steps([w.encode() for w in words * 1000]) < 2 * steps([w.encode() for w in words * 10])
+    words = ["".join(rng.choice("aab=") for _ in range(rng.randrange(1, 60))) for _ in range(500)] + ["=" * n for n in range(1, 70)]
+    words = [w for w in words if len(coder.pretokens(w)) == 1]
+    flat, counts = coder.merge([w.encode() for w in words])
+    assert counts.tolist() == [len(tokenizer.encode(w).ids) for w in words] and flat.tolist() == [i for w in words for i in tokenizer.encode(w).ids]
+
+
 def test_decontaminate(spark):
     items = [(r["item_id"], r["text"]) for r in documents("benchmark")] + [(900, "short item"), (900, "short item"), (901, ""), (902, None), (None, "only five words stand here")]
     rows = [(r["doc_id"], r["text"]) for r in documents()] + [(5000, f"Some {items[0][1].upper()} and a SHORT item; only five words stand here!"), (5001, None), (5002, ""), (5002, ""), (None, "short item")]
