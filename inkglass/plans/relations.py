@@ -16,6 +16,7 @@ from inkglass.plans import removal
 from inkglass.plans.queries import table
 from inkglass.shared import new_folder
 from inkglass.sources import files, ranges
+from inkglass.sources.whole import whole_files
 from inkglass.streaming import jobs
 from inkglass.streaming.progress import BatchProgress
 
@@ -212,11 +213,11 @@ RANGED_SQL = f"""
         CASE WHEN f IS NULL THEN 'unsupported-format' END AS refusal, CAST(least(size, CASE WHEN k = 5 THEN {limits.SNIFF_BYTES + ranges.TAIL_BYTES} ELSE {limits.SNIFF_BYTES} END) AS BIGINT) AS bytes_read FROM e WHERE size > 0"""
 
 def folder_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents written as files and read back whole; empty ones are left out by their length, which the source filters."""
+    """The documents written as files and read back whole; empty ones are left out by their length, before they are opened."""
     folder = new_folder(spark, "files")
     made = core.made_files(spark, sf_dir)
     ranges.write_copies(made.select(F.concat(F.lit("f"), "file_id", F.lit("."), F.lower(F.regexp_extract("name", r"([^./]+)$", 1))).alias("name"), "content"), folder)
-    return files.fingerprint(files.read_files(spark, folder)).drop("file_id", "declared_type", "declared_type_check")
+    return files.fingerprint(files.as_files(whole_files(spark, folder, limits.FILE_BYTES))).drop("file_id", "declared_type", "declared_type_check")
 
 
 FOLDER_SQL = f"""
@@ -235,8 +236,8 @@ def written_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     names = F.replace(core.pick(ODD_NAMES, F.col("doc_id")), F.lit("%d"), F.col("doc_id").cast("string"))
     ranges.write_copies(docs.select(names.alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
-    found = files.fewer_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
-    return found.select(F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    found = whole_files(spark, folder)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 WRITTEN_SQL = """SELECT ['copy ' || doc_id || '.jpg', doc_id || '.png', 'what_ ' || doc_id || '_.jpg', CAST(doc_id AS VARCHAR), 'file_con.' || doc_id, 'y_' || doc_id][1 + doc_id % 6] AS name, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents WHERE text <> ''"""

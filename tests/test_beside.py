@@ -103,6 +103,30 @@ def test_many_small_files(spark, tmp_path):
     assert len(told) == n and all(r.name == f"{r.c}.txt" for r in told)
 
 
+def test_whole_files(spark, tmp_path):
+    """Files are listed and opened in tasks: no list of them is kept in the driver. Odd names come out as they are."""
+    from inkglass.plans import relations
+    from inkglass.sources.whole import whole_files
+
+    given = {"a b+%20#.txt": b"1", "deep/x/y/\u00fc.jpg": b"22", "deep/z.": b"x" * 5000, "deep/empty": b"", "_hidden/a": b"3", "deep/.b": b"4"}
+    for name, data in given.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    for root in (f"{tmp_path}/in", f"file://{tmp_path}/in/"):
+        rows = whole_files(spark, root)
+        assert {r.path: (r.length, bytes(r.content)) for r in rows.collect()} == {f"{root.rstrip('/')}/{n}": (len(b), b) for n, b in given.items() if b and "_" not in n and "/." not in n}
+        to_ms = lambda at: at.replace(microsecond=at.microsecond // 1000 * 1000)
+        assert {to_ms(r.modificationTime) for r in rows.collect()} == {r.modificationTime for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0").collect()}
+    assert whole_files(spark, f"{tmp_path}/in", 2).count() == 2 and whole_files(spark, f"{tmp_path}/missing").count() == 0
+    # a file that has grown shows its change
+    rows = whole_files(spark, f"{tmp_path}/in")
+    (tmp_path / "in" / "a b+%20#.txt").write_bytes(b"1 and more")
+    assert rows.where("length = 1").first().content == b"1 "
+    for query in (relations.folder_fingerprints, relations.written_copies):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "binaryFile" not in plan and "MapInArrow" in plan
+
+
 def test_job_control_asks_for_state_once():
     import pandas as pd
 
