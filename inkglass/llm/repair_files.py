@@ -51,14 +51,15 @@ def choose(codes: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """Places of frequent pairs among codes, by falling count, of which no two can share a symbol of the text."""
     often = np.flatnonzero(counts >= least)
     often = often[np.lexsort((codes[often], -counts[often]))]
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    out = []
-    listed = codes[often]
-    for k, a, b in zip(often.tolist(), (listed >> 32).tolist(), (listed & 0xFFFFFFFF).tolist(), strict=True):
-        if a not in rights and b not in lefts and (a != b or a not in lefts and b not in rights):
-            lefts.add(a)
-            rights.add(b)
+    out: list[int] = []
+    if not len(often):
+        return np.array(out, np.int64)
+    first, second = codes[often] >> 32, codes[often] & 0xFFFFFFFF
+    # a byte for each symbol, which is less work than sets of them
+    lefts, rights = bytearray(int(max(first.max(), second.max())) + 1), bytearray(int(max(first.max(), second.max())) + 1)
+    for k, a, b in zip(often.tolist(), first.tolist(), second.tolist(), strict=True):
+        if not (rights[a] or lefts[b]) and (a != b or not (lefts[a] or rights[b])):
+            lefts[a] = rights[b] = 1
             out.append(k)
     return np.array(out, np.int64)
 
@@ -363,12 +364,16 @@ def read_shards(files: DataFrame) -> DataFrame:
                 fs, name = file_system(path)
                 with fs.open_input_stream(name) as f:
                     file = GrammarFile(f.read())
-                for at in range(0, len(file.doc_ids), 2000):
-                    part = range(at, min(at + 2000, len(file.doc_ids)))
-                    found = [file.document(k) for k in part]
+                for at in range(0, len(file.doc_ids), 200):
+                    part = range(at, min(at + 200, len(file.doc_ids)))
+                    # expanded together, then cut by the documents' first tokens
+                    ids = file.expand(file.symbols[file.symbol_at[at] : file.symbol_at[part.stop]]).astype("<u4")
+                    cuts = (file.token_at[at : part.stop + 1] - file.token_at[at]).tolist()
+                    if cuts[-1] != len(ids):
+                        raise ValueError("a file's offsets aren't those of its symbols")
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([file.doc_ids[k] for k in part], pa.int64()), "start": [first + int(file.token_at[k]) for k in part], "n_tokens": [len(x) for x in found],
-                        "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found], "n_symbols": [int(file.symbol_at[k + 1] - file.symbol_at[k]) for k in part],
+                        "doc_id": pa.array([file.doc_ids[k] for k in part], pa.int64()), "start": [first + int(file.token_at[k]) for k in part], "n_tokens": np.diff(cuts).tolist(),
+                        "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], "n_symbols": [int(file.symbol_at[k + 1] - file.symbol_at[k]) for k in part],
                     })
 
     # the sums of parts, a row for each task that wrote, stand in one task; files are added up part by part

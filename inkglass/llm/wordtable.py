@@ -58,13 +58,30 @@ def cuts_at_spaces(file: dict) -> tuple[bool, bool]:
     return kinds <= {"NFC", "Replace", "Lowercase"} and spaces and split and rest, "Lowercase" in kinds
 
 
+def lowered(text: bytes, lowers: bool) -> bytes:
+    """A-Z in lower case, as a tokenizer that lowers does it, unless the text has combining marks, which could compose
+    with one case only, or what might be a special string."""
+    return text.lower() if lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text else text
+
+
 def plainer(text: bytes, lowers: bool) -> bytes:
-    """The text with fewer different chunks and the same ids: A-Z in lower case (as a tokenizer that lowers does
-    it, unless the text has combining marks, which could compose with one case only, or what might
-    be a special string), and end marks apart."""
-    if lowers and b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-        text = text.lower()
-    return marks_apart(text)
+    """The text with fewer different chunks and the same ids: in lower case, and end marks apart."""
+    return marks_apart(lowered(text, lowers))
+
+
+def all_plainer(texts: list[bytes], lowers: bool):
+    """plainer() of all texts at once, as an Arrow array; each has one white space more at its end, which tells it from the next
+    and is no end of a chunk for marks_apart()."""
+    import pyarrow as pa
+
+    joined = b"\x0b".join([*(lowered(t, lowers) for t in texts), b""])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    data = np.frombuffer(joined, np.uint8)
+    at = np.flatnonzero(MARKS[data[1:-1]]) + 1
+    at = at[WORDS[data[at - 1]] & ENDS[data[at + 1]]]
+    offsets = np.concatenate([[0], ends + np.searchsorted(at, ends)]).astype(np.int32)
+    plain = np.insert(data, at, 32) if len(at) else data
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(plain)])
 
 
 def plain_letters(chunk: str) -> bool:
@@ -80,19 +97,26 @@ class ChunkTable:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer = self.letters = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.most = most
-        self.by_chunks, self.lowers = cuts_at_spaces(json.load(open(tokenizer_path, encoding="utf-8")))
+        file = json.load(open(tokenizer_path, encoding="utf-8"))
+        self.by_chunks, self.lowers = cuts_at_spaces(file)
         names = self.tokenizer.get_vocab()
         #: By id, if it ends a word; None for tokenizers that don't mark the ends of words.
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         if not self.ends_word.any() or not self.by_chunks:
             self.ends_word = None
+        if self.ends_word is not None and not any(plain_letters(x["content"]) for x in file["added_tokens"]):
+            # chunks of plain letters need no NFC and no pattern: white space cuts them as the pattern does; the model is shared
+            self.letters = Tokenizer(self.tokenizer.model)
+            self.letters.normalizer = normalizers.Lowercase() if self.lowers else normalizers.Sequence([])
+            levels = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] * any(x["type"] == "ByteLevel" for x in parts_of(file.get("pre_tokenizer"), "pretokenizers"))
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *levels])
         self.clear()
 
     def clear(self) -> None:
@@ -118,7 +142,7 @@ class ChunkTable:
 
     def together(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for chunks of plain letters, in one call. Each is one pre-token, whose last id ends a word."""
-        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        flat = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.ends_word[flat]) + 1
         if len(stops) != len(part) or stops[-1] != len(flat):
             return self.apart(part)
@@ -126,7 +150,7 @@ class ChunkTable:
 
     def add(self, new: list[bytes]) -> None:
         texts = [c.decode("utf-8", "replace") for c in new]
-        plain = [self.ends_word is not None and plain_letters(t) for t in texts]
+        plain = [self.ends_word is not None and (c.isalpha() or plain_letters(t)) for c, t in zip(new, texts, strict=True)]
         for kind, encode in ((True, self.together), (False, self.apart)):
             self.add_parts([c for c, p in zip(new, plain, strict=True) if p == kind], [t for t, p in zip(texts, plain, strict=True) if p == kind], encode)
 
@@ -153,7 +177,7 @@ class ChunkTable:
 
         # cut and told apart in Arrow: only different chunks become objects of Python
         if self.by_chunks:
-            lists = pc.ascii_split_whitespace(pa.array([plainer(t, self.lowers) for t in texts], pa.binary()).view(pa.string()))
+            lists = pc.ascii_split_whitespace(all_plainer(texts, self.lowers))
             listed, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
         else:
             listed, lengths = pa.array(texts, pa.binary()).view(pa.string()), np.ones(len(texts), np.int64)

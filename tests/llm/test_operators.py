@@ -149,6 +149,35 @@ def test_plain_chunks_are_encoded_together():
         assert table.ids[at : at + table.counts[number]].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_texts_made_plainer_at_once():
+    """A batch's texts get the chunks that they get one by one, in a few steps for all; plain letters are encoded without NFC and pattern."""
+    import sys
+
+    from inkglass.llm import wordtable
+
+    rng, table = random.Random(8), wordtable.ChunkTable(WORD)
+    pool = ["a", "B", "9", ".", ",", " ", "\n", "\x0b", "\u00e9", "\u00c9", "e\u0301.", "<|", "end. ", "x,\n", "\u4e2d."]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(12))).encode() for _ in range(3000)] + [b"", b".", b"a.", b" ", b"a. "]
+    found = wordtable.all_plainer(texts, True).to_pylist()
+    assert [x.encode()[:-1] for x in found] == [wordtable.plainer(t, True) for t in texts] and {x[-1] for x in found} == {"\x0b"}
+    assert wordtable.all_plainer([], True).to_pylist() == []
+    assert table.letters is not table.tokenizer and table.letters.pre_tokenizer is not None
+    numbers, lengths = table.numbers(texts)
+    ids = [table.ids[table.starts[k] : table.starts[k] + table.counts[k]].tolist() for k in numbers.tolist()]
+    ends = [0, *lengths.cumsum().tolist()]
+    assert all(sum(ids[a:b], []) == table.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t, a, b in zip(texts, ends, ends[1:], strict=False))
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    wordtable.ChunkTable.numbers(table, texts)
+    sys.setprofile(None)
+    assert calls < 10 * len(texts)
+
+
 def test_pair_index(spark):
     docs = [(r["doc_id"], r["text"]) for r in documents()] + [r[:2] for r in edge_rows()]
     tokenizer = Tokenizer.from_file(BYTE)
