@@ -12,7 +12,7 @@ The join: with at most e edits, one of e + 1 segments of the shorter line stands
 the longer one, at a place that the difference in length and the segment's number bound. Each
 different line is filed under its own segments and probes with the substrings that could be
 segments of lines of its length or up to e shorter. A key holds length, number and substring as
-a hash. Of two lines of one length each probes for the other, so with e up to 2 shifts to the
+a hash (keyed()). Of two lines of one length each probes for the other, so with e up to 2 shifts to the
 right are enough: if only the middle segment of one is unchanged and stands further left in the
 other, then a segment of the other is unchanged and stands in place or further right.
 
@@ -42,6 +42,8 @@ from inkglass.llm.common import bind, cut, light
 EDITS, CHARS_PER_EDIT = 2, 10
 #: Characters whose counts (6 bits each, modulo 64) the two signatures hold.
 COUNTED = (" entoirhsa", "ludcmpgfyw")
+#: Bytes of a character in UTF-32.
+WIDE = 4
 
 
 def signature(line: Column, letters: str) -> Column:
@@ -66,34 +68,46 @@ def ways(edits: int, less: int) -> list[tuple[int, int]]:
     return [(i, shift) for i, shift in found if less or edits > 2 or shift >= 0]
 
 
-def key(line: Column, length: Column, shorter: Column, n: int, i: int, shift: int) -> Column:
-    """The key of segment i of n of lines of `shorter` characters, as it stands in this line. The longer
-    segments come last. Null where the line has no such place."""
-    base, longer = F.floor(shorter / n).cast("int"), (shorter % n).cast("int")
-    short = F.lit(n) - longer
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short) + F.lit(shift)
-    size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-    return F.when((start >= 0) & (start + size <= length), F.xxhash64(shorter, F.lit(i), F.substring(line, start + 1, size)))
-
-
-def keys(line: Column, length: Column, edits: int, chars: int) -> tuple[list[Column], list[Column]]:
-    """Keys under which a line is filed, and those with which it probes (besides); null where it has
-    fewer. A line's edits depend on its length, so each column chooses the key by that."""
-    def chosen(less: int, places: dict[int, list[tuple[int, int]]]) -> list[Column]:
-        shorter = length - less
-        e = allowed(shorter, edits, chars)
-        out = []
-        for k in range(max(map(len, places.values()), default=0)):
-            column = F.lit(None).cast("long")
-            for n, found in places.items():
-                if k < len(found):
-                    column = F.when(e == n, key(line, length, shorter, n + 1, *found[k])).otherwise(column)
-            out.append(column)
-        return out
-
-    own = chosen(0, {n: [(i, 0) for i in range(n + 1)] for n in range(1, edits + 1)})
-    others = [c for less in range(edits + 1) for c in chosen(less, {n: [w for w in ways(n, less) if less or w[1]] for n in range(max(less, 1), edits + 1)})]
-    return own, others
+def slots(edits: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+    """Keys under which a line is filed, and those with which it probes (besides): how many characters shorter
+    the lines of the key are, segment, shift, and the fewest edits with which lines have it (with more they do too)."""
+    fewest = {(less, i, shift): e for e in range(edits, 0, -1) for less in range(e + 1) for i, shift in ways(e, less)}
+    own = [(0, i, 0, max(i, 1)) for i in range(edits + 1)]
+    return own, [(*place, e) for place, e in sorted(fewest.items()) if place[0] or place[2]]
+
+
+def keyed(lines: DataFrame, edits: int, chars: int) -> tuple[DataFrame, list[str], list[str]]:
+    """h1 and the keys of lines (h1, line, length), and the names of those under which a line is filed and of
+    those with which it probes. A key holds the length of lines, the number of a segment and the characters that
+    stand in its place in this line; null where the line has no such place. Of n segments, i begins at floor(i * length / n).
+
+    Substrings are taken of the line in UTF-32, four bytes a character: in UTF-8 each would count the characters
+    from the line's start. The code for a line is kept small, because the JVM only interprets methods of more than
+    8,000 bytes: what several keys need is a column, and a key checks only what its place leaves open."""
+    own, others = slots(edits)
+    names = [f"own{k}" for k in range(len(own))] + [f"other{k}" for k in range(len(others))]
+    lengths = range(edits + 1)
+    steps = lines.select("h1", F.encode("line", "UTF-32").alias("wide"), "length", *((F.col("length") - less).alias(f"shorter{less}") for less in lengths))
+    steps = steps.select("*", *(allowed(F.col(f"shorter{less}"), edits, chars).alias(f"e{less}") for less in lengths))
+
+    def begin(less: int, i: int) -> Column:
+        """Where segment i begins or the one before ends, in lines that have either."""
+        shorter = F.col(f"shorter{less}")
+        by_edits = {e: shorter if i > e else (F.lit(float(i)) * shorter / (e + 1)).cast("int") for e in range(max(i - 1, less, 1), edits + 1)}
+        return reduce(lambda more, e: F.when(F.col(f"e{less}") == e, by_edits[e]).otherwise(more), range(edits - 1, min(by_edits) - 1, -1), by_edits[edits])
+
+    steps = steps.select("*", *(begin(less, i).alias(f"begin{less}_{i}") for less in lengths for i in range(1, edits + 2)))
+
+    def key(less: int, i: int, shift: int, fewest: int) -> Column:
+        start, end = F.col(f"begin{less}_{i}") if i else F.lit(0), F.col(f"begin{less}_{i + 1}")
+        there = F.col(f"e{less}") >= fewest
+        if shift < 0:
+            there &= start >= -shift
+        if shift > less:
+            there &= end <= F.col("length") - shift
+        return F.when(there, F.xxhash64(F.col(f"shorter{less}"), F.lit(i), F.substring("wide", (start + shift) * WIDE + 1, (end - start) * WIDE)))
+
+    return steps.select("h1", *(key(*slot).alias(name) for name, slot in zip(names, own + others, strict=True))), names[: len(own)], names[len(own) :]
 
 
 def verified(longer: Column, shorter: Column, edits: int) -> Column:
@@ -147,26 +161,24 @@ def within(longer: Column, shorter: Column, edits: int) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key (of the text), at, line, h1, h2 (two hashes of the line), for lines that are not empty."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the length is worked out before the explode: as a plain column, not again at every mention
-    parts = F.transform(F.split("text", "\n"), lambda x: bind(lambda t: F.struct(t.alias("line"), F.length(t).alias("length")), F.trim(x)))
-    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(parts).alias("at", "x")).select("doc_id", "key", "at", "x.line", "x.length")
-    return rows.where("length > 0").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+    rows = own.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("at", "line")).where("line != ''")
+    return rows.select("doc_id", "key", "at", "line", F.length("line").alias("length"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def line_pairs(lines: DataFrame, edits: int, chars: int) -> DataFrame:
     """h1_a, h2_a, first_a, line_a and the same of b: pairs of different lines that share a key and whose
     counts don't prove them apart."""
     long = lines.where(F.col("length") >= chars)
-    own, others = keys(F.col("line"), F.col("length"), edits, chars)
-    names = [f"own{k}" for k in range(len(own))] + [f"other{k}" for k in range(len(others))]
+    filed, own, others = keyed(long, edits, chars)
+    names = own + others
     # keys follow from the line: any occurrence's are right
-    filed = long.select("h1", *(c.alias(n) for c, n in zip(own + others, names, strict=True))).groupBy("h1").agg(*(F.max(n).alias(n) for n in names))
+    filed = filed.groupBy("h1").agg(*(F.max(n).alias(n) for n in names))
     filed = cut(filed, "line-keys")
 
     def listed(columns: list[str]) -> DataFrame:
         return filed.select("h1", F.explode(F.array(*columns)).alias("k")).where("k IS NOT NULL")
 
-    index = listed(names[: len(own)])
+    index = listed(own)
     once = index.groupBy("k").agg(F.min("h1").alias("one"), F.max("h1").alias("two"))
     found = listed(names).join(once, "k").where("one != two OR one != h1")
     found = cut(found.select("k", "h1"), "line-probes")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -525,6 +526,41 @@ def test_line_edits(spark):
     assert line_edits.report(df.limit(0)).count() == 0
 
 
+def test_line_keys_are_compiled(spark, monkeypatch, capsys):
+    """The JVM interprets methods of more than 8,000 bytes of bytecode, and Spark gives up whole stages of 64 KB."""
+    from inkglass.llm.common import cut
+
+    made = {}
+    monkeypatch.setattr(line_edits, "cut", lambda df, what: cut(made.setdefault(what, df), what))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_edits.report(spark.createDataFrame([(1, "one line of text\nand another")], "doc_id long, text string"))
+        capsys.readouterr()
+        made["line-keys"].explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+    assert len(sizes) > 1 and all(0 < x <= 8000 for x in sizes), sizes
+
+
+@pytest.mark.parametrize("edits, chars", [(1, 4), (2, 1), (3, 5)])
+def test_line_edits_of_wide_characters(spark, edits, chars):
+    """Keys count characters, of whatever bytes; a line of other length may lie on the other side of a bound."""
+    rng = random.Random(edits)
+    rows = []
+    for i in range(80):
+        a = "".join(rng.choice("ab\u00eb\u2603\U0001f600") for _ in range(rng.randrange(1, 24)))
+        b = list(a)
+        for _ in range(rng.randrange(0, edits + 2)):
+            k, at = rng.randrange(3), rng.randrange(len(b) + 1)
+            b[at : at + (k > 0)] = [] if k == 2 else [rng.choice("q\U0001f601")]
+        rows += [(2 * i, f"1 {a} 1\n {a}"), (2 * i + 1, f"{''.join(b)}  ")]
+    expect = {(d, at) for (d, _), places in brute.removed_lines(rows, edits, chars).items() for at in places}
+    found = line_edits.report(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits, chars=chars).collect()
+    assert {(r.doc_id, at) for r in found for at in r.removed} == expect and len(expect) > 40
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_bit_parallel_distance(spark, edits):
     from pyspark.sql import functions as F
